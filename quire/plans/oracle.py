@@ -1,0 +1,30 @@
+"""DuckDB oracle SQL per registered query (see :mod:`quire.plans.duck` for the dialect helpers)."""
+
+from __future__ import annotations
+
+from ..operators.policy import ALLOWED_TAGS
+from . import duck as D
+
+ORACLE: dict = {}
+
+
+def oracle(name: str):
+    def deco(fn):
+        ORACLE[name] = fn()
+        return fn
+    return deco
+
+
+def pages_src() -> str:
+    return f"(SELECT page_id AS doc_id, url, html FROM pages WHERE length(html) <= {D.MAX_PAYLOAD_CHARS})"
+
+
+def markdown_sql(src: str, select: str) -> str:
+    nodes, tree = D.nodes_ctes("src", "n", ALLOWED_TAGS)
+    md, out = D.render_md_ctes(tree, "src", "m")
+    return f"WITH src AS {src},{nodes},{md}\n{select.format(out=out)}"
+
+
+@oracle("k_pages_to_markdown_blocks")
+def _k_pages():
+    return markdown_sql(pages_src(), "SELECT doc_id AS page_id, markdown FROM {out}")

@@ -1,0 +1,40 @@
+"""Registered queries: ``name -> fn(spark, sf_dir) -> DataFrame``. Each reads the driver tables (or payloads
+Spark derives from them) in full."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import MAX_PAYLOAD_CHARS
+from ..operators.nodes import to_nodes, with_spans, with_tree
+from ..operators.policy import sanitize
+from ..operators.render_md import render_markdown
+from ..sources.tables import load_table
+
+QUERIES: dict = {}
+
+
+def register(name: str):
+    def deco(fn):
+        QUERIES[name] = fn
+        return fn
+    return deco
+
+
+def pages_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as payloads ``(doc_id, url, html)``, size-guarded."""
+    p = load_table(spark, sf_dir, "pages", ["page_id", "url", "html"]).withColumnRenamed("page_id", "doc_id")
+    return p.filter(F.length("html") <= MAX_PAYLOAD_CHARS)
+
+
+def markdown_of(payloads: DataFrame) -> DataFrame:
+    """Payload HTML -> sanitized node tree -> Markdown (documents with nothing to render give '')."""
+    tree = with_tree(with_spans(sanitize(to_nodes(payloads))))
+    return render_markdown(tree, payloads)
+
+
+@register("k_pages_to_markdown_blocks")
+def k_pages_to_markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: every page rendered to Markdown blocks."""
+    return markdown_of(pages_payloads(spark, sf_dir)).withColumnRenamed("doc_id", "page_id")
