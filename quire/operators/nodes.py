@@ -49,6 +49,9 @@ STRIP_RE = "(?is)<!--.*?-->|<![^>]*>|<\\?[^>]*>|" + "|".join(
 TOKEN_RE = "</?[A-Za-z][^\\s/>]*(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>|[^<]+|<"
 TAG_NAME_RE = "^</?([A-Za-z][^\\s/>]*)"
 ATTR_RE = "[^\\s\"'>/=]+(?:\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s\"'>]+))?"
+ATTR_KV_RE = "([^\\s\"'>/=]+)(?:\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+)))?"
+# a tag carries attributes only if something follows its name
+HAS_ATTRS_RE = "^<[A-Za-z][^\\s/>]*[\\s/]+[^\\s/>]"
 
 
 def w_doc():
@@ -81,18 +84,17 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", part
 
 
 def _attrs(tok: Column) -> Column:
+    """Attribute map of a tag token; names lower-cased, values unquoted and decoded, first duplicate wins.
+
+    Three group extractions (double-quoted, single-quoted, bare value) avoid a per-attribute regex call."""
     raw = F.regexp_replace(tok, "^<[A-Za-z][^\\s/>]*|/?>$", "")
-    items = F.regexp_extract_all(raw, F.lit(ATTR_RE), 0)
-    pairs = F.transform(items, lambda x: F.struct(
-        F.lower(F.regexp_extract(x, "^([^\\s\"'>/=]+)", 1)).alias("k"),
-        F.regexp_extract(x, "(?s)^[^=]*=\\s*(.*)$", 1).alias("v")))
-    pairs = F.transform(pairs, lambda p: F.struct(
-        p["k"].alias("k"),
-        decode_entities(F.when(p["v"].rlike("(?s)^(\"[^\"]*\"|'[^']*')$"),
-                               p["v"].substr(F.lit(2), F.length(p["v"]) - 2))
-                        .otherwise(p["v"])).alias("v")))
-    keys = F.transform(pairs, lambda p: p["k"])
-    first = F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1)
+    names = F.transform(F.regexp_extract_all(raw, F.lit(ATTR_KV_RE), 1), lambda k: F.lower(k))
+    dq = F.regexp_extract_all(raw, F.lit(ATTR_KV_RE), 2)
+    sq = F.regexp_extract_all(raw, F.lit(ATTR_KV_RE), 3)
+    bare = F.regexp_extract_all(raw, F.lit(ATTR_KV_RE), 4)
+    values = F.zip_with(F.zip_with(dq, sq, lambda a, b: F.concat(a, b)), bare, lambda a, b: F.concat(a, b))
+    pairs = F.arrays_zip(names.alias("k"), F.transform(values, decode_entities).alias("v"))
+    first = F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1)
     return F.map_from_entries(first)
 
 
@@ -108,7 +110,9 @@ def classify(tokens: DataFrame) -> DataFrame:
     return (tokens
             .withColumn("kind", kind)
             .withColumn("tag", F.when(is_tag, tag))
-            .withColumn("attrs", F.when(F.col("kind").isin("open", "void"), _attrs(tok)))
+            .withColumn("attrs", F.when(F.col("kind").isin("open", "void"),
+                                        F.when(tok.rlike(HAS_ATTRS_RE), _attrs(tok))
+                                         .otherwise(F.create_map().cast("map<string,string>"))))
             .withColumn("text", F.when(~is_tag, decode_entities(strip_markers(tok)))))
 
 

@@ -1,5 +1,4 @@
-"""Registered queries: ``name -> fn(spark, sf_dir) -> DataFrame``. Each reads the driver tables (or payloads
-Spark derives from them) in full."""
+"""Pages -> Markdown (the flagship) and the shared HTML pipeline pieces."""
 
 from __future__ import annotations
 
@@ -8,18 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MAX_PAYLOAD_CHARS
 from ..operators.nodes import to_nodes, with_spans, with_tree
-from ..operators.policy import sanitize
+from ..operators.policy import ALLOWED_TAGS, sanitize
 from ..operators.render_md import render_markdown
 from ..sources.tables import load_table
-
-QUERIES: dict = {}
-
-
-def register(name: str):
-    def deco(fn):
-        QUERIES[name] = fn
-        return fn
-    return deco
+from . import duck as D
+from .registry import query
 
 
 def pages_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +26,19 @@ def markdown_of(payloads: DataFrame) -> DataFrame:
     return render_markdown(tree, payloads)
 
 
-@register("k_pages_to_markdown_blocks")
+def pages_src() -> str:
+    return f"(SELECT page_id AS doc_id, url, html FROM pages WHERE length(html) <= {D.MAX_PAYLOAD_CHARS})"
+
+
+def markdown_sql(src: str, select: str, extra_ctes: str = "") -> str:
+    """WITH src AS <src>, nodes..., markdown...  <select with {out}>"""
+    nodes, tree = D.nodes_ctes("src", "n", ALLOWED_TAGS)
+    md, out = D.render_md_ctes(tree, "src", "m")
+    return f"WITH src AS {src},{nodes},{md}{extra_ctes}\n{select.format(out=out)}"
+
+
+@query("k_pages_to_markdown_blocks",
+       oracle=lambda: markdown_sql(pages_src(), "SELECT doc_id AS page_id, markdown FROM {out}"))
 def k_pages_to_markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: every page rendered to Markdown blocks."""
     return markdown_of(pages_payloads(spark, sf_dir)).withColumnRenamed("doc_id", "page_id")
