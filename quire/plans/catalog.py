@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from . import q_markdown, q_payloads  # noqa: F401
+from . import q_cells, q_markdown, q_payloads  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
