@@ -38,6 +38,16 @@ def _fit(line: Column, n: Column) -> Column:
     return F.slice(F.concat(F.split(line, "\t"), F.array_repeat(F.lit(""), n)), 1, n)
 
 
+def _body(lines: Column) -> Column:
+    return F.slice(lines, 2, F.size(lines) - 1)
+
+
+def _per_row(n: Column, lines: Column) -> Column:
+    """The header width once per body row, handed to the row lambda as an argument: a column referenced
+    inside a lambda would be re-evaluated (re-split) for every row."""
+    return F.array_repeat(n, F.greatest(F.size(lines) - 1, F.lit(0)))
+
+
 def tsv_to_markdown(plain: Column) -> Column:
     """GFM table; every row padded or truncated to the header width; pipes are not escaped."""
     lines = tsv_lines(plain)
@@ -45,8 +55,8 @@ def tsv_to_markdown(plain: Column) -> Column:
     n = F.size(header)
     head = F.concat(F.lit("| "), F.array_join(header, " | "), F.lit(" |\n"),
                     F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), n), " | "), F.lit(" |\n"))
-    rows = F.transform(F.slice(lines, 2, F.size(lines) - 1),
-                       lambda r: F.concat(F.lit("| "), F.array_join(_fit(r, n), " | "), F.lit(" |\n")))
+    rows = F.zip_with(_body(lines), _per_row(n, lines),
+                      lambda r, k: F.concat(F.lit("| "), F.array_join(_fit(r, k), " | "), F.lit(" |\n")))
     return F.concat(head, F.array_join(rows, ""))
 
 
@@ -62,9 +72,9 @@ def tsv_to_html(plain: Column) -> Column:
     n = F.size(header)
     ths = F.array_join(F.transform(header, lambda c: F.concat(F.lit(TSV_HEADER_CELL), html_escape_min(c),
                                                               F.lit("</th>\n"))), "")
-    rows = F.transform(F.slice(lines, 2, F.size(lines) - 1), lambda r: F.concat(
+    rows = F.zip_with(_body(lines), _per_row(n, lines), lambda r, k: F.concat(
         F.lit("<tr>\n"),
-        F.array_join(F.transform(_fit(r, n), lambda c: F.concat(F.lit("<td>"), html_escape_min(c), F.lit("</td>\n"))),
+        F.array_join(F.transform(_fit(r, k), lambda c: F.concat(F.lit("<td>"), html_escape_min(c), F.lit("</td>\n"))),
                      ""),
         F.lit("</tr>\n")))
     return F.concat(F.lit("<table>\n<thead>\n<tr>\n"), ths, F.lit("</tr>\n</thead>\n<tbody>\n"),

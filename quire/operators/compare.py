@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import JS_SPACE
+from ..functions.text import js_spaces_to_ascii
 
 # ---------------------------------------------------------------------------------------------------------------
 # Fixed values that must equal the reference for equal results.
@@ -16,7 +16,8 @@ MAX_NEEDED = 3            # words that must match, at most
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, JS_SPACE + "+"), lambda w: F.length(w) > 0)
+    """Words split on JavaScript whitespace, empties dropped."""
+    return F.filter(F.split(js_spaces_to_ascii(c), "\\s+"), lambda w: F.length(w) > 0)
 
 
 def stale_check(selected: Column, clip: Column, is_table: Column) -> Column:
@@ -24,9 +25,17 @@ def stale_check(selected: Column, clip: Column, is_table: Column) -> Column:
     with either text empty the check is skipped."""
     check = words(F.substring(selected, 1, SELECTION_PREFIX))
     search = F.when(is_table, clip).otherwise(F.substring(clip, 1, CLIP_PREFIX))
-    clip_words = words(search)
     needed = F.when(is_table, F.lit(1)).otherwise(F.least(F.lit(MAX_NEEDED), F.size(check)))
-    count = F.size(F.filter(check, lambda w: F.array_contains(clip_words, w)))
+    # A word (no whitespace inside) is one of the clipboard's words iff " word " occurs in the clipboard text
+    # with whitespace runs collapsed to one space and a space at both ends: one linear pass over the text and
+    # a substring search per selection word, instead of materialising the clipboard's word list.
+    padded = F.concat(F.lit(" "), F.regexp_replace(js_spaces_to_ascii(search), "\\s+", " "), F.lit(" "))
+    # the padded text rides in the fold's start value, which is evaluated once per row (an outer reference
+    # inside the lambda would be re-evaluated for every word)
+    count = F.aggregate(check, F.struct(padded.alias("p"), F.lit(0).alias("n")),
+                        lambda acc, w: F.struct(acc["p"].alias("p"), (acc["n"] + F.when(
+                            F.instr(acc["p"], F.concat(F.lit(" "), w, F.lit(" "))) > 0, 1).otherwise(0)).alias("n")),
+                        lambda acc: acc["n"])
     checked = F.coalesce((selected != "") & (clip != ""), F.lit(False))
     stale = checked & (count < needed) & (F.size(check) > 0)
     return F.struct(checked.alias("checked"), F.when(checked, count).alias("match_count"),

@@ -94,7 +94,11 @@ def _attrs(tok: Column) -> Column:
     bare = F.regexp_extract_all(raw, F.lit(ATTR_KV_RE), 4)
     values = F.zip_with(F.zip_with(dq, sq, lambda a, b: F.concat(a, b)), bare, lambda a, b: F.concat(a, b))
     pairs = F.arrays_zip(names.alias("k"), F.transform(values, decode_entities).alias("v"))
-    first = F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1)
+    # first duplicate wins; a fold over the pairs (lambdas see only their own arguments, so nothing outside
+    # is re-evaluated per attribute)
+    empty = F.array().cast("array<struct<k:string,v:string>>")
+    first = F.aggregate(pairs, empty, lambda acc, p: F.when(F.exists(acc, lambda q: q["k"] == p["k"]), acc)
+                        .otherwise(F.concat(acc, F.array(p))))
     return F.map_from_entries(first)
 
 
