@@ -103,4 +103,4 @@ def redact_base64(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Line ends CRLF→LF and trailing whitespace dropped, for comparing plain entries."""
-    return F.regexp_replace(F.regexp_replace(c, "\\r\\n", "\\n"), "\\s+$", "")
+    return F.regexp_replace(F.regexp_replace(c, "\r\n", "\n"), "\\s+$", "")
