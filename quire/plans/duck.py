@@ -62,12 +62,25 @@ def attr(col: str, name: str) -> str:
 RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
-def nodes_ctes(src: str, prefix: str = "n", allowed=None) -> tuple[str, str]:
+def nodes_ctes(src: str, prefix: str = "n", allowed=None, attr_allow=None, pre_spans: str = "") -> tuple[str, str]:
     """CTEs turning ``src(doc_id, html)`` into nodes with spans and tree; returns (ctes, final_name).
 
     ``allowed``: tag allowlist applied before spans (a disallowed tag is unwrapped: its tokens go).
+    ``attr_allow``: attribute allowlist (``aria-*`` always kept); ``[]`` drops every attribute.
+    ``pre_spans``: extra WHERE condition on the classified tokens (e.g. repairs that drop tokens).
     """
-    keep = f"WHERE kind = 'text' OR tag IN {in_list(allowed)}" if allowed else ""
+    conds = []
+    if allowed:
+        conds.append(f"(kind = 'text' OR tag IN {in_list(allowed)})")
+    if pre_spans:
+        conds.append(f"({pre_spans})")
+    keep = ("WHERE " + " AND ".join(conds)) if conds else ""
+    if attr_allow is None:
+        attrs_expr = "attrs0"
+    elif attr_allow:
+        attrs_expr = f"list_filter(attrs0, lambda p: p.k IN {in_list(attr_allow)} OR starts_with(p.k, 'aria-'))"
+    else:
+        attrs_expr = "CASE WHEN attrs0 IS NOT NULL THEN list_filter(attrs0, lambda p: false) END"
     tok_re = q(re2(N.TOKEN_RE))
     attr_items = f"regexp_extract_all(regexp_replace(tok, {q('^<[A-Za-z][^\\s/>]*|/?>$')}, '', 'g'), " \
                  f"{q(re2(N.ATTR_RE))}, 0)"
@@ -104,10 +117,13 @@ def nodes_ctes(src: str, prefix: str = "n", allowed=None) -> tuple[str, str]:
 {p}_c4 AS (
   SELECT * EXCLUDE (pairs0), CASE WHEN pairs0 IS NOT NULL THEN {unq} END AS pairs1 FROM {p}_c3
 ),
-{p}_nodes AS (
+{p}_c5 AS (
   SELECT doc_id, pos, kind, tag, text,
-         list_filter(pairs1, lambda x, i: list_position(list_transform(pairs1, lambda y: y.k), x.k) = i) AS attrs
-  FROM {p}_c4 {keep}
+         list_filter(pairs1, lambda x, i: list_position(list_transform(pairs1, lambda y: y.k), x.k) = i) AS attrs0
+  FROM {p}_c4
+),
+{p}_nodes AS (
+  SELECT doc_id, pos, kind, tag, text, {attrs_expr} AS attrs FROM {p}_c5 {keep}
 ),
 {p}_s1 AS (
   SELECT *, CASE WHEN kind IN ('open', 'close') THEN
@@ -295,5 +311,28 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m") -> tuple[str, str]:
     return ctes, f"{p}_out"
 
 
+def esc_text(e: str) -> str:
+    return f"replace(replace(replace(replace({e}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(160), '&nbsp;')"
+
+
+def esc_attr(e: str) -> str:
+    return f"replace(replace(replace({e}, '&', '&amp;'), '\"', '&quot;'), chr(160), '&nbsp;')"
+
+
+def token_html(kind="kind", tag="tag", attrs="attrs", text="text", matched="matched") -> str:
+    ah = (f"coalesce(array_to_string(list_transform({attrs}, lambda e: ' ' || e.k || '=\"' || {esc_attr('e.v')} "
+          f"|| '\"'), ''), '')")
+    return (f"CASE WHEN {kind} = 'text' THEN {esc_text(text)} "
+            f"WHEN {kind} IN ('open', 'void') THEN '<' || {tag} || {ah} || '>' "
+            f"WHEN {kind} = 'close' AND {matched} THEN '</' || {tag} || '>' ELSE '' END")
+
+
+def html_sql(tree: str, docs: str, col: str = "html") -> str:
+    """Per-document ordered concatenation of re-spelled tokens (C6), every doc of ``docs`` present."""
+    return (f"(SELECT d.doc_id, coalesce(h.{col}, '') AS {col} FROM {docs} d LEFT JOIN "
+            f"(SELECT doc_id, string_agg({token_html()}, '' ORDER BY pos) AS {col} FROM {tree} GROUP BY doc_id) h "
+            f"ON d.doc_id = h.doc_id)")
+
+
 __all__ = ["q", "re2", "rep2", "rx", "chain", "decode", "md_escape", "in_list", "attr", "nodes_ctes",
            "render_md_ctes", "MAX_PAYLOAD_CHARS", "BASE64_IMAGE", "BASE64_REPLACEMENT"]
