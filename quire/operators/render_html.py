@@ -43,7 +43,7 @@ def token_html(kind: Column, tag: Column, attrs: Column, text: Column, matched:
 def to_html(nodes: DataFrame, docs: DataFrame | None = None, out_col: str = "html") -> DataFrame:
     """``body.innerHTML`` of each document - one ordered concatenation per document (bounded by A6)."""
     piece = token_html(F.col("kind"), F.col("tag"), F.col("attrs"), F.col("text"), F.col("matched"))
-    before = F.coalesce(F.col("before"), F.lit("")) if "before" in nodes.columns else F.lit("")
+    before = F.coalesce(escape_text(F.col("before")), F.lit("")) if "before" in nodes.columns else F.lit("")
     out = nodes.groupBy("doc_id").agg(ordered_concat(F.col("pos"), F.concat(before, piece)).alias(out_col))
     if docs is not None:
         out = docs.select("doc_id").join(out, "doc_id", "left") \

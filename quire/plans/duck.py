@@ -89,6 +89,7 @@ def nodes_ctes(src: str, prefix: str = "n", allowed=None, attr_allow=None, pre_s
     unq = (f"list_transform(pairs0, lambda p: {{'k': p.k, 'v': "
            f"{decode('CASE WHEN regexp_matches(p.v, ' + q(chr(40) + '?s)^(' + chr(34) + '[^' + chr(34) + ']*' + chr(34) + '|' + chr(39) + '[^' + chr(39) + ']*' + chr(39) + ')$') + ') THEN substring(p.v, 2, length(p.v) - 2) ELSE p.v END')}}})")
     p = prefix
+    spans_tree = spans_ctes(f"{p}_nodes", p) + "," + tree_ctes(f"{p}_spans", p)
     ctes = f"""
 {p}_tok AS (
   SELECT doc_id, unnest(t) AS tok, unnest(range(len(t))) AS pos
@@ -125,11 +126,18 @@ def nodes_ctes(src: str, prefix: str = "n", allowed=None, attr_allow=None, pre_s
 {p}_nodes AS (
   SELECT doc_id, pos, kind, tag, text, {attrs_expr} AS attrs FROM {p}_c5 {keep}
 ),
+{spans_tree}"""
+    return ctes, f"{p}_tree"
+
+
+def spans_ctes(inp: str, p: str) -> str:
+    """CTE ``{p}_spans``: input columns + end_pos, matched, open_pos, opener_attrs (stack matching per tag)."""
+    return f"""
 {p}_s1 AS (
   SELECT *, CASE WHEN kind IN ('open', 'close') THEN
               sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END)
                 OVER (PARTITION BY doc_id, tag ORDER BY pos {RUN}) END AS lvl
-  FROM {p}_nodes
+  FROM {inp}
 ),
 {p}_s2 AS (SELECT *, CASE WHEN kind = 'close' THEN lvl + 1 ELSE lvl END AS lv FROM {p}_s1),
 {p}_s3 AS (
@@ -142,24 +150,28 @@ def nodes_ctes(src: str, prefix: str = "n", allowed=None, attr_allow=None, pre_s
   FROM {p}_s2 WINDOW w AS (PARTITION BY doc_id, tag, lv ORDER BY pos)
 ),
 {p}_s4 AS (
-  SELECT doc_id, pos, kind, tag, text, attrs,
+  SELECT * EXCLUDE (lvl, lv, nk, np, pk),
          CASE WHEN kind = 'open' AND nk = 'close' THEN np WHEN kind = 'void' THEN pos END AS end_pos,
          CASE WHEN kind = 'open' THEN coalesce(nk = 'close', false)
-              WHEN kind = 'close' THEN coalesce(pk = 'open', false) ELSE true END AS matched,
-         pp, pa
+              WHEN kind = 'close' THEN coalesce(pk = 'open', false) ELSE true END AS matched
   FROM {p}_s3
 ),
 {p}_spans AS (
-  SELECT doc_id, pos, kind, tag, text, attrs, end_pos, matched,
+  SELECT * EXCLUDE (pp, pa),
          CASE WHEN kind = 'close' AND matched THEN pp END AS open_pos,
          CASE WHEN kind = 'close' AND matched THEN pa END AS opener_attrs
   FROM {p}_s4
-),
+)"""
+
+
+def tree_ctes(inp: str, p: str) -> str:
+    """CTE ``{p}_tree``: input columns + depth, parent_pos, parent_tag."""
+    return f"""
 {p}_t1 AS (
   SELECT *, (sum(CASE WHEN kind = 'open' AND matched THEN 1 WHEN kind = 'close' AND matched THEN -1 ELSE 0 END)
                OVER (PARTITION BY doc_id ORDER BY pos {RUN})
              - CASE WHEN kind = 'open' AND matched THEN 1 ELSE 0 END)::INTEGER AS depth
-  FROM {p}_spans
+  FROM {inp}
 ),
 {p}_t2 AS (
   SELECT *, 0 AS role, depth AS k FROM {p}_t1
@@ -170,15 +182,10 @@ def nodes_ctes(src: str, prefix: str = "n", allowed=None, attr_allow=None, pre_s
   SELECT *, last_value(CASE WHEN role = 1 THEN pos END IGNORE NULLS)
               OVER (PARTITION BY doc_id, k ORDER BY pos, role DESC {RUN}) AS parent_pos,
             last_value(CASE WHEN role = 1 THEN tag END IGNORE NULLS)
-              OVER (PARTITION BY doc_id, k ORDER BY pos, role DESC {RUN}) AS parent_tag0,
-            last_value(CASE WHEN role = 1 THEN pos END IGNORE NULLS)
-              OVER (PARTITION BY doc_id, k ORDER BY pos, role DESC {RUN}) AS _pp
+              OVER (PARTITION BY doc_id, k ORDER BY pos, role DESC {RUN}) AS parent_tag
   FROM {p}_t2
 ),
-{p}_tree AS (
-  SELECT * EXCLUDE (role, k, _pp, parent_tag0), parent_tag0 AS parent_tag FROM {p}_t3 WHERE role = 0
-)"""
-    return ctes, f"{p}_tree"
+{p}_tree AS (SELECT * EXCLUDE (role, k) FROM {p}_t3 WHERE role = 0)"""
 
 
 def render_md_ctes(tree: str, docs: str, prefix: str = "m") -> tuple[str, str]:

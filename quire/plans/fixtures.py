@@ -78,7 +78,11 @@ def fx5_images(spark: SparkSession, sf: str) -> DataFrame:
               .when(k == 2, F.concat(F.lit(' style="width: '), _s("p_size"), F.lit('.5px; height: 10px"')))
               .when(k == 3, F.concat(F.lit(' alt="'), F.col("p_brand"), F.lit('"')))
               .otherwise(F.lit("")))
-    html = F.concat(F.lit("<p>"), F.col("p_name"), src, extra, F.lit("></p>"))
+    img = F.concat(src, extra, F.lit(">"))
+    # every seventh part links its image (a beacon inside a link leaves an empty anchor behind)
+    img = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit('<a href="https://shop.example/'), _s("p_partkey"),
+                                                     F.lit('"> '), img, F.lit(" </a>"))).otherwise(img)
+    html = F.concat(F.lit("<p>"), F.col("p_name"), img, F.lit("</p>"))
     return p.select(F.col("p_partkey").alias("doc_id"), html.alias("html"))
 
 
@@ -215,10 +219,13 @@ def _fx4():
 
 
 def _fx5():
-    return """(SELECT p_partkey AS doc_id, '<p>' || p_name || '<img src="https://img.example/' || p_partkey || '.png"' ||
+    img = """'<img src="https://img.example/' || p_partkey || '.png"' ||
   CASE p_size % 5 WHEN 0 THEN ' width="1" height="1"' WHEN 1 THEN ' style="display: none"'
        WHEN 2 THEN ' style="width: ' || p_size || '.5px; height: 10px"' WHEN 3 THEN ' alt="' || p_brand || '"'
-       ELSE '' END || '></p>' AS html FROM part)"""
+       ELSE '' END || '>'"""
+    return f"""(SELECT p_partkey AS doc_id, '<p>' || p_name ||
+  CASE WHEN p_size % 7 = 0 THEN '<a href="https://shop.example/' || p_partkey || '"> ' || {img} || ' </a>' ELSE {img} END
+  || '</p>' AS html FROM part)"""
 
 
 def _fx6():
