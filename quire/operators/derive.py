@@ -68,6 +68,18 @@ def simple_html_nodes(payloads: DataFrame, html_col: str = "html", upto: str = "
     return RP.simplify_tables(with_tree(respan(s)))
 
 
+def markdown_nodes(payloads: DataFrame, html_col: str = "html") -> DataFrame:
+    """Markdown branch: repaired -> sanitize -> E7 naming -> tree. Header promotion (E5) happens where the
+    renderer assembles tables; container collapse changes nothing the renderer emits (empty blocks vanish)."""
+    return with_tree(RP.name_empty_links_and_images(sanitize(repaired(payloads, html_col))))
+
+
+def to_markdown(payloads: DataFrame, html_col: str = "html") -> DataFrame:
+    """``(doc_id, markdown)`` for every payload row."""
+    from .render_md import render_markdown
+    return render_markdown(markdown_nodes(payloads, html_col), payloads)
+
+
 def blank_to_empty(c):
     """A Simple HTML that is only whitespace is '' (the caller writes text/plain alone)."""
     return F.when(F.trim(F.regexp_replace(c, "\\s", " ")) == "", F.lit("")).otherwise(c)

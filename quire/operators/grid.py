@@ -136,3 +136,36 @@ def swap_tables(payload_cells: DataFrame, grid_cells: DataFrame) -> DataFrame:
     swap = grid_cells.join(docs, "doc_id", "left_semi").withColumn("swapped", F.lit(True))
     cols = ["doc_id", "table_no", "r", "c", "text", "swapped"]
     return keep.select(*cols).unionByName(swap.select(*cols))
+
+
+def native_cells(tree: DataFrame) -> DataFrame:
+    """Native ``<table>`` -> ``cells``. Windows over the token relation, no interval join: every text token
+    is credited to the innermost open cell (a running cell depth says whether it is inside one), cells take
+    their row from their parent ``tr``, rows are ranked within the table, tables within the document.
+    ``colspan``/``rowspan`` are ignored (as by the reference). Needs ``with_tree``."""
+    from .nodes import ordered_concat, running
+    kind, tag = F.col("kind"), F.col("tag")
+    mo = (kind == "open") & F.col("matched")
+    mc = (kind == "close") & F.col("matched")
+    is_cell = tag.isin("td", "th")
+    is_sec = tag.isin("thead", "tbody", "tfoot")
+    n = (tree
+         .withColumn("table_pos", F.last(F.when((tag == "table") & mo, F.col("pos")), ignorenulls=True).over(running()))
+         .withColumn("_cell_depth", F.sum(F.when(is_cell & mo, 1).when(is_cell & mc, -1).otherwise(0)).over(running()))
+         .withColumn("cell_pos", F.last(F.when(is_cell & mo, F.col("pos")), ignorenulls=True).over(running()))
+         .withColumn("_sec_depth", F.sum(F.when(is_sec & mo, 1).when(is_sec & mc, -1).otherwise(0)).over(running()))
+         .withColumn("_sec", F.last(F.when(is_sec & mo, tag), ignorenulls=True).over(running())))
+    texts = (n.filter((kind == "text") & (F.col("_cell_depth") > 0))
+              .groupBy("doc_id", "cell_pos").agg(ordered_concat(F.col("pos"), F.col("text")).alias("text")))
+    cells = n.filter(is_cell & mo).select(
+        "doc_id", "table_pos", F.col("pos").alias("cell_pos"), F.col("parent_pos").alias("row_pos"),
+        F.when(F.col("_sec_depth") > 0, F.col("_sec")).otherwise(F.lit("table")).alias("section"),
+        (tag == "th").alias("is_header"))
+    w_doc_t = Window.partitionBy("doc_id").orderBy("table_pos")
+    w_tab = Window.partitionBy("doc_id", "table_pos").orderBy("row_pos")
+    w_row = Window.partitionBy("doc_id", "table_pos", "row_pos").orderBy("cell_pos")
+    cells = cells.join(texts, ["doc_id", "cell_pos"], "left")
+    return cells.select(
+        "doc_id", (F.dense_rank().over(w_doc_t) - 1).alias("table_no"), "table_pos",
+        (F.dense_rank().over(w_tab) - 1).alias("r"), (F.row_number().over(w_row) - 1).alias("c"),
+        "section", "is_header", F.trim(F.coalesce("text", F.lit(""))).alias("text"), "cell_pos")

@@ -99,6 +99,37 @@ def _image() -> Column:
     return F.when(src != "", F.concat(F.lit("!["), alt, F.lit("]("), src, title_part, F.lit(")"))).otherwise("")
 
 
+def _tables(segs: DataFrame) -> DataFrame:
+    """K12/K13 + E5: GFM tables assembled from the cell segments - one aggregate per row, one per table - and
+    placed at the table's own segment. A table without a header row (no ``thead``, first row not all ``th``)
+    gets its first row promoted as plain text (inline markup lost, as in the reference)."""
+    h = F.col("head")
+    cells = segs.filter(F.coalesce(h["cell"], F.lit(False)) & F.coalesce(h["in_table"], F.lit(False)))
+    cells = cells.select("doc_id", h["table_seg"].alias("table_seg"), h["row_pos"].alias("row_pos"), "seg",
+                         F.regexp_replace("body", "\\s*\\n\\s*", "<br>").alias("md"),
+                         F.trim(F.regexp_replace("plain", "[ \\t\\r\\n\\f]+", " ")).alias("pl"),
+                         h["is_th"].alias("is_th"), (h["in_sec"] & (h["sec"] == "thead")).alias("in_thead"))
+    rows = (cells.groupBy("doc_id", "table_seg", "row_pos").agg(
+        F.array_sort(F.collect_list(F.struct("seg", "md", "pl"))).alias("cs"),
+        F.bool_and("is_th").alias("all_th"), F.bool_or("in_thead").alias("in_thead")))
+    rows = rows.select("doc_id", "table_seg", "row_pos", "all_th", "in_thead", F.size("cs").alias("n"),
+                       F.concat(F.lit("| "), F.array_join(F.transform("cs", lambda c: c["md"]), " | "), F.lit(" |"))
+                        .alias("line"),
+                       F.concat(F.lit("| "), F.array_join(F.transform("cs", lambda c: c["pl"]), " | "), F.lit(" |"))
+                        .alias("line_plain"))
+    t = rows.groupBy("doc_id", "table_seg").agg(
+        F.array_sort(F.collect_list(F.struct("row_pos", "line", "line_plain", "n", "all_th"))).alias("rs"),
+        F.bool_or("in_thead").alias("has_thead"))
+    first = F.col("rs")[0]
+    has_header = F.col("has_thead") | first["all_th"]
+    border = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), first["n"]), " | "), F.lit(" |"))
+    rest = F.array_join(F.transform(F.slice("rs", 2, F.greatest(F.size("rs") - 1, F.lit(1))), lambda r: r["line"]),
+                        "\n")
+    md = F.concat(F.when(has_header, first["line"]).otherwise(first["line_plain"]), F.lit("\n"), border,
+                  F.when(F.size("rs") > 1, F.concat(F.lit("\n"), rest)).otherwise(F.lit("")))
+    return t.select("doc_id", F.col("table_seg").alias("seg"), md.alias("block"), F.lit(False).alias("is_li"))
+
+
 def render_markdown(nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """K1-K18 over sanitized nodes with spans and tree (``with_spans`` + ``with_tree``).
 
@@ -129,7 +160,14 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None) -> DataFram
 
     n = (n.withColumn("_code_run", running_inside("code"))
           .withColumn("_li_run", running_inside("li"))
-          .withColumn("_bq_run", running_inside("blockquote")))
+          .withColumn("_bq_run", running_inside("blockquote"))
+          .withColumn("_tab_run", running_inside("table"))
+          .withColumn("_sec_run", F.sum(F.when(tag.isin("thead", "tbody", "tfoot") & mo, 1)
+                                        .when(tag.isin("thead", "tbody", "tfoot") & mc, -1).otherwise(0)).over(running()))
+          .withColumn("_sec", F.last(F.when(tag.isin("thead", "tbody", "tfoot") & mo, tag), ignorenulls=True)
+                      .over(running()))
+          .withColumn("_table_seg", F.last(F.when((tag == "table") & mo, F.col("seg")), ignorenulls=True)
+                      .over(running())))
     prev_break = F.coalesce(F.lag(F.col("_bnd") | F.col("_field") | ((kind == "void") & (tag == "br"))).over(w_doc()),
                             F.lit(True))
 
@@ -156,6 +194,8 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None) -> DataFram
              .when(F.col("_mark").isNotNull() & (kind == "open"), mark_piece(OPENERS))
              .when(F.col("_mark").isNotNull() & (kind == "close") & close_in_seg, mark_piece(CLOSERS))
              .otherwise(F.lit("")))
+    if "before" in nodes.columns:     # text inserted by a repair (E7 names) precedes the token's own piece
+        piece = F.concat(F.coalesce(md_escape(collapse_ws(F.col("before"))), F.lit("")), piece)
     n = n.withColumn("_piece", piece)
     dangling = (kind == "open") & ~open_closes_in_seg
 
@@ -174,11 +214,21 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None) -> DataFram
         F.greatest(F.col("_li_run") - F.when(li_open & F.col("matched"), 1).otherwise(0), F.lit(0))
          .alias("li_depth"),
         F.greatest(F.col("_bq_run"), F.lit(0)).alias("bq"),
-        ((kind == "void") & (tag == "hr")).alias("hr")))
+        ((kind == "void") & (tag == "hr")).alias("hr"),
+        # table context: the table's own segment, cells (with their row), anything else inside a table
+        ((tag == "table") & mo).alias("table"),
+        ((F.col("_tab_run") > 0) & ~((tag == "table") & mo)).alias("in_table"),
+        (tag.isin("td", "th") & (kind == "open")).alias("cell"),
+        (tag == "th").alias("is_th"),
+        F.col("parent_pos").alias("row_pos"),
+        (F.col("_sec_run") > 0).alias("in_sec"), F.col("_sec").alias("sec"),
+        F.col("_table_seg").alias("table_seg")))
     n = n.withColumn("_head", head)
 
     segs = (n.groupBy("doc_id", "seg").agg(
         ordered_concat(F.col("pos"), F.col("_piece")).alias("raw"),
+        ordered_concat(F.col("pos"), F.when(kind == "text", md_escape(collapse_ws(F.col("text"))))
+                       .otherwise(F.lit(""))).alias("plain"),
         F.max("_head").alias("head"),
         F.sum(F.when(dangling & (F.col("_mark") == "e"), 1).otherwise(0)).alias("n_e"),
         F.sum(F.when(dangling & (F.col("_mark") == "s"), 1).otherwise(0)).alias("n_s"),
@@ -205,7 +255,10 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None) -> DataFram
     body = F.when(F.coalesce(h["bq"], F.lit(0)) > 0, prefix_lines(body, F.repeat(F.lit("> "), h["bq"]))) \
             .otherwise(body)
     segs = segs.withColumn("block", body).withColumn("is_li", F.coalesce(is_li, F.lit(False)))
-    segs = segs.filter((F.col("body") != "") | F.coalesce(h["hr"], F.lit(False)))
+    tables = _tables(segs)
+    in_tab = F.coalesce(h["in_table"], F.lit(False)) | F.coalesce(h["table"], F.lit(False))
+    segs = segs.filter(~in_tab & ((F.col("body") != "") | F.coalesce(h["hr"], F.lit(False))))
+    segs = segs.select("doc_id", "seg", "block", "is_li").unionByName(tables)
 
     w = Window.partitionBy("doc_id").orderBy("seg")
     sep = F.when(F.col("is_li") & F.coalesce(F.lag("is_li").over(w), F.lit(False)), F.lit("\n")).otherwise("\n\n")

@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from . import q_cells, q_markdown, q_nodes, q_payloads, q_repair  # noqa: F401
+from . import q_cells, q_markdown, q_nodes, q_payloads, q_repair, q_tables  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -188,9 +188,11 @@ def tree_ctes(inp: str, p: str) -> str:
 {p}_tree AS (SELECT * EXCLUDE (role, k) FROM {p}_t3 WHERE role = 0)"""
 
 
-def render_md_ctes(tree: str, docs: str, prefix: str = "m") -> tuple[str, str]:
-    """CTEs rendering Markdown from a node tree; ``docs(doc_id)`` lists every document. Returns (ctes, name)."""
+def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False) -> tuple[str, str]:
+    """CTEs rendering Markdown from a node tree; ``docs(doc_id)`` lists every document. Returns (ctes, name).
+    ``before``: the tree carries text inserted by repairs, rendered ahead of its token."""
     p = prefix
+    before_piece = f"coalesce({md_escape(rx('before', '[ \\t\\r\\n\\f]+', ' '))}, '') || " if before else ""
     href_open = f"(tag = 'a' AND kind = 'open' AND matched AND {attr('attrs', 'href')} <> '')"
     href_close = f"(tag = 'a' AND kind = 'close' AND matched AND {attr('opener_attrs', 'href')} <> '')"
     block = f"(kind IN ('open', 'close', 'void') AND tag IN {in_list(N.RENDER_BLOCK_TAGS)})"
@@ -235,6 +237,12 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m") -> tuple[str, str]:
     first_value(CASE WHEN bnd THEN pos END IGNORE NULLS)
       OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_bnd,
     {run_inside('code')} AS code_run, {run_inside('li')} AS li_run, {run_inside('blockquote')} AS bq_run,
+    {run_inside('table')} AS tab_run,
+    sum(CASE WHEN tag IN ('thead', 'tbody', 'tfoot') AND kind = 'open' AND matched THEN 1
+             WHEN tag IN ('thead', 'tbody', 'tfoot') AND kind = 'close' AND matched THEN -1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS sec_run,
+    last_value(CASE WHEN tag IN ('thead', 'tbody', 'tfoot') AND kind = 'open' AND matched THEN tag END IGNORE NULLS)
+      OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS sec0,
     coalesce(lag(bnd OR fld OR (kind = 'void' AND tag = 'br')) OVER (PARTITION BY doc_id ORDER BY pos), true)
       AS prev_break,
     {mark} AS mk
@@ -242,7 +250,7 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m") -> tuple[str, str]:
 ),
 {p}_r4 AS (
   SELECT *,
-    CASE WHEN kind = 'text' THEN (CASE WHEN code_run > 0 THEN {text} ELSE {md_escape(text)} END)
+    {before_piece}CASE WHEN kind = 'text' THEN (CASE WHEN code_run > 0 THEN {text} ELSE {md_escape(text)} END)
          WHEN fld THEN {q(R.FIELD)}
          WHEN bnd THEN ''
          WHEN kind = 'void' AND tag = 'br' THEN {q(R.BR)}
@@ -256,7 +264,9 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m") -> tuple[str, str]:
     kind = 'open' AND NOT (matched AND (next_bnd IS NULL OR end_pos < next_bnd)) AS dangling,
     CASE WHEN tag = 'li' AND kind = 'open' THEN
       sum(CASE WHEN tag = 'li' AND kind = 'open' THEN 1 ELSE 0 END)
-        OVER (PARTITION BY doc_id, parent_pos ORDER BY pos {RUN}) END AS li_idx
+        OVER (PARTITION BY doc_id, parent_pos ORDER BY pos {RUN}) END AS li_idx,
+    last_value(CASE WHEN tag = 'table' AND kind = 'open' AND matched THEN seg END IGNORE NULLS)
+      OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS table_seg0
   FROM {p}_r3
 ),
 {p}_r5 AS (
@@ -268,11 +278,23 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m") -> tuple[str, str]:
     CASE WHEN bnd THEN greatest(li_run - CASE WHEN tag = 'li' AND kind = 'open' AND matched THEN 1 ELSE 0 END, 0)
       END AS li_depth,
     CASE WHEN bnd THEN greatest(bq_run, 0) END AS bq,
-    CASE WHEN bnd THEN kind = 'void' AND tag = 'hr' END AS hr
+    CASE WHEN bnd THEN kind = 'void' AND tag = 'hr' END AS hr,
+    CASE WHEN bnd THEN tag = 'table' AND kind = 'open' AND matched END AS tab,
+    CASE WHEN bnd THEN tab_run > 0 AND NOT (tag = 'table' AND kind = 'open' AND matched) END AS in_table,
+    CASE WHEN bnd THEN tag IN ('td', 'th') AND kind = 'open' END AS cell,
+    CASE WHEN bnd THEN tag = 'th' END AS is_th,
+    CASE WHEN bnd THEN parent_pos END AS row_pos,
+    CASE WHEN bnd THEN sec_run > 0 END AS in_sec,
+    CASE WHEN bnd THEN sec0 END AS sec,
+    CASE WHEN bnd THEN table_seg0 END AS table_seg
   FROM {p}_r4
 ),
 {p}_seg AS (
   SELECT doc_id, seg, string_agg(piece, '' ORDER BY pos) AS raw,
+         string_agg(CASE WHEN kind = 'text' THEN {md_escape(rx('text', '[ \\t\\r\\n\\f]+', ' '))} ELSE '' END, ''
+                    ORDER BY pos) AS plain,
+         bool_or(tab) AS tab, bool_or(in_table) AS in_table, bool_or(cell) AS cell, bool_or(is_th) AS is_th,
+         max(row_pos) AS row_pos, bool_or(in_sec) AS in_sec, max(sec) AS sec, max(table_seg) AS table_seg,
          max(heading) AS heading, max(li) AS li, max(li_depth) AS li_depth, max(bq) AS bq,
          coalesce(bool_or(hr), false) AS hr,
          CAST(sum(CASE WHEN dangling AND mk = 'e' THEN 1 ELSE 0 END) AS BIGINT) AS n_e,
@@ -296,11 +318,37 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m") -> tuple[str, str]:
                  ELSE b1 END AS b2
   FROM {p}_seg3
 ),
+{p}_cells AS (
+  SELECT doc_id, table_seg, row_pos, seg, regexp_replace(body0, '\\s*\\n\\s*', '<br>', 'g') AS md,
+         trim(regexp_replace(plain, '[ \\t\\r\\n\\f]+', ' ', 'g')) AS pl, is_th,
+         coalesce(in_sec AND sec = 'thead', false) AS in_thead
+  FROM {p}_seg2 WHERE coalesce(cell, false) AND coalesce(in_table, false)
+),
+{p}_rows AS (
+  SELECT doc_id, table_seg, row_pos, bool_and(is_th) AS all_th, bool_or(in_thead) AS in_thead, count(*) AS n,
+         '| ' || string_agg(md, ' | ' ORDER BY seg) || ' |' AS line,
+         '| ' || string_agg(pl, ' | ' ORDER BY seg) || ' |' AS line_plain
+  FROM {p}_cells GROUP BY doc_id, table_seg, row_pos
+),
+{p}_rows2 AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, table_seg ORDER BY row_pos) AS rn,
+         bool_or(in_thead) OVER (PARTITION BY doc_id, table_seg) AS has_thead FROM {p}_rows
+),
+{p}_tabs AS (
+  SELECT doc_id, table_seg AS seg,
+    max(CASE WHEN rn = 1 THEN (CASE WHEN has_thead OR all_th THEN line ELSE line_plain END) END) || chr(10) ||
+    '| ' || array_to_string(repeat(['---'], CAST(max(CASE WHEN rn = 1 THEN n END) AS BIGINT)), ' | ') || ' |' ||
+    CASE WHEN count(*) > 1 THEN chr(10) || string_agg(line, chr(10) ORDER BY row_pos) FILTER (WHERE rn > 1) ELSE '' END
+      AS block
+  FROM {p}_rows2 GROUP BY doc_id, table_seg
+),
 {p}_seg5 AS (
   SELECT doc_id, seg, li IS NOT NULL AS is_li,
     CASE WHEN coalesce(bq, 0) > 0 THEN repeat('> ', CAST(bq AS BIGINT)) || replace(b2, chr(10), chr(10) || repeat('> ', CAST(bq AS BIGINT)))
          ELSE b2 END AS block
-  FROM {p}_seg4 WHERE body0 <> '' OR hr
+  FROM {p}_seg4 WHERE (body0 <> '' OR hr) AND NOT (coalesce(in_table, false) OR coalesce(tab, false))
+  UNION ALL
+  SELECT doc_id, seg, false AS is_li, block FROM {p}_tabs
 ),
 {p}_seg6 AS (
   SELECT doc_id, seg,
