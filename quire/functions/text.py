@@ -68,7 +68,25 @@ def collapse_ws(c: Column) -> Column:
     return F.regexp_replace(c, "[ \\t\\r\\n\\f]+", " ")
 
 
+# The unanchored escapes (backslash, *, `, [, ], _) only ever insert a backslash before one character, and only
+# the first of them touches a backslash, so applying them in one pass equals applying them in table order. The
+# anchored ones (start of the text node) then run only when the node starts with one of their characters.
+_UNANCHORED = r"([\\*`\[\]_])"
+_ANCHORED = [(p, r) for p, r in MD_ESCAPES if p.startswith("^")]
+_ANCHORED_START = r"^([-+=#~>]|\d+\. )"
+
+
 def md_escape(c: Column) -> Column:
+    """The thirteen Markdown escapes, same result as applying the table in order."""
+    c = F.regexp_replace(c, _UNANCHORED, r"\\$1")
+    anchored = c
+    for pat, rep in _ANCHORED:
+        anchored = F.regexp_replace(anchored, pat, rep)
+    return F.when(c.rlike(_ANCHORED_START), anchored).otherwise(c)
+
+
+def md_escape_table(c: Column) -> Column:
+    """K11 applied literally, rule by rule (reference form; used by tests to check :func:`md_escape`)."""
     for pat, rep in MD_ESCAPES:
         c = F.regexp_replace(c, pat, rep)
     return c

@@ -155,16 +155,21 @@ def native_cells(tree: DataFrame) -> DataFrame:
          .withColumn("cell_pos", F.last(F.when(is_cell & mo, F.col("pos")), ignorenulls=True).over(running()))
          .withColumn("_sec_depth", F.sum(F.when(is_sec & mo, 1).when(is_sec & mc, -1).otherwise(0)).over(running()))
          .withColumn("_sec", F.last(F.when(is_sec & mo, tag), ignorenulls=True).over(running())))
-    texts = (n.filter((kind == "text") & (F.col("_cell_depth") > 0))
-              .groupBy("doc_id", "cell_pos").agg(ordered_concat(F.col("pos"), F.col("text")).alias("text")))
-    cells = n.filter(is_cell & mo).select(
-        "doc_id", "table_pos", F.col("pos").alias("cell_pos"), F.col("parent_pos").alias("row_pos"),
-        F.when(F.col("_sec_depth") > 0, F.col("_sec")).otherwise(F.lit("table")).alias("section"),
-        (tag == "th").alias("is_header"))
+    # one aggregate per cell gathers its text tokens and the opener's own facts: no self-join, so the token
+    # pipeline above runs once
+    opener = is_cell & mo
+    member = opener | ((kind == "text") & (F.col("_cell_depth") > 0))
+    cells = (n.filter(member).groupBy("doc_id", "cell_pos").agg(
+        ordered_concat(F.col("pos"), F.when(kind == "text", F.col("text"))).alias("text"),
+        F.max(F.when(opener, F.struct(
+            F.col("table_pos").alias("table_pos"), F.col("parent_pos").alias("row_pos"),
+            F.when(F.col("_sec_depth") > 0, F.col("_sec")).otherwise(F.lit("table")).alias("section"),
+            (tag == "th").alias("is_header")))).alias("o"))
+        .filter(F.col("o").isNotNull())
+        .select("doc_id", "cell_pos", "text", "o.table_pos", "o.row_pos", "o.section", "o.is_header"))
     w_doc_t = Window.partitionBy("doc_id").orderBy("table_pos")
     w_tab = Window.partitionBy("doc_id", "table_pos").orderBy("row_pos")
     w_row = Window.partitionBy("doc_id", "table_pos", "row_pos").orderBy("cell_pos")
-    cells = cells.join(texts, ["doc_id", "cell_pos"], "left")
     return cells.select(
         "doc_id", (F.dense_rank().over(w_doc_t) - 1).alias("table_no"), "table_pos",
         (F.dense_rank().over(w_tab) - 1).alias("r"), (F.row_number().over(w_row) - 1).alias("c"),

@@ -70,7 +70,12 @@ FINISH = [
 
 
 def finish(c: Column) -> Column:
-    for pat, rep in FINISH:
+    # the first three rules only concern link fields; skip them for segments without a field marker
+    fields = c
+    for pat, rep in FINISH[:3]:
+        fields = F.regexp_replace(fields, pat, rep)
+    c = F.when(F.instr(c, FIELD) > 0, fields).otherwise(c)
+    for pat, rep in FINISH[3:]:
         c = F.regexp_replace(c, pat, rep)
     return c
 
@@ -99,27 +104,40 @@ def _image() -> Column:
     return F.when(src != "", F.concat(F.lit("!["), alt, F.lit("]("), src, title_part, F.lit(")"))).otherwise("")
 
 
-def _tables(segs: DataFrame) -> DataFrame:
-    """K12/K13 + E5: GFM tables assembled from the cell segments - one aggregate per row, one per table - and
-    placed at the table's own segment. A table without a header row (no ``thead``, first row not all ``th``)
-    gets its first row promoted as plain text (inline markup lost, as in the reference)."""
+def _blocks(segs: DataFrame) -> DataFrame:
+    """Segments -> blocks ``(doc_id, seg, block, is_li)`` in one linear flow (no branch re-reads the input).
+
+    Ordinary segments pass through two aggregates as one-row groups; table cells group into rows (level 1) and
+    rows into the table block placed at the table's own segment (level 2) - K12/K13 with E5: a table without a
+    header row (no ``thead``, first row not all ``th``) gets its first row promoted as plain text (inline markup
+    lost, as in the reference)."""
     h = F.col("head")
-    cells = segs.filter(F.coalesce(h["cell"], F.lit(False)) & F.coalesce(h["in_table"], F.lit(False)))
-    cells = cells.select("doc_id", h["table_seg"].alias("table_seg"), h["row_pos"].alias("row_pos"), "seg",
-                         F.regexp_replace("body", "\\s*\\n\\s*", "<br>").alias("md"),
-                         F.trim(F.regexp_replace("plain", "[ \\t\\r\\n\\f]+", " ")).alias("pl"),
-                         h["is_th"].alias("is_th"), (h["in_sec"] & (h["sec"] == "thead")).alias("in_thead"))
-    rows = (cells.groupBy("doc_id", "table_seg", "row_pos").agg(
+    is_cell = F.coalesce(h["cell"] & h["in_table"], F.lit(False))
+    in_tab = F.coalesce(h["in_table"], F.lit(False)) | F.coalesce(h["table"], F.lit(False))
+    keep = is_cell | (~in_tab & ((F.col("body") != "") | F.coalesce(h["hr"], F.lit(False))))
+    x = segs.filter(keep).select(
+        "doc_id", is_cell.alias("is_cell"),
+        F.when(is_cell, h["table_seg"]).otherwise(F.col("seg")).alias("k1"),
+        F.when(is_cell, h["row_pos"]).otherwise(F.lit(-1)).alias("k2"),
+        "seg", "block", "is_li",
+        F.when(is_cell, F.regexp_replace("body", "\\s*\\n\\s*", "<br>")).alias("md"),
+        F.when(is_cell, F.trim(F.regexp_replace("plain", "[ \\t\\r\\n\\f]+", " "))).alias("pl"),
+        F.coalesce(h["is_th"], F.lit(False)).alias("is_th"),
+        F.coalesce(h["in_sec"] & (h["sec"] == "thead"), F.lit(False)).alias("in_thead"))
+    rows = x.groupBy("doc_id", "is_cell", "k1", "k2").agg(
         F.array_sort(F.collect_list(F.struct("seg", "md", "pl"))).alias("cs"),
-        F.bool_and("is_th").alias("all_th"), F.bool_or("in_thead").alias("in_thead")))
-    rows = rows.select("doc_id", "table_seg", "row_pos", "all_th", "in_thead", F.size("cs").alias("n"),
+        F.bool_and("is_th").alias("all_th"), F.bool_or("in_thead").alias("in_thead"),
+        F.max("block").alias("block"), F.max("is_li").alias("is_li"))
+    rows = rows.select("doc_id", "is_cell", "k1", "k2", "all_th", "in_thead", "block", "is_li",
+                       F.size("cs").alias("n"),
                        F.concat(F.lit("| "), F.array_join(F.transform("cs", lambda c: c["md"]), " | "), F.lit(" |"))
                         .alias("line"),
                        F.concat(F.lit("| "), F.array_join(F.transform("cs", lambda c: c["pl"]), " | "), F.lit(" |"))
                         .alias("line_plain"))
-    t = rows.groupBy("doc_id", "table_seg").agg(
-        F.array_sort(F.collect_list(F.struct("row_pos", "line", "line_plain", "n", "all_th"))).alias("rs"),
-        F.bool_or("in_thead").alias("has_thead"))
+    t = rows.groupBy("doc_id", "is_cell", "k1").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("k2").alias("row_pos"), "line", "line_plain", "n", "all_th")))
+         .alias("rs"),
+        F.bool_or("in_thead").alias("has_thead"), F.max("block").alias("block"), F.max("is_li").alias("is_li"))
     first = F.col("rs")[0]
     has_header = F.col("has_thead") | first["all_th"]
     border = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), first["n"]), " | "), F.lit(" |"))
@@ -127,7 +145,9 @@ def _tables(segs: DataFrame) -> DataFrame:
                         "\n")
     md = F.concat(F.when(has_header, first["line"]).otherwise(first["line_plain"]), F.lit("\n"), border,
                   F.when(F.size("rs") > 1, F.concat(F.lit("\n"), rest)).otherwise(F.lit("")))
-    return t.select("doc_id", F.col("table_seg").alias("seg"), md.alias("block"), F.lit(False).alias("is_li"))
+    return t.select("doc_id", F.col("k1").alias("seg"),
+                    F.when(F.col("is_cell"), md).otherwise(F.col("block")).alias("block"),
+                    F.when(F.col("is_cell"), F.lit(False)).otherwise(F.col("is_li")).alias("is_li"))
 
 
 def render_markdown(nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame:
@@ -227,8 +247,9 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None) -> DataFram
 
     segs = (n.groupBy("doc_id", "seg").agg(
         ordered_concat(F.col("pos"), F.col("_piece")).alias("raw"),
-        ordered_concat(F.col("pos"), F.when(kind == "text", md_escape(collapse_ws(F.col("text"))))
-                       .otherwise(F.lit(""))).alias("plain"),
+        # plain text is only needed for table cells (promoted headers)
+        ordered_concat(F.col("pos"), F.when((kind == "text") & (F.col("_tab_run") > 0),
+                                            md_escape(collapse_ws(F.col("text")))).otherwise(F.lit(""))).alias("plain"),
         F.max("_head").alias("head"),
         F.sum(F.when(dangling & (F.col("_mark") == "e"), 1).otherwise(0)).alias("n_e"),
         F.sum(F.when(dangling & (F.col("_mark") == "s"), 1).otherwise(0)).alias("n_s"),
@@ -255,10 +276,7 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None) -> DataFram
     body = F.when(F.coalesce(h["bq"], F.lit(0)) > 0, prefix_lines(body, F.repeat(F.lit("> "), h["bq"]))) \
             .otherwise(body)
     segs = segs.withColumn("block", body).withColumn("is_li", F.coalesce(is_li, F.lit(False)))
-    tables = _tables(segs)
-    in_tab = F.coalesce(h["in_table"], F.lit(False)) | F.coalesce(h["table"], F.lit(False))
-    segs = segs.filter(~in_tab & ((F.col("body") != "") | F.coalesce(h["hr"], F.lit(False))))
-    segs = segs.select("doc_id", "seg", "block", "is_li").unionByName(tables)
+    segs = _blocks(segs)
 
     w = Window.partitionBy("doc_id").orderBy("seg")
     sep = F.when(F.col("is_li") & F.coalesce(F.lag("is_li").over(w), F.lit(False)), F.lit("\n")).otherwise("\n\n")

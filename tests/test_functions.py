@@ -83,6 +83,13 @@ def test_escape_order(one):
     assert one(md_escape(F.col("x")), x="a | b") == "a | b"
 
 
+@pytest.mark.parametrize("x", ["- *a* [b] _c_ `d` \\", "1. item", "## h", "+ plus", "=== x", "~~~ y", "> q",
+                               "\\*-_", "12. a_b", "#nospace", "-", "", "a\\b*c"])
+def test_escape_fast_path_equals_table(one, x):
+    from quire.functions.text import md_escape_table
+    assert one(md_escape(F.col("x")), x=x) == one(md_escape_table(F.col("x")), x=x)
+
+
 def test_redact_and_normalize(one):
     assert one(redact_base64(F.col("x")), x='<img src="data:image/png;base64,AAAA==">') == \
         '<img src="data:image/png;base64,[IMAGE_BINARY]">'
