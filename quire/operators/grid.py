@@ -174,3 +174,136 @@ def native_cells(tree: DataFrame) -> DataFrame:
         "doc_id", (F.dense_rank().over(w_doc_t) - 1).alias("table_no"), "table_pos",
         (F.dense_rank().over(w_tab) - 1).alias("r"), (F.row_number().over(w_row) - 1).alias("c"),
         "section", "is_header", F.trim(F.coalesce("text", F.lit(""))).alias("text"), "cell_pos")
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# ARIA grids
+#
+# Fixed values that must equal the reference for equal results.
+ARIA_ROOT_ROLES = ["table", "grid", "treegrid"]
+ARIA_GRID_CELL_ROLES = ["cell", "gridcell", "columnheader", "rowheader"]
+ARIA_SELECTED_CELL_ROLES = ["cell", "gridcell", "columnheader", "rowheader"]
+ARIA_CSS_SELECTED_ROLES = ["cell", "gridcell"]
+PREVIEW_STRATEGIES = ["aria-selected", "css-class"]
+# ---------------------------------------------------------------------------------------------------------------
+
+
+def element_texts(tree: DataFrame, is_el: Column, carry: dict) -> DataFrame:
+    """One row per matched element satisfying ``is_el``: its trimmed ``textContent`` plus ``carry`` columns
+    evaluated at the opener. Text is credited to the innermost open element (running depth), so one aggregate
+    per element replaces an interval join."""
+    from ..functions.text import js_trim
+    from .nodes import ordered_concat, running
+    kind = F.col("kind")
+    mo = (kind == "open") & F.col("matched")
+    mc = (kind == "close") & F.col("matched")
+    n = (tree.withColumn("_d", F.sum(F.when(is_el & mo, 1).when(is_el & mc, -1).otherwise(0)).over(running()))
+             .withColumn("el_pos", F.last(F.when(is_el & mo, F.col("pos")), ignorenulls=True).over(running())))
+    opener = is_el & mo
+    member = opener | ((kind == "text") & (F.col("_d") > 0))
+    agg = (n.filter(member).groupBy("doc_id", "el_pos").agg(
+        ordered_concat(F.col("pos"), F.when(kind == "text", F.col("text"))).alias("text"),
+        F.max(F.when(opener, F.struct(*[c.alias(k) for k, c in carry.items()]))).alias("o")))
+    return (agg.filter(F.col("o").isNotNull())
+               .select("doc_id", "el_pos", js_trim(F.col("text")).alias("text"),
+                       *[F.col("o")[k].alias(k) for k in carry]))
+
+
+def _role() -> Column:
+    return F.coalesce(F.col("attrs")["role"], F.lit(""))
+
+
+def aria_cells(tree: DataFrame) -> DataFrame:
+    """Cells of ARIA roots (``table``/``grid``/``treegrid``): rows are ``role=row`` or ``tr`` inside a root,
+    cells carry a cell role (``rowheader`` included, unlike E3); header = ``columnheader`` or ``th``;
+    ``selected`` = ``aria-selected="true"``. Needs ``with_tree``."""
+    from .nodes import running
+    kind, tag = F.col("kind"), F.col("tag")
+    mo = (kind == "open") & F.col("matched")
+    mc = (kind == "close") & F.col("matched")
+    is_root = _role().isin(ARIA_ROOT_ROLES)
+    is_row = (_role() == "row") | (tag == "tr")
+    n = (tree
+         .withColumn("_rd", F.sum(F.when(is_root & mo, 1).when(is_root & mc, -1).otherwise(0)).over(running()))
+         .withColumn("root_pos", F.last(F.when(is_root & mo, F.col("pos")), ignorenulls=True).over(running()))
+         .withColumn("_wd", F.sum(F.when(is_row & mo, 1).when(is_row & mc, -1).otherwise(0)).over(running()))
+         .withColumn("row_pos", F.last(F.when(is_row & mo, F.col("pos")), ignorenulls=True).over(running())))
+    is_cell = _role().isin(ARIA_GRID_CELL_ROLES) & (F.col("_rd") > 0) & (F.col("_wd") > 0)
+    cells = element_texts(n, is_cell, {
+        "root_pos": F.col("root_pos"), "row_pos": F.col("row_pos"),
+        "is_header": (_role() == "columnheader") | (tag == "th"),
+        "selected": F.coalesce(F.col("attrs")["aria-selected"] == "true", F.lit(False)),
+        "data_row": F.col("attrs")["data-row"], "data_col": F.col("attrs")["data-col"]})
+    w_doc_t = Window.partitionBy("doc_id").orderBy("root_pos")
+    w_tab = Window.partitionBy("doc_id", "root_pos").orderBy("row_pos")
+    w_row = Window.partitionBy("doc_id", "root_pos", "row_pos").orderBy("el_pos")
+    return cells.select(
+        "doc_id", (F.dense_rank().over(w_doc_t) - 1).cast("int").alias("table_no"),
+        (F.dense_rank().over(w_tab) - 1).cast("int").alias("r"),
+        (F.row_number().over(w_row) - 1).cast("int").alias("c"),
+        F.when(F.col("is_header"), F.lit("thead")).otherwise(F.lit("tbody")).alias("section"),
+        "is_header", "text", "selected", F.lit("aria").alias("strategy"), "data_row", "data_col",
+        F.col("el_pos").alias("pos"))
+
+
+def selected_aria_cells(tree: DataFrame) -> DataFrame:
+    """The preview's selected cells: ``aria-selected="true"`` with a cell role (or td/th); when a document has
+    none, cells / gridcells whose class contains ``selected``. ``strategy`` says which rule found them."""
+    tag = F.col("tag")
+    sel = F.coalesce(F.col("attrs")["aria-selected"] == "true", F.lit(False))
+    by_aria = sel & (_role().isin(ARIA_SELECTED_CELL_ROLES) | tag.isin("td", "th"))
+    by_css = _role().isin(ARIA_CSS_SELECTED_ROLES) & F.coalesce(F.col("attrs")["class"].contains("selected"),
+                                                                F.lit(False))
+    cand = element_texts(tree, by_aria | by_css, {
+        "by_aria": by_aria, "is_header": (_role() == "columnheader") | (tag == "th"),
+        "data_row": F.col("attrs")["data-row"], "data_col": F.col("attrs")["data-col"]})
+    w = Window.partitionBy("doc_id")
+    cand = cand.withColumn("_any_aria", F.max(F.col("by_aria").cast("int")).over(w) == 1)
+    return (cand.filter(F.col("by_aria") | ~F.col("_any_aria"))
+                .withColumn("strategy", F.when(F.col("_any_aria"), F.lit(PREVIEW_STRATEGIES[0]))
+                            .otherwise(F.lit(PREVIEW_STRATEGIES[1])))
+                .drop("_any_aria", "by_aria").withColumnRenamed("el_pos", "pos"))
+
+
+def num(c: Column) -> Column:
+    """JavaScript ``Number()`` for ordering: NULL when not a number (sorts last, then by position)."""
+    return F.trim(c).try_cast("double")
+
+
+def coords_to_table(tree: DataFrame) -> DataFrame:
+    """E12 + F4 + I1 + J1: the preview table rebuilt from selected cells that carry ``data-row``/``data-col``:
+    rows by numeric ``data-row`` (default ``'0'``), cells by numeric ``data-col``, and the column headers of
+    the selected columns prepended as row 0. One pass over the tree finds both selected cells and headers; the
+    header filter is a window over ``(doc_id, data_col)`` instead of a semi-join."""
+    from .nodes import running  # noqa: F401
+    tag = F.col("tag")
+    sel = F.coalesce(F.col("attrs")["aria-selected"] == "true", F.lit(False))
+    by_aria = sel & (_role().isin(ARIA_SELECTED_CELL_ROLES) | tag.isin("td", "th"))
+    by_css = _role().isin(ARIA_CSS_SELECTED_ROLES) & F.coalesce(F.col("attrs")["class"].contains("selected"),
+                                                                F.lit(False))
+    is_head = _role() == "columnheader"
+    cand = element_texts(tree, by_aria | by_css | is_head, {
+        "by_aria": by_aria, "by_css": by_css & ~by_aria, "is_colhead": is_head,
+        "is_header": is_head | (tag == "th"),
+        "data_row": F.col("attrs")["data-row"], "data_col": F.col("attrs")["data-col"]})
+    wd = Window.partitionBy("doc_id")
+    cand = cand.withColumn("_any_aria", F.max(F.col("by_aria").cast("int")).over(wd) == 1)
+    cand = cand.withColumn("_sel", F.col("by_aria") | (F.col("by_css") & ~F.col("_any_aria")))
+    cand = cand.withColumn("_coords", F.max((F.col("_sel") & F.col("data_row").isNotNull()
+                                             & F.col("data_col").isNotNull()).cast("int")).over(wd) == 1)
+    cand = cand.withColumn("_col_sel", F.max(F.col("_sel").cast("int")).over(
+        Window.partitionBy("doc_id", "data_col")) == 1)
+    head = F.col("is_colhead") & F.col("_col_sel") & F.col("data_col").isNotNull()
+    x = cand.filter(F.col("_coords") & (F.col("_sel") | head))
+    x = x.withColumn("_hdr_row", head & ~F.col("_sel"))
+    x = x.withColumn("_has_hdr", F.max(F.col("_hdr_row").cast("int")).over(wd) == 1)
+    rk = F.when(F.col("_hdr_row"), F.lit(None)).otherwise(F.coalesce("data_row", F.lit("0")))
+    x = x.withColumn("_rk", rk)
+    r = F.dense_rank().over(Window.partitionBy("doc_id", "_hdr_row").orderBy(
+        F.asc_nulls_last(num(F.col("_rk"))), F.col("_rk")))
+    x = x.withColumn("r", F.when(F.col("_hdr_row"), F.lit(0))
+                     .otherwise(r - 1 + F.col("_has_hdr").cast("int")).cast("int"))
+    c = F.row_number().over(Window.partitionBy("doc_id", "r").orderBy(F.asc_nulls_last(num(F.col("data_col"))),
+                                                                      F.col("el_pos")))
+    return x.select("doc_id", "r", (c - 1).cast("int").alias("c"), "is_header", "text",
+                    F.col("data_row"), F.col("data_col"))

@@ -46,9 +46,10 @@ def fx3_aria_grids(spark: SparkSession, sf: str) -> DataFrame:
     is ``aria-selected``. One doc per nation."""
     s = load_table(spark, sf, "supplier", ["s_suppkey", "s_name", "s_nationkey"])
     sel = F.when(F.col("s_suppkey") % 3 == 0, F.lit(' aria-selected="true"')).otherwise(F.lit(""))
-    row = F.concat(F.lit('<div role="row" data-row="'), _s("s_suppkey"), F.lit('"><span role="gridcell" data-col="0"'),
-                   sel, F.lit(">"), _s("s_suppkey"), F.lit('</span><span role="gridcell" data-col="1"'), sel,
-                   F.lit(">"), F.col("s_name"), F.lit("</span></div>"))
+    dr = F.concat(F.lit(' data-row="'), _s("s_suppkey"), F.lit('"'))
+    row = F.concat(F.lit('<div role="row"'), dr, F.lit('><span role="gridcell"'), dr, F.lit(' data-col="0"'),
+                   sel, F.lit(">"), _s("s_suppkey"), F.lit('</span><span role="gridcell"'), dr, F.lit(' data-col="1"'),
+                   sel, F.lit(">"), F.col("s_name"), F.lit("</span></div>"))
     head = ('<div role="row"><span role="columnheader" data-col="0">key</span>'
             '<span role="columnheader" data-col="1">name</span></div>')
     return (s.groupBy(F.col("s_nationkey").cast("bigint").alias("doc_id"))
@@ -203,9 +204,9 @@ def _fx3():
     return f"""(SELECT CAST(s_nationkey AS BIGINT) AS doc_id,
   '<p>Suppliers of nation ' || CAST(s_nationkey AS VARCHAR) || '</p><div role="grid">' ||
   '<div role="row"><span role="columnheader" data-col="0">key</span><span role="columnheader" data-col="1">name</span></div>' ||
-  string_agg('<div role="row" data-row="' || s_suppkey || '"><span role="gridcell" data-col="0"' || {sel} || '>'
-             || s_suppkey || '</span><span role="gridcell" data-col="1"' || {sel} || '>' || s_name || '</span></div>',
-             '' ORDER BY s_suppkey) || '</div>' AS html
+  string_agg('<div role="row" data-row="' || s_suppkey || '"><span role="gridcell" data-row="' || s_suppkey ||
+             '" data-col="0"' || {sel} || '>' || s_suppkey || '</span><span role="gridcell" data-row="' || s_suppkey ||
+             '" data-col="1"' || {sel} || '>' || s_name || '</span></div>', '' ORDER BY s_suppkey) || '</div>' AS html
   FROM supplier GROUP BY s_nationkey)"""
 
 
