@@ -40,3 +40,38 @@ def stale_check(selected: Column, clip: Column, is_table: Column) -> Column:
     stale = checked & (count < needed) & (F.size(check) > 0)
     return F.struct(checked.alias("checked"), F.when(checked, count).alias("match_count"),
                     F.when(checked, needed).alias("needed"), stale.alias("is_stale"))
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# D15 / F8 canonical HTML
+
+# Transport artefacts absorbed by the comparison (fixed values).
+CANONICAL_DROP_TAGS = ["meta", "base"]
+CANONICAL_UNWRAP_TAGS = ["tbody"]
+TABLE_STRUCTURE = ["table", "thead", "tbody", "tfoot", "tr"]
+
+
+def canonical_html(payloads, html_col: str = "html"):
+    """``(doc_id, canonical)`` - comments (tokenizer), ``meta``/``base`` and ``tbody`` tags dropped,
+    whitespace-only text directly inside table structure dropped, re-serialized and trimmed."""
+    from pyspark.sql import functions as F
+    from .nodes import to_nodes, with_spans, with_tree
+    from .render_html import to_html
+    from .repair import blank_text
+    n = to_nodes(payloads, "doc_id", html_col)
+    n = n.filter(~F.coalesce(F.col("tag").isin(CANONICAL_DROP_TAGS + CANONICAL_UNWRAP_TAGS), F.lit(False)))
+    t = with_tree(with_spans(n))
+    t = t.filter(~(blank_text() & F.coalesce(F.col("parent_tag").isin(TABLE_STRUCTURE), F.lit(False))))
+    out = to_html(t, payloads, "canonical")
+    return out.withColumn("canonical", F.trim(F.regexp_replace("canonical", "^\\\\s+|\\\\s+$", "")))
+
+
+def same_entry(pairs, left: str = "left_html", right: str = "right_html"):
+    """F8: are two payloads the same entry? Both sides become rows of one relation (``doc_id * 2 + side``), so
+    one canonicalisation pass and one aggregate decide every pair - no join of the two sides."""
+    from pyspark.sql import functions as F
+    both = pairs.select((F.col("doc_id") * 2).alias("doc_id"), F.col(left).alias("html")).unionByName(
+        pairs.select((F.col("doc_id") * 2 + 1).alias("doc_id"), F.col(right).alias("html")))
+    c = canonical_html(both)
+    return (c.groupBy(F.floor(F.col("doc_id") / 2).alias("doc_id"))
+             .agg((F.countDistinct(F.sha2("canonical", 256)) == 1).alias("same")))
