@@ -307,3 +307,86 @@ def coords_to_table(tree: DataFrame) -> DataFrame:
                                                                       F.col("el_pos")))
     return x.select("doc_id", "r", (c - 1).cast("int").alias("c"), "is_header", "text",
                     F.col("data_row"), F.col("data_col"))
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# F1 selection overlap, E3 ARIA rows -> table, B7/B8 grid renderings
+
+ARIA_ROW_CELL_ROLES = ["cell", "columnheader", "gridcell"]   # E3 (no rowheader, unlike E9)
+
+
+def mark_selected(elements: DataFrame, selections: DataFrame) -> DataFrame:
+    """an element (``pos``..``end_pos``) is selected when it overlaps any selection range of its document.
+    Equi-join on ``doc_id`` with the overlap as residual predicate (hash / sort-merge join keyed by document,
+    never a nested loop), as a left-semi join; the rest get ``selected = false`` by a left-anti join."""
+    cond = ((elements.doc_id == selections.doc_id) & (elements.pos <= selections.end_pos)
+            & (elements.end_pos >= selections.start_pos))
+    hit = elements.join(selections, cond, "left_semi").withColumn("selected", F.lit(True))
+    miss = elements.join(selections, cond, "left_anti").withColumn("selected", F.lit(False))
+    return hit.unionByName(miss)
+
+
+def aria_row_cells(tree: DataFrame) -> DataFrame:
+    """E3 input: documents with ARIA rows and no ``<table>``; each ``role=row`` becomes a row whose cells are the
+    role cells inside it (``cell``/``columnheader``/``gridcell``), or - when it has none - its element children;
+    a row with a ``columnheader`` is a header row. Needs ``with_tree``."""
+    from .nodes import running
+    kind, tag = F.col("kind"), F.col("tag")
+    mo = (kind == "open") & F.col("matched")
+    mc = (kind == "close") & F.col("matched")
+    is_row = _role() == "row"
+    wd = Window.partitionBy("doc_id")
+    n = (tree.withColumn("_has_table", F.max(((tag == "table") & (kind == "open")).cast("int")).over(wd) == 1)
+             .withColumn("_has_rows", F.max((is_row & mo).cast("int")).over(wd) == 1)
+             .filter(F.col("_has_rows") & ~F.col("_has_table"))
+             .withColumn("_wd", F.sum(F.when(is_row & mo, 1).when(is_row & mc, -1).otherwise(0)).over(running()))
+             .withColumn("row_pos", F.last(F.when(is_row & mo, F.col("pos")), ignorenulls=True).over(running())))
+    role_cell = _role().isin(ARIA_ROW_CELL_ROLES) & (F.col("_wd") > 0)
+    n = n.withColumn("_row_has_cells", F.max(role_cell.cast("int")).over(Window.partitionBy("doc_id", "row_pos")) == 1)
+    child_cell = (F.col("_wd") > 0) & ~F.col("_row_has_cells") & (kind == "open") & F.col("matched") \
+        & (F.col("parent_pos") == F.col("row_pos"))
+    cells = element_texts(n, role_cell | child_cell, {
+        "row_pos": F.col("row_pos"), "is_header": _role() == "columnheader"})
+    w_row = Window.partitionBy("doc_id", "row_pos")
+    cells = cells.withColumn("header_row", F.max(F.col("is_header").cast("int")).over(w_row) == 1)
+    return cells.select("doc_id", "row_pos", "el_pos", "is_header", "header_row", "text")
+
+
+def esc_html(c: Column) -> Column:
+    c = F.replace(c, F.lit("&"), F.lit("&amp;"))
+    c = F.replace(c, F.lit("<"), F.lit("&lt;"))
+    c = F.replace(c, F.lit(">"), F.lit("&gt;"))
+    return F.replace(c, F.lit(" "), F.lit("&nbsp;"))
+
+
+def rows_to_table_html(cells: DataFrame, row_key: str, cell_key: str, header_row: str, header_cell: str,
+                       group: tuple = ("doc_id",)) -> DataFrame:
+    """Cells -> one ``<table>`` per ``group``: header rows (in order) in ``thead``, the rest in ``tbody``; header
+    cells as ``th``. One aggregate per row, one per table."""
+    group = list(group)
+    cell = F.concat(F.when(F.col(header_cell), F.lit("<th>")).otherwise(F.lit("<td>")), esc_html(F.col("text")),
+                    F.when(F.col(header_cell), F.lit("</th>")).otherwise(F.lit("</td>")))
+    rows = (cells.groupBy(*group, row_key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(cell_key).alias("k"), cell.alias("v")))),
+                                 lambda s: s["v"]), "").alias("tds"),
+        F.max(F.col(header_row).cast("int")).alias("hdr")))
+    tr = F.concat(F.lit("<tr>"), F.col("tds"), F.lit("</tr>"))
+    doc = rows.groupBy(*group).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("hdr") == 1, F.struct(
+            F.col(row_key).alias("k"), tr.alias("v"))))), lambda s: s["v"]), "").alias("head"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("hdr") == 0, F.struct(
+            F.col(row_key).alias("k"), tr.alias("v"))))), lambda s: s["v"]), "").alias("body"))
+    return doc.select(*group, F.concat(
+        F.lit("<table>"), F.when(F.col("head") != "", F.concat(F.lit("<thead>"), F.col("head"), F.lit("</thead>")))
+        .otherwise(F.lit("")), F.lit("<tbody>"), F.col("body"), F.lit("</tbody></table>")).alias("table_html"))
+
+
+def grid_markdown(grid: DataFrame) -> DataFrame:
+    """First grid table of each document as GFM (first row is the heading row; K12)."""
+    return cells_to_markdown(grid.filter(F.col("table_no") == 0)).select("doc_id", "markdown")
+
+
+def grid_simple_html(grid: DataFrame) -> DataFrame:
+    """First grid table as Simple HTML: the first row is the header row (promoted when the grid had none)."""
+    g = grid.filter(F.col("table_no") == 0).withColumn("_h", F.col("r") == 0)
+    return rows_to_table_html(g, "r", "c", "_h", "_h").withColumnRenamed("table_html", "simple_html")
