@@ -18,21 +18,19 @@ from quire.plans.catalog import QUERIES  # noqa: E402
 from quire.session import get_spark  # noqa: E402
 
 HEADLINE = [
-    "k_pages_to_markdown_blocks",
-    "g7_payload_metrics",
-    "c1_tokens",
-    "c2_spans",
-    "c7_subtree_text",
-    "b3_entries",
+    "k_pages_to_markdown_blocks",   # flagship: pages -> Markdown (C1-C3, D1-D3, K1-K18)
+    "c6_serialize",                 # pages -> sanitized HTML
+    "c7_subtree_text",              # interval text per element
+    "g7_payload_metrics",           # sizes, ratio, savings over the rendered pages
+    "b3_entries",                   # both equivalents of HTML payloads (repairs, naming, collapse, tables)
     "b1_route",
     "k21_tsv_markdown",
     "d6_style_audit",
     "f7_stale_check",
+    "f8_same_entry",
+    "e9_aria_cells",
     "e10_repair_grid",
     "k12_cells_markdown",
-    "e8_native_cells",
-    "d15_canonical",
-    "f8_same_entry",
 ]
 
 
