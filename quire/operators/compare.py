@@ -58,11 +58,11 @@ def canonical_html(payloads, html_col: str = "html"):
     from .nodes import to_nodes, with_spans, with_tree
     from .render_html import to_html
     from .repair import blank_text
-    n = to_nodes(payloads, "doc_id", html_col)
+    n = to_nodes(payloads, "doc_id", html_col, doc_marker=True)
     n = n.filter(~F.coalesce(F.col("tag").isin(CANONICAL_DROP_TAGS + CANONICAL_UNWRAP_TAGS), F.lit(False)))
     t = with_tree(with_spans(n))
     t = t.filter(~(blank_text() & F.coalesce(F.col("parent_tag").isin(TABLE_STRUCTURE), F.lit(False))))
-    out = to_html(t, payloads, "canonical")
+    out = to_html(t, out_col="canonical")
     return out.withColumn("canonical", F.trim(F.regexp_replace("canonical", "^\\\\s+|\\\\s+$", "")))
 
 

@@ -29,7 +29,7 @@ def respan(n: DataFrame) -> DataFrame:
 
 
 def source_nodes(payloads: DataFrame, html_col: str = "html") -> DataFrame:
-    n = to_nodes(payloads, "doc_id", html_col)
+    n = to_nodes(payloads, "doc_id", html_col, doc_marker=True)
     return n.withColumn("before", F.lit(None).cast("string"))
 
 
@@ -77,7 +77,7 @@ def markdown_nodes(payloads: DataFrame, html_col: str = "html") -> DataFrame:
 def to_markdown(payloads: DataFrame, html_col: str = "html") -> DataFrame:
     """``(doc_id, markdown)`` for every payload row."""
     from .render_md import render_markdown
-    return render_markdown(markdown_nodes(payloads, html_col), payloads)
+    return render_markdown(markdown_nodes(payloads, html_col))
 
 
 def blank_to_empty(c):
@@ -87,5 +87,5 @@ def blank_to_empty(c):
 
 def to_simple_html(payloads: DataFrame, html_col: str = "html", upto: str = "e6") -> DataFrame:
     """``(doc_id, simple_html)`` for every payload row."""
-    out = to_html(simple_html_nodes(payloads, html_col, upto), payloads, "simple_html")
+    out = to_html(simple_html_nodes(payloads, html_col, upto), out_col="simple_html")
     return out.withColumn("simple_html", blank_to_empty(F.col("simple_html")))

@@ -69,7 +69,7 @@ def clean_markup(html: Column) -> Column:
 
 
 def tokenize(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", partitions: int | None = None,
-             prepartitioned: bool = False) -> DataFrame:
+             prepartitioned: bool = False, doc_marker: bool = False) -> DataFrame:
     """C1 part 1: ``(doc_id, pos, tok)``.
 
     The payload rows are hash-partitioned by ``doc_id`` *before* exploding, so the exchange moves one row per
@@ -80,7 +80,12 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", part
     if not prepartitioned:
         d = d.repartition(partitions, "doc_id") if partitions else d.repartition("doc_id")
     toks = F.regexp_extract_all(clean_markup(F.col("html")), F.lit(TOKEN_RE), 0)
-    return d.select("doc_id", F.posexplode(toks).alias("pos", "tok"))
+    if not doc_marker:
+        return d.select("doc_id", F.posexplode(toks).alias("pos", "tok"))
+    # an empty token at position -1 marks the document itself, so a per-document result exists even when the
+    # document has nothing to render - no join back to the payloads is needed
+    toks = F.concat(F.array(F.lit("")), F.coalesce(toks, F.array().cast("array<string>")))
+    return d.select("doc_id", F.posexplode(toks).alias("pos", "tok")).withColumn("pos", F.col("pos") - 1)
 
 
 def _attrs(tok: Column) -> Column:
@@ -107,7 +112,8 @@ def classify(tokens: DataFrame) -> DataFrame:
     tok = F.col("tok")
     is_tag = (F.substring(tok, 1, 1) == "<") & (F.length(tok) > 1)
     tag = F.lower(F.regexp_extract(tok, TAG_NAME_RE, 1))
-    kind = (F.when(~is_tag, F.lit("text"))
+    kind = (F.when(tok == "", F.lit("doc"))
+            .when(~is_tag, F.lit("text"))
             .when(F.substring(tok, 1, 2) == "</", F.lit("close"))
             .when(tag.isin(VOID_TAGS), F.lit("void"))
             .otherwise(F.lit("open")))
@@ -117,7 +123,7 @@ def classify(tokens: DataFrame) -> DataFrame:
             .withColumn("attrs", F.when(F.col("kind").isin("open", "void"),
                                         F.when(tok.rlike(HAS_ATTRS_RE), _attrs(tok))
                                          .otherwise(F.create_map().cast("map<string,string>"))))
-            .withColumn("text", F.when(~is_tag, decode_entities(strip_markers(tok)))))
+            .withColumn("text", F.when(~is_tag & (tok != ""), decode_entities(strip_markers(tok)))))
 
 
 def to_nodes(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", **kw) -> DataFrame:

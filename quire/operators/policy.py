@@ -57,7 +57,7 @@ def apply_tag_policy(nodes: DataFrame, profile: str = "default") -> DataFrame:
     of a broadcast lookup; :func:`with_policy` is the join form for callers that need the flags as columns.
     """
     tags, _ = PROFILES[profile]
-    return nodes.filter((F.col("kind") == "text") | F.col("tag").isin(tags))
+    return nodes.filter(F.col("kind").isin("text", "doc") | F.col("tag").isin(tags))
 
 
 def with_policy(nodes: DataFrame, policy: DataFrame, profile: str = "default") -> DataFrame:

@@ -69,17 +69,26 @@ FINISH = [
 ]
 
 
-def finish(c: Column) -> Column:
-    # the first three rules only concern link fields; skip them for segments without a field marker
-    fields = c
-    for pat, rep in FINISH[:3]:
-        fields = F.regexp_replace(fields, pat, rep)
-    c = F.when(F.instr(c, FIELD) > 0, fields).otherwise(c)
-    for pat, rep in FINISH[3:]:
-        c = F.regexp_replace(c, pat, rep)
+MARKERS = "[\ue000-\ue00a]"
+# rules whose pattern is a plain literal run as ``replace`` (no regex)
+LITERAL_RULES = {(L_OPEN, "["), ("\u0001", "  \n")}
+
+
+def _apply(c: Column, rules) -> Column:
+    for pat, rep in rules:
+        c = F.replace(c, F.lit(pat), F.lit(rep)) if (pat, rep) in LITERAL_RULES else F.regexp_replace(c, pat, rep)
     return c
 
 
+def finish(c: Column) -> Column:
+    """The FINISH chain. Segments without any in-band marker (plain prose) take a two-step fast path that gives
+    the same result: collapse double spaces, trim."""
+    fields = _apply(c, FINISH[:3])      # link fields only
+    full = _apply(F.when(F.instr(c, FIELD) > 0, fields).otherwise(c), FINISH[3:])
+    plain = F.regexp_replace(F.regexp_replace(c, " {2,}", " "), "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")
+    return F.when(c.rlike(MARKERS), full).otherwise(plain)
+
+
 def _attr(name: str, src: str = "attrs") -> Column:
     return F.coalesce(F.col(src)[name], F.lit(""))
 
@@ -114,9 +123,10 @@ def _blocks(segs: DataFrame) -> DataFrame:
     h = F.col("head")
     is_cell = F.coalesce(h["cell"] & h["in_table"], F.lit(False))
     in_tab = F.coalesce(h["in_table"], F.lit(False)) | F.coalesce(h["table"], F.lit(False))
-    keep = is_cell | (~in_tab & ((F.col("body") != "") | F.coalesce(h["hr"], F.lit(False))))
-    x = segs.filter(keep).select(
-        "doc_id", is_cell.alias("is_cell"),
+    kept = (F.col("body") != "") | F.coalesce(h["hr"], F.lit(False))
+    # empty segments stay as placeholders (kept = false) so every document reaches the final aggregate
+    x = segs.filter(is_cell | ~in_tab).select(
+        "doc_id", is_cell.alias("is_cell"), (is_cell | kept).alias("kept"),
         F.when(is_cell, h["table_seg"]).otherwise(F.col("seg")).alias("k1"),
         F.when(is_cell, h["row_pos"]).otherwise(F.lit(-1)).alias("k2"),
         "seg", "block", "is_li",
@@ -127,8 +137,8 @@ def _blocks(segs: DataFrame) -> DataFrame:
     rows = x.groupBy("doc_id", "is_cell", "k1", "k2").agg(
         F.array_sort(F.collect_list(F.struct("seg", "md", "pl"))).alias("cs"),
         F.bool_and("is_th").alias("all_th"), F.bool_or("in_thead").alias("in_thead"),
-        F.max("block").alias("block"), F.max("is_li").alias("is_li"))
-    rows = rows.select("doc_id", "is_cell", "k1", "k2", "all_th", "in_thead", "block", "is_li",
+        F.max("block").alias("block"), F.max("is_li").alias("is_li"), F.max("kept").alias("kept"))
+    rows = rows.select("doc_id", "is_cell", "k1", "k2", "all_th", "in_thead", "block", "is_li", "kept",
                        F.size("cs").alias("n"),
                        F.concat(F.lit("| "), F.array_join(F.transform("cs", lambda c: c["md"]), " | "), F.lit(" |"))
                         .alias("line"),
@@ -137,7 +147,8 @@ def _blocks(segs: DataFrame) -> DataFrame:
     t = rows.groupBy("doc_id", "is_cell", "k1").agg(
         F.array_sort(F.collect_list(F.struct(F.col("k2").alias("row_pos"), "line", "line_plain", "n", "all_th")))
          .alias("rs"),
-        F.bool_or("in_thead").alias("has_thead"), F.max("block").alias("block"), F.max("is_li").alias("is_li"))
+        F.bool_or("in_thead").alias("has_thead"), F.max("block").alias("block"), F.max("is_li").alias("is_li"),
+        F.max("kept").alias("kept"))
     first = F.col("rs")[0]
     has_header = F.col("has_thead") | first["all_th"]
     border = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), first["n"]), " | "), F.lit(" |"))
@@ -147,7 +158,7 @@ def _blocks(segs: DataFrame) -> DataFrame:
                   F.when(F.size("rs") > 1, F.concat(F.lit("\n"), rest)).otherwise(F.lit("")))
     return t.select("doc_id", F.col("k1").alias("seg"),
                     F.when(F.col("is_cell"), md).otherwise(F.col("block")).alias("block"),
-                    F.when(F.col("is_cell"), F.lit(False)).otherwise(F.col("is_li")).alias("is_li"))
+                    F.when(F.col("is_cell"), F.lit(False)).otherwise(F.col("is_li")).alias("is_li"), "kept")
 
 
 def render_markdown(nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame:
@@ -162,34 +173,36 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None) -> DataFram
     href_open = (tag == "a") & mo & (_attr("href") != "")
     href_close = (tag == "a") & mc & (_attr("href", "opener_attrs") != "")
 
-    n = nodes.withColumn("_link_run", F.sum(F.when(href_open, 1).when(href_close, -1).otherwise(0)).over(running()))
+    # Window expressions are computed in batches (one projection per dependency level), so each batch is a
+    # single Window operator over the document order instead of one operator per column.
+    def running_inside(t):
+        return F.sum(F.when(t & mo, 1).when(t & mc, -1).otherwise(0)).over(running())
+
+    sec = tag.isin("thead", "tbody", "tfoot")
+    n = nodes.withColumns({
+        "_link_run": F.sum(F.when(href_open, 1).when(href_close, -1).otherwise(0)).over(running()),
+        "_code_run": running_inside(tag == "code"),
+        "_li_run": running_inside(tag == "li"),
+        "_bq_run": running_inside(tag == "blockquote"),
+        "_tab_run": running_inside(tag == "table"),
+        "_sec_run": running_inside(sec),
+        "_sec": F.last(F.when(sec & mo, tag), ignorenulls=True).over(running()),
+    })
     in_link = (F.col("_link_run") > 0) & ~href_open
     block = is_el & tag.isin(RENDER_BLOCK_TAGS)
-    n = n.withColumn("_bnd", block & ~in_link)
-    n = n.withColumn("_field", block & in_link)
+    n = n.withColumns({"_bnd": block & ~in_link, "_field": block & in_link})
     n = n.withColumn("seg", F.sum(F.col("_bnd").cast("int")).over(running()))
-
     # where the surrounding segment starts / the next one starts (marker balance inside a segment)
     after = w_doc().rowsBetween(1, Window.unboundedFollowing)
-    n = n.withColumn("_seg_start", F.last(F.when(F.col("_bnd"), F.col("pos")), ignorenulls=True).over(running()))
-    n = n.withColumn("_next_bnd", F.first(F.when(F.col("_bnd"), F.col("pos")), ignorenulls=True).over(after))
-
-    # enclosing structure: code (no escaping), list items (indent), blockquotes (quote prefix)
-    def running_inside(t):
-        return F.sum(F.when((tag == t) & mo, 1).when((tag == t) & mc, -1).otherwise(0)).over(running())
-
-    n = (n.withColumn("_code_run", running_inside("code"))
-          .withColumn("_li_run", running_inside("li"))
-          .withColumn("_bq_run", running_inside("blockquote"))
-          .withColumn("_tab_run", running_inside("table"))
-          .withColumn("_sec_run", F.sum(F.when(tag.isin("thead", "tbody", "tfoot") & mo, 1)
-                                        .when(tag.isin("thead", "tbody", "tfoot") & mc, -1).otherwise(0)).over(running()))
-          .withColumn("_sec", F.last(F.when(tag.isin("thead", "tbody", "tfoot") & mo, tag), ignorenulls=True)
-                      .over(running()))
-          .withColumn("_table_seg", F.last(F.when((tag == "table") & mo, F.col("seg")), ignorenulls=True)
-                      .over(running())))
-    prev_break = F.coalesce(F.lag(F.col("_bnd") | F.col("_field") | ((kind == "void") & (tag == "br"))).over(w_doc()),
-                            F.lit(True))
+    n = n.withColumns({
+        "_seg_start": F.last(F.when(F.col("_bnd"), F.col("pos")), ignorenulls=True).over(running()),
+        "_next_bnd": F.first(F.when(F.col("_bnd"), F.col("pos")), ignorenulls=True).over(after),
+        "_table_seg": F.last(F.when((tag == "table") & mo, F.col("seg")), ignorenulls=True).over(running()),
+        "_prev_break": F.coalesce(F.lag(F.col("_bnd") | F.col("_field") | ((kind == "void") & (tag == "br"))
+                                        | (kind == "doc"))
+                                  .over(w_doc()), F.lit(True)),
+    })
+    prev_break = F.col("_prev_break")
 
     mark = F.coalesce(*[F.when(tag == t, F.lit(c)) for t, c in MARK_CLASS.items()])
     n = n.withColumn("_mark", mark)
@@ -279,8 +292,10 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None) -> DataFram
     segs = _blocks(segs)
 
     w = Window.partitionBy("doc_id").orderBy("seg")
-    sep = F.when(F.col("is_li") & F.coalesce(F.lag("is_li").over(w), F.lit(False)), F.lit("\n")).otherwise("\n\n")
-    segs = segs.withColumn("_joined", F.concat(sep, F.col("block")))
+    prev_li = F.last(F.when(F.col("kept"), F.col("is_li")), ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, -1))
+    sep = F.when(F.col("is_li") & F.coalesce(prev_li, F.lit(False)), F.lit("\n")).otherwise("\n\n")
+    segs = segs.withColumn("_joined", F.when(F.col("kept"), F.concat(sep, F.col("block"))).otherwise(F.lit("")))
     out = (segs.groupBy("doc_id")
                .agg(F.regexp_replace(ordered_concat(F.col("seg"), F.col("_joined")),
                                      "^[\\t\\r\\n]+|[\\t\\r\\n ]+$", "").alias("markdown")))

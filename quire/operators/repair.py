@@ -68,16 +68,13 @@ def with_inside_counts(nodes: DataFrame, flags: dict[str, Column]) -> DataFrame:
 
     prefix_excl(closer) - prefix_incl(opener); the opener's prefix reaches the closer by ``lag`` over the two-row
     partition ``(doc_id, span_key)``, and the result reaches the opener by ``max`` over the same partition."""
-    n = nodes
-    for name, flag in flags.items():
-        n = n.withColumn(f"_p_{name}", F.sum(flag.cast("int")).over(running()))
+    n = nodes.withColumns({f"_p_{name}": F.sum(flag.cast("int")).over(running()) for name, flag in flags.items()})
     w = Window.partitionBy("doc_id", "_sk").orderBy("pos")
     wa = Window.partitionBy("doc_id", "_sk")
     n = n.withColumn("_sk", span_key())
-    for name, flag in flags.items():
-        at_close = F.when(_mc(), F.col(f"_p_{name}") - flag.cast("int") - F.lag(f"_p_{name}").over(w))
-        n = n.withColumn(f"_c_{name}", at_close)
-        n = n.withColumn(f"in_{name}", F.when(_mo() | _mc(), F.max(f"_c_{name}").over(wa)))
+    n = n.withColumns({f"_c_{name}": F.when(_mc(), F.col(f"_p_{name}") - flag.cast("int") - F.lag(f"_p_{name}").over(w))
+                       for name, flag in flags.items()})
+    n = n.withColumns({f"in_{name}": F.when(_mo() | _mc(), F.max(f"_c_{name}").over(wa)) for name in flags})
     return n.drop("_sk", *[f"_p_{k}" for k in flags], *[f"_c_{k}" for k in flags])
 
 
@@ -291,7 +288,7 @@ def drop_dead_whitespace(nodes: DataFrame) -> DataFrame:
     next_el = F.first(F.when(el, F.col("tag")), ignorenulls=True).over(w_doc().rowsBetween(1, Window.unboundedFollowing))
     # the run a text token belongs to is bounded by the nearest element tokens on either side
     run_id = F.sum(el.cast("int")).over(running())
-    n = n.withColumn("_run", run_id).withColumn("_prev", prev_el).withColumn("_next", next_el)
+    n = n.withColumns({"_run": run_id, "_prev": prev_el, "_next": next_el})
     w_run = Window.partitionBy("doc_id", "_run")
     blank = blank_text()
     n = n.withColumn("_all_blank", F.min(F.when(F.col("kind") == "text", blank.cast("int"))).over(w_run) == 1)

@@ -22,8 +22,8 @@ def pages_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_of(payloads: DataFrame) -> DataFrame:
     """Payload HTML -> sanitized node tree -> Markdown (documents with nothing to render give '')."""
-    tree = with_tree(with_spans(sanitize(to_nodes(payloads))))
-    return render_markdown(tree, payloads)
+    tree = with_tree(with_spans(sanitize(to_nodes(payloads, doc_marker=True))))
+    return render_markdown(tree)
 
 
 def pages_src() -> str:

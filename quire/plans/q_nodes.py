@@ -151,8 +151,8 @@ def d3_attr_policy(spark, sf):
 def c6_serialize(spark, sf):
     """C6 after D1+D3: each page as sanitized HTML (allowlisted tags and attributes, re-spelled, escaped)."""
     p = pages_payloads(spark, sf)
-    t = with_spans(sanitize(to_nodes(p)))
-    return to_html(t, p).withColumnRenamed("doc_id", "page_id")
+    t = with_spans(sanitize(to_nodes(p, doc_marker=True)))
+    return to_html(t).withColumnRenamed("doc_id", "page_id")
 
 
 @query("d4_grid_profile", oracle=lambda: _pages_nodes_sql(
@@ -160,5 +160,5 @@ def c6_serialize(spark, sf):
 def d4_grid_profile(spark, sf):
     """Native tables under the strict grid profile (six tags, no attributes)."""
     p = X.fx1_native_tables(spark, sf)
-    t = with_spans(sanitize(to_nodes(p), "grid"))
-    return to_html(t, p)
+    t = with_spans(sanitize(to_nodes(p, doc_marker=True), "grid"))
+    return to_html(t)

@@ -58,8 +58,8 @@ def d_chain(src_sql: str, upto: str, col: str = "html", blank_empty: bool = Fals
 
 def _spark_stage(payloads, upto, col="html"):
     if upto in ("e1", "d10", "d9", "e2"):
-        return to_html(DV.repaired(payloads, upto=upto), payloads, col)
-    return to_html(DV.simple_html_nodes(payloads, upto=upto), payloads, col)
+        return to_html(DV.repaired(payloads, upto=upto), out_col=col)
+    return to_html(DV.simple_html_nodes(payloads, upto=upto), out_col=col)
 
 
 def _stage_query(name, fixtures, upto, doc):
