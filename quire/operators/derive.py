@@ -48,9 +48,11 @@ def repaired(payloads: DataFrame, html_col: str = "html", upto: str = "e2") -> D
     return RP.transcribe_image_size(s)
 
 
-def simple_html_nodes(payloads: DataFrame, html_col: str = "html", upto: str = "e6") -> DataFrame:
-    """Simple HTML branch on the repaired nodes; ``upto`` in sanitize/e7/d11/d12/d13/e6."""
-    s = sanitize(repaired(payloads, html_col))
+def simple_html_nodes(payloads: DataFrame, html_col: str = "html", upto: str = "e6",
+                      rep: DataFrame | None = None) -> DataFrame:
+    """Simple HTML branch on the repaired nodes (``rep`` when already computed); ``upto`` in
+    sanitize/e7/d11/d12/d13/e6."""
+    s = sanitize(rep if rep is not None else repaired(payloads, html_col))
     if upto == "sanitize":
         return s
     s = RP.name_empty_links_and_images(s)
@@ -68,10 +70,11 @@ def simple_html_nodes(payloads: DataFrame, html_col: str = "html", upto: str = "
     return RP.simplify_tables(with_tree(respan(s)))
 
 
-def markdown_nodes(payloads: DataFrame, html_col: str = "html") -> DataFrame:
+def markdown_nodes(payloads: DataFrame, html_col: str = "html", rep: DataFrame | None = None) -> DataFrame:
     """Markdown branch: repaired -> sanitize -> E7 naming -> tree. Header promotion (E5) happens where the
     renderer assembles tables; container collapse changes nothing the renderer emits (empty blocks vanish)."""
-    return with_tree(RP.name_empty_links_and_images(sanitize(repaired(payloads, html_col))))
+    r = rep if rep is not None else repaired(payloads, html_col)
+    return with_tree(RP.name_empty_links_and_images(sanitize(r)))
 
 
 def to_markdown(payloads: DataFrame, html_col: str = "html") -> DataFrame:
@@ -80,6 +83,19 @@ def to_markdown(payloads: DataFrame, html_col: str = "html") -> DataFrame:
     return render_markdown(markdown_nodes(payloads, html_col))
 
 
+def to_entries(payloads: DataFrame, html_col: str = "html") -> DataFrame:
+    """Both equivalents from one repaired document. The repairs run once: the repaired token relation is
+    persisted (memory, spilling to disk; recomputed from lineage if an executor is lost) and both branches fork
+    from it, as the reference forks late from one repaired document."""
+    from pyspark import StorageLevel
+    from .render_md import render_markdown
+    rep = repaired(payloads, html_col).persist(StorageLevel.MEMORY_AND_DISK)
+    md = render_markdown(markdown_nodes(payloads, html_col, rep))
+    sh = to_html(simple_html_nodes(payloads, html_col, rep=rep), out_col="simple_html") \
+        .withColumn("simple_html", blank_to_empty(F.col("simple_html")))
+    return md.join(sh, "doc_id")
+
+
 def blank_to_empty(c):
     """A Simple HTML that is only whitespace is '' (the caller writes text/plain alone)."""
     return F.when(F.trim(F.regexp_replace(c, "\\s", " ")) == "", F.lit("")).otherwise(c)
