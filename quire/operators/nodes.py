@@ -117,13 +117,11 @@ def classify(tokens: DataFrame) -> DataFrame:
             .when(F.substring(tok, 1, 2) == "</", F.lit("close"))
             .when(tag.isin(VOID_TAGS), F.lit("void"))
             .otherwise(F.lit("open")))
-    return (tokens
-            .withColumn("kind", kind)
-            .withColumn("tag", F.when(is_tag, tag))
-            .withColumn("attrs", F.when(F.col("kind").isin("open", "void"),
-                                        F.when(tok.rlike(HAS_ATTRS_RE), _attrs(tok))
-                                         .otherwise(F.create_map().cast("map<string,string>"))))
-            .withColumn("text", F.when(~is_tag & (tok != ""), decode_entities(strip_markers(tok)))))
+    return tokens.select(
+        "*", kind.alias("kind"), F.when(is_tag, tag).alias("tag"),
+        F.when(kind.isin("open", "void"), F.when(tok.rlike(HAS_ATTRS_RE), _attrs(tok))
+               .otherwise(F.create_map().cast("map<string,string>"))).alias("attrs"),
+        F.when(~is_tag & (tok != ""), decode_entities(strip_markers(tok))).alias("text"))
 
 
 def to_nodes(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", **kw) -> DataFrame:
@@ -146,20 +144,18 @@ def with_spans(nodes: DataFrame) -> DataFrame:
     w_lvl = Window.partitionBy("doc_id", "tag", "_L").orderBy("pos")
     nxt = F.lead(F.struct("kind", "pos")).over(w_lvl)
     prv = F.lag(F.struct("kind", "pos", "attrs")).over(w_lvl)
-    n = (n.withColumn("_nxt", F.when(el, nxt))
-          .withColumn("_prv", F.when(el, prv))
-          .withColumn("end_pos", F.when((F.col("kind") == "open") & (F.col("_nxt.kind") == "close"),
-                                        F.col("_nxt.pos"))
-                                  .when(F.col("kind") == "void", F.col("pos")))
-          .withColumn("matched", F.when(F.col("kind") == "open", F.col("end_pos").isNotNull())
-                                  .when(F.col("kind") == "close",
-                                        F.coalesce(F.col("_prv.kind") == "open", F.lit(False)))
-                                  .otherwise(F.lit(True))))
+    n = n.withColumns({"_nxt": F.when(el, nxt), "_prv": F.when(el, prv)})
+    kind = F.col("kind")
+    end_pos = F.when((kind == "open") & (F.col("_nxt.kind") == "close"), F.col("_nxt.pos")) \
+               .when(kind == "void", F.col("pos"))
+    matched = F.when(kind == "open", end_pos.isNotNull()) \
+               .when(kind == "close", F.coalesce(F.col("_prv.kind") == "open", F.lit(False))).otherwise(F.lit(True))
     # a matched closer knows its opener (position and attributes), e.g. a link's href at ``</a>``
-    is_mc = (F.col("kind") == "close") & F.col("matched")
-    n = (n.withColumn("open_pos", F.when(is_mc, F.col("_prv.pos")))
-          .withColumn("opener_attrs", F.when(is_mc, F.col("_prv.attrs"))))
-    return n.drop("_lvl", "_L", "_nxt", "_prv")
+    is_mc = (kind == "close") & matched
+    cols = [c for c in n.columns if c not in ("_lvl", "_L", "_nxt", "_prv")]
+    return n.select(*cols, end_pos.alias("end_pos"), matched.alias("matched"),
+                    F.when(is_mc, F.col("_prv.pos")).alias("open_pos"),
+                    F.when(is_mc, F.col("_prv.attrs")).alias("opener_attrs"))
 
 
 def with_tree(nodes: DataFrame) -> DataFrame:
@@ -178,15 +174,16 @@ def with_tree(nodes: DataFrame) -> DataFrame:
     # sum, a matched closer has already left its element, so both end up at their element's own depth
     n = n.withColumn("depth", (F.col("_run") - F.when(mo, 1).otherwise(0)).cast("int")).drop("_run")
     roles = F.when(mo, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    x = n.withColumn("_role", F.explode(roles))
+    x = n.select("*", F.explode(roles).alias("_role"))
     x = x.withColumn("_key", F.when(F.col("_role") == 1, F.col("depth") + 1).otherwise(F.col("depth")))
     w = (Window.partitionBy("doc_id", "_key").orderBy("pos", F.col("_role").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cand = F.when((F.col("_role") == 1), F.struct("pos", "tag"))
-    x = x.withColumn("_par", F.last(cand, ignorenulls=True).over(w))
+    par = F.last(cand, ignorenulls=True).over(w)
+    cols = [c for c in x.columns if c not in ("_role", "_key")]
+    x = x.select(*cols, "_role", par.alias("_par"))
     return (x.filter(F.col("_role") == 0)
-             .withColumn("parent_pos", F.col("_par.pos")).withColumn("parent_tag", F.col("_par.tag"))
-             .drop("_role", "_key", "_par"))
+             .select(*cols, F.col("_par.pos").alias("parent_pos"), F.col("_par.tag").alias("parent_tag")))
 
 
 def subtree_text(nodes: DataFrame, elements: DataFrame) -> DataFrame:
