@@ -62,3 +62,19 @@ def rebuild_style(audit: DataFrame, key: str = "doc_id") -> DataFrame:
     return (audit.groupBy(key)
                  .agg(F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda s: s["v"]), "; ")
                       .alias("style")))
+
+
+def rebuild_style_value(style: Column) -> Column:
+    """D5/D7 on one attribute value, without exploding rows: the declarations that pass the policy, in order,
+    ``!important`` kept, joined by ``'; '`` ('' when none survives)."""
+    decls = F.filter(F.split(F.coalesce(style, F.lit("")), ";"), lambda d: F.trim(d) != "")
+
+    def parse(d):
+        raw = F.trim(F.regexp_extract(d, "(?s)^[^:]*:(.*)$", 1))
+        return F.struct(F.lower(F.trim(F.regexp_extract(d, "^([^:]*)", 1))).alias("prop"),
+                        F.trim(F.regexp_replace(raw, "(?i)\\s*!\\s*important$", "")).alias("value"),
+                        raw.rlike("(?i)!\\s*important$").alias("important"))
+    parsed = F.transform(decls, parse)
+    kept = F.filter(parsed, lambda x: style_verdict(x["prop"], x["value"]).isNull())
+    return F.array_join(F.transform(kept, lambda x: F.concat(
+        x["prop"], F.lit(": "), x["value"], F.when(x["important"], F.lit(" !important")).otherwise(F.lit("")))), "; ")

@@ -75,6 +75,21 @@ def apply_attr_policy(nodes: DataFrame, profile: str = "default") -> DataFrame:
     return nodes.withColumn("attrs", F.when(F.col("attrs").isNotNull(), keep))
 
 
+def apply_render_profile(nodes: DataFrame, keep_styles: bool) -> DataFrame:
+    """The inspector's rendering profiles. Every tag stays (``<style>`` is already gone with its content);
+    ``class``, ``id``, ``data-*`` and ``on*`` handlers go; ``style`` goes too unless ``keep_styles``, in which
+    case only its allowed declarations survive and an attribute left empty is dropped."""
+    from ..functions.style import rebuild_style_value
+    forbid = ["class", "id"] + ([] if keep_styles else ["style"])
+    keep = F.map_filter("attrs", lambda k, v: ~k.isin(forbid) & ~k.startswith("data-") & ~k.startswith("on"))
+    n = nodes.withColumn("attrs", F.when(F.col("attrs").isNotNull(), keep))
+    if keep_styles:
+        fixed = F.transform_values("attrs", lambda k, v: F.when(k == "style", rebuild_style_value(v)).otherwise(v))
+        n = n.withColumn("attrs", F.when(F.col("attrs").isNotNull(), F.map_filter(
+            fixed, lambda k, v: (k != "style") | (v != ""))))
+    return n
+
+
 def sanitize(nodes: DataFrame, profile: str = "default") -> DataFrame:
     """D1 + D3 (D2, drop-with-content, happens in the tokenizer)."""
     return apply_attr_policy(apply_tag_policy(nodes, profile), profile)
