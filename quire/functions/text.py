@@ -35,7 +35,13 @@ BASE64_REPLACEMENT = "$1[IMAGE_BINARY]"
 
 # Entities decoded in text and attribute values; ``&amp;`` last so ``&amp;lt;`` stays ``&lt;``.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+            ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&trade;", "\u2122"),
+            ("&middot;", "\u00b7"), ("&hellip;", "\u2026"), ("&mdash;", "\u2014"), ("&ndash;", "\u2013"),
+            ("&laquo;", "\u00ab"), ("&raquo;", "\u00bb"), ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"),
+            ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&bull;", "\u2022"), ("&euro;", "\u20ac"),
+            ("&pound;", "\u00a3"), ("&yen;", "\u00a5"), ("&cent;", "\u00a2"), ("&sect;", "\u00a7"),
+            ("&deg;", "\u00b0"), ("&times;", "\u00d7"), ("&divide;", "\u00f7"), ("&para;", "\u00b6"),
+            ("&amp;", "&")]
 
 # Private-use code points the renderers use as in-band markers; stripped from input text first.
 MARKER_CLASS = "[\ue000-\ue00f]"

@@ -161,12 +161,25 @@ def _blocks(segs: DataFrame) -> DataFrame:
                     F.when(F.col("is_cell"), F.lit(False)).otherwise(F.col("is_li")).alias("is_li"), "kept")
 
 
-def render_markdown(nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+def effective_rules(rules: DataFrame) -> DataFrame:
+    """A rule set is a DataFrame ``(tag, action, open_md, close_md, priority)``; plugins are unions of
+    rule sets. Per tag the highest priority (newest) rule wins. Tens of rows: broadcast by construction."""
+    w = Window.partitionBy("tag").orderBy(F.col("priority").desc())
+    return (rules.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
+                 .select("tag", F.col("action").alias("r_action"), F.col("open_md").alias("r_open"),
+                         F.col("close_md").alias("r_close")))
+
+
+def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """K1-K18 over sanitized nodes with spans and tree (``with_spans`` + ``with_tree``).
 
     ``docs`` (``doc_id`` column) lists documents that must appear even when nothing renders (markdown ``''``).
+    ``rules`` (X1/X2) override the built-in rule of a tag: ``replace`` (emit ``open_md``/``close_md`` around the
+    content), ``remove`` (drop the element with its content) or ``keep`` (emit the element as HTML).
     """
     kind, tag = F.col("kind"), F.col("tag")
+    if rules is not None:
+        nodes = nodes.join(F.broadcast(effective_rules(rules)), "tag", "left")
     is_el = kind.isin("open", "close", "void")
     mo = (kind == "open") & F.col("matched")
     mc = (kind == "close") & F.col("matched")
@@ -205,6 +218,8 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None) -> DataFram
     prev_break = F.col("_prev_break")
 
     mark = F.coalesce(*[F.when(tag == t, F.lit(c)) for t, c in MARK_CLASS.items()])
+    if rules is not None:        # a rule replaces the built-in emphasis / strong / code handling of its tag
+        mark = F.when(F.col("r_action").isNull(), mark)
     n = n.withColumn("_mark", mark)
     close_in_seg = F.col("matched") & F.col("open_pos").isNotNull() & (
         F.col("_seg_start").isNull() | (F.col("open_pos") > F.col("_seg_start")))
@@ -227,6 +242,21 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None) -> DataFram
              .when(F.col("_mark").isNotNull() & (kind == "open"), mark_piece(OPENERS))
              .when(F.col("_mark").isNotNull() & (kind == "close") & close_in_seg, mark_piece(CLOSERS))
              .otherwise(F.lit("")))
+    if rules is not None:
+        from .render_html import token_html
+        act = F.col("r_action")
+
+        def inside(a):
+            return F.sum(F.when((act == a) & mo, 1).when((act == a) & mc, -1).otherwise(0)).over(running())
+        n = n.withColumns({"_rm": inside("remove"), "_kp": inside("keep")})
+        removed = (F.col("_rm") > 0) | ((act == "remove") & mc)
+        kept = (F.col("_kp") > 0) | ((act == "keep") & mc)
+        raw = token_html(kind, tag, F.col("attrs"), F.col("text"), F.col("matched"))
+        piece = (F.when(removed, F.lit(""))
+                  .when(kept, raw)
+                  .when((act == "replace") & (kind == "open"), F.coalesce(F.col("r_open"), F.lit("")))
+                  .when((act == "replace") & mc, F.coalesce(F.col("r_close"), F.lit("")))
+                  .otherwise(piece))
     if "before" in nodes.columns:     # text inserted by a repair (E7 names) precedes the token's own piece
         piece = F.concat(F.coalesce(md_escape(collapse_ws(F.col("before"))), F.lit("")), piece)
     n = n.withColumn("_piece", piece)

@@ -188,15 +188,22 @@ def tree_ctes(inp: str, p: str) -> str:
 {p}_tree AS (SELECT * EXCLUDE (role, k) FROM {p}_t3 WHERE role = 0)"""
 
 
-def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False) -> tuple[str, str]:
+def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False,
+                   rules: str | None = None) -> tuple[str, str]:
     """CTEs rendering Markdown from a node tree; ``docs(doc_id)`` lists every document. Returns (ctes, name).
     ``before``: the tree carries text inserted by repairs, rendered ahead of its token."""
     p = prefix
+    if rules:
+        tree = (f"(SELECT t.*, r.r_action, r.r_open, r.r_close FROM {tree} t LEFT JOIN (SELECT tag, action AS r_action, "
+                f"open_md AS r_open, close_md AS r_close FROM (SELECT *, row_number() OVER (PARTITION BY tag "
+                f"ORDER BY priority DESC) AS rn FROM {rules}) WHERE rn = 1) r ON t.tag = r.tag)")
     before_piece = f"coalesce({md_escape(rx('before', '[ \\t\\r\\n\\f]+', ' '))}, '') || " if before else ""
     href_open = f"(tag = 'a' AND kind = 'open' AND matched AND {attr('attrs', 'href')} <> '')"
     href_close = f"(tag = 'a' AND kind = 'close' AND matched AND {attr('opener_attrs', 'href')} <> '')"
     block = f"(kind IN ('open', 'close', 'void') AND tag IN {in_list(N.RENDER_BLOCK_TAGS)})"
     mark = "CASE " + " ".join(f"WHEN tag = {q(t)} THEN {q(c)}" for t, c in R.MARK_CLASS.items()) + " END"
+    if rules:
+        mark = f"CASE WHEN r_action IS NULL THEN {mark} END"
 
     def run_inside(t):
         return (f"sum(CASE WHEN tag = {q(t)} AND kind = 'open' AND matched THEN 1 "
@@ -206,6 +213,18 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
     def clean_attr(e):
         return rx(e, "(\\n+\\s*)+", "\n")
 
+    rule_runs = ""
+    rule_piece = ""
+    if rules:
+        def inside(a):
+            return (f"sum(CASE WHEN r_action = {q(a)} AND kind = 'open' AND matched THEN 1 WHEN r_action = {q(a)} "
+                    f"AND kind = 'close' AND matched THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos {RUN})")
+        rule_runs = f",\n    {inside('remove')} AS _rm, {inside('keep')} AS _kp"
+        rule_piece = (f"WHEN _rm > 0 OR (r_action = 'remove' AND kind = 'close' AND matched) THEN '' "
+                      f"WHEN _kp > 0 OR (r_action = 'keep' AND kind = 'close' AND matched) THEN {token_html()} "
+                      f"WHEN r_action = 'replace' AND kind = 'open' THEN coalesce(r_open, '') "
+                      f"WHEN r_action = 'replace' AND kind = 'close' AND matched THEN coalesce(r_close, '') ")
+
     href = rx(attr("opener_attrs", "href"), "([()])", "\\\\$1")
     title = clean_attr(attr("opener_attrs", "title"))
     link_close = (f"{q(R.L_CLOSE + '](')} || {href} || CASE WHEN {title} <> '' THEN ' \"' || "
@@ -245,12 +264,12 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
       OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS sec0,
     coalesce(lag(bnd OR fld OR (kind = 'void' AND tag = 'br')) OVER (PARTITION BY doc_id ORDER BY pos), true)
       AS prev_break,
-    {mark} AS mk
+    {mark} AS mk{rule_runs}
   FROM {p}_r2
 ),
 {p}_r4 AS (
   SELECT *,
-    {before_piece}CASE WHEN kind = 'text' THEN (CASE WHEN code_run > 0 THEN {text} ELSE {md_escape(text)} END)
+    {before_piece}CASE {rule_piece}WHEN kind = 'text' THEN (CASE WHEN code_run > 0 THEN {text} ELSE {md_escape(text)} END)
          WHEN fld THEN {q(R.FIELD)}
          WHEN bnd THEN ''
          WHEN kind = 'void' AND tag = 'br' THEN {q(R.BR)}
