@@ -192,7 +192,13 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
         return F.sum(F.when(t & mo, 1).when(t & mc, -1).otherwise(0)).over(running())
 
     sec = tag.isin("thead", "tbody", "tfoot")
+    # K7: a ``pre`` whose first child is ``code`` is a fenced code block (its content raw, one segment)
+    nxt = F.lead(F.struct(kind.alias("k"), tag.alias("t"))).over(w_doc())
+    nodes = nodes.withColumn("_pre_code", (tag == "pre") & mo & F.coalesce((nxt["k"] == "open") & (nxt["t"] == "code"),
+                                                                           F.lit(False)))
     n = nodes.withColumns({
+        "_pre_run": running_inside(tag == "pre"),
+        "_pre_has_code": F.last(F.when((tag == "pre") & mo, F.col("_pre_code")), ignorenulls=True).over(running()),
         "_link_run": F.sum(F.when(href_open, 1).when(href_close, -1).otherwise(0)).over(running()),
         "_code_run": running_inside(tag == "code"),
         "_li_run": running_inside(tag == "li"),
@@ -202,8 +208,9 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
         "_sec": F.last(F.when(sec & mo, tag), ignorenulls=True).over(running()),
     })
     in_link = (F.col("_link_run") > 0) & ~href_open
+    in_cb = (F.col("_pre_run") > 0) & F.coalesce(F.col("_pre_has_code"), F.lit(False)) & ~((tag == "pre") & mo)
     block = is_el & tag.isin(RENDER_BLOCK_TAGS)
-    n = n.withColumns({"_bnd": block & ~in_link, "_field": block & in_link})
+    n = n.withColumns({"_bnd": block & ~in_link & ~in_cb, "_field": block & in_link & ~in_cb, "_in_cb": in_cb})
     n = n.withColumn("seg", F.sum(F.col("_bnd").cast("int")).over(running()))
     # where the surrounding segment starts / the next one starts (marker balance inside a segment)
     after = w_doc().rowsBetween(1, Window.unboundedFollowing)
@@ -232,7 +239,9 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     def mark_piece(table):
         return F.coalesce(*[F.when(F.col("_mark") == k, F.lit(v)) for k, v in table.items()])
 
-    piece = (F.when(kind == "text", text_piece)
+    piece = (F.when(F.col("_in_cb"), F.when((kind == "text") & (F.col("_code_run") > 0), F.col("text"))
+                                     .otherwise(F.lit("")))
+             .when(kind == "text", text_piece)
              .when(F.col("_field"), F.lit(FIELD))
              .when(F.col("_bnd"), F.lit(""))
              .when((kind == "void") & (tag == "br"), F.lit(BR))
@@ -278,6 +287,7 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
          .alias("li_depth"),
         F.greatest(F.col("_bq_run"), F.lit(0)).alias("bq"),
         ((kind == "void") & (tag == "hr")).alias("hr"),
+        F.col("_pre_code").alias("cb"),
         # table context: the table's own segment, cells (with their row), anything else inside a table
         ((tag == "table") & mo).alias("table"),
         ((F.col("_tab_run") > 0) & ~((tag == "table") & mo)).alias("in_table"),
@@ -299,7 +309,13 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
         F.sum(F.when(dangling & (F.col("_mark") == "c"), 1).otherwise(0)).alias("n_c")))
     raw = F.concat(F.col("raw"), F.repeat(F.lit(C_CLOSE), F.col("n_c")), F.repeat(F.lit(E_CLOSE), F.col("n_e")),
                    F.repeat(F.lit(S_CLOSE), F.col("n_s")))
-    segs = segs.withColumn("body", finish(raw))
+    # K7: fence = three backticks, or one more than the longest run of 3+ backticks opening a line of the code
+    code = F.regexp_replace(F.col("raw"), "\n\\z", "")
+    runs = F.regexp_extract_all(code, F.lit("(?m)^(`{3,})"), 1)
+    fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r) + 1)),
+                                                              F.lit(3))))
+    fenced = F.concat(fence, F.lit("\n"), code, F.lit("\n"), fence)
+    segs = segs.withColumn("body", F.when(F.coalesce(F.col("head")["cb"], F.lit(False)), fenced).otherwise(finish(raw)))
 
     h = F.col("head")
     indent = F.repeat(F.lit(" "), F.coalesce(h["li_depth"], F.lit(0)) * 4)

@@ -239,15 +239,33 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
     text = rx("text", "[ \\t\\r\\n\\f]+", " ")
     text = f"CASE WHEN prev_break THEN ltrim({text}, ' ') ELSE {text} END"
     raw = (f"raw || repeat({q(R.C_CLOSE)}, n_c) || repeat({q(R.E_CLOSE)}, n_e) || repeat({q(R.S_CLOSE)}, n_s)")
+    code = "regexp_replace(raw, '\\n\\z', '')"
+    fence = (f"repeat('`', CAST(greatest(3, coalesce(list_max(list_transform(regexp_extract_all({code}, "
+             f"'(?m)^(`{{3,}})', 1), lambda r: length(r) + 1)), 3)) AS BIGINT))")
+    fenced = f"{fence} || chr(10) || {code} || chr(10) || {fence}"
     ctes = f"""
+{p}_r0 AS (
+  SELECT *, tag = 'pre' AND kind = 'open' AND matched AND
+            coalesce(lead(kind) OVER (PARTITION BY doc_id ORDER BY pos) = 'open'
+                     AND lead(tag) OVER (PARTITION BY doc_id ORDER BY pos) = 'code', false) AS pre_code
+  FROM {tree}
+),
 {p}_r1 AS (
   SELECT *, sum(CASE WHEN {href_open} THEN 1 WHEN {href_close} THEN -1 ELSE 0 END)
               OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS link_run,
+         {run_inside('pre')} AS pre_run,
+         last_value(CASE WHEN tag = 'pre' AND kind = 'open' AND matched THEN pre_code END IGNORE NULLS)
+           OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS pre_has_code,
          {href_open} AS ho, {href_close} AS hc, {block} AS blk
-  FROM {tree}
+  FROM {p}_r0
+),
+{p}_r1b AS (
+  SELECT *, pre_run > 0 AND coalesce(pre_has_code, false) AND NOT (tag = 'pre' AND kind = 'open' AND matched) AS in_cb
+  FROM {p}_r1
 ),
 {p}_r2 AS (
-  SELECT *, blk AND NOT (link_run > 0 AND NOT ho) AS bnd, blk AND (link_run > 0 AND NOT ho) AS fld FROM {p}_r1
+  SELECT *, blk AND NOT (link_run > 0 AND NOT ho) AND NOT in_cb AS bnd,
+            blk AND (link_run > 0 AND NOT ho) AND NOT in_cb AS fld FROM {p}_r1b
 ),
 {p}_r3 AS (
   SELECT *,
@@ -269,7 +287,8 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
 ),
 {p}_r4 AS (
   SELECT *,
-    {before_piece}CASE {rule_piece}WHEN kind = 'text' THEN (CASE WHEN code_run > 0 THEN {text} ELSE {md_escape(text)} END)
+    {before_piece}CASE {rule_piece}WHEN in_cb THEN (CASE WHEN kind = 'text' AND code_run > 0 THEN text ELSE '' END)
+         WHEN kind = 'text' THEN (CASE WHEN code_run > 0 THEN {text} ELSE {md_escape(text)} END)
          WHEN fld THEN {q(R.FIELD)}
          WHEN bnd THEN ''
          WHEN kind = 'void' AND tag = 'br' THEN {q(R.BR)}
@@ -298,6 +317,7 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
       END AS li_depth,
     CASE WHEN bnd THEN greatest(bq_run, 0) END AS bq,
     CASE WHEN bnd THEN kind = 'void' AND tag = 'hr' END AS hr,
+    CASE WHEN bnd THEN pre_code END AS cb,
     CASE WHEN bnd THEN tag = 'table' AND kind = 'open' AND matched END AS tab,
     CASE WHEN bnd THEN tab_run > 0 AND NOT (tag = 'table' AND kind = 'open' AND matched) END AS in_table,
     CASE WHEN bnd THEN tag IN ('td', 'th') AND kind = 'open' END AS cell,
@@ -312,7 +332,7 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
   SELECT doc_id, seg, string_agg(piece, '' ORDER BY pos) AS raw,
          string_agg(CASE WHEN kind = 'text' THEN {md_escape(rx('text', '[ \\t\\r\\n\\f]+', ' '))} ELSE '' END, ''
                     ORDER BY pos) AS plain,
-         bool_or(tab) AS tab, bool_or(in_table) AS in_table, bool_or(cell) AS cell, bool_or(is_th) AS is_th,
+         bool_or(tab) AS tab, bool_or(in_table) AS in_table, coalesce(bool_or(cb), false) AS cb, bool_or(cell) AS cell, bool_or(is_th) AS is_th,
          max(row_pos) AS row_pos, bool_or(in_sec) AS in_sec, max(sec) AS sec, max(table_seg) AS table_seg,
          max(heading) AS heading, max(li) AS li, max(li_depth) AS li_depth, max(bq) AS bq,
          coalesce(bool_or(hr), false) AS hr,
@@ -322,7 +342,8 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
   FROM {p}_r5 GROUP BY doc_id, seg
 ),
 {p}_seg2 AS (
-  SELECT *, {chain(raw, R.FINISH)} AS body0, repeat(' ', CAST(coalesce(li_depth, 0) * 4 AS BIGINT)) AS ind FROM {p}_seg
+  SELECT *, CASE WHEN cb THEN {fenced} ELSE {chain(raw, R.FINISH)} END AS body0,
+         repeat(' ', CAST(coalesce(li_depth, 0) * 4 AS BIGINT)) AS ind FROM {p}_seg
 ),
 {p}_seg3 AS (
   SELECT *,
