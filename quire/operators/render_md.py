@@ -42,6 +42,17 @@ STRONG, EMPHASIS, CODE = "**", "_", "`"
 LINK_FIELD_SEPARATOR = " — "
 # ---------------------------------------------------------------------------------------------------------------
 
+# Renderer options (the defaults are the ones in force in the reference's conversion)
+DEFAULT_OPTIONS = {"heading_style": "atx", "hr": HR, "bullet": "*", "code_block_style": "fenced", "fence": "```",
+                   "em": EMPHASIS, "strong": STRONG, "br": "  "}
+
+
+def resolve_options(options: dict | None) -> dict:
+    o = dict(DEFAULT_OPTIONS)
+    o.update(options or {})
+    return o
+
+
 MARK_CLASS = {"b": "s", "strong": "s", "i": "e", "em": "e", "code": "c"}
 OPENERS = {"s": S_OPEN, "e": E_OPEN, "c": C_OPEN}
 CLOSERS = {"s": S_CLOSE, "e": E_CLOSE, "c": C_CLOSE}
@@ -71,20 +82,38 @@ FINISH = [
 
 MARKERS = "[\ue000-\ue00a]"
 # rules whose pattern is a plain literal run as ``replace`` (no regex)
-LITERAL_RULES = {(L_OPEN, "["), ("\u0001", "  \n")}
+LITERAL_RULES = {(L_OPEN, "[")}
+LITERAL_PATTERNS = {"\u0001"}
 
 
 def _apply(c: Column, rules) -> Column:
     for pat, rep in rules:
-        c = F.replace(c, F.lit(pat), F.lit(rep)) if (pat, rep) in LITERAL_RULES else F.regexp_replace(c, pat, rep)
+        literal = (pat, rep) in LITERAL_RULES or pat in LITERAL_PATTERNS
+        c = F.replace(c, F.lit(pat), F.lit(rep)) if literal else F.regexp_replace(c, pat, rep)
     return c
 
 
-def finish(c: Column) -> Column:
+def finish_rules(opts: dict | None = None) -> list:
+    """FINISH with the option-dependent replacements (strong / emphasis delimiters, line break)."""
+    o = resolve_options(opts)
+    out = []
+    for pat, rep in FINISH:
+        if pat == f"[{S_OPEN}{S_CLOSE}]":
+            rep = o["strong"].replace("$", "\\$")
+        elif pat == f"[{E_OPEN}{E_CLOSE}]":
+            rep = o["em"].replace("$", "\\$")
+        elif pat == "\u0001":
+            rep = o["br"] + "\n"
+        out.append((pat, rep))
+    return out
+
+
+def finish(c: Column, opts: dict | None = None) -> Column:
     """The FINISH chain. Segments without any in-band marker (plain prose) take a two-step fast path that gives
     the same result: collapse double spaces, trim."""
-    fields = _apply(c, FINISH[:3])      # link fields only
-    full = _apply(F.when(F.instr(c, FIELD) > 0, fields).otherwise(c), FINISH[3:])
+    rules = finish_rules(opts)
+    fields = _apply(c, rules[:3])      # link fields only
+    full = _apply(F.when(F.instr(c, FIELD) > 0, fields).otherwise(c), rules[3:])
     plain = F.regexp_replace(F.regexp_replace(c, " {2,}", " "), "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")
     return F.when(c.rlike(MARKERS), full).otherwise(plain)
 
@@ -170,13 +199,15 @@ def effective_rules(rules: DataFrame) -> DataFrame:
                          F.col("close_md").alias("r_close")))
 
 
-def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: DataFrame | None = None,
+                    options: dict | None = None) -> DataFrame:
     """K1-K18 over sanitized nodes with spans and tree (``with_spans`` + ``with_tree``).
 
     ``docs`` (``doc_id`` column) lists documents that must appear even when nothing renders (markdown ``''``).
     ``rules`` (X1/X2) override the built-in rule of a tag: ``replace`` (emit ``open_md``/``close_md`` around the
     content), ``remove`` (drop the element with its content) or ``keep`` (emit the element as HTML).
     """
+    opts = resolve_options(options)
     kind, tag = F.col("kind"), F.col("tag")
     if rules is not None:
         nodes = nodes.join(F.broadcast(effective_rules(rules)), "tag", "left")
@@ -277,11 +308,12 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     n = n.withColumn("_li_idx", F.when(li_open, F.sum(li_open.cast("int")).over(
         w_items.rowsBetween(Window.unboundedPreceding, 0))))
     li_marker = F.when(F.col("parent_tag") == "ol", F.concat(F.col("_li_idx").cast("string"), F.lit(ORDERED_SUFFIX))) \
-                 .otherwise(F.lit(BULLET))
+                 .otherwise(F.lit(opts["bullet"] + "   "))
     level = F.regexp_extract(tag, "^h([1-6])$", 1)
     head = F.when(F.col("_bnd"), F.struct(
         F.when((kind == "open") & (level != ""), F.concat(F.repeat(F.lit("#"), level.cast("int")), F.lit(" ")))
          .alias("heading"),
+        F.when((kind == "open") & (level != ""), level.cast("int")).alias("level"),
         F.when(li_open, li_marker).alias("li"),
         F.greatest(F.col("_li_run") - F.when(li_open & F.col("matched"), 1).otherwise(0), F.lit(0))
          .alias("li_depth"),
@@ -311,11 +343,15 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
                    F.repeat(F.lit(S_CLOSE), F.col("n_s")))
     # K7: fence = three backticks, or one more than the longest run of 3+ backticks opening a line of the code
     code = F.regexp_replace(F.col("raw"), "\n\\z", "")
-    runs = F.regexp_extract_all(code, F.lit("(?m)^(`{3,})"), 1)
-    fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r) + 1)),
+    fc = opts["fence"][0]
+    runs = F.regexp_extract_all(code, F.lit(f"(?m)^(\\{fc}{{3,}})"), 1)
+    fence = F.repeat(F.lit(fc), F.greatest(F.lit(3), F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r) + 1)),
                                                               F.lit(3))))
     fenced = F.concat(fence, F.lit("\n"), code, F.lit("\n"), fence)
-    segs = segs.withColumn("body", F.when(F.coalesce(F.col("head")["cb"], F.lit(False)), fenced).otherwise(finish(raw)))
+    if opts["code_block_style"] == "indented":
+        fenced = F.concat(F.lit("    "), F.replace(code, F.lit("\n"), F.lit("\n    ")))
+    segs = segs.withColumn("body", F.when(F.coalesce(F.col("head")["cb"], F.lit(False)), fenced)
+                           .otherwise(finish(raw, opts)))
 
     h = F.col("head")
     indent = F.repeat(F.lit(" "), F.coalesce(h["li_depth"], F.lit(0)) * 4)
@@ -325,13 +361,18 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     def prefix_lines(c: Column, prefix: Column) -> Column:
         return F.concat(prefix, F.replace(c, F.lit("\n"), F.concat(F.lit("\n"), prefix)))
 
-    body = (F.when(h["heading"].isNotNull(), F.concat(h["heading"], body0))
+    heading = F.concat(h["heading"], body0)
+    if opts["heading_style"] == "setext":     # K19: underlined h1 / h2
+        heading = F.when(h["level"] <= 2, F.concat(body0, F.lit("\n"), F.repeat(
+            F.when(h["level"] == 1, F.lit("=")).otherwise(F.lit("-")), F.length(body0)))).otherwise(heading)
+    body = (F.when(h["heading"].isNotNull(), heading)
              .when(is_li, F.concat(indent, h["li"],
                                    F.replace(body0, F.lit("\n"), F.concat(F.lit("\n"), indent, F.lit("    ")))))
              .when(F.coalesce(h["li_depth"], F.lit(0)) > 0, prefix_lines(body0, F.concat(indent, F.lit("    "))))
              .otherwise(body0))
     body = F.when(F.coalesce(h["hr"], F.lit(False)),
-                  F.when(body0 == "", F.lit(HR)).otherwise(F.concat(F.lit(HR + "\n\n"), body0))).otherwise(body)
+                  F.when(body0 == "", F.lit(opts["hr"])).otherwise(F.concat(F.lit(opts["hr"] + "\n\n"), body0))) \
+            .otherwise(body)
     body = F.when(F.coalesce(h["bq"], F.lit(0)) > 0, prefix_lines(body, F.repeat(F.lit("> "), h["bq"]))) \
             .otherwise(body)
     segs = segs.withColumn("block", body).withColumn("is_li", F.coalesce(is_li, F.lit(False)))

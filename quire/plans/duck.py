@@ -36,7 +36,8 @@ def rx(expr: str, pattern: str, replacement: str) -> str:
 
 def chain(expr: str, rules) -> str:
     for p, r in rules:
-        expr = rx(expr, p, r)
+        # the line-break placeholder is substituted literally (its replacement may hold a backslash)
+        expr = f"replace({expr}, chr(1), {q(r)})" if p == "\u0001" else rx(expr, p, r)
     return expr
 
 
@@ -189,10 +190,12 @@ def tree_ctes(inp: str, p: str) -> str:
 
 
 def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False,
-                   rules: str | None = None) -> tuple[str, str]:
+                   rules: str | None = None, options: dict | None = None) -> tuple[str, str]:
     """CTEs rendering Markdown from a node tree; ``docs(doc_id)`` lists every document. Returns (ctes, name).
     ``before``: the tree carries text inserted by repairs, rendered ahead of its token."""
     p = prefix
+    opts = R.resolve_options(options)
+    finish_rules = R.finish_rules(opts)
     if rules:
         tree = (f"(SELECT t.*, r.r_action, r.r_open, r.r_close FROM {tree} t LEFT JOIN (SELECT tag, action AS r_action, "
                 f"open_md AS r_open, close_md AS r_close FROM (SELECT *, row_number() OVER (PARTITION BY tag "
@@ -240,9 +243,16 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
     text = f"CASE WHEN prev_break THEN ltrim({text}, ' ') ELSE {text} END"
     raw = (f"raw || repeat({q(R.C_CLOSE)}, n_c) || repeat({q(R.E_CLOSE)}, n_e) || repeat({q(R.S_CLOSE)}, n_s)")
     code = "regexp_replace(raw, '\\n\\z', '')"
-    fence = (f"repeat('`', CAST(greatest(3, coalesce(list_max(list_transform(regexp_extract_all({code}, "
-             f"'(?m)^(`{{3,}})', 1), lambda r: length(r) + 1)), 3)) AS BIGINT))")
+    fc = opts["fence"][0]
+    fence = (f"repeat({q(fc)}, CAST(greatest(3, coalesce(list_max(list_transform(regexp_extract_all({code}, "
+             f"{q('(?m)^(' + chr(92) + fc + '{3,})')}, 1), lambda r: length(r) + 1)), 3)) AS BIGINT))")
     fenced = f"{fence} || chr(10) || {code} || chr(10) || {fence}"
+    setext = "heading || body0"
+    if opts["heading_style"] == "setext":
+        setext = ("CASE WHEN level <= 2 THEN body0 || chr(10) || repeat(CASE WHEN level = 1 THEN '=' ELSE '-' END, "
+                  "CAST(length(body0) AS BIGINT)) ELSE heading || body0 END")
+    if opts["code_block_style"] == "indented":
+        fenced = f"'    ' || replace({code}, chr(10), chr(10) || '    ')"
     ctes = f"""
 {p}_r0 AS (
   SELECT *, tag = 'pre' AND kind = 'open' AND matched AND
@@ -312,7 +322,10 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
     CASE WHEN bnd AND kind = 'open' AND regexp_matches(tag, '^h[1-6]$')
          THEN repeat('#', CAST(substring(tag, 2, 1) AS INTEGER)) || ' ' END AS heading,
     CASE WHEN bnd AND tag = 'li' AND kind = 'open' THEN
-      (CASE WHEN parent_tag = 'ol' THEN CAST(li_idx AS VARCHAR) || {q(R.ORDERED_SUFFIX)} ELSE {q(R.BULLET)} END) END AS li,
+      (CASE WHEN parent_tag = 'ol' THEN CAST(li_idx AS VARCHAR) || {q(R.ORDERED_SUFFIX)} ELSE {q(opts['bullet'] + '   ')} END)
+      END AS li,
+    CASE WHEN bnd AND kind = 'open' AND regexp_matches(tag, '^h[1-6]$') THEN CAST(substring(tag, 2, 1) AS INTEGER) END
+      AS level,
     CASE WHEN bnd THEN greatest(li_run - CASE WHEN tag = 'li' AND kind = 'open' AND matched THEN 1 ELSE 0 END, 0)
       END AS li_depth,
     CASE WHEN bnd THEN greatest(bq_run, 0) END AS bq,
@@ -334,7 +347,7 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
                     ORDER BY pos) AS plain,
          bool_or(tab) AS tab, bool_or(in_table) AS in_table, coalesce(bool_or(cb), false) AS cb, bool_or(cell) AS cell, bool_or(is_th) AS is_th,
          max(row_pos) AS row_pos, bool_or(in_sec) AS in_sec, max(sec) AS sec, max(table_seg) AS table_seg,
-         max(heading) AS heading, max(li) AS li, max(li_depth) AS li_depth, max(bq) AS bq,
+         max(heading) AS heading, max(level) AS level, max(li) AS li, max(li_depth) AS li_depth, max(bq) AS bq,
          coalesce(bool_or(hr), false) AS hr,
          CAST(sum(CASE WHEN dangling AND mk = 'e' THEN 1 ELSE 0 END) AS BIGINT) AS n_e,
          CAST(sum(CASE WHEN dangling AND mk = 's' THEN 1 ELSE 0 END) AS BIGINT) AS n_s,
@@ -342,19 +355,19 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
   FROM {p}_r5 GROUP BY doc_id, seg
 ),
 {p}_seg2 AS (
-  SELECT *, CASE WHEN cb THEN {fenced} ELSE {chain(raw, R.FINISH)} END AS body0,
+  SELECT *, CASE WHEN cb THEN {fenced} ELSE {chain(raw, finish_rules)} END AS body0,
          repeat(' ', CAST(coalesce(li_depth, 0) * 4 AS BIGINT)) AS ind FROM {p}_seg
 ),
 {p}_seg3 AS (
   SELECT *,
-    CASE WHEN heading IS NOT NULL THEN heading || body0
+    CASE WHEN heading IS NOT NULL THEN {setext}
          WHEN li IS NOT NULL THEN ind || li || replace(body0, chr(10), chr(10) || ind || '    ')
          WHEN coalesce(li_depth, 0) > 0 THEN ind || '    ' || replace(body0, chr(10), chr(10) || ind || '    ')
          ELSE body0 END AS b1
   FROM {p}_seg2
 ),
 {p}_seg4 AS (
-  SELECT *, CASE WHEN hr THEN (CASE WHEN body0 = '' THEN {q(R.HR)} ELSE {q(R.HR + chr(10) + chr(10))} || body0 END)
+  SELECT *, CASE WHEN hr THEN (CASE WHEN body0 = '' THEN {q(opts['hr'])} ELSE {q(opts['hr'] + chr(10) + chr(10))} || body0 END)
                  ELSE b1 END AS b2
   FROM {p}_seg3
 ),
