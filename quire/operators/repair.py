@@ -236,6 +236,10 @@ def name_empty_links_and_images(spans: DataFrame) -> DataFrame:
     if "before" in n.columns:
         before = F.when(before.isNotNull(), F.concat(F.coalesce("before", F.lit("")), before)).otherwise(F.col("before"))
     n = n.withColumn("before", before)
+    # the closer carries its opener's attributes (link rendering reads href / title there): keep them in step
+    named = F.coalesce(F.col("_op.e"), F.lit(False)) & F.col("_op.n").isNotNull()
+    n = n.withColumn("opener_attrs", F.when(named, _set_attr(F.col("opener_attrs"), "title", F.col("_op.n")))
+                     .otherwise(F.col("opener_attrs")))
     return n.drop("in_txt", "in_img", "_emp_end", "_cover", "_name", "_sk", "_op")
 
 

@@ -178,8 +178,10 @@ def e7(inp_spans, p):
             {SK} AS _sk FROM {p}_2),
 {p}_4 AS (SELECT *, CASE WHEN {MC} AND tag = 'a' THEN lag({{'e': _emp_end IS NOT NULL, 'n': _name}})
                       OVER (PARTITION BY doc_id, _sk ORDER BY pos) END AS _op FROM {p}_3),
-{p}_out AS (SELECT * EXCLUDE (before, in_txt, in_img, _emp_end, _cover, _name, _sk, _op),
-   CASE WHEN coalesce(_op.e, false) THEN coalesce(before, '') || {preview('_op.n')} ELSE before END AS before
+{p}_out AS (SELECT * EXCLUDE (before, opener_attrs, in_txt, in_img, _emp_end, _cover, _name, _sk, _op),
+   CASE WHEN coalesce(_op.e, false) THEN coalesce(before, '') || {preview('_op.n')} ELSE before END AS before,
+   CASE WHEN coalesce(_op.e, false) AND _op.n IS NOT NULL THEN {set_attr('opener_attrs', 'title', '_op.n')}
+        ELSE opener_attrs END AS opener_attrs
    FROM {p}_4)""", f"{p}_out"
 
 

@@ -29,3 +29,43 @@ def render(spark, html):
 ])
 def test_markdown(spark, html, expected):
     assert render(spark, html) == expected
+
+
+@pytest.mark.parametrize("html,expected", [
+    ("<pre><code>a\n```\nb\n</code></pre>", "````\na\n```\nb\n````"),
+    ("<p>x <code>a*b</code> y</p>", "x `a*b` y"),
+    ("<table><tr><td>a</td><td>b</td></tr><tr><td>1</td><td>2</td></tr></table>", "| a | b |\n| --- | --- |\n| 1 | 2 |"),
+    ("<table><thead><tr><th>h</th></tr></thead><tbody><tr><td>x<br>y</td></tr></tbody></table>",
+     "| h |\n| --- |\n| x<br>y |"),
+    ('<p><img src="t.gif" width="1" height="1">text</p>', "text"),
+    ('<a href="https://x"><svg></svg></a>', "[image…](https://x)"),
+    ('<a href="https://x" aria-label="Open the thing"></a>', '[Open…](https://x "Open the thing")'),
+])
+def test_entries_markdown(spark, html, expected):
+    from quire.operators.derive import to_markdown
+    df = spark.createDataFrame([(1, html)], "doc_id long, html string")
+    assert to_markdown(df).first()["markdown"] == expected
+
+
+def test_options_and_rules(spark):
+    from quire.operators import rules as RU
+    from quire.operators.nodes import to_nodes, with_spans, with_tree
+    from quire.operators.render_md import render_markdown
+    df = spark.createDataFrame([(1, "<h1>Title</h1><h3>Sub</h3><ul><li>a</li></ul><p><del>old</del> <b>new</b></p>"
+                                   "<nav>menu</nav>")], "doc_id long, html string")
+    tree = with_tree(with_spans(to_nodes(df, doc_marker=True)))
+    md = render_markdown(tree, options={"heading_style": "setext", "bullet": "-"}).first()["markdown"]
+    assert md.startswith("Title\n=====\n\n### Sub\n\n-   a")
+    rules = RU.use(RU.rule_set(spark, [("nav", "remove", "", "", 5), ("b", "replace", "<", ">", 5)]),
+                   RU.gfm_strikethrough(spark))
+    md = render_markdown(tree, rules=rules).first()["markdown"]
+    assert md.endswith("~old~ <new>") and "menu" not in md
+
+
+def test_simple_html(spark):
+    from quire.operators.derive import to_simple_html
+    html = ('<div><div><div></div> <section> </section></div><div><div><p>x</p></div></div>'
+            '<table><tbody><tr><td>1</td></tr></tbody></table><b style="font-weight:normal">plain</b></div>')
+    df = spark.createDataFrame([(1, html)], "doc_id long, html string")
+    assert to_simple_html(df).first()["simple_html"] == \
+        "<div><div><p>x</p></div><table><tr><td>1</td></tr></table>plain</div>"
