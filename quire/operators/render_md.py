@@ -161,10 +161,13 @@ def _blocks(segs: DataFrame) -> DataFrame:
         "seg", "block", "is_li",
         F.when(is_cell, F.regexp_replace("body", "\\s*\\n\\s*", "<br>")).alias("md"),
         F.when(is_cell, F.trim(F.regexp_replace("plain", "[ \\t\\r\\n\\f]+", " "))).alias("pl"),
+        # Border cell from the cell's align attribute (only present when the sanitizer did not run)
+        F.coalesce(F.when(h["align"] == "left", F.lit(":--")).when(h["align"] == "right", F.lit("--:"))
+                   .when(h["align"] == "center", F.lit(":-:")), F.lit("---")).alias("bd"),
         F.coalesce(h["is_th"], F.lit(False)).alias("is_th"),
         F.coalesce(h["in_sec"] & (h["sec"] == "thead"), F.lit(False)).alias("in_thead"))
     rows = x.groupBy("doc_id", "is_cell", "k1", "k2").agg(
-        F.array_sort(F.collect_list(F.struct("seg", "md", "pl"))).alias("cs"),
+        F.array_sort(F.collect_list(F.struct("seg", "md", "pl", "bd"))).alias("cs"),
         F.bool_and("is_th").alias("all_th"), F.bool_or("in_thead").alias("in_thead"),
         F.max("block").alias("block"), F.max("is_li").alias("is_li"), F.max("kept").alias("kept"))
     rows = rows.select("doc_id", "is_cell", "k1", "k2", "all_th", "in_thead", "block", "is_li", "kept",
@@ -172,15 +175,20 @@ def _blocks(segs: DataFrame) -> DataFrame:
                        F.concat(F.lit("| "), F.array_join(F.transform("cs", lambda c: c["md"]), " | "), F.lit(" |"))
                         .alias("line"),
                        F.concat(F.lit("| "), F.array_join(F.transform("cs", lambda c: c["pl"]), " | "), F.lit(" |"))
-                        .alias("line_plain"))
+                        .alias("line_plain"),
+                       F.concat(F.lit("| "), F.array_join(F.transform("cs", lambda c: c["bd"]), " | "), F.lit(" |"))
+                        .alias("border"))
     t = rows.groupBy("doc_id", "is_cell", "k1").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("k2").alias("row_pos"), "line", "line_plain", "n", "all_th")))
+        F.array_sort(F.collect_list(F.struct(F.col("k2").alias("row_pos"), "line", "line_plain", "n", "all_th",
+                                             "border")))
          .alias("rs"),
         F.bool_or("in_thead").alias("has_thead"), F.max("block").alias("block"), F.max("is_li").alias("is_li"),
         F.max("kept").alias("kept"))
     first = F.col("rs")[0]
     has_header = F.col("has_thead") | first["all_th"]
-    border = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), first["n"]), " | "), F.lit(" |"))
+    plain_border = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), first["n"]), " | "), F.lit(" |"))
+    # a promoted header row is made of new cells without alignment
+    border = F.when(has_header, first["border"]).otherwise(plain_border)
     rest = F.array_join(F.transform(F.slice("rs", 2, F.greatest(F.size("rs") - 1, F.lit(1))), lambda r: r["line"]),
                         "\n")
     md = F.concat(F.when(has_header, first["line"]).otherwise(first["line_plain"]), F.lit("\n"), border,
@@ -325,6 +333,7 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
         ((F.col("_tab_run") > 0) & ~((tag == "table") & mo)).alias("in_table"),
         (tag.isin("td", "th") & (kind == "open")).alias("cell"),
         (tag == "th").alias("is_th"),
+        F.lower(F.col("attrs")["align"]).alias("align"),
         F.col("parent_pos").alias("row_pos"),
         (F.col("_sec_run") > 0).alias("in_sec"), F.col("_sec").alias("sec"),
         F.col("_table_seg").alias("table_seg")))

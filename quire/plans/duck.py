@@ -335,6 +335,7 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
     CASE WHEN bnd THEN tab_run > 0 AND NOT (tag = 'table' AND kind = 'open' AND matched) END AS in_table,
     CASE WHEN bnd THEN tag IN ('td', 'th') AND kind = 'open' END AS cell,
     CASE WHEN bnd THEN tag = 'th' END AS is_th,
+    CASE WHEN bnd THEN lower(list_filter(attrs, lambda e: e.k = 'align')[1].v) END AS align,
     CASE WHEN bnd THEN parent_pos END AS row_pos,
     CASE WHEN bnd THEN sec_run > 0 END AS in_sec,
     CASE WHEN bnd THEN sec0 END AS sec,
@@ -345,7 +346,7 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
   SELECT doc_id, seg, string_agg(piece, '' ORDER BY pos) AS raw,
          string_agg(CASE WHEN kind = 'text' THEN {md_escape(rx('text', '[ \\t\\r\\n\\f]+', ' '))} ELSE '' END, ''
                     ORDER BY pos) AS plain,
-         bool_or(tab) AS tab, bool_or(in_table) AS in_table, coalesce(bool_or(cb), false) AS cb, bool_or(cell) AS cell, bool_or(is_th) AS is_th,
+         max(align) AS align, bool_or(tab) AS tab, bool_or(in_table) AS in_table, coalesce(bool_or(cb), false) AS cb, bool_or(cell) AS cell, bool_or(is_th) AS is_th,
          max(row_pos) AS row_pos, bool_or(in_sec) AS in_sec, max(sec) AS sec, max(table_seg) AS table_seg,
          max(heading) AS heading, max(level) AS level, max(li) AS li, max(li_depth) AS li_depth, max(bq) AS bq,
          coalesce(bool_or(hr), false) AS hr,
@@ -374,13 +375,15 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
 {p}_cells AS (
   SELECT doc_id, table_seg, row_pos, seg, regexp_replace(body0, '\\s*\\n\\s*', '<br>', 'g') AS md,
          trim(regexp_replace(plain, '[ \\t\\r\\n\\f]+', ' ', 'g')) AS pl, is_th,
-         coalesce(in_sec AND sec = 'thead', false) AS in_thead
+         coalesce(in_sec AND sec = 'thead', false) AS in_thead,
+         CASE align WHEN 'left' THEN ':--' WHEN 'right' THEN '--:' WHEN 'center' THEN ':-:' ELSE '---' END AS bd
   FROM {p}_seg2 WHERE coalesce(cell, false) AND coalesce(in_table, false)
 ),
 {p}_rows AS (
   SELECT doc_id, table_seg, row_pos, bool_and(is_th) AS all_th, bool_or(in_thead) AS in_thead, count(*) AS n,
          '| ' || string_agg(md, ' | ' ORDER BY seg) || ' |' AS line,
-         '| ' || string_agg(pl, ' | ' ORDER BY seg) || ' |' AS line_plain
+         '| ' || string_agg(pl, ' | ' ORDER BY seg) || ' |' AS line_plain,
+         '| ' || string_agg(bd, ' | ' ORDER BY seg) || ' |' AS border
   FROM {p}_cells GROUP BY doc_id, table_seg, row_pos
 ),
 {p}_rows2 AS (
@@ -390,7 +393,8 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
 {p}_tabs AS (
   SELECT doc_id, table_seg AS seg,
     max(CASE WHEN rn = 1 THEN (CASE WHEN has_thead OR all_th THEN line ELSE line_plain END) END) || chr(10) ||
-    '| ' || array_to_string(repeat(['---'], CAST(max(CASE WHEN rn = 1 THEN n END) AS BIGINT)), ' | ') || ' |' ||
+    max(CASE WHEN rn = 1 THEN (CASE WHEN has_thead OR all_th THEN border ELSE
+      '| ' || array_to_string(repeat(['---'], CAST(n AS BIGINT)), ' | ') || ' |' END) END) ||
     CASE WHEN count(*) > 1 THEN chr(10) || string_agg(line, chr(10) ORDER BY row_pos) FILTER (WHERE rn > 1) ELSE '' END
       AS block
   FROM {p}_rows2 GROUP BY doc_id, table_seg
