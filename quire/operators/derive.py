@@ -93,7 +93,9 @@ def to_entries(payloads: DataFrame, html_col: str = "html") -> DataFrame:
     md = render_markdown(markdown_nodes(payloads, html_col, rep))
     sh = to_html(simple_html_nodes(payloads, html_col, rep=rep), out_col="simple_html") \
         .withColumn("simple_html", blank_to_empty(F.col("simple_html")))
-    return md.join(sh, "doc_id")
+    out = md.join(sh, "doc_id")
+    out._quire_persisted = [rep]      # callers that materialise the result may release it (streaming batches do)
+    return out
 
 
 def blank_to_empty(c):
