@@ -44,7 +44,7 @@ LINK_FIELD_SEPARATOR = " — "
 
 # Renderer options (the defaults are the ones in force in the reference's conversion)
 DEFAULT_OPTIONS = {"heading_style": "atx", "hr": HR, "bullet": "*", "code_block_style": "fenced", "fence": "```",
-                   "em": EMPHASIS, "strong": STRONG, "br": "  "}
+                   "em": EMPHASIS, "strong": STRONG, "br": "  ", "link_style": "inlined"}
 
 
 def resolve_options(options: dict | None) -> dict:
@@ -134,6 +134,13 @@ def _link_close(src: str) -> Column:
     return F.concat(F.lit(L_CLOSE + "]("), href, F.coalesce(title_part, F.lit("")), F.lit(")" + L_END))
 
 
+def _reference_line(src: str) -> Column:
+    """K19 reference-style links: ``[n]: href "title"`` (href and title as written, newlines squeezed)."""
+    title = clean_attribute(_attr("title", src))
+    return F.concat(F.lit("["), F.col("_link_no").cast("string"), F.lit("]: "), _attr("href", src),
+                    F.when(title != "", F.concat(F.lit(' "'), title, F.lit('"'))).otherwise(F.lit("")))
+
+
 def _image() -> Column:
     alt = clean_attribute(_attr("alt"))
     src = _attr("src")
@@ -142,7 +149,7 @@ def _image() -> Column:
     return F.when(src != "", F.concat(F.lit("!["), alt, F.lit("]("), src, title_part, F.lit(")"))).otherwise("")
 
 
-def _blocks(segs: DataFrame) -> DataFrame:
+def _blocks(segs: DataFrame, refs: bool = False) -> DataFrame:
     """Segments -> blocks ``(doc_id, seg, block, is_li)`` in one linear flow (no branch re-reads the input).
 
     Ordinary segments pass through two aggregates as one-row groups; table cells group into rows (level 1) and
@@ -165,12 +172,15 @@ def _blocks(segs: DataFrame) -> DataFrame:
         F.coalesce(F.when(h["align"] == "left", F.lit(":--")).when(h["align"] == "right", F.lit("--:"))
                    .when(h["align"] == "center", F.lit(":-:")), F.lit("---")).alias("bd"),
         F.coalesce(h["is_th"], F.lit(False)).alias("is_th"),
-        F.coalesce(h["in_sec"] & (h["sec"] == "thead"), F.lit(False)).alias("in_thead"))
-    rows = x.groupBy("doc_id", "is_cell", "k1", "k2").agg(
+        F.coalesce(h["in_sec"] & (h["sec"] == "thead"), F.lit(False)).alias("in_thead"),
+        *(["refs"] if refs else []))
+    carry = [F.flatten(F.collect_list("refs")).alias("refs")] if refs else []
+    rows = x.groupBy("doc_id", "is_cell", "k1", "k2").agg(*carry,
         F.array_sort(F.collect_list(F.struct("seg", "md", "pl", "bd"))).alias("cs"),
         F.bool_and("is_th").alias("all_th"), F.bool_or("in_thead").alias("in_thead"),
         F.max("block").alias("block"), F.max("is_li").alias("is_li"), F.max("kept").alias("kept"))
     rows = rows.select("doc_id", "is_cell", "k1", "k2", "all_th", "in_thead", "block", "is_li", "kept",
+                       *(["refs"] if refs else []),
                        F.size("cs").alias("n"),
                        F.concat(F.lit("| "), F.array_join(F.transform("cs", lambda c: c["md"]), " | "), F.lit(" |"))
                         .alias("line"),
@@ -178,7 +188,7 @@ def _blocks(segs: DataFrame) -> DataFrame:
                         .alias("line_plain"),
                        F.concat(F.lit("| "), F.array_join(F.transform("cs", lambda c: c["bd"]), " | "), F.lit(" |"))
                         .alias("border"))
-    t = rows.groupBy("doc_id", "is_cell", "k1").agg(
+    t = rows.groupBy("doc_id", "is_cell", "k1").agg(*carry,
         F.array_sort(F.collect_list(F.struct(F.col("k2").alias("row_pos"), "line", "line_plain", "n", "all_th",
                                              "border")))
          .alias("rs"),
@@ -195,7 +205,8 @@ def _blocks(segs: DataFrame) -> DataFrame:
                   F.when(F.size("rs") > 1, F.concat(F.lit("\n"), rest)).otherwise(F.lit("")))
     return t.select("doc_id", F.col("k1").alias("seg"),
                     F.when(F.col("is_cell"), md).otherwise(F.col("block")).alias("block"),
-                    F.when(F.col("is_cell"), F.lit(False)).otherwise(F.col("is_li")).alias("is_li"), "kept")
+                    F.when(F.col("is_cell"), F.lit(False)).otherwise(F.col("is_li")).alias("is_li"), "kept",
+                    *(["refs"] if refs else []))
 
 
 def effective_rules(rules: DataFrame) -> DataFrame:
@@ -257,6 +268,7 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
         "_seg_start": F.last(F.when(F.col("_bnd"), F.col("pos")), ignorenulls=True).over(running()),
         "_next_bnd": F.first(F.when(F.col("_bnd"), F.col("pos")), ignorenulls=True).over(after),
         "_table_seg": F.last(F.when((tag == "table") & mo, F.col("seg")), ignorenulls=True).over(running()),
+        "_link_no": F.sum(href_open.cast("int")).over(running()),
         "_prev_break": F.coalesce(F.lag(F.col("_bnd") | F.col("_field") | ((kind == "void") & (tag == "br"))
                                         | (kind == "doc"))
                                   .over(w_doc()), F.lit(True)),
@@ -286,7 +298,8 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
              .when((kind == "void") & (tag == "br"), F.lit(BR))
              .when((kind == "void") & (tag == "img"), _image())
              .when(href_open, F.lit(L_OPEN))
-             .when(href_close, _link_close("opener_attrs"))
+             .when(href_close, _link_close("opener_attrs") if opts["link_style"] != "referenced" else
+                   F.concat(F.lit(L_CLOSE + "]["), F.col("_link_no").cast("string"), F.lit("]" + L_END)))
              .when(F.col("_mark").isNotNull() & (kind == "open"), mark_piece(OPENERS))
              .when(F.col("_mark").isNotNull() & (kind == "close") & close_in_seg, mark_piece(CLOSERS))
              .otherwise(F.lit("")))
@@ -339,7 +352,12 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
         F.col("_table_seg").alias("table_seg")))
     n = n.withColumn("_head", head)
 
+    referenced = opts["link_style"] == "referenced"
+    ref_agg = [F.collect_list(F.when(href_close, F.struct(F.col("_link_no").alias("n"),
+                                                          _reference_line("opener_attrs").alias("line"))))
+               .alias("refs")] if referenced else []
     segs = (n.groupBy("doc_id", "seg").agg(
+        *ref_agg,
         ordered_concat(F.col("pos"), F.col("_piece")).alias("raw"),
         # plain text is only needed for table cells (promoted headers)
         ordered_concat(F.col("pos"), F.when((kind == "text") & (F.col("_tab_run") > 0),
@@ -385,7 +403,7 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     body = F.when(F.coalesce(h["bq"], F.lit(0)) > 0, prefix_lines(body, F.repeat(F.lit("> "), h["bq"]))) \
             .otherwise(body)
     segs = segs.withColumn("block", body).withColumn("is_li", F.coalesce(is_li, F.lit(False)))
-    segs = _blocks(segs)
+    segs = _blocks(segs, referenced)
 
     w = Window.partitionBy("doc_id").orderBy("seg")
     prev_li = F.last(F.when(F.col("kept"), F.col("is_li")), ignorenulls=True).over(
@@ -394,7 +412,13 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     segs = segs.withColumn("_joined", F.when(F.col("kept"), F.concat(sep, F.col("block"))).otherwise(F.lit("")))
     out = (segs.groupBy("doc_id")
                .agg(F.regexp_replace(ordered_concat(F.col("seg"), F.col("_joined")),
-                                     "^[\\t\\r\\n]+|[\\t\\r\\n ]+$", "").alias("markdown")))
+                                     "^[\\t\\r\\n]+|[\\t\\r\\n ]+$", "").alias("markdown"),
+                    *([F.array_sort(F.flatten(F.collect_list("refs"))).alias("refs")] if referenced else [])))
+    if referenced:     # the reference list closes the document
+        lines = F.array_join(F.transform("refs", lambda r: r["line"]), "\n")
+        out = out.select("doc_id", F.regexp_replace(F.when(F.size("refs") > 0, F.concat(
+            F.col("markdown"), F.lit("\n\n"), lines)).otherwise(F.col("markdown")),
+            "^[\\t\\r\\n]+|[\\t\\r\\n ]+$", "").alias("markdown"))
     if docs is not None:
         out = docs.select("doc_id").join(out, "doc_id", "left") \
                   .select("doc_id", F.coalesce(F.col("markdown"), F.lit("")).alias("markdown"))

@@ -232,6 +232,12 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
     title = clean_attr(attr("opener_attrs", "title"))
     link_close = (f"{q(R.L_CLOSE + '](')} || {href} || CASE WHEN {title} <> '' THEN ' \"' || "
                   f"{rx(title, chr(34), chr(92) * 2 + chr(34))} || '\"' ELSE '' END || {q(')' + R.L_END)}")
+    referenced = opts["link_style"] == "referenced"
+    if referenced:
+        link_close = f"{q(R.L_CLOSE + '][')} || CAST(link_no AS VARCHAR) || {q(']' + R.L_END)}"
+    ref_title = clean_attr(attr("opener_attrs", "title"))
+    ref_line = (f"'[' || CAST(link_no AS VARCHAR) || ']: ' || {attr('opener_attrs', 'href')} || "
+                f"CASE WHEN {ref_title} <> '' THEN ' \"' || {ref_title} || '\"' ELSE '' END")
     alt = clean_attr(attr("attrs", "alt"))
     src = attr("attrs", "src")
     ititle = clean_attr(attr("attrs", "title"))
@@ -292,7 +298,8 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
       OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS sec0,
     coalesce(lag(bnd OR fld OR (kind = 'void' AND tag = 'br')) OVER (PARTITION BY doc_id ORDER BY pos), true)
       AS prev_break,
-    {mark} AS mk{rule_runs}
+    {mark} AS mk{rule_runs},
+    sum(CASE WHEN ho THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS link_no
   FROM {p}_r2
 ),
 {p}_r4 AS (
@@ -417,8 +424,15 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
   SELECT doc_id, {rx("string_agg(joined, '' ORDER BY seg)", "^[\\t\\r\\n]+|[\\t\\r\\n ]+$", "")} AS markdown
   FROM {p}_seg6 GROUP BY doc_id
 ),
+{p}_refs AS (
+  SELECT doc_id, string_agg({ref_line}, chr(10) ORDER BY link_no) AS refs FROM {p}_r4 WHERE hc GROUP BY doc_id
+),
+{p}_doc2 AS (
+  SELECT m.doc_id, {rx(f"CASE WHEN {'r.refs IS NOT NULL' if referenced else 'false'} THEN m.markdown || chr(10) || chr(10) || r.refs ELSE m.markdown END", "^[\\t\\r\\n]+|[\\t\\r\\n ]+$", "")} AS markdown
+  FROM {p}_doc m LEFT JOIN {p}_refs r ON m.doc_id = r.doc_id
+),
 {p}_out AS (
-  SELECT d.doc_id, coalesce(m.markdown, '') AS markdown FROM {docs} d LEFT JOIN {p}_doc m ON d.doc_id = m.doc_id
+  SELECT d.doc_id, coalesce(m.markdown, '') AS markdown FROM {docs} d LEFT JOIN {p}_doc2 m ON d.doc_id = m.doc_id
 )"""
     return ctes, f"{p}_out"
 
