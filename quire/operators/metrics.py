@@ -14,10 +14,11 @@ SAVINGS_REPORTED_FROM = 1    # percent smaller shown when at least this
 # ---------------------------------------------------------------------------------------------------------------
 
 
-def payload_metrics(df: DataFrame, source: str, derived: str, text: str) -> DataFrame:
-    """Bytes of the source and of the derived entry, markup ratio against the text it carries, savings."""
-    sb, db, tb = utf8_bytes(F.coalesce(F.col(source), F.lit(""))), utf8_bytes(F.coalesce(F.col(derived), F.lit(""))), \
-        utf8_bytes(F.coalesce(F.col(text), F.lit("")))
+def payload_metrics(df: DataFrame, source: str, derived: str, text: str, source_is_bytes: bool = False) -> DataFrame:
+    """Bytes of the source and of the derived entry, markup ratio against the text it carries, savings.
+    ``source_is_bytes``: the source column already holds the byte size (so a join never has to move the text)."""
+    sb = F.col(source) if source_is_bytes else utf8_bytes(F.coalesce(F.col(source), F.lit("")))
+    db, tb = utf8_bytes(F.coalesce(F.col(derived), F.lit(""))), utf8_bytes(F.coalesce(F.col(text), F.lit("")))
     ratio = F.round(sb / tb).cast("bigint")
     pct = F.round((1 - db / sb) * 100).cast("bigint")
     return df.select("*", sb.alias("source_bytes"), db.alias("derived_bytes"),

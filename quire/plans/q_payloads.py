@@ -310,7 +310,9 @@ FROM src s JOIN {{out}} m ON s.doc_id = m.doc_id""")
 def g7_payload_metrics(spark, sf):
     p = pages_payloads(spark, sf)
     md = markdown_of(p)
-    j = p.join(md, "doc_id")
-    m = MET.payload_metrics(j, "html", "markdown", "markdown")
+    # only the byte size of each payload crosses the join, never the HTML itself
+    sizes = p.select("doc_id", utf8_bytes(F.col("html")).alias("html_bytes"))
+    j = sizes.join(md, "doc_id")
+    m = MET.payload_metrics(j, "html_bytes", "markdown", "markdown", source_is_bytes=True)
     return m.select(F.col("doc_id").alias("page_id"), "source_bytes", "derived_bytes", "source_size", "derived_size",
                     "markup_ratio", "savings_pct")
