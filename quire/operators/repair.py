@@ -101,12 +101,11 @@ def inline_cell_divs(tree: DataFrame) -> DataFrame:
     content_before = F.coalesce((F.col("_prev.k") == "text") | (F.col("_prev.t") != "br"), F.lit(False))
     div_open = cell_div & (F.col("kind") == "open")
     div_close = (F.col("tag") == "div") & (F.col("kind") == "close") & F.col("_in_cell")
-    n = n.filter(~((div_open & ~content_before) | div_close)).withColumn("_to_br", div_open)
-    br = F.col("_to_br")
-    n = (n.withColumn("attrs", F.when(br, F.create_map().cast("map<string,string>")).otherwise(F.col("attrs")))
-          .withColumn("kind", F.when(br, F.lit("void")).otherwise(F.col("kind")))
-          .withColumn("tag", F.when(br, F.lit("br")).otherwise(F.col("tag"))))
-    return n.drop("_in_cell", "_prev", "_to_br")
+    n = n.filter(~((div_open & ~content_before) | div_close))
+    return n.withColumns({
+        "attrs": F.when(div_open, F.create_map().cast("map<string,string>")).otherwise(F.col("attrs")),
+        "kind": F.when(div_open, F.lit("void")).otherwise(F.col("kind")),
+        "tag": F.when(div_open, F.lit("br")).otherwise(F.col("tag"))}).drop("_in_cell", "_prev")
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -148,12 +147,10 @@ def drop_invisible_images(spans: DataFrame) -> DataFrame:
                                "el": F.col("kind").isin("open", "void") & ~F.col("_beacon"),
                                "txt": (F.col("kind") == "text") & ~blank_text()})
     emptied = (F.col("tag") == "a") & (F.col("in_beacon") > 0) & (F.col("in_el") == 0) & (F.col("in_txt") == 0)
-    n = n.withColumn("_dead_a", F.when(_mo() & emptied, F.col("end_pos")))
     # tokens inside a removed anchor go with it (they are blank text by construction)
-    w = running()
-    n = n.withColumn("_cover", F.max("_dead_a").over(w))
+    n = n.withColumn("_cover", F.max(F.when(_mo() & emptied, F.col("end_pos"))).over(running()))
     n = n.filter(~F.col("_beacon") & ~F.coalesce((F.col("pos") <= F.col("_cover")), F.lit(False)))
-    return n.drop("_beacon", "in_beacon", "in_el", "in_txt", "_dead_a", "_cover")
+    return n.drop("_beacon", "in_beacon", "in_el", "in_txt", "_cover")
 
 
 def pixel_size(style: Column, axis: str) -> Column:
@@ -166,8 +163,8 @@ def transcribe_image_size(nodes: DataFrame) -> DataFrame:
     """Pixel width/height from an image's style become attributes (style wins; other units ignored).
     An existing attribute keeps its place, a new one is appended (width before height)."""
     img = (F.col("tag") == "img") & (F.col("kind") == "void") & F.col("attrs")["style"].isNotNull()
-    n = nodes.withColumn("_w", F.when(img, pixel_size(_style(), "width"))) \
-             .withColumn("_h", F.when(img, pixel_size(_style(), "height")))
+    n = nodes.withColumns({"_w": F.when(img, pixel_size(_style(), "width")),
+                           "_h": F.when(img, pixel_size(_style(), "height"))})
     ents = F.map_entries("attrs")
     ents = F.transform(ents, lambda e: F.struct(e["key"].alias("key"), F.when(
         (e["key"] == "width") & F.col("_w").isNotNull(), F.col("_w")).when(
@@ -218,8 +215,8 @@ def name_empty_links_and_images(spans: DataFrame) -> DataFrame:
     img_unnamed = (F.col("tag") == "img") & (F.col("kind") == "void") & (js_trim(F.coalesce(F.col("attrs")["alt"], F.lit(""))) == "")
     name = element_name(F.col("attrs"))
     # the anchor's old children are replaced by the preview text, carried by its closer
-    n = n.withColumn("_emp_end", F.when(_mo() & empty_a, F.col("end_pos")))
-    n = n.withColumn("_cover", F.max(F.when(_mo() & empty_a, F.col("end_pos"))).over(running()))
+    n = n.withColumns({"_emp_end": F.when(_mo() & empty_a, F.col("end_pos")),
+                       "_cover": F.max(F.when(_mo() & empty_a, F.col("end_pos"))).over(running())})
     inner = (F.col("pos") < F.col("_cover")) & ~(_mo() & empty_a)
     n = n.filter(~F.coalesce(inner, F.lit(False)))
     n = n.withColumn("_name", F.when((_mo() & empty_a) | img_unnamed, name))
@@ -235,11 +232,11 @@ def name_empty_links_and_images(spans: DataFrame) -> DataFrame:
     before = F.when(F.coalesce(F.col("_op.e"), F.lit(False)), preview(F.col("_op.n")))
     if "before" in n.columns:
         before = F.when(before.isNotNull(), F.concat(F.coalesce("before", F.lit("")), before)).otherwise(F.col("before"))
-    n = n.withColumn("before", before)
     # the closer carries its opener's attributes (link rendering reads href / title there): keep them in step
     named = F.coalesce(F.col("_op.e"), F.lit(False)) & F.col("_op.n").isNotNull()
-    n = n.withColumn("opener_attrs", F.when(named, _set_attr(F.col("opener_attrs"), "title", F.col("_op.n")))
-                     .otherwise(F.col("opener_attrs")))
+    n = n.withColumns({"before": before,
+                       "opener_attrs": F.when(named, _set_attr(F.col("opener_attrs"), "title", F.col("_op.n")))
+                       .otherwise(F.col("opener_attrs"))})
     return n.drop("in_txt", "in_img", "_emp_end", "_cover", "_name", "_sk", "_op")
 
 
@@ -311,9 +308,10 @@ def with_table_headers(tree: DataFrame) -> DataFrame:
     n = tree.withColumn("table_pos", F.last(F.when((tag == "table") & _mo(), F.col("pos")), ignorenulls=True)
                         .over(running()))
     w = Window.partitionBy("doc_id", "table_pos")
-    n = n.withColumn("_thead", F.max(F.when((tag == "thead") & _mo() & (F.col("parent_pos") == F.col("table_pos")),
-                                            1).otherwise(0)).over(w))
-    n = n.withColumn("_first_tr", F.min(F.when((tag == "tr") & (kind == "open"), F.col("pos"))).over(w))
+    n = n.withColumns({
+        "_thead": F.max(F.when((tag == "thead") & _mo() & (F.col("parent_pos") == F.col("table_pos")), 1)
+                        .otherwise(0)).over(w),
+        "_first_tr": F.min(F.when((tag == "tr") & (kind == "open"), F.col("pos"))).over(w)})
     cell_of_first = tag.isin("td", "th") & (kind == "open") & (F.col("parent_pos") == F.col("_first_tr"))
     n = n.withColumn("_all_th", F.min(F.when(cell_of_first, (tag == "th").cast("int"))).over(w))
     n = n.withColumn("has_header", (F.col("_thead") == 1) | F.coalesce(F.col("_all_th") == 1, F.lit(True)))
