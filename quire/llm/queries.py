@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .fingerprints import near_edited
 from .licenses import license_scan, oracle_license
 from .mixing import ORACLE_MIXING, mixing_plan
+from .packing import packed
+from .quality import quality
+from .simhash import simhash_groups
 from .warc import ORACLE_WARC, archived
 
 QUERIES: dict = {}
@@ -38,3 +43,28 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all sources by capped water-filling takes of each document."""
     return mixing_plan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by SimHash."""
+    groups = simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query()
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return near_edited(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents tokenized and packed into sequences of 2048 tokens."""
+    return packed(table(spark, sf_dir, "documents")).drop("ids")
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all documents and whether the trees fitted to the labels keep them."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
