@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .fingerprints import near_edited
 from .licenses import license_scan, oracle_license
+from .lines import ORACLE_LINES, without_boilerplate
 from .mixing import ORACLE_MIXING, mixing_plan
 from .packing import packed
 from .quality import quality
@@ -68,3 +69,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of all documents and whether the trees fitted to the labels keep them."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(ORACLE_LINES)
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that stand on ten sources or more."""
+    return without_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
