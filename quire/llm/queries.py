@@ -13,6 +13,7 @@ from .mixing import ORACLE_MIXING, mixing_plan
 from .packing import packed
 from .quality import quality
 from .simhash import simhash_groups
+from .suffixes import removed_substrings
 from .warc import ORACLE_WARC, archived
 
 QUERIES: dict = {}
@@ -75,3 +76,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that stand on ten sources or more."""
     return without_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query()
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the 50-byte strings that an earlier document has."""
+    return removed_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
