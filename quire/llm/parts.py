@@ -52,7 +52,7 @@ def key_messages(part: int, keys: np.ndarray, here: np.ndarray) -> pa.Table:
     """The distinct sorted ``keys`` of a part; ``here``: those that two of its own documents have."""
     bucket = bucket_no(keys)
     spans = runs_of(bucket)
-    bodies = [np.packbits(here[s]).tobytes() + _low_bytes(keys[s], KEY_BYTES) for s in spans]
+    bodies = [np.packbits(here[s]).tobytes() + low_bytes(keys[s], KEY_BYTES) for s in spans]
     return message([part] * len(spans), [int(bucket[s.start]) for s in spans], "keys", [s.stop - s.start for s in spans], bodies)
 
 
@@ -60,7 +60,7 @@ def compared(table: pa.Table) -> pa.Table:
     """The keys of one bucket from all parts, to a bitmap for each part."""
     n, bodies, own = table["n"].to_pylist(), table["body"].to_pylist(), table["part"].to_pylist()
     flags = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, -(-k // 8)), count=k) for k, b in zip(n, bodies)])
-    keys = np.concatenate([_from_low_bytes(b[-(-k // 8):], KEY_BYTES) for k, b in zip(n, bodies)])
+    keys = np.concatenate([from_low_bytes(b[-(-k // 8):], KEY_BYTES) for k, b in zip(n, bodies)])
     order = np.argsort(keys, kind="stable")
     group = np.cumsum(np.append(True, keys[order[1:]] != keys[order[:-1]])) - 1
     several = (np.bincount(group) > 1) | (np.bincount(group, flags[order]) > 0)
@@ -92,11 +92,11 @@ def unblob(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True), dtype)
 
 
-def _low_bytes(x: np.ndarray, n: int) -> bytes:
+def low_bytes(x: np.ndarray, n: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
 
 
-def _from_low_bytes(b: bytes, n: int) -> np.ndarray:
+def from_low_bytes(b: bytes, n: int) -> np.ndarray:
     out = np.zeros((len(b) // n, 8), np.uint8)
     out[:, :n] = np.frombuffer(b, np.uint8).reshape(-1, n)
     return out.view("<u8").ravel()

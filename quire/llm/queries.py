@@ -11,6 +11,7 @@ from .licenses import license_scan, oracle_license
 from .lines import ORACLE_LINES, without_boilerplate
 from .mixing import ORACLE_MIXING, mixing_plan
 from .packing import packed
+from .passages import repeated_passages
 from .quality import quality
 from .simhash import simhash_groups
 from .suffixes import removed_substrings
@@ -82,3 +83,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without the 50-byte strings that an earlier document has."""
     return removed_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query()
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that an earlier document has too, edits included."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
