@@ -1,13 +1,14 @@
 """Document fingerprints by one-permutation MinHash with optimal densification; DataFrame functions only.
 
 The hashes of a text's five-word shingles are sorted once; the top bits of a hash name one of ``BINS`` bins, and the
-first hash of each bin in that order is the bin's minimum. Of it the ``BITS`` low-order bits are kept. An empty bin i
+first hash of each bin in that order is the bin's minimum. An empty bin i
 copies from the first filled bin in an order of all bins that is drawn for i (start and odd stride from a seeded
 rule), so that texts which fill the same bins choose the same donors and donors are independent between bins. Early
 places in that order are looked up in rounds over the whole array; what then is still empty takes the filled bin
 whose place in the order is the least, which is the same bin the rounds would reach.
 
-Two unrelated bins agree in ``BITS`` bits with chance ``2 ** -BITS``; with p the share of agreeing bins the likeness
+Of the minimum, hashed with its bin, the ``BITS`` low-order bits are kept, so that bins with one donor don't agree by
+one chance. Two unrelated bins agree in ``BITS`` bits with chance ``2 ** -BITS``; with p the share of agreeing bins the likeness
 is ``(p - c) / (1 - c)``, at least 0. Bins are packed eight to a long.
 
 Nulls and corner cases: a null text is an empty one; a text of one to four words is one shingle; texts without words
@@ -16,12 +17,10 @@ have a fingerprint of zeros, likeness 1 among themselves and 0 to all others. Eq
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, apart, let, saved
 
 BINS, BITS, WORDS = 256, 8, 5
 SEED = 42
@@ -29,18 +28,7 @@ SEED = 42
 ROUNDS = 8
 #: Documents to a window of the search for the next document.
 WINDOW_ROWS = 4096
-M64 = (1 << 64) - 1
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def apart(df: DataFrame, **cols: Column) -> DataFrame:
-    """Add columns that the optimizer doesn't copy into the expressions that use them."""
-    df = df.withColumn("_apart", F.explode(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
-    return df.select(*[F.col(c) for c in df.columns if c != "_apart" and c not in cols], *[F.col("_apart")[k].alias(k) for k in cols])
+M64, M48 = (1 << 64) - 1, (1 << 48) - 1
 
 
 def _mixed(x: int) -> int:
@@ -73,7 +61,7 @@ def shingle_hashes(text: Column) -> Column:
 
 
 def _bin(h: Column) -> Column:
-    return (F.shiftright(h, 56) + BINS // 2).cast("int")
+    return F.shiftright(h, 56) + BINS // 2
 
 
 def fingerprint(text: Column, seed: int = SEED) -> Column:
@@ -82,16 +70,17 @@ def fingerprint(text: Column, seed: int = SEED) -> Column:
     inverse = [pow(b, -1, BINS) for b in stride]
 
     def filled(h: Column) -> Column:
-        """Of sorted hashes, the first of each bin as bin * 256 + kept bits."""
+        """Of sorted hashes, the first of each bin: the bin above 48 bits of the hash."""
         before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))))
-        first = F.zip_with(h, before, lambda x, y: F.when(y.isNull() | (F.shiftright(x, 56) != F.shiftright(y, 56)), _bin(x) * 256 + x.bitwiseAND(255).cast("int")))
+        first = F.zip_with(h, before, lambda x, y: F.when(y.isNull() | (F.shiftright(x, 56) != F.shiftright(y, 56)), F.shiftleft(_bin(x), 48).bitwiseOR(x.bitwiseAND(M48))))
         return F.filter(first, lambda x: x.isNotNull())
 
     def dense(s: Column) -> Column:
         """All bins in order, the empty ones null."""
-        before = F.concat(F.array(F.lit(-1)), F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x: F.shiftright(x, 8)))
-        gap = F.zip_with(s, before, lambda x, b: F.concat(F.array_repeat(F.lit(None).cast("int"), F.shiftright(x, 8) - b - 1), F.array(x.bitwiseAND(255))))
-        return F.concat(F.flatten(gap), F.array_repeat(F.lit(None).cast("int"), F.lit(BINS - 1) - F.shiftright(F.element_at(s, -1), 8)))
+        at = lambda x: F.shiftright(x, 48).cast("int")
+        before = F.concat(F.array(F.lit(-1)), F.transform(F.slice(s, F.lit(1), F.size(s) - 1), at))
+        gap = F.zip_with(s, before, lambda x, b: F.concat(F.array_repeat(F.lit(None).cast("bigint"), at(x) - b - 1), F.array(x.bitwiseAND(M48))))
+        return F.concat(F.flatten(gap), F.array_repeat(F.lit(None).cast("bigint"), F.lit(BINS - 1) - at(F.element_at(s, -1))))
 
     def donated(s: Column) -> Column:
         def rounds(own: Column) -> Column:
@@ -101,24 +90,28 @@ def fingerprint(text: Column, seed: int = SEED) -> Column:
             return x
 
         def place(x: Column, a: Column, b: Column) -> Column:
-            return ((F.shiftright(x, 8) - a + BINS) * b).bitwiseAND(BINS - 1) * 256 + x.bitwiseAND(255)
+            first = ((F.shiftright(x, 48) - a + BINS) * b).bitwiseAND(BINS - 1)
+            return F.shiftleft(first, 48).bitwiseOR(x.bitwiseAND(M48))
 
         def rest(x: Column) -> Column:
             orders = F.lit([a * BINS + b for a, b in zip(start, inverse)])
-            return F.zip_with(x, orders, lambda v, o: F.coalesce(v, F.array_min(F.transform(s, lambda y: place(y, F.shiftright(o, 8), o.bitwiseAND(255)))).bitwiseAND(255)))
+            return F.zip_with(x, orders, lambda v, o: F.coalesce(v, F.array_min(F.transform(s, lambda y: place(y, F.shiftright(o, 8), o.bitwiseAND(255)))).bitwiseAND(M48)))
 
         return F.when(F.size(s) == BINS, dense(s)).otherwise(rest(let(dense(s), rounds)))
 
     def packed(x: Column) -> Column:
         def long(g: Column) -> Column:
-            out = F.shiftleft(F.get(x, g * 8).cast("bigint"), 56)
+            out = F.shiftleft(F.get(x, g * 8), 56)
             for k in range(1, 8):
-                out = out.bitwiseOR(F.shiftleft(F.get(x, g * 8 + k).cast("bigint"), 56 - 8 * k))
+                out = out.bitwiseOR(F.shiftleft(F.get(x, g * 8 + k), 56 - 8 * k))
             return out
         return F.transform(F.lit(list(range(BINS // 8))), long)
 
+    def kept(x: Column) -> Column:
+        return F.transform(x, lambda v, i: F.xxhash64(v, i).bitwiseAND(255))
+
     empty = F.array().cast("array<bigint>")
-    return let(filled(F.sort_array(shingle_hashes(text))), lambda s: F.when(F.size(s) == 0, empty).otherwise(let(donated(s), packed)))
+    return let(filled(F.sort_array(shingle_hashes(text))), lambda s: F.when(F.size(s) == 0, empty).otherwise(let(kept(donated(s)), packed)))
 
 
 def as_hex(fp: Column) -> Column:

@@ -18,8 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
-from .fingerprints import let
+from .common import let, saved
 
 MIN_SITES = 10
 #: Share of the threshold on either side of it within which sites are counted exactly; about six standard errors of
