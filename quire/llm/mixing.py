@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words
+from .common import WORD, n_words, saved
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -75,6 +75,7 @@ def _planned(docs: DataFrame, weights: tuple, max_epochs: int, seed: int) -> Dat
     offsets = buckets.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     offsets = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")))
     offsets = offsets.select(F.col("o.source").alias("_source"), F.col("_bucket").alias("_b"), "_offset", "source_size", "target")
+    offsets = saved(offsets, "offsets")  # of known size: Spark broadcasts it only if it is small
     x = docs.join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
     within = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("_offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
