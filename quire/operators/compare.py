@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import js_spaces_to_ascii
+from ..functions.text import js_spaces_to_ascii, js_trim
 
 # ---------------------------------------------------------------------------------------------------------------
 # Fixed values that must equal the reference for equal results.
@@ -45,10 +45,11 @@ def stale_check(selected: Column, clip: Column, is_table: Column) -> Column:
 # ---------------------------------------------------------------------------------------------------------------
 # D15 / F8 canonical HTML
 
-# Transport artefacts absorbed by the comparison (fixed values).
+# Fixed values that must equal the reference for equal results: tags that a comparison ignores.
 CANONICAL_DROP_TAGS = ["meta", "base"]
 CANONICAL_UNWRAP_TAGS = ["tbody"]
 TABLE_STRUCTURE = ["table", "thead", "tbody", "tfoot", "tr"]
+# End of fixed values.
 
 
 def canonical_html(payloads, html_col: str = "html"):
@@ -63,7 +64,7 @@ def canonical_html(payloads, html_col: str = "html"):
     t = with_tree(with_spans(n))
     t = t.filter(~(blank_text() & F.coalesce(F.col("parent_tag").isin(TABLE_STRUCTURE), F.lit(False))))
     out = to_html(t, out_col="canonical")
-    return out.withColumn("canonical", F.trim(F.regexp_replace("canonical", "^\\\\s+|\\\\s+$", "")))
+    return out.withColumn("canonical", js_trim(F.col("canonical")))
 
 
 def same_entry(pairs, left: str = "left_html", right: str = "right_html"):

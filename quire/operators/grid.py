@@ -143,6 +143,7 @@ def native_cells(tree: DataFrame) -> DataFrame:
     is credited to the innermost open cell (a running cell depth says whether it is inside one), cells take
     their row from their parent ``tr``, rows are ranked within the table, tables within the document.
     ``colspan``/``rowspan`` are ignored (as by the reference). Needs ``with_tree``."""
+    from ..functions.text import js_trim
     from .nodes import ordered_concat, running
     kind, tag = F.col("kind"), F.col("tag")
     mo = (kind == "open") & F.col("matched")
@@ -173,7 +174,7 @@ def native_cells(tree: DataFrame) -> DataFrame:
     return cells.select(
         "doc_id", (F.dense_rank().over(w_doc_t) - 1).alias("table_no"), "table_pos",
         (F.dense_rank().over(w_tab) - 1).alias("r"), (F.row_number().over(w_row) - 1).alias("c"),
-        "section", "is_header", F.trim(F.coalesce("text", F.lit(""))).alias("text"), "cell_pos")
+        "section", "is_header", js_trim(F.coalesce("text", F.lit(""))).alias("text"), "cell_pos")
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -184,6 +185,7 @@ ARIA_ROOT_ROLES = ["table", "grid", "treegrid"]
 ARIA_GRID_CELL_ROLES = ["cell", "gridcell", "columnheader", "rowheader"]
 ARIA_SELECTED_CELL_ROLES = ["cell", "gridcell", "columnheader", "rowheader"]
 ARIA_CSS_SELECTED_ROLES = ["cell", "gridcell"]
+ARIA_ROW_CELL_ROLES = ["cell", "columnheader", "gridcell"]   # E3 (no rowheader, unlike E9)
 PREVIEW_STRATEGIES = ["aria-selected", "css-class"]
 # ---------------------------------------------------------------------------------------------------------------
 
@@ -312,9 +314,6 @@ def coords_to_table(tree: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------------------------
 # F1 selection overlap, E3 ARIA rows -> table, B7/B8 grid renderings
 
-ARIA_ROW_CELL_ROLES = ["cell", "columnheader", "gridcell"]   # E3 (no rowheader, unlike E9)
-
-
 def mark_selected(elements: DataFrame, selections: DataFrame) -> DataFrame:
     """an element (``pos``..``end_pos``) is selected when it overlaps any selection range of its document.
     Equi-join on ``doc_id`` with the overlap as residual predicate (hash / sort-merge join keyed by document,

@@ -211,7 +211,7 @@ def _blocks(segs: DataFrame, refs: bool = False) -> DataFrame:
 
 def effective_rules(rules: DataFrame) -> DataFrame:
     """A rule set is a DataFrame ``(tag, action, open_md, close_md, priority)``; plugins are unions of
-    rule sets. Per tag the highest priority (newest) rule wins. Tens of rows: broadcast by construction."""
+    rule sets. Per tag the highest priority (newest) rule wins. Spark broadcasts the set if it is small."""
     w = Window.partitionBy("tag").orderBy(F.col("priority").desc())
     return (rules.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
                  .select("tag", F.col("action").alias("r_action"), F.col("open_md").alias("r_open"),
@@ -229,7 +229,7 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     opts = resolve_options(options)
     kind, tag = F.col("kind"), F.col("tag")
     if rules is not None:
-        nodes = nodes.join(F.broadcast(effective_rules(rules)), "tag", "left")
+        nodes = nodes.join(effective_rules(rules), "tag", "left")
     is_el = kind.isin("open", "close", "void")
     mo = (kind == "open") & F.col("matched")
     mc = (kind == "close") & F.col("matched")

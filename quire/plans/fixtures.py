@@ -1,8 +1,8 @@
 """Synthetic payloads derived from the driver tables (FX1-FX12).
 
 ``pages`` holds no table, image, ARIA role or tab-separated text, so the table / grid / image / style operators
-run on payloads built here from the TPC-H-ish tables. Every fixture reads its whole source table, so its size
-grows with the scale factor. Each builder has a DuckDB twin in :data:`DUCK` producing identical rows.
+run on payloads built here from the TPC-H-ish tables. Every fixture reads a table that grows with the scale factor,
+whole, and its documents grow in number and not in size. Each builder has a DuckDB twin in :data:`DUCK` producing identical rows.
 """
 
 from __future__ import annotations
@@ -18,32 +18,37 @@ def _agg_concat(order: Column, piece: Column) -> Column:
                                     lambda s: s["v"]), "")
 
 
+def _block(key: str, size: int) -> Column:
+    """Documents of ``size`` neighbouring keys."""
+    return F.floor(F.col(key) / size).cast("bigint")
+
+
 def _s(c) -> Column:
     return F.col(c).cast("string")
 
 
 def fx1_native_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Native table with ``thead``, a style, and two ``div``s in the second cell; one doc per region."""
-    n = load_table(spark, sf, "nation", ["n_nationkey", "n_name", "n_regionkey"])
-    row = F.concat(F.lit("<tr><td>"), _s("n_nationkey"), F.lit("</td><td><div>"), F.col("n_name"),
-                   F.lit("</div><div>r"), _s("n_regionkey"), F.lit("</div></td></tr>"))
-    return (n.groupBy(F.col("n_regionkey").cast("bigint").alias("doc_id"))
+    """Native table with ``thead``, a style, and two ``div``s in the second cell; one doc per ten suppliers."""
+    n = load_table(spark, sf, "supplier", ["s_suppkey", "s_name", "s_nationkey"])
+    row = F.concat(F.lit("<tr><td>"), _s("s_suppkey"), F.lit("</td><td><div>"), F.col("s_name"),
+                   F.lit("</div><div>r"), _s("s_nationkey"), F.lit("</div></td></tr>"))
+    return (n.groupBy(_block("s_suppkey", 10).alias("doc_id"))
              .agg(F.concat(F.lit('<table style="border: 1px solid"><thead><tr><th>key</th><th>name</th></tr>'
-                                 '</thead><tbody>'), _agg_concat(F.col("n_nationkey"), row),
+                                 '</thead><tbody>'), _agg_concat(F.col("s_suppkey"), row),
                            F.lit("</tbody></table>")).alias("html")))
 
 
 def fx2_headerless_tables(spark: SparkSession, sf: str) -> DataFrame:
-    n = load_table(spark, sf, "nation", ["n_nationkey", "n_name", "n_regionkey"])
-    row = F.concat(F.lit("<tr><td>"), _s("n_nationkey"), F.lit("</td><td>"), F.col("n_name"), F.lit("</td></tr>"))
-    return (n.groupBy(F.col("n_regionkey").cast("bigint").alias("doc_id"))
-             .agg(F.concat(F.lit("<table>"), _agg_concat(F.col("n_nationkey"), row), F.lit("</table>"))
+    n = load_table(spark, sf, "supplier", ["s_suppkey", "s_name", "s_nationkey"])
+    row = F.concat(F.lit("<tr><td>"), _s("s_suppkey"), F.lit("</td><td>"), F.col("s_name"), F.lit("</td></tr>"))
+    return (n.groupBy(_block("s_suppkey", 10).alias("doc_id"))
+             .agg(F.concat(F.lit("<table>"), _agg_concat(F.col("s_suppkey"), row), F.lit("</table>"))
                   .alias("html")))
 
 
 def fx3_aria_grids(spark: SparkSession, sf: str) -> DataFrame:
     """ARIA grid after a lead paragraph; rows carry ``data-row``, cells ``data-col``; every third supplier
-    is ``aria-selected``. One doc per nation."""
+    is ``aria-selected``. One doc per nation and 200 keys."""
     s = load_table(spark, sf, "supplier", ["s_suppkey", "s_name", "s_nationkey"])
     sel = F.when(F.col("s_suppkey") % 3 == 0, F.lit(' aria-selected="true"')).otherwise(F.lit(""))
     dr = F.concat(F.lit(' data-row="'), _s("s_suppkey"), F.lit('"'))
@@ -52,20 +57,20 @@ def fx3_aria_grids(spark: SparkSession, sf: str) -> DataFrame:
                    sel, F.lit(">"), F.col("s_name"), F.lit("</span></div>"))
     head = ('<div role="row"><span role="columnheader" data-col="0">key</span>'
             '<span role="columnheader" data-col="1">name</span></div>')
-    return (s.groupBy(F.col("s_nationkey").cast("bigint").alias("doc_id"))
-             .agg(F.concat(F.lit("<p>Suppliers of nation "), F.col("doc_id").cast("string"),
+    return (s.groupBy((F.col("s_nationkey") * 1_000_000 + _block("s_suppkey", 200)).cast("bigint").alias("doc_id"))
+             .agg(F.concat(F.lit("<p>Suppliers of group "), F.col("doc_id").cast("string"),
                            F.lit('</p><div role="grid">' + head), _agg_concat(F.col("s_suppkey"), row),
                            F.lit("</div>")).alias("html")))
 
 
 def fx4_tsv(spark: SparkSession, sf: str) -> DataFrame:
-    """Tab-separated text per nation; rows short / exact / long by ``s_suppkey % 3``."""
+    """Tab-separated text per nation and 200 keys; rows short / exact / long by ``s_suppkey % 3``."""
     s = load_table(spark, sf, "supplier", ["s_suppkey", "s_name", "s_nationkey"])
     k = F.col("s_suppkey") % 3
     line = F.concat(_s("s_suppkey"), F.lit("\t"), F.col("s_name"),
                     F.when(k == 1, F.lit("\tX")).when(k == 2, F.lit("\tX\textra")).otherwise(F.lit("")),
                     F.lit("\n"))
-    return (s.groupBy(F.col("s_nationkey").cast("bigint").alias("doc_id"))
+    return (s.groupBy((F.col("s_nationkey") * 1_000_000 + _block("s_suppkey", 200)).cast("bigint").alias("doc_id"))
              .agg(F.concat(F.lit("key\tname\tflag\n"), _agg_concat(F.col("s_suppkey"), line)).alias("plain")))
 
 
@@ -116,14 +121,14 @@ def fx7_cards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fx8_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """``cells`` of one table per region: nations numbered by key, three columns unpivoted; a ragged
+    """``cells`` of one table per ten suppliers, numbered by key, three columns unpivoted; a ragged
     selection covers linear cell indexes 1..7 (row-major)."""
-    n = load_table(spark, sf, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    n = load_table(spark, sf, "supplier", ["s_suppkey", "s_name", "s_nationkey"])
     from pyspark.sql import Window
-    r = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
+    r = F.row_number().over(Window.partitionBy(_block("s_suppkey", 10)).orderBy("s_suppkey")) - 1
     n = n.withColumn("r", r.cast("int"))
-    cells = n.select(F.col("n_regionkey").cast("bigint").alias("doc_id"), "r", F.posexplode(F.array(
-        _s("n_nationkey"), F.col("n_name"), _s("n_regionkey"))).alias("c", "text"))
+    cells = n.select(_block("s_suppkey", 10).alias("doc_id"), "r", F.posexplode(F.array(
+        _s("s_suppkey"), F.col("s_name"), _s("s_nationkey"))).alias("c", "text"))
     idx = F.col("r") * 3 + F.col("c")
     return cells.select("doc_id", F.lit(0).alias("table_no"), "r", F.col("c").cast("int").alias("c"),
                         F.lit("tbody").alias("section"), F.lit(False).alias("is_header"), "text",
@@ -133,13 +138,13 @@ def fx8_cells(spark: SparkSession, sf: str) -> DataFrame:
 def fx9_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Payload pairs: same content respelled (``tbody``, ``meta``, comment + whitespace) or changed."""
     d = load_table(spark, sf, "documents", ["doc_id", "text"])
-    words = F.array_join(F.slice(F.split(F.trim(F.col("text")), "\\s+"), 1, 5), " ")
+    words = F.regexp_replace(F.col("text"), "[<>&\\s]+", " ")
     left = F.concat(F.lit("<table><tr><td>"), words, F.lit("</td></tr></table>"))
     k = F.col("doc_id") % 5
     right = (F.when(k == 0, left)
               .when(k == 1, F.concat(F.lit("<table><tbody><tr><td>"), words, F.lit("</td></tr></tbody></table>")))
               .when(k == 2, F.concat(F.lit('<meta charset="utf-8">'), left))
-              .when(k == 3, F.concat(F.lit("<!--StartFragment--><table>\n  <tr><td>"), words,
+              .when(k == 3, F.concat(F.lit("\n<!--StartFragment--><table>\n  <tr><td>"), words,
                                      F.lit("</td></tr>\n</table><!--EndFragment-->")))
               .otherwise(F.concat(F.lit("<table><tr><td>"), words, F.lit(" changed</td></tr></table>"))))
     return d.select("doc_id", left.alias("left_html"), right.alias("right_html"))
@@ -186,37 +191,37 @@ def fx12_oversize(spark: SparkSession, sf: str) -> DataFrame:
 # DuckDB twins (subqueries over the pre-registered views).
 
 def _fx1():
-    return """(SELECT CAST(n_regionkey AS BIGINT) AS doc_id,
+    return """(SELECT CAST(s_suppkey // 10 AS BIGINT) AS doc_id,
   '<table style="border: 1px solid"><thead><tr><th>key</th><th>name</th></tr></thead><tbody>' ||
-  string_agg('<tr><td>' || n_nationkey || '</td><td><div>' || n_name || '</div><div>r' || n_regionkey
-             || '</div></td></tr>', '' ORDER BY n_nationkey) || '</tbody></table>' AS html
-  FROM nation GROUP BY n_regionkey)"""
+  string_agg('<tr><td>' || s_suppkey || '</td><td><div>' || s_name || '</div><div>r' || s_nationkey
+             || '</div></td></tr>', '' ORDER BY s_suppkey) || '</tbody></table>' AS html
+  FROM supplier GROUP BY s_suppkey // 10)"""
 
 
 def _fx2():
-    return """(SELECT CAST(n_regionkey AS BIGINT) AS doc_id,
-  '<table>' || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', '' ORDER BY n_nationkey)
-  || '</table>' AS html FROM nation GROUP BY n_regionkey)"""
+    return """(SELECT CAST(s_suppkey // 10 AS BIGINT) AS doc_id,
+  '<table>' || string_agg('<tr><td>' || s_suppkey || '</td><td>' || s_name || '</td></tr>', '' ORDER BY s_suppkey)
+  || '</table>' AS html FROM supplier GROUP BY s_suppkey // 10)"""
 
 
 def _fx3():
     sel = "CASE WHEN s_suppkey % 3 = 0 THEN ' aria-selected=\"true\"' ELSE '' END"
-    return f"""(SELECT CAST(s_nationkey AS BIGINT) AS doc_id,
-  '<p>Suppliers of nation ' || CAST(s_nationkey AS VARCHAR) || '</p><div role="grid">' ||
+    return f"""(SELECT CAST(s_nationkey * 1000000 + s_suppkey // 200 AS BIGINT) AS doc_id,
+  '<p>Suppliers of group ' || CAST(s_nationkey * 1000000 + s_suppkey // 200 AS VARCHAR) || '</p><div role="grid">' ||
   '<div role="row"><span role="columnheader" data-col="0">key</span><span role="columnheader" data-col="1">name</span></div>' ||
   string_agg('<div role="row" data-row="' || s_suppkey || '"><span role="gridcell" data-row="' || s_suppkey ||
              '" data-col="0"' || {sel} || '>' || s_suppkey || '</span><span role="gridcell" data-row="' || s_suppkey ||
              '" data-col="1"' || {sel} || '>' || s_name || '</span></div>', '' ORDER BY s_suppkey) || '</div>' AS html
-  FROM supplier GROUP BY s_nationkey)"""
+  FROM supplier GROUP BY s_nationkey * 1000000 + s_suppkey // 200)"""
 
 
 def _fx4():
-    return """(SELECT CAST(s_nationkey AS BIGINT) AS doc_id,
+    return """(SELECT CAST(s_nationkey * 1000000 + s_suppkey // 200 AS BIGINT) AS doc_id,
   'key' || chr(9) || 'name' || chr(9) || 'flag' || chr(10) ||
   string_agg(s_suppkey || chr(9) || s_name ||
              CASE s_suppkey % 3 WHEN 1 THEN chr(9) || 'X' WHEN 2 THEN chr(9) || 'X' || chr(9) || 'extra' ELSE '' END
              || chr(10), '' ORDER BY s_suppkey) AS plain
-  FROM supplier GROUP BY s_nationkey)"""
+  FROM supplier GROUP BY s_nationkey * 1000000 + s_suppkey // 200)"""
 
 
 def _fx5():
@@ -247,21 +252,21 @@ def _fx7():
 
 
 def _fx8():
-    return """(SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 0 AS table_no, r, c, 'tbody' AS section, false AS is_header,
+    return """(SELECT CAST(k AS BIGINT) AS doc_id, 0 AS table_no, r, c, 'tbody' AS section, false AS is_header,
   text, r * 3 + c BETWEEN 1 AND 7 AS selected, 'native' AS strategy FROM (
-  SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS r,
-         unnest([CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR)]) AS text,
+  SELECT s_suppkey // 10 AS k, CAST(row_number() OVER (PARTITION BY s_suppkey // 10 ORDER BY s_suppkey) - 1 AS INTEGER) AS r,
+         unnest([CAST(s_suppkey AS VARCHAR), s_name, CAST(s_nationkey AS VARCHAR)]) AS text,
          CAST(unnest(range(3)) AS INTEGER) AS c
-  FROM nation))"""
+  FROM supplier))"""
 
 
 def _fx9():
-    words = "array_to_string(list_slice(regexp_split_to_array(trim(text), '\\s+'), 1, 5), ' ')"
+    words = "regexp_replace(text, '[<>&\\s]+', ' ', 'g')"
     return f"""(SELECT doc_id, '<table><tr><td>' || w || '</td></tr></table>' AS left_html,
   CASE doc_id % 5 WHEN 0 THEN '<table><tr><td>' || w || '</td></tr></table>'
        WHEN 1 THEN '<table><tbody><tr><td>' || w || '</td></tr></tbody></table>'
        WHEN 2 THEN '<meta charset="utf-8"><table><tr><td>' || w || '</td></tr></table>'
-       WHEN 3 THEN '<!--StartFragment--><table>' || chr(10) || '  <tr><td>' || w || '</td></tr>' || chr(10)
+       WHEN 3 THEN chr(10) || '<!--StartFragment--><table>' || chr(10) || '  <tr><td>' || w || '</td></tr>' || chr(10)
                    || '</table><!--EndFragment-->'
        ELSE '<table><tr><td>' || w || ' changed</td></tr></table>' END AS right_html
   FROM (SELECT doc_id, {words} AS w FROM documents))"""

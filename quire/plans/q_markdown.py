@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions.text import MAX_PAYLOAD_CHARS
 from ..operators.nodes import to_nodes, with_spans, with_tree
 from ..operators.policy import ALLOWED_TAGS, sanitize
 from ..operators.render_md import render_markdown
@@ -15,9 +13,8 @@ from .registry import query
 
 
 def pages_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages`` as payloads ``(doc_id, url, html)``, size-guarded."""
-    p = load_table(spark, sf_dir, "pages", ["page_id", "url", "html"]).withColumnRenamed("page_id", "doc_id")
-    return p.filter(F.length("html") <= MAX_PAYLOAD_CHARS)
+    """All of ``pages`` as payloads ``(doc_id, url, html)``."""
+    return load_table(spark, sf_dir, "pages", ["page_id", "url", "html"]).withColumnRenamed("page_id", "doc_id")
 
 
 def markdown_of(payloads: DataFrame) -> DataFrame:
@@ -27,7 +24,7 @@ def markdown_of(payloads: DataFrame) -> DataFrame:
 
 
 def pages_src() -> str:
-    return f"(SELECT page_id AS doc_id, url, html FROM pages WHERE length(html) <= {D.MAX_PAYLOAD_CHARS})"
+    return "(SELECT page_id AS doc_id, url, html FROM pages)"
 
 
 def markdown_sql(src: str, select: str, extra_ctes: str = "") -> str:

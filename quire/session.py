@@ -41,13 +41,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset (tests, laptops) pick a
-    local scratch folder. Lineage is cut with ``checkpoint()`` or written tables there, never
+    """Use the cluster's shared ``spark.checkpoint.dir``; only on a local master (tests, laptops) pick a
+    local scratch folder when it is unset. Lineage is cut with ``checkpoint()`` or written tables there, never
     ``localCheckpoint`` (lost with an executor)."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = fallback or tempfile.mkdtemp(prefix="quire-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
