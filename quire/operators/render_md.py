@@ -57,6 +57,13 @@ MARK_CLASS = {"b": "s", "strong": "s", "i": "e", "em": "e", "code": "c"}
 OPENERS = {"s": S_OPEN, "e": E_OPEN, "c": C_OPEN}
 CLOSERS = {"s": S_CLOSE, "e": E_CLOSE, "c": C_CLOSE}
 
+# A code span whose content holds backticks: its delimiter is the shortest run of backticks that it does not hold, and
+# a space keeps a backtick at its edge apart. (pattern, replacement) for delimiters of one to four.
+_NOT = f"[^`{C_OPEN}{C_CLOSE}]"
+CODE_SPANS = [(f"{C_OPEN}(`[^{C_CLOSE}]*|[^{C_CLOSE}]*`){C_CLOSE}", f"{C_OPEN} $1 {C_CLOSE}")] + [
+    (f"{C_OPEN}((?:{_NOT}|{runs}{_NOT})*(?:{runs})?){C_CLOSE}", f"{ticks}$1{ticks}")
+    for runs, ticks in (("`{2,}", "`"), ("(?:`|`{3,})", "``"), ("(?:`{1,2}|`{4,})", "```"), ("`+", "````"))]
+
 # (pattern, replacement) applied in order to a segment's concatenated pieces.
 FINISH = [
     (f"[\\s{FIELD}]*{FIELD}[\\s{FIELD}]*", LINK_FIELD_SEPARATOR),
@@ -72,6 +79,7 @@ FINISH = [
     (f" *{BR} *", "\u0001"),
     (f"[{S_OPEN}{S_CLOSE}]", "**"),
     (f"[{E_OPEN}{E_CLOSE}]", "_"),
+    *CODE_SPANS,
     (f"[{C_OPEN}{C_CLOSE}]", "`"),
     (L_OPEN, "["),
     (f"[{L_CLOSE}{L_END}]", ""),
@@ -149,6 +157,10 @@ def _image() -> Column:
     return F.when(src != "", F.concat(F.lit("!["), alt, F.lit("]("), src, title_part, F.lit(")"))).otherwise("")
 
 
+# What joins a block to the one before it: the outermost list and quote, and how deep it is quoted.
+STYLE = ["top_list", "top_bq", "bq"]
+
+
 def _blocks(segs: DataFrame, refs: bool = False) -> DataFrame:
     """Segments -> blocks ``(doc_id, seg, block, is_li)`` in one linear flow (no branch re-reads the input).
 
@@ -158,28 +170,51 @@ def _blocks(segs: DataFrame, refs: bool = False) -> DataFrame:
     lost, as in the reference)."""
     h = F.col("head")
     is_cell = F.coalesce(h["cell"] & h["in_table"], F.lit(False))
-    in_tab = F.coalesce(h["in_table"], F.lit(False)) | F.coalesce(h["table"], F.lit(False))
+    is_table = F.coalesce(h["table"], F.lit(False))
+    # the nearest enclosing table and cell: the last one opened at the same nesting depth
+    by_table = Window.partitionBy("doc_id", h["tab_run"]).orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
+    by_cell = Window.partitionBy("doc_id", h["tab_run"], h["cell_run"]).orderBy("seg").rowsBetween(
+        Window.unboundedPreceding, 0)
+    segs = segs.withColumns({"_is_cell": is_cell, "_table_seg": F.last(F.when(is_table, F.col("seg")), True).over(by_table)})
+    segs = segs.withColumn("_cell", F.last(F.when(is_cell, F.struct(
+        F.col("seg"), F.col("_table_seg").alias("table_seg"), h["row_pos"].alias("row_pos"))), True).over(by_cell))
+    # blocks inside a cell are part of it; what a table holds outside its cells stays a block of its own
+    part = ~F.col("_is_cell") & ~is_table & F.coalesce(h["in_table"] & (h["cell_run"] > 0), F.lit(False)) \
+        & F.col("_cell").isNotNull()
+    of_cell = F.col("_is_cell") | part
     kept = (F.col("body") != "") | F.coalesce(h["hr"], F.lit(False))
+    own = lambda c, other: F.when(of_cell, F.col("_cell")[c]).otherwise(other)
     # empty segments stay as placeholders (kept = false) so every document reaches the final aggregate
-    x = segs.filter(is_cell | ~in_tab).select(
-        "doc_id", is_cell.alias("is_cell"), (is_cell | kept).alias("kept"),
-        F.when(is_cell, h["table_seg"]).otherwise(F.col("seg")).alias("k1"),
-        F.when(is_cell, h["row_pos"]).otherwise(F.lit(-1)).alias("k2"),
-        "seg", "block", "is_li",
-        F.when(is_cell, F.regexp_replace("body", "\\s*\\n\\s*", "<br>")).alias("md"),
-        F.when(is_cell, F.trim(F.regexp_replace("plain", "[ \\t\\r\\n\\f]+", " "))).alias("pl"),
+    x = segs.filter(of_cell | ~is_table).select(
+        "doc_id", of_cell.alias("is_cell"), (of_cell | kept).alias("kept"), own("table_seg", F.col("seg")).alias("k1"),
+        own("row_pos", F.lit(-1)).alias("k2"), own("seg", F.col("seg")).alias("k3"), "seg", "block", "is_li", *STYLE,
+        F.when(F.col("_is_cell"), F.col("body")).otherwise(F.col("block")).alias("md"), "plain",
         # Border cell from the cell's align attribute (only present when the sanitizer did not run)
-        F.coalesce(F.when(h["align"] == "left", F.lit(":--")).when(h["align"] == "right", F.lit("--:"))
-                   .when(h["align"] == "center", F.lit(":-:")), F.lit("---")).alias("bd"),
-        F.coalesce(h["is_th"], F.lit(False)).alias("is_th"),
-        F.coalesce(h["in_sec"] & (h["sec"] == "thead"), F.lit(False)).alias("in_thead"),
+        F.when(F.col("_is_cell"), F.coalesce(
+            F.when(h["align"] == "left", F.lit(":--")).when(h["align"] == "right", F.lit("--:"))
+             .when(h["align"] == "center", F.lit(":-:")), F.lit("---"))).alias("bd"),
+        F.when(F.col("_is_cell"), h["is_th"]).alias("is_th"),
+        F.when(F.col("_is_cell"), h["in_sec"] & (h["sec"] == "thead")).alias("in_thead"),
         *(["refs"] if refs else []))
     carry = [F.flatten(F.collect_list("refs")).alias("refs")] if refs else []
+    x = x.groupBy("doc_id", "is_cell", "k1", "k2", "k3").agg(*carry,
+        F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("seg", "md"))), lambda p: p["md"]),
+                              lambda m: m != ""), "\n").alias("md"),
+        ordered_concat(F.col("seg"), F.col("plain")).alias("plain"), F.max("bd").alias("bd"), F.max("is_th").alias("is_th"),
+        F.max("in_thead").alias("in_thead"), F.max("block").alias("block"), F.max("is_li").alias("is_li"),
+        F.max("kept").alias("kept"), *[F.max(c).alias(c) for c in STYLE])
+    x = x.select(
+        "doc_id", "is_cell", "kept", "k1", "k2", F.col("k3").alias("seg"), "block", "is_li", *STYLE,
+        F.when(F.col("is_cell"), F.regexp_replace("md", "\\s*\\n\\s*", "<br>")).alias("md"),
+        F.when(F.col("is_cell"), F.trim(F.regexp_replace("plain", "[ \\t\\r\\n\\f]+", " "))).alias("pl"),
+        F.coalesce("bd", F.lit("---")).alias("bd"), F.coalesce("is_th", F.lit(False)).alias("is_th"),
+        F.coalesce("in_thead", F.lit(False)).alias("in_thead"), *(["refs"] if refs else []))
     rows = x.groupBy("doc_id", "is_cell", "k1", "k2").agg(*carry,
         F.array_sort(F.collect_list(F.struct("seg", "md", "pl", "bd"))).alias("cs"),
         F.bool_and("is_th").alias("all_th"), F.bool_or("in_thead").alias("in_thead"),
-        F.max("block").alias("block"), F.max("is_li").alias("is_li"), F.max("kept").alias("kept"))
-    rows = rows.select("doc_id", "is_cell", "k1", "k2", "all_th", "in_thead", "block", "is_li", "kept",
+        F.max("block").alias("block"), F.max("is_li").alias("is_li"), F.max("kept").alias("kept"),
+        *[F.max(c).alias(c) for c in STYLE])
+    rows = rows.select("doc_id", "is_cell", "k1", "k2", "all_th", "in_thead", "block", "is_li", "kept", *STYLE,
                        *(["refs"] if refs else []),
                        F.size("cs").alias("n"),
                        F.concat(F.lit("| "), F.array_join(F.transform("cs", lambda c: c["md"]), " | "), F.lit(" |"))
@@ -193,7 +228,7 @@ def _blocks(segs: DataFrame, refs: bool = False) -> DataFrame:
                                              "border")))
          .alias("rs"),
         F.bool_or("in_thead").alias("has_thead"), F.max("block").alias("block"), F.max("is_li").alias("is_li"),
-        F.max("kept").alias("kept"))
+        F.max("kept").alias("kept"), *[F.max(c).alias(c) for c in STYLE])
     first = F.col("rs")[0]
     has_header = F.col("has_thead") | first["all_th"]
     plain_border = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), first["n"]), " | "), F.lit(" |"))
@@ -205,7 +240,7 @@ def _blocks(segs: DataFrame, refs: bool = False) -> DataFrame:
                   F.when(F.size("rs") > 1, F.concat(F.lit("\n"), rest)).otherwise(F.lit("")))
     return t.select("doc_id", F.col("k1").alias("seg"),
                     F.when(F.col("is_cell"), md).otherwise(F.col("block")).alias("block"),
-                    F.when(F.col("is_cell"), F.lit(False)).otherwise(F.col("is_li")).alias("is_li"), "kept",
+                    F.when(F.col("is_cell"), F.lit(False)).otherwise(F.col("is_li")).alias("is_li"), "kept", *STYLE,
                     *(["refs"] if refs else []))
 
 
@@ -254,6 +289,8 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
         "_li_run": running_inside(tag == "li"),
         "_bq_run": running_inside(tag == "blockquote"),
         "_tab_run": running_inside(tag == "table"),
+        "_cell_run": running_inside(tag.isin("td", "th")),
+        "_list_run": running_inside(tag.isin("ul", "ol")),
         "_sec_run": running_inside(sec),
         "_sec": F.last(F.when(sec & mo, tag), ignorenulls=True).over(running()),
     })
@@ -267,7 +304,11 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     n = n.withColumns({
         "_seg_start": F.last(F.when(F.col("_bnd"), F.col("pos")), ignorenulls=True).over(running()),
         "_next_bnd": F.first(F.when(F.col("_bnd"), F.col("pos")), ignorenulls=True).over(after),
-        "_table_seg": F.last(F.when((tag == "table") & mo, F.col("seg")), ignorenulls=True).over(running()),
+        # the outermost list and blockquote that the token stands in
+        "_top_list": F.last(F.when(tag.isin("ul", "ol") & mo & (F.col("_list_run") == 1), F.col("pos")), ignorenulls=True)
+                      .over(running()),
+        "_top_bq": F.last(F.when((tag == "blockquote") & mo & (F.col("_bq_run") == 1), F.col("pos")), ignorenulls=True)
+                    .over(running()),
         "_link_no": F.sum(href_open.cast("int")).over(running()),
         "_prev_break": F.coalesce(F.lag(F.col("_bnd") | F.col("_field") | ((kind == "void") & (tag == "br"))
                                         | (kind == "doc"))
@@ -349,7 +390,9 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
         F.lower(F.col("attrs")["align"]).alias("align"),
         F.col("parent_pos").alias("row_pos"),
         (F.col("_sec_run") > 0).alias("in_sec"), F.col("_sec").alias("sec"),
-        F.col("_table_seg").alias("table_seg")))
+        F.col("_tab_run").alias("tab_run"), F.col("_cell_run").alias("cell_run"),
+        F.when(F.col("_list_run") > 0, F.col("_top_list")).alias("top_list"),
+        F.when(F.col("_bq_run") > 0, F.col("_top_bq")).alias("top_bq")))
     n = n.withColumn("_head", head)
 
     referenced = opts["link_style"] == "referenced"
@@ -402,13 +445,21 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
             .otherwise(body)
     body = F.when(F.coalesce(h["bq"], F.lit(0)) > 0, prefix_lines(body, F.repeat(F.lit("> "), h["bq"]))) \
             .otherwise(body)
-    segs = segs.withColumn("block", body).withColumn("is_li", F.coalesce(is_li, F.lit(False)))
+    segs = segs.withColumns({"block": body, "is_li": F.coalesce(is_li, F.lit(False)), "top_list": h["top_list"],
+                             "top_bq": h["top_bq"], "bq": h["bq"]})
     segs = _blocks(segs, referenced)
 
+    # between blocks stands an empty line; items of one list follow each other, and inside a quote the empty line
+    # is quoted
     w = Window.partitionBy("doc_id").orderBy("seg")
-    prev_li = F.last(F.when(F.col("kept"), F.col("is_li")), ignorenulls=True).over(
+    prev = F.last(F.when(F.col("kept"), F.struct("is_li", *STYLE)), ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, -1))
-    sep = F.when(F.col("is_li") & F.coalesce(prev_li, F.lit(False)), F.lit("\n")).otherwise("\n\n")
+    segs = segs.withColumn("_prev", prev)
+    p = F.col("_prev")
+    one_list = F.col("is_li") & F.coalesce(p["is_li"], F.lit(False)) & F.col("top_list").eqNullSafe(p["top_list"])
+    one_quote = (F.col("top_bq") == p["top_bq"]) & (F.least(F.col("bq"), p["bq"]) > 0)
+    quoted = F.concat(F.lit("\n"), F.repeat(F.lit("> "), F.least(F.col("bq"), p["bq"])), F.lit("\n"))
+    sep = F.when(one_list, F.lit("\n")).when(one_quote, quoted).otherwise(F.lit("\n\n"))
     segs = segs.withColumn("_joined", F.when(F.col("kept"), F.concat(sep, F.col("block"))).otherwise(F.lit("")))
     out = (segs.groupBy("doc_id")
                .agg(F.regexp_replace(ordered_concat(F.col("seg"), F.col("_joined")),

@@ -291,6 +291,12 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
       OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_bnd,
     {run_inside('code')} AS code_run, {run_inside('li')} AS li_run, {run_inside('blockquote')} AS bq_run,
     {run_inside('table')} AS tab_run,
+    sum(CASE WHEN tag IN ('td', 'th') AND kind = 'open' AND matched THEN 1
+             WHEN tag IN ('td', 'th') AND kind = 'close' AND matched THEN -1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS cell_run,
+    sum(CASE WHEN tag IN ('ul', 'ol') AND kind = 'open' AND matched THEN 1
+             WHEN tag IN ('ul', 'ol') AND kind = 'close' AND matched THEN -1 ELSE 0 END)
+      OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS list_run,
     sum(CASE WHEN tag IN ('thead', 'tbody', 'tfoot') AND kind = 'open' AND matched THEN 1
              WHEN tag IN ('thead', 'tbody', 'tfoot') AND kind = 'close' AND matched THEN -1 ELSE 0 END)
       OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS sec_run,
@@ -320,8 +326,10 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
     CASE WHEN tag = 'li' AND kind = 'open' THEN
       sum(CASE WHEN tag = 'li' AND kind = 'open' THEN 1 ELSE 0 END)
         OVER (PARTITION BY doc_id, parent_pos ORDER BY pos {RUN}) END AS li_idx,
-    last_value(CASE WHEN tag = 'table' AND kind = 'open' AND matched THEN seg END IGNORE NULLS)
-      OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS table_seg0
+    last_value(CASE WHEN tag IN ('ul', 'ol') AND kind = 'open' AND matched AND list_run = 1 THEN pos END IGNORE NULLS)
+      OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS top_list0,
+    last_value(CASE WHEN tag = 'blockquote' AND kind = 'open' AND matched AND bq_run = 1 THEN pos END IGNORE NULLS)
+      OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS top_bq0
   FROM {p}_r3
 ),
 {p}_r5 AS (
@@ -346,7 +354,8 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
     CASE WHEN bnd THEN parent_pos END AS row_pos,
     CASE WHEN bnd THEN sec_run > 0 END AS in_sec,
     CASE WHEN bnd THEN sec0 END AS sec,
-    CASE WHEN bnd THEN table_seg0 END AS table_seg
+    CASE WHEN bnd THEN tab_run END AS seg_tab_run, CASE WHEN bnd THEN cell_run END AS seg_cell_run,
+    CASE WHEN bnd AND list_run > 0 THEN top_list0 END AS top_list, CASE WHEN bnd AND bq_run > 0 THEN top_bq0 END AS top_bq
   FROM {p}_r4
 ),
 {p}_seg AS (
@@ -354,7 +363,8 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
          string_agg(CASE WHEN kind = 'text' THEN {md_escape(rx('text', '[ \\t\\r\\n\\f]+', ' '))} ELSE '' END, ''
                     ORDER BY pos) AS plain,
          max(align) AS align, bool_or(tab) AS tab, bool_or(in_table) AS in_table, coalesce(bool_or(cb), false) AS cb, bool_or(cell) AS cell, bool_or(is_th) AS is_th,
-         max(row_pos) AS row_pos, bool_or(in_sec) AS in_sec, max(sec) AS sec, max(table_seg) AS table_seg,
+         max(row_pos) AS row_pos, bool_or(in_sec) AS in_sec, max(sec) AS sec,
+         max(seg_tab_run) AS tab_run, max(seg_cell_run) AS cell_run, max(top_list) AS top_list, max(top_bq) AS top_bq,
          max(heading) AS heading, max(level) AS level, max(li) AS li, max(li_depth) AS li_depth, max(bq) AS bq,
          coalesce(bool_or(hr), false) AS hr,
          CAST(sum(CASE WHEN dangling AND mk = 'e' THEN 1 ELSE 0 END) AS BIGINT) AS n_e,
@@ -379,12 +389,29 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
                  ELSE b1 END AS b2
   FROM {p}_seg3
 ),
+{p}_seg4b AS (
+  SELECT *, coalesce(cell, false) AND coalesce(in_table, false) AS is_cell,
+         last_value(CASE WHEN tab THEN seg END IGNORE NULLS) OVER (PARTITION BY doc_id, tab_run ORDER BY seg {RUN}) AS table_seg,
+         CASE WHEN coalesce(bq, 0) > 0 THEN repeat('> ', CAST(bq AS BIGINT)) || replace(b2, chr(10), chr(10) || repeat('> ', CAST(bq AS BIGINT)))
+              ELSE b2 END AS block
+  FROM {p}_seg4
+),
+{p}_seg4c AS (
+  SELECT *, last_value(CASE WHEN is_cell THEN seg END IGNORE NULLS) OVER w AS cell_seg
+  FROM {p}_seg4b WINDOW w AS (PARTITION BY doc_id, tab_run, cell_run ORDER BY seg {RUN})
+),
+{p}_seg4d AS (
+  SELECT *, is_cell OR (NOT coalesce(tab, false) AND coalesce(in_table AND cell_run > 0, false) AND cell_seg IS NOT NULL) AS of_cell
+  FROM {p}_seg4c
+),
 {p}_cells AS (
-  SELECT doc_id, table_seg, row_pos, seg, regexp_replace(body0, '\\s*\\n\\s*', '<br>', 'g') AS md,
-         trim(regexp_replace(plain, '[ \\t\\r\\n\\f]+', ' ', 'g')) AS pl, is_th,
-         coalesce(in_sec AND sec = 'thead', false) AS in_thead,
-         CASE align WHEN 'left' THEN ':--' WHEN 'right' THEN '--:' WHEN 'center' THEN ':-:' ELSE '---' END AS bd
-  FROM {p}_seg2 WHERE coalesce(cell, false) AND coalesce(in_table, false)
+  SELECT doc_id, cell_seg AS seg, max(table_seg) FILTER (is_cell) AS table_seg, max(row_pos) FILTER (is_cell) AS row_pos,
+         regexp_replace(coalesce(string_agg(CASE WHEN is_cell THEN body0 ELSE block END, chr(10) ORDER BY seg)
+                          FILTER (CASE WHEN is_cell THEN body0 ELSE block END <> ''), ''), '\\s*\\n\\s*', '<br>', 'g') AS md,
+         trim(regexp_replace(string_agg(plain, '' ORDER BY seg), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS pl,
+         bool_or(is_th) FILTER (is_cell) AS is_th, bool_or(coalesce(in_sec AND sec = 'thead', false)) FILTER (is_cell) AS in_thead,
+         max(CASE align WHEN 'left' THEN ':--' WHEN 'right' THEN '--:' WHEN 'center' THEN ':-:' ELSE '---' END) FILTER (is_cell) AS bd
+  FROM {p}_seg4d WHERE of_cell GROUP BY doc_id, cell_seg
 ),
 {p}_rows AS (
   SELECT doc_id, table_seg, row_pos, bool_and(is_th) AS all_th, bool_or(in_thead) AS in_thead, count(*) AS n,
@@ -407,18 +434,21 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
   FROM {p}_rows2 GROUP BY doc_id, table_seg
 ),
 {p}_seg5 AS (
-  SELECT doc_id, seg, li IS NOT NULL AS is_li,
-    CASE WHEN coalesce(bq, 0) > 0 THEN repeat('> ', CAST(bq AS BIGINT)) || replace(b2, chr(10), chr(10) || repeat('> ', CAST(bq AS BIGINT)))
-         ELSE b2 END AS block
-  FROM {p}_seg4 WHERE (body0 <> '' OR hr) AND NOT (coalesce(in_table, false) OR coalesce(tab, false))
+  SELECT doc_id, seg, li IS NOT NULL AS is_li, block, top_list, top_bq, coalesce(bq, 0) AS bq
+  FROM {p}_seg4d WHERE (body0 <> '' OR hr) AND NOT of_cell AND NOT coalesce(tab, false)
   UNION ALL
-  SELECT doc_id, seg, false AS is_li, block FROM {p}_tabs
+  SELECT t.doc_id, t.seg, false AS is_li, t.block, c.top_list, c.top_bq, c.bq
+  FROM {p}_tabs t JOIN (SELECT doc_id, table_seg AS seg, max(top_list) AS top_list, max(top_bq) AS top_bq,
+                               coalesce(max(bq), 0) AS bq FROM {p}_seg4d WHERE of_cell GROUP BY ALL) c
+    ON t.doc_id = c.doc_id AND t.seg = c.seg
 ),
 {p}_seg6 AS (
   SELECT doc_id, seg,
-    CASE WHEN is_li AND coalesce(lag(is_li) OVER (PARTITION BY doc_id ORDER BY seg), false) THEN chr(10)
+    CASE WHEN is_li AND coalesce(lag(is_li) OVER w, false) AND top_list IS NOT DISTINCT FROM lag(top_list) OVER w THEN chr(10)
+         WHEN top_bq = lag(top_bq) OVER w AND least(bq, lag(bq) OVER w) > 0
+           THEN chr(10) || repeat('> ', CAST(least(bq, lag(bq) OVER w) AS BIGINT)) || chr(10)
          ELSE chr(10) || chr(10) END || block AS joined
-  FROM {p}_seg5
+  FROM {p}_seg5 WINDOW w AS (PARTITION BY doc_id ORDER BY seg)
 ),
 {p}_doc AS (
   SELECT doc_id, {rx("string_agg(joined, '' ORDER BY seg)", "^[\\t\\r\\n]+|[\\t\\r\\n ]+$", "")} AS markdown

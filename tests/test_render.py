@@ -69,3 +69,25 @@ def test_simple_html(spark):
     df = spark.createDataFrame([(1, html)], "doc_id long, html string")
     assert to_simple_html(df).first()["simple_html"] == \
         "<div><div><p>x</p></div><table><tr><td>1</td></tr></table>plain</div>"
+
+
+@pytest.mark.parametrize("html,expected", [
+    ("<table><tr><th>H</th></tr><tr><td><p>hello</p></td></tr></table>", "| H |\n| --- |\n| hello |"),
+    ("<table><tr><th>H</th></tr><tr><td>a<ul><li>b</li></ul>c</td></tr></table>", "| H |\n| --- |\n| a<br>*   b<br>c |"),
+    ("<blockquote><p>one</p><p>two</p></blockquote>", "> one\n> \n> two"),
+    ("<blockquote><p>one</p></blockquote><blockquote><p>two</p></blockquote>", "> one\n\n> two"),
+    ("<ol><li>b</li></ol><ul><li>c</li></ul>", "1.  b\n\n*   c"),
+    ("<p><code>a`b</code> <code>plain</code></p>", "``a`b`` `plain`"),
+    ("<p><code>`x``</code></p>", "``` `x`` ```"),
+    ("<table><tr><th>A</th><th>B</th></tr><tr><td>x<table><tr><th>n</th></tr><tr><td>v</td></tr></table>tail</td>"
+     "<td>after</td></tr><tr><td>r2</td><td>r3</td></tr></table>",
+     "| A | B |\n| --- | --- |\n| x<br>tail | after |\n| r2 | r3 |\n\n| n |\n| --- |\n| v |"),
+])
+def test_blocks_in_cells_lists_and_quotes(spark, html, expected):
+    assert render(spark, html) == expected
+
+
+def test_canonical_form_ignores_line_ends_around(spark):
+    from quire.operators.compare import same_entry
+    df = spark.createDataFrame([(1, "\n<p>x</p>\n", "<p>x</p>"), (2, "<p>x</p>", "<p>y</p>")], "doc_id long, left_html string, right_html string")
+    assert {r.doc_id: r.same for r in same_entry(df).collect()} == {1: True, 2: False}
