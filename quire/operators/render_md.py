@@ -157,8 +157,9 @@ def _image() -> Column:
     return F.when(src != "", F.concat(F.lit("!["), alt, F.lit("]("), src, title_part, F.lit(")"))).otherwise("")
 
 
-# What joins a block to the one before it: the outermost list and quote, and how deep it is quoted.
-STYLE = ["top_list", "top_bq", "bq"]
+# What joins a block to the one before it: the outermost list and quote, how deep it is quoted, whether it is a block of
+# an item rather than the item's own text, and how many items it is in.
+STYLE = ["top_list", "top_bq", "bq", "loose", "li_in"]
 
 
 def _blocks(segs: DataFrame, refs: bool = False) -> DataFrame:
@@ -423,9 +424,22 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     segs = segs.withColumn("body", F.when(F.coalesce(F.col("head")["cb"], F.lit(False)), fenced)
                            .otherwise(finish(raw, opts)))
 
+    # the marker of an item goes to the first of its segments that holds anything
     h = F.col("head")
-    indent = F.repeat(F.lit(" "), F.coalesce(h["li_depth"], F.lit(0)) * 4)
-    is_li = h["li"].isNotNull()
+    by_doc = Window.partitionBy("doc_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
+    segs = segs.withColumn("_item", F.sum(F.when(h["li"].isNotNull(), 1).otherwise(0)).over(by_doc))
+    item = Window.partitionBy("doc_id", "_item").orderBy("seg").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    holds = (F.col("body") != "") | F.coalesce(h["hr"], F.lit(False))
+    segs = segs.withColumns({
+        "_first": F.first(F.when(holds, F.col("seg")), True).over(item),
+        "_marker": F.first(F.when(h["li"].isNotNull(), F.struct(h["li"].alias("li"), h["li_depth"].alias("depth"))), True).over(item)})
+    li_depth = F.coalesce(h["li_depth"], F.lit(0))
+    moved = h["li"].isNull() & (F.col("seg") == F.col("_first")) & (li_depth == F.col("_marker.depth") + 1)
+    moved = F.coalesce(moved, F.lit(False))
+    marker = F.coalesce(h["li"], F.when(moved, F.col("_marker.li")))
+    is_li = marker.isNotNull()
+    depth = F.when(moved, li_depth - 1).otherwise(li_depth)      # items around the block's own item
+    indent = F.repeat(F.lit(" "), depth * 4)
     body0 = F.col("body")
 
     def prefix_lines(c: Column, prefix: Column) -> Column:
@@ -435,22 +449,22 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     if opts["heading_style"] == "setext":     # K19: underlined h1 / h2
         heading = F.when(h["level"] <= 2, F.concat(body0, F.lit("\n"), F.repeat(
             F.when(h["level"] == 1, F.lit("=")).otherwise(F.lit("-")), F.length(body0)))).otherwise(heading)
-    body = (F.when(h["heading"].isNotNull(), heading)
-             .when(is_li, F.concat(indent, h["li"],
-                                   F.replace(body0, F.lit("\n"), F.concat(F.lit("\n"), indent, F.lit("    ")))))
-             .when(F.coalesce(h["li_depth"], F.lit(0)) > 0, prefix_lines(body0, F.concat(indent, F.lit("    "))))
-             .otherwise(body0))
-    body = F.when(F.coalesce(h["hr"], F.lit(False)),
-                  F.when(body0 == "", F.lit(opts["hr"])).otherwise(F.concat(F.lit(opts["hr"] + "\n\n"), body0))) \
-            .otherwise(body)
+    rule = F.when(body0 == "", F.lit(opts["hr"])).otherwise(F.concat(F.lit(opts["hr"] + "\n\n"), body0))
+    content = (F.when(h["heading"].isNotNull(), heading)
+                .when(F.coalesce(h["hr"], F.lit(False)), rule).otherwise(body0))
+    body = (F.when(is_li, F.concat(indent, marker, F.replace(content, F.lit("\n"), F.concat(
+                F.lit("\n"), indent, F.repeat(F.lit(" "), F.length(marker))))))
+             .when(li_depth > 0, prefix_lines(content, indent))
+             .otherwise(content))
     body = F.when(F.coalesce(h["bq"], F.lit(0)) > 0, prefix_lines(body, F.repeat(F.lit("> "), h["bq"]))) \
             .otherwise(body)
-    segs = segs.withColumns({"block": body, "is_li": F.coalesce(is_li, F.lit(False)), "top_list": h["top_list"],
+    segs = segs.withColumns({"loose": h["li"].isNull() & (li_depth > 0), "li_in": F.when(is_li, depth + 1).otherwise(li_depth)})
+    segs = segs.withColumns({"block": body, "is_li": is_li, "top_list": h["top_list"],
                              "top_bq": h["top_bq"], "bq": h["bq"]})
     segs = _blocks(segs, referenced)
 
-    # between blocks stands an empty line; items of one list follow each other, and inside a quote the empty line
-    # is quoted
+    # between blocks stands an empty line. Items of one list follow each other; inside an item the empty line is
+    # indented, inside a quote it is quoted
     w = Window.partitionBy("doc_id").orderBy("seg")
     prev = F.last(F.when(F.col("kept"), F.struct("is_li", *STYLE)), ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, -1))
@@ -459,7 +473,12 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     one_list = F.col("is_li") & F.coalesce(p["is_li"], F.lit(False)) & F.col("top_list").eqNullSafe(p["top_list"])
     one_quote = (F.col("top_bq") == p["top_bq"]) & (F.least(F.col("bq"), p["bq"]) > 0)
     quoted = F.concat(F.lit("\n"), F.repeat(F.lit("> "), F.least(F.col("bq"), p["bq"])), F.lit("\n"))
-    sep = F.when(one_list, F.lit("\n")).when(one_quote, quoted).otherwise(F.lit("\n\n"))
+    pad = lambda n: F.concat(F.lit("\n"), F.repeat(F.lit(" "), n * 4), F.lit("\n"))
+    after = F.coalesce(p["loose"], F.lit(False))
+    sep = (F.when(one_list & ~after, F.lit("\n")).when(one_list, pad(p["li_in"]))
+            .when(F.col("loose") & (F.col("top_list") == p["top_list"]), pad(F.col("li_in")))
+            .when(after, F.concat(pad(p["li_in"]), F.lit("\n")))
+            .when(one_quote, quoted).otherwise(F.lit("\n\n")))
     segs = segs.withColumn("_joined", F.when(F.col("kept"), F.concat(sep, F.col("block"))).otherwise(F.lit("")))
     out = (segs.groupBy("doc_id")
                .agg(F.regexp_replace(ordered_concat(F.col("seg"), F.col("_joined")),

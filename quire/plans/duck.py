@@ -259,6 +259,9 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
                   "CAST(length(body0) AS BIGINT)) ELSE heading || body0 END")
     if opts["code_block_style"] == "indented":
         fenced = f"'    ' || replace({code}, chr(10), chr(10) || '    ')"
+    def pad(n):
+        return f"chr(10) || repeat(' ', CAST({n} * 4 AS BIGINT)) || chr(10)"
+
     ctes = f"""
 {p}_r0 AS (
   SELECT *, tag = 'pre' AND kind = 'open' AND matched AND
@@ -373,21 +376,35 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
   FROM {p}_r5 GROUP BY doc_id, seg
 ),
 {p}_seg2 AS (
-  SELECT *, CASE WHEN cb THEN {fenced} ELSE {chain(raw, finish_rules)} END AS body0,
-         repeat(' ', CAST(coalesce(li_depth, 0) * 4 AS BIGINT)) AS ind FROM {p}_seg
+  SELECT *, CASE WHEN cb THEN {fenced} ELSE {chain(raw, finish_rules)} END AS body0, '' AS ind FROM {p}_seg
+),
+{p}_it1 AS (
+  SELECT *, sum(CASE WHEN li IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seg {RUN}) AS item
+  FROM {p}_seg2
+),
+{p}_it2 AS (
+  SELECT *, min(CASE WHEN body0 <> '' OR hr THEN seg END) OVER (PARTITION BY doc_id, item) AS first_seg,
+         max(li) OVER (PARTITION BY doc_id, item) AS item_li,
+         max(CASE WHEN li IS NOT NULL THEN li_depth END) OVER (PARTITION BY doc_id, item) AS item_depth
+  FROM {p}_it1
+),
+{p}_it3 AS (
+  SELECT *, coalesce(li IS NULL AND seg = first_seg AND coalesce(li_depth, 0) = item_depth + 1, false) AS moved FROM {p}_it2
 ),
 {p}_seg3 AS (
-  SELECT *,
+  SELECT * EXCLUDE (ind), CASE WHEN li IS NOT NULL THEN li WHEN moved THEN item_li END AS marker,
+    CASE WHEN moved THEN coalesce(li_depth, 0) - 1 ELSE coalesce(li_depth, 0) END AS depth,
+    li IS NULL AND coalesce(li_depth, 0) > 0 AS loose,
     CASE WHEN heading IS NOT NULL THEN {setext}
-         WHEN li IS NOT NULL THEN ind || li || replace(body0, chr(10), chr(10) || ind || '    ')
-         WHEN coalesce(li_depth, 0) > 0 THEN ind || '    ' || replace(body0, chr(10), chr(10) || ind || '    ')
+         WHEN hr THEN (CASE WHEN body0 = '' THEN {q(opts['hr'])} ELSE {q(opts['hr'] + chr(10) + chr(10))} || body0 END)
          ELSE body0 END AS b1
-  FROM {p}_seg2
+  FROM {p}_it3
 ),
 {p}_seg4 AS (
-  SELECT *, CASE WHEN hr THEN (CASE WHEN body0 = '' THEN {q(opts['hr'])} ELSE {q(opts['hr'] + chr(10) + chr(10))} || body0 END)
-                 ELSE b1 END AS b2
-  FROM {p}_seg3
+  SELECT *, CASE WHEN marker IS NOT NULL THEN depth + 1 ELSE depth END AS li_in,
+    CASE WHEN marker IS NOT NULL THEN ind || marker || replace(b1, chr(10), chr(10) || ind || repeat(' ', CAST(length(marker) AS BIGINT)))
+         WHEN depth > 0 THEN ind || replace(b1, chr(10), chr(10) || ind) ELSE b1 END AS b2
+  FROM (SELECT *, repeat(' ', CAST(depth * 4 AS BIGINT)) AS ind FROM {p}_seg3)
 ),
 {p}_seg4b AS (
   SELECT *, coalesce(cell, false) AND coalesce(in_table, false) AS is_cell,
@@ -434,17 +451,20 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
   FROM {p}_rows2 GROUP BY doc_id, table_seg
 ),
 {p}_seg5 AS (
-  SELECT doc_id, seg, li IS NOT NULL AS is_li, block, top_list, top_bq, coalesce(bq, 0) AS bq
+  SELECT doc_id, seg, marker IS NOT NULL AS is_li, block, top_list, top_bq, coalesce(bq, 0) AS bq, loose, li_in
   FROM {p}_seg4d WHERE (body0 <> '' OR hr) AND NOT of_cell AND NOT coalesce(tab, false)
   UNION ALL
-  SELECT t.doc_id, t.seg, false AS is_li, t.block, c.top_list, c.top_bq, c.bq
+  SELECT t.doc_id, t.seg, false AS is_li, t.block, c.top_list, c.top_bq, c.bq, c.loose, c.li_in
   FROM {p}_tabs t JOIN (SELECT doc_id, table_seg AS seg, max(top_list) AS top_list, max(top_bq) AS top_bq,
-                               coalesce(max(bq), 0) AS bq FROM {p}_seg4d WHERE of_cell GROUP BY ALL) c
+                               coalesce(max(bq), 0) AS bq, bool_or(loose) AS loose, max(li_in) AS li_in FROM {p}_seg4d WHERE of_cell GROUP BY ALL) c
     ON t.doc_id = c.doc_id AND t.seg = c.seg
 ),
 {p}_seg6 AS (
   SELECT doc_id, seg,
-    CASE WHEN is_li AND coalesce(lag(is_li) OVER w, false) AND top_list IS NOT DISTINCT FROM lag(top_list) OVER w THEN chr(10)
+    CASE WHEN is_li AND coalesce(lag(is_li) OVER w, false) AND top_list IS NOT DISTINCT FROM lag(top_list) OVER w
+           THEN CASE WHEN coalesce(lag(loose) OVER w, false) THEN {pad('lag(li_in) OVER w')} ELSE chr(10) END
+         WHEN loose AND top_list = lag(top_list) OVER w THEN {pad('li_in')}
+         WHEN coalesce(lag(loose) OVER w, false) THEN {pad('lag(li_in) OVER w')} || chr(10)
          WHEN top_bq = lag(top_bq) OVER w AND least(bq, lag(bq) OVER w) > 0
            THEN chr(10) || repeat('> ', CAST(least(bq, lag(bq) OVER w) AS BIGINT)) || chr(10)
          ELSE chr(10) || chr(10) END || block AS joined

@@ -77,6 +77,11 @@ def test_simple_html(spark):
     ("<blockquote><p>one</p><p>two</p></blockquote>", "> one\n> \n> two"),
     ("<blockquote><p>one</p></blockquote><blockquote><p>two</p></blockquote>", "> one\n\n> two"),
     ("<ol><li>b</li></ol><ul><li>c</li></ul>", "1.  b\n\n*   c"),
+    ("<ul><li><p>one</p></li><li><p>two</p></li></ul><p>after</p>", "*   one\n    \n*   two\n    \n\nafter"),
+    ("<ul><li><p>a</p><p>b</p></li></ul>", "*   a\n    \n    b"),
+    ("<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>", "*   a\n    *   b\n*   c"),
+    ("<ol>" + "".join(f"<li>i{k}<br>x</li>" for k in range(10)) + "</ol>",
+     "\n".join(f"{k + 1}.  i{k}  \n{' ' * len(f'{k + 1}.  ')}x" for k in range(10))),
     ("<p><code>a`b</code> <code>plain</code></p>", "``a`b`` `plain`"),
     ("<p><code>`x``</code></p>", "``` `x`` ```"),
     ("<table><tr><th>A</th><th>B</th></tr><tr><td>x<table><tr><th>n</th></tr><tr><td>v</td></tr></table>tail</td>"
