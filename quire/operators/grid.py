@@ -140,31 +140,27 @@ def swap_tables(payload_cells: DataFrame, grid_cells: DataFrame) -> DataFrame:
 
 def native_cells(tree: DataFrame) -> DataFrame:
     """Native ``<table>`` -> ``cells``. Windows over the token relation, no interval join: every text token
-    is credited to the innermost open cell (a running cell depth says whether it is inside one), cells take
+    is credited to the innermost cell that holds it, cells and sections to the nearest table; cells take
     their row from their parent ``tr``, rows are ranked within the table, tables within the document.
     ``colspan``/``rowspan`` are ignored (as by the reference). Needs ``with_tree``."""
     from ..functions.text import js_trim
-    from .nodes import ordered_concat, running
+    from .nodes import enclosing, ordered_concat
     kind, tag = F.col("kind"), F.col("tag")
     mo = (kind == "open") & F.col("matched")
-    mc = (kind == "close") & F.col("matched")
     is_cell = tag.isin("td", "th")
     is_sec = tag.isin("thead", "tbody", "tfoot")
-    n = (tree
-         .withColumn("table_pos", F.last(F.when((tag == "table") & mo, F.col("pos")), ignorenulls=True).over(running()))
-         .withColumn("_cell_depth", F.sum(F.when(is_cell & mo, 1).when(is_cell & mc, -1).otherwise(0)).over(running()))
-         .withColumn("cell_pos", F.last(F.when(is_cell & mo, F.col("pos")), ignorenulls=True).over(running()))
-         .withColumn("_sec_depth", F.sum(F.when(is_sec & mo, 1).when(is_sec & mc, -1).otherwise(0)).over(running()))
-         .withColumn("_sec", F.last(F.when(is_sec & mo, tag), ignorenulls=True).over(running())))
+    n = enclosing(enclosing(enclosing(tree, tag == "table", "table_pos"), is_cell, "cell_pos"), is_sec, "_sec_pos")
+    n = n.withColumn("_sec", F.when(F.col("_sec_pos") > F.col("table_pos"), F.max(F.when(is_sec & mo, tag)).over(
+        Window.partitionBy("doc_id", "_sec_pos"))))
     # one aggregate per cell gathers its text tokens and the opener's own facts: no self-join, so the token
     # pipeline above runs once
     opener = is_cell & mo
-    member = opener | ((kind == "text") & (F.col("_cell_depth") > 0))
+    member = opener | ((kind == "text") & F.col("cell_pos").isNotNull())
     cells = (n.filter(member).groupBy("doc_id", "cell_pos").agg(
         ordered_concat(F.col("pos"), F.when(kind == "text", F.col("text"))).alias("text"),
         F.max(F.when(opener, F.struct(
             F.col("table_pos").alias("table_pos"), F.col("parent_pos").alias("row_pos"),
-            F.when(F.col("_sec_depth") > 0, F.col("_sec")).otherwise(F.lit("table")).alias("section"),
+            F.coalesce("_sec", F.lit("table")).alias("section"),
             (tag == "th").alias("is_header")))).alias("o"))
         .filter(F.col("o").isNotNull())
         .select("doc_id", "cell_pos", "text", "o.table_pos", "o.row_pos", "o.section", "o.is_header"))

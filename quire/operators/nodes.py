@@ -186,6 +186,16 @@ def with_tree(nodes: DataFrame) -> DataFrame:
              .select(*cols, F.col("_par.pos").alias("parent_pos"), F.col("_par.tag").alias("parent_tag")))
 
 
+def enclosing(nodes: DataFrame, is_el: Column, name: str) -> DataFrame:
+    """Adds ``name``: position of the nearest matched element of ``is_el`` that holds the token (an opener counts as
+    inside itself, a closer as outside). The holder is the last one opened at the same nesting depth."""
+    mo = (F.col("kind") == "open") & F.col("matched")
+    mc = (F.col("kind") == "close") & F.col("matched")
+    n = nodes.withColumn("_nest", F.sum(F.when(is_el & mo, 1).when(is_el & mc, -1).otherwise(0)).over(running()))
+    w = Window.partitionBy("doc_id", "_nest").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return n.withColumn(name, F.last(F.when(is_el & mo, F.col("pos")), ignorenulls=True).over(w)).drop("_nest")
+
+
 def subtree_text(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     """C7 ``textContent``: for element rows ``(doc_id, pos, end_pos)`` the ordered concatenation of the text
     tokens inside. Equi-join on ``doc_id`` with the interval as residual predicate, so the planner picks a

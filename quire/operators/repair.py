@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import JS_SPACE, js_trim
-from .nodes import running, w_doc
+from .nodes import enclosing, running, w_doc
 from .policy import BLOCK_TAGS, PLAIN_CONTAINERS, UNWRAPPABLE
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -302,11 +302,10 @@ def drop_dead_whitespace(nodes: DataFrame) -> DataFrame:
 # E4 / E6 tables
 
 def with_table_headers(tree: DataFrame) -> DataFrame:
-    """E4 as windows: ``table_pos`` (nearest table opened before the token) and ``has_header`` for its table: a
+    """E4 as windows: ``table_pos`` (nearest enclosing table) and ``has_header`` for its table: a
     ``thead`` child, or no rows, or every cell of the first row is ``th``. Needs ``with_tree``."""
     kind, tag = F.col("kind"), F.col("tag")
-    n = tree.withColumn("table_pos", F.last(F.when((tag == "table") & _mo(), F.col("pos")), ignorenulls=True)
-                        .over(running()))
+    n = enclosing(tree, tag == "table", "table_pos")
     w = Window.partitionBy("doc_id", "table_pos")
     n = n.withColumns({
         "_thead": F.max(F.when((tag == "thead") & _mo() & (F.col("parent_pos") == F.col("table_pos")), 1)

@@ -189,6 +189,15 @@ def tree_ctes(inp: str, p: str) -> str:
 {p}_tree AS (SELECT * EXCLUDE (role, k) FROM {p}_t3 WHERE role = 0)"""
 
 
+def enclosing(inp: str, out: str, el: str, col: str) -> str:
+    """CTE ``out``: the rows of ``inp`` with the position of the nearest element ``el`` that holds them."""
+    return f"""
+{out}_d AS (SELECT *, sum(CASE WHEN {el} AND kind = 'open' AND matched THEN 1 WHEN {el} AND kind = 'close' AND matched THEN -1 ELSE 0 END)
+              OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS nest FROM {inp}),
+{out} AS (SELECT * EXCLUDE (nest), last_value(CASE WHEN {el} AND kind = 'open' AND matched THEN pos END IGNORE NULLS)
+            OVER (PARTITION BY doc_id, nest ORDER BY pos {RUN}) AS {col} FROM {out}_d)"""
+
+
 def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False,
                    rules: str | None = None, options: dict | None = None) -> tuple[str, str]:
     """CTEs rendering Markdown from a node tree; ``docs(doc_id)`` lists every document. Returns (ctes, name).

@@ -8,7 +8,7 @@ from __future__ import annotations
 from ..functions.text import JS_SPACE
 from ..operators import repair as RP
 from ..operators.policy import ALLOWED_ATTR, ALLOWED_TAGS, BLOCK_TAGS, PLAIN_CONTAINERS
-from .duck import RUN, attr, esc_text, in_list, q, spans_ctes, token_html, tree_ctes
+from .duck import RUN, attr, enclosing, esc_text, in_list, q, spans_ctes, token_html, tree_ctes
 
 BASE = "doc_id, pos, kind, tag, text, attrs, before"
 EMPTY_ATTRS = "CAST([] AS STRUCT(k VARCHAR, v VARCHAR)[])"
@@ -234,9 +234,7 @@ def d13(inp, p):
 
 def with_table_headers(inp_tree, p):
     w = "PARTITION BY doc_id, table_pos"
-    return f"""
-{p}_h1 AS (SELECT *, last_value(CASE WHEN tag = 'table' AND {MO} THEN pos END IGNORE NULLS)
-                       OVER (PARTITION BY doc_id ORDER BY pos {RUN}) AS table_pos FROM {inp_tree}),
+    return f"""{enclosing(inp_tree, p + "_h1", "tag = 'table'", "table_pos")},
 {p}_h2 AS (SELECT *, max(CASE WHEN tag = 'thead' AND {MO} AND parent_pos = table_pos THEN 1 ELSE 0 END) OVER ({w}) AS _thead,
                      min(CASE WHEN tag = 'tr' AND kind = 'open' THEN pos END) OVER ({w}) AS _first_tr FROM {p}_h1),
 {p}_h3 AS (SELECT *, min(CASE WHEN tag IN ('td', 'th') AND kind = 'open' AND parent_pos = _first_tr

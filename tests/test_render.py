@@ -96,3 +96,19 @@ def test_canonical_form_ignores_line_ends_around(spark):
     from quire.operators.compare import same_entry
     df = spark.createDataFrame([(1, "\n<p>x</p>\n", "<p>x</p>"), (2, "<p>x</p>", "<p>y</p>")], "doc_id long, left_html string, right_html string")
     assert {r.doc_id: r.same for r in same_entry(df).collect()} == {1: True, 2: False}
+
+
+def test_nested_tables_keep_their_own_cells(spark):
+    from quire.operators.derive import to_simple_html
+    from quire.operators.grid import native_cells
+    from quire.operators.nodes import to_nodes, with_spans, with_tree
+    from quire.operators.repair import table_headers
+    html = ("<table><tbody><tr><td>a<table><tr><th>n</th></tr></table> tail</td><td>b</td></tr></tbody>"
+            "<tbody><tr><td>c</td><td>d</td></tr></tbody></table>")
+    df = spark.createDataFrame([(1, html)], "doc_id long, html string")
+    tree = with_tree(with_spans(to_nodes(df)))
+    got = sorted((r.table_no, r.r, r.c, r.text) for r in native_cells(tree).collect())
+    assert got == [(0, 0, 0, "a tail"), (0, 0, 1, "b"), (0, 1, 0, "c"), (0, 1, 1, "d"), (1, 0, 0, "n")]
+    assert [r.has_header for r in table_headers(tree).orderBy("table_pos").collect()] == [False, True]
+    out = to_simple_html(df).first()["simple_html"]
+    assert "<tbody>" not in out and "</tbody>" not in out
