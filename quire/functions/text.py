@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,15 +35,11 @@ BASE64_IMAGE = r"(data:image/[^;]+;base64,)[a-zA-Z0-9+/=]+"
 BASE64_REPLACEMENT = "$1[IMAGE_BINARY]"
 # ---------------------------------------------------------------------------------------------------------------
 
-# Entities decoded in text and attribute values; ``&amp;`` last so ``&amp;lt;`` stays ``&lt;``.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&trade;", "\u2122"),
-            ("&middot;", "\u00b7"), ("&hellip;", "\u2026"), ("&mdash;", "\u2014"), ("&ndash;", "\u2013"),
-            ("&laquo;", "\u00ab"), ("&raquo;", "\u00bb"), ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"),
-            ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&bull;", "\u2022"), ("&euro;", "\u20ac"),
-            ("&pound;", "\u00a3"), ("&yen;", "\u00a5"), ("&cent;", "\u00a2"), ("&sect;", "\u00a7"),
-            ("&deg;", "\u00b0"), ("&times;", "\u00d7"), ("&divide;", "\u00f7"), ("&para;", "\u00b6"),
-            ("&amp;", "&")]
+# Named character references of HTML 4 (and ``apos``), from the standard library's table.
+ENTITIES = {name: chr(code) for name, code in sorted(html.entities.name2codepoint.items())} | {"apos": "'"}
+# What stands behind an ampersand: a decimal, a hexadecimal or a named reference.
+DECIMAL, HEXADECIMAL, NAMED = "^#([0-9]{1,7});", "^#[xX]([0-9a-fA-F]{1,6});", "^([A-Za-z0-9]+);"
+LAST_CODE_POINT = 0x10FFFF
 
 # Private-use code points the renderers use as in-band markers; stripped from input text first.
 MARKER_CLASS = "[\ue000-\ue00f]"
@@ -60,9 +58,25 @@ def js_spaces_to_ascii(c: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    """Character references, each decoded once (so ``&amp;lt;`` stays ``&lt;``). A number that is no character becomes
+    U+FFFD; what is no reference stays as it is."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def number(n: Column) -> Column:
+        valid = (n > 0) & (n <= LAST_CODE_POINT) & ~n.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+    def part(p: Column) -> Column:
+        rest = F.regexp_replace(p, "^[^;]*;", "")
+        named = F.try_element_at(names, F.regexp_extract(p, NAMED, 1))
+        return (F.when(p.rlike(DECIMAL), F.concat(number(F.regexp_extract(p, DECIMAL, 1).cast("bigint")), rest))
+                 .when(p.rlike(HEXADECIMAL), F.concat(number(F.conv(F.regexp_extract(p, HEXADECIMAL, 1), 16, 10).cast("bigint")), rest))
+                 .when(named.isNotNull(), F.concat(named, rest))
+                 .otherwise(F.concat(F.lit("&"), p)))
+
+    parts = F.split(c, "&")
+    decoded = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(part(p)))
+    return F.when(F.instr(c, "&") > 0, F.array_join(decoded, "")).otherwise(c)
 
 
 def strip_markers(c: Column) -> Column:

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import re
 
-from ..functions.text import BASE64_IMAGE, BASE64_REPLACEMENT, ENTITIES, MARKER_CLASS, MAX_PAYLOAD_CHARS, \
-    MD_ESCAPES
+from ..functions.text import BASE64_IMAGE, BASE64_REPLACEMENT, DECIMAL, ENTITIES, HEXADECIMAL, LAST_CODE_POINT, \
+    MARKER_CLASS, MAX_PAYLOAD_CHARS, MD_ESCAPES, NAMED
 from ..operators import nodes as N
 from ..operators import render_md as R
 
@@ -42,9 +42,21 @@ def chain(expr: str, rules) -> str:
 
 
 def decode(expr: str) -> str:
-    for ent, ch in ENTITIES:
-        expr = f"replace({expr}, {q(ent)}, {q(ch)})"
-    return expr
+    names = "map([" + ", ".join(q(n) for n in ENTITIES) + "], [" + ", ".join(q(c) for c in ENTITIES.values()) + "])"
+    rest = "regexp_replace(p, '^[^;]*;', '')"
+
+    def number(n):
+        return (f"CASE WHEN {n} > 0 AND {n} <= {LAST_CODE_POINT} AND NOT {n} BETWEEN 55296 AND 57343 "
+                f"THEN chr(CAST({n} AS INTEGER)) ELSE chr(65533) END")
+
+    dec = f"CAST(regexp_extract(p, {q(DECIMAL)}, 1) AS BIGINT)"
+    hexa = f"CAST('0x' || regexp_extract(p, {q(HEXADECIMAL)}, 1) AS BIGINT)"
+    part = (f"CASE WHEN i = 1 THEN p WHEN regexp_matches(p, {q(DECIMAL)}) THEN {number(dec)} || {rest} "
+            f"WHEN regexp_matches(p, {q(HEXADECIMAL)}) THEN {number(hexa)} || {rest} "
+            f"WHEN {names}[regexp_extract(p, {q(NAMED)}, 1)] IS NOT NULL THEN {names}[regexp_extract(p, {q(NAMED)}, 1)] || {rest} "
+            f"ELSE '&' || p END")
+    return (f"(CASE WHEN contains({expr}, '&') THEN array_to_string(list_transform(string_split({expr}, '&'), "
+            f"lambda p, i: {part}), '') ELSE {expr} END)")
 
 
 def md_escape(expr: str) -> str:

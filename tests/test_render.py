@@ -25,6 +25,7 @@ def render(spark, html):
     ("<script>var x = '</p>';</script><p>kept</p><!-- gone -->", "kept"),
     ('<a href="https://x.example"><div>source</div>\n<div>lang</div></a>', "[source — lang](https://x.example)"),
     ("<p>&lt;tag&gt; &amp; more</p>", "<tag> & more"),
+    ("<p>A&#8217;s &eacute;t&#xE9; &amp;lt; &#38;amp; R&D &nope; &#0;</p>", "A\u2019s \u00e9t\u00e9 &lt; &amp; R&D &nope; \ufffd"),
     ("", ""),
 ])
 def test_markdown(spark, html, expected):
