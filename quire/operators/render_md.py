@@ -470,7 +470,8 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
         w.rowsBetween(Window.unboundedPreceding, -1))
     segs = segs.withColumn("_prev", prev)
     p = F.col("_prev")
-    one_list = F.col("is_li") & F.coalesce(p["is_li"], F.lit(False)) & F.col("top_list").eqNullSafe(p["top_list"])
+    one_list = F.col("is_li") & F.coalesce(p["is_li"] | p["loose"], F.lit(False)) \
+        & F.col("top_list").eqNullSafe(p["top_list"])
     one_quote = (F.col("top_bq") == p["top_bq"]) & (F.least(F.col("bq"), p["bq"]) > 0)
     quoted = F.concat(F.lit("\n"), F.repeat(F.lit("> "), F.least(F.col("bq"), p["bq"])), F.lit("\n"))
     pad = lambda n: F.concat(F.lit("\n"), F.repeat(F.lit(" "), n * 4), F.lit("\n"))

@@ -482,7 +482,7 @@ def render_md_ctes(tree: str, docs: str, prefix: str = "m", before: bool = False
 ),
 {p}_seg6 AS (
   SELECT doc_id, seg,
-    CASE WHEN is_li AND coalesce(lag(is_li) OVER w, false) AND top_list IS NOT DISTINCT FROM lag(top_list) OVER w
+    CASE WHEN is_li AND coalesce(lag(is_li) OVER w OR lag(loose) OVER w, false) AND top_list IS NOT DISTINCT FROM lag(top_list) OVER w
            THEN CASE WHEN coalesce(lag(loose) OVER w, false) THEN {pad('lag(li_in) OVER w')} ELSE chr(10) END
          WHEN loose AND top_list = lag(top_list) OVER w THEN {pad('li_in')}
          WHEN coalesce(lag(loose) OVER w, false) THEN {pad('lag(li_in) OVER w')} || chr(10)
