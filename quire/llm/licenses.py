@@ -21,6 +21,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import apart
+
 THRESHOLD = 0.8
 
 # Short notices and the standard texts or headers of public licences.
@@ -97,7 +99,8 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
 
 
 def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " "))
+    """Only ASCII is left when letters are changed, which is the fast case of ``lower``."""
+    return F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -105,17 +108,20 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     best coefficient, the first template that has it, and the number of units at or over the threshold."""
     known = [(no, name, grams, *size_bounds(len(grams), threshold)) for no, (name, text) in enumerate(templates) if (grams := bigrams(text))]
     least = min(k[3] for k in known)
-    one = [F.struct(F.lit(no).alias("no"), F.lit(name).alias("name"), F.lit(grams).alias("grams"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for no, name, grams, lo, hi in known]
-
-    lines = F.split("text", "\n")
-    blocks = F.split("text", r"\n(?:[\x20\x09\x0B-\x0D]*\n)+")
-    some = F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>"))
-    some = F.concat(F.array("text"), some, F.when(F.size(blocks) > 1, blocks).otherwise(F.array().cast("array<string>")))
-    units = docs.select("doc_id", "text").where("text is not null").select("doc_id", F.explode(some).alias("unit"))
-    words = units.select("doc_id", F.split(normalised(F.col("unit")), " ").alias("w")).where(F.size("w") > least)
+    # bigrams are compared as hashes of hashes of words: numbers are cheaper to build and to compare than strings
+    pair = lambda a, b: F.xxhash64(a, b)
+    grams_of = lambda grams: F.array(*[pair(*[F.xxhash64(F.lit(w)) for w in g.split()]) for g in grams])
+    one = [F.struct(F.lit(no).alias("no"), F.lit(name).alias("name"), grams_of(grams).alias("grams"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for no, name, grams, lo, hi in known]
+
+    none = F.array().cast("array<string>")
+    lines = F.when(F.contains("text", F.lit("\n")), F.split("text", "\n")).otherwise(none)
+    blocks = F.when(F.col("text").rlike(r"\n[\x20\x09\x0B-\x0D]*\n"), F.split("text", r"\n(?:[\x20\x09\x0B-\x0D]*\n)+")).otherwise(none)
+    units = docs.select("doc_id", "text").where("text is not null").select("doc_id", F.explode(F.concat(F.array("text"), lines, blocks)).alias("unit"))
+    # each step stands apart, or a filter on its result would compute it a second time
+    words = apart(units, w=F.transform(F.split(normalised(F.col("unit")), " "), lambda w: F.xxhash64(w))).where(F.size("w") > least)
     # texts stay out of the lambdas: what a lambda refers to outside may be computed anew for each element
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    grams = words.select("doc_id", F.array_distinct(pairs).alias("grams"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), pair)
+    grams = apart(words.select("doc_id", "w"), grams=F.array_distinct(pairs))
     grams = grams.select("doc_id", "grams", F.size("grams").alias("n")).where(
         " or ".join(f"n between {lo} and {hi}" for lo, hi in sorted({k[3:] for k in known})))
 
