@@ -7,11 +7,10 @@ Token dialect (our stated deviation from HTML5 tree building):
 * tag and attribute names are lower-cased, the first duplicate attribute wins;
 * void tags never open a level; closers are matched to openers per tag (stack order), unmatched closers are
   dropped, unmatched openers get no extent (their content belongs to the parent);
-* entities ``&lt; &gt; &quot; &#39; &apos; &nbsp;`` and ``&amp;`` (last) are decoded.
+* character references (decimal, hexadecimal, the named ones of HTML 4) are decoded once.
 
 All windows are partitioned by ``doc_id`` (alone or with more keys), so after one ``doc_id`` exchange every
-window and per-document aggregate below runs without another shuffle. A payload is bounded (A6), which bounds
-every window frame.
+window and per-document aggregate below runs without another shuffle; a window frame holds one document at most.
 """
 
 from __future__ import annotations
