@@ -47,15 +47,16 @@ def write_archive(pages: DataFrame, path: str, date: str = DATE, revisit_bytes:
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     pages = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), body.alias("payload"))
     facts = pages.select("page_id", "url", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n"))
-    facts.write.parquet(f"{path}/facts")
+    facts.write.option("compression", "zstd").parquet(f"{path}/facts")
     facts = spark.read.parquet(f"{path}/facts")
 
     # of each payload, the page that speaks for it; rows that repeat a page_id and a payload are one here
     best = facts.groupBy("sha256").agg(F.max("page_id").alias("owner"), F.max(F.struct("page_id", "url")).alias("first"))
-    owners = best.select(F.col("owner").alias("page_id"), F.col("sha256").alias("owned"))
-    mine = pages.join(owners, pages.page_id.eqNullSafe(owners.page_id)).where(F.sha2("payload", 256) == F.col("owned"))
-    mine = mine.select(F.col("owned").alias("digest"), "payload")
-    mine.dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    # joined, and freed of repeated rows, by one key: payloads move once
+    key = F.coalesce("page_id", F.lit(-(1 << 63))).alias("key")
+    owners = best.select(F.coalesce("owner", F.lit(-(1 << 63))).alias("key"), F.col("sha256").alias("digest"))
+    mine = pages.select(key, "payload").join(owners, "key").where(F.sha2("payload", 256) == F.col("digest"))
+    mine.dropDuplicates(["key", "digest"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     best = best.select(F.col("sha256"), "owner", F.col("first.url").alias("owner_url"))
     x = facts.join(best, "sha256")
@@ -78,7 +79,7 @@ def write_archive(pages: DataFrame, path: str, date: str = DATE, revisit_bytes:
         line("Content-Length", (F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("n"))).cast("string")),
         F.lit(CRLF))
     x.select("page_id", header.alias("header"), http.alias("http"), F.when(~revisit, F.col("sha256")).alias("stored"),
-             F.when(revisit, F.col("owner")).alias("refers_to"), F.when(revisit, F.col("sha256")).alias("same_as")).write.parquet(f"{path}/records")
+             F.when(revisit, F.col("owner")).alias("refers_to"), F.when(revisit, F.col("sha256")).alias("same_as")).write.option("compression", "zstd").parquet(f"{path}/records")
 
 
 def header_field(header: Column, name: str) -> Column:
