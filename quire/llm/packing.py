@@ -19,9 +19,12 @@ packed as documents of their own; an empty table gives no piece. Only ``doc_id``
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +40,12 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: MB of text in a group of documents that are packed together.
 GROUP_MB = 16
 #: Words whose ids a task keeps; beyond that it starts afresh.
-KNOWN_WORDS = 400_000
-#: White space that separates words for any pre-tokenizer that drops white space.
-SPACE = re.compile("[ \t\n\r]+")
+KNOWN_WORDS = 700_000
+#: White space that separates words for any pre-tokenizer that drops white space, and what only Python's split()
+#: counts as white space.
+SPACE, NOT_SPACE = re.compile("[ \t\n\r]+"), re.compile("[\x1c-\x1f]")
+#: Marks that end words and are no letters, digits or apostrophes.
+MARKS = ".,;:!?"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -48,44 +54,108 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they are first asked for; ``new`` lists them."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class Words:
-    """Ids of texts, word by word. The ids of a word are kept in one long array: word k has ``ids[at[k]:at[k + 1]]``."""
+    """Ids of texts, word by word. The ids of word k are ``ids[at[k]:at[k + 1]]``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.lower = self.each(["AZ"]) == self.each(["az"])
+        # small ASCII letters reach the model as they are, if the tokenizer has neither prefix nor other spelling
+        sample = ["a", "the", "unbelievable", "qzxjkvw"]
+        self.direct = self.lower and bool(self.ends.any()) and self.each(sample) == [[t.id for t in self.tokenizer.model.tokenize(w)] for w in sample]
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by ``CLOSING_ID``, and where each text starts (one more at the end)."""
         if len(self.known) > KNOWN_WORDS:
             self.clear()
-        split = [SPACE.split(t) for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in found])])
-            self.ids = np.concatenate([self.ids, np.array([y for x in found for y in x], np.uint32)])
-        # the closing id stands as one more word at the end of each text: number -1
-        numbers = np.array([n for words in split for n in (*map(known.__getitem__, words), -1)], np.int64)
+        numbers = array("q")
+        number = self.known.__getitem__
+        for t in texts:
+            numbers.extend(map(number, SPACE.split(t) if NOT_SPACE.search(t) else t.split()))
+            numbers.append(-1)  # the closing id stands as one more word
+        if self.known.new:
+            self.learn()
+        numbers = np.frombuffer(numbers, np.int64) if numbers else np.zeros(0, np.int64)
         ends = np.flatnonzero(numbers == -1)
         size = np.where(numbers < 0, 1, self.at[numbers + 1] - self.at[numbers])
         stop = np.cumsum(size)
-        start = stop - size
-        source = np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.at[numbers] - start, size)
+        source = np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.at[numbers] - stop + size, size)
         closing = stop[ends] - 1
         source[closing] = 0
         out = self.ids[source] if len(self.ids) else np.zeros(len(source), np.uint32)
         out[closing] = CLOSING_ID
         return out, np.concatenate([[0], closing + 1])
 
+    def learn(self) -> None:
+        """The ids of the words that are new. ASCII letters go to the tokenizer's model itself, other words of letters are
+        tokenized by the thousand, as one text; a word that ends in plain marks is its letters and its marks, which are
+        tokens apart. The case of ASCII letters goes first if the tokenizer drops it."""
+        known, new = self.known, self.known.new
+        known.new = []
+        old = len(known) - len(new)
+        cores = [w.rstrip(MARKS) for w in new]
+        if self.lower:
+            cores = [c.lower() if c.isascii() else c for c in cores]
+        found: dict[str, list[int]] = {}
+        plain = []
+        for c in {c for c in cores if c.isalpha()}:
+            k = known.get(c, old)
+            if k < old:
+                found[c] = self.ids[self.at[k]:self.at[k + 1]].tolist()
+            else:
+                plain.append(c)
+        direct = [c for c in plain if c.isascii()] if self.direct else []
+        spell = self.tokenizer.model.tokenize
+        found.update((c, [t.id for t in spell(c)]) for c in direct)
+        rest = [c for c in plain if not c.isascii()] if self.direct else plain
+        for k in range(0, len(rest), 1000):
+            found.update(zip(rest[k:k + 1000], self.joined(rest[k:k + 1000])))
+        others = list({w for w, c in zip(new, cores) if c not in found} | {w[len(c):] for w, c in zip(new, cores) if c in found and len(w) > len(c)})
+        for k in range(0, len(others), 1000):
+            found.update(zip(others[k:k + 1000], self.each(others[k:k + 1000])))
+        ids = [found[w] if c not in found else found[c] + found[w[len(c):]] if len(w) > len(c) else found[c] for w, c in zip(new, cores)]
+        for c in plain:  # for the words that share their letters
+            if c not in known:
+                known[c] = len(known)
+                ids.append(found[c])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(list(map(len, ids)))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
+
+    def each(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def joined(self, words: list[str]) -> list[list[int]]:
+        """Words of letters; the tokenizer says by a token's ending where a word ends. If it sees more words in them
+        than there are, each is tokenized by itself."""
+        ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return self.each(words)
+        return [ids[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+
 
 def assigned(lengths: list[int], capacity: int = SEQUENCE_TOKENS) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces ``(document, start, length, sequence, offset)`` of one group's documents, given in descending length."""
@@ -135,6 +205,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUEN
     groups = text_parts(docs, mb=group_mb)
 
     def tokenized(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         words = Words(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
@@ -165,7 +236,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUEN
     return tokens.groupBy("_group").applyInArrow(pack, f"doc_id {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def _blocks(texts: list[str], chars: int = 4 << 20) -> Iterator[range]:
+def _blocks(texts: list[str], chars: int = 1 << 20) -> Iterator[range]:
     """Ranges of texts of about ``chars`` characters together."""
     first, total = 0, 0
     for i, t in enumerate(texts):
