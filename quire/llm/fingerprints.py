@@ -111,7 +111,8 @@ def fingerprint(text: Column, seed: int = SEED) -> Column:
         return F.transform(x, lambda v, i: F.xxhash64(v, i).bitwiseAND(255))
 
     empty = F.array().cast("array<bigint>")
-    return let(filled(F.sort_array(shingle_hashes(text))), lambda s: F.when(F.size(s) == 0, empty).otherwise(let(kept(donated(s)), packed)))
+    first = let(F.sort_array(shingle_hashes(text)), filled)
+    return let(first, lambda s: F.when(F.size(s) == 0, empty).otherwise(let(kept(donated(s)), packed)))
 
 
 def as_hex(fp: Column) -> Column:
@@ -138,20 +139,22 @@ def fingerprints(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return fp.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, cols: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, cols: list[str], ids: DataFrame | None = None) -> DataFrame:
     """Add ``_next``, a struct of the ``cols`` of the next document by descending doc_id (of the first, after the
     last; null ids come last, equal ids by text).
 
     Documents are windowed within ranges of ids, each range with the first document of the following one as a guest;
     ranges are as wide as ``WINDOW_ROWS`` documents on average. The guests are one row for each range and are saved
-    first, so that Spark knows their size and broadcasts them only if they are small.
+    first, so that Spark knows their size and broadcasts them only if they are small. ``ids`` has the doc_ids of
+    ``docs`` where these are cheaper to read by themselves.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    ids = ids if ids is not None else docs
+    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, -(-n // WINDOW_ROWS))))
     key = F.coalesce(F.col("doc_id"), F.lit((low or 0) - 1))
     span = F.floor((key - (low or 0)) / width).cast("long")
     order = Window.orderBy(F.col("_span").desc())
-    tops = docs.select(key.alias("_key"), span.alias("_span")).groupBy("_span").agg(F.max("_key").alias("_key"))
+    tops = ids.select(key.alias("_key"), span.alias("_span")).groupBy("_span").agg(F.max("_key").alias("_key"))
     tops = tops.select("_key", F.coalesce(F.lag("_span").over(order), F.min("_span").over(Window.partitionBy())).alias("_host"))
     docs = docs.withColumns({"_key": key, "_span": span}).join(saved(tops, "tops"), "_key", "left")
     places = F.array(F.struct(F.lit(0).alias("guest"), F.col("_span").alias("span")), F.struct(F.lit(1).alias("guest"), F.col("_host").alias("span")))
@@ -166,7 +169,7 @@ def near_edited(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last third is the beginning of the next document,
     with the likeness of the text's fingerprint to that of the edited text and of the next document."""
     x = apart(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), fp=fingerprint(F.col("text"), seed))
-    x = with_next(x, ["text", "fp"])
+    x = with_next(x, ["text", "fp"], docs.select("doc_id"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("_next.text"), F.lit(1), third))
