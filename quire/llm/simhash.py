@@ -125,7 +125,10 @@ def simhash_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, bits: int = MAX_B
     last; of rows that repeat it, one."""
     group = simhash_groups(docs, words, bits, seed)
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), "row"))
-    kept = group.groupBy("root").agg(first.alias("k")).select(F.col("k.id").alias("_id"), F.col("k.row").alias("_row"))
-    docs = docs.withColumn("_own", F.xxhash64("text"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.col("_own") == F.col("_row")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    kept = group.groupBy("root").agg(first.alias("k")).select("k.id", "k.row")
+    # joined and freed of repeated rows by the same keys: texts move once
+    none = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    names = ["simhash_null", "simhash_key", "simhash_row"]
+    keys = lambda i, row: [c.alias(n) for c, n in zip((i.isNull(), F.coalesce(i, none), row), names)]
+    rows = docs.select("*", *keys(F.col("doc_id"), F.xxhash64("text"))).join(kept.select(*keys(F.col("id"), F.col("row"))), names, "left_semi")
+    return rows.dropDuplicates(names).select(*docs.columns)
