@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_table
+from .common import saved, scratch_table
 
 REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -52,11 +52,15 @@ def write_archive(pages: DataFrame, path: str, date: str = DATE, revisit_bytes:
 
     # of each payload, the page that speaks for it; rows that repeat a page_id and a payload are one here
     best = facts.groupBy("sha256").agg(F.max("page_id").alias("owner"), F.max(F.struct("page_id", "url")).alias("first"))
-    # joined, and freed of repeated rows, by one key: payloads move once
-    key = F.coalesce("page_id", F.lit(-(1 << 63))).alias("key")
-    owners = best.select(F.coalesce("owner", F.lit(-(1 << 63))).alias("key"), F.col("sha256").alias("digest"))
-    mine = pages.select(key, "payload").join(owners, "key").where(F.sha2("payload", 256) == F.col("digest"))
-    mine.dropDuplicates(["key", "digest"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # what is not stored: copies of the payload of another page. They are saved first, so that Spark knows their size:
+    # where they are few, payloads are written where they are read and don't move
+    key = F.coalesce("page_id", F.lit(-(1 << 63)))
+    copies = facts.join(best.select("sha256", "owner"), "sha256").where(~F.col("page_id").eqNullSafe(F.col("owner")))
+    copies = saved(copies.select(key.alias("key"), F.col("sha256").alias("digest")).distinct(), "warc-copies")
+    mine = pages.select(key.alias("key"), F.sha2("payload", 256).alias("digest"), "payload").join(copies, ["key", "digest"], "left_anti")
+    if facts.groupBy("page_id", "sha256").count().where("count > 1").limit(1).count():  # rows that repeat page and payload
+        mine = mine.dropDuplicates(["key", "digest"])
+    mine.select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     best = best.select(F.col("sha256"), "owner", F.col("first.url").alias("owner_url"))
     x = facts.join(best, "sha256")
