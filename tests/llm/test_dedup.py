@@ -197,6 +197,25 @@ def test_fenwick_chains_match_the_quadratic_rule():
         assert total == pytest.approx(best_chain(segs))
 
 
+def test_chains_pass_over_what_is_too_far():
+    """A long run far before a passage is no reason to leave the passage's halves apart."""
+    assert chains([(0, 0, 300), (400, 400, 30), (430, 431, 30)]) == [[(0, 0, 300)], [(400, 400, 30), (430, 431, 30)]]
+    r = random.Random(4)
+    for _ in range(300):
+        wide = r.choice([100, 300, 900])
+        segs = sorted({(r.randint(0, wide), r.randint(0, wide), r.randint(5, 40)) for _ in range(r.randint(2, 30))}, key=lambda s: (s[1], s[0]))
+        score = []
+        for i, (x, y, n) in enumerate(segs):
+            near = [score[j] - 0.05 * (x - a - m + y - b - m) for j, (a, b, m) in enumerate(segs[:i]) if 0 <= x - a - m + 4 <= 68 and 0 <= y - b - m + 4 <= 68]
+            score.append(n + max([0.0, *near]))
+        found = chains(segs)
+        assert sorted(s for c in found for s in c) == sorted(segs)
+        assert all(max(b[0] - a[0] - a[2], b[1] - a[1] - a[2]) <= 64 for c in found for a, b in zip(c, c[1:]))
+        first = found[0]
+        total = sum(s[2] for s in first) - 0.05 * sum(b[0] - a[0] - a[2] + b[1] - a[1] - a[2] for a, b in zip(first, first[1:]))
+        assert total == pytest.approx(max(score))
+
+
 def test_segments_and_alignment_helpers():
     assert segments(np.array([0, 3, 40, 7]), np.array([10, 13, 50, 90])) == [(0, 10, 8), (40, 50, 5), (7, 90, 5)]
     assert sum(s[2] for s in aligned_gap([1, 2, 3], [1, 9, 3, 4])) == 2
