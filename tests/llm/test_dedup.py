@@ -223,6 +223,28 @@ def test_segments_and_alignment_helpers():
     assert sorted(stretches(same, 0.8, 40)) == [(10, 59), (90, 134)]
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+@pytest.mark.parametrize("pieces, held", [
+    ([30, 30], [(0,), (1,)]),
+    ([15] * 4, [(0,), (1,), (2,), (3,), (0, 1), (1, 2), (2, 3)]),
+    ([13, 13, 14], [(0, 1), (1, 2)]),
+    ([10] * 6, [(0, 1, 2), (1, 2, 3), (2, 3, 4), (3, 4, 5)]),
+    ([100, 100], [(0,), (1,)]),
+])
+def test_passages_of_pieces_that_stand_alone_before(spark, monkeypatch, parts, pieces, held):
+    """The pieces of a passage each have a first holder of their own, the whole only a later one."""
+    monkeypatch.setattr("quire.llm.passages.text_parts", lambda *a, **k: parts)
+    r = random.Random(len(pieces))
+    some = lambda n: ["".join(r.choices("abcdefghijklmnop", k=r.randint(4, 8))) for _ in range(n)]
+    lines = [some(n) for n in pieces]
+    text = lambda which: " ".join([*some(50), *(w for k in which for w in lines[k]), *some(50)])
+    whole = range(len(pieces))
+    rows = [(k, text(which)) for k, which in enumerate(held)] + [(20, text(whole)), (21, text(whole))]
+    got = [x for x in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.doc_id == 21]
+    assert {x for g in got for x in range(g.start, g.start + g.length)} == set(range(50, 50 + sum(pieces)))
+    assert 20 in {x.source_doc_id for x in got}
+
+
 def test_line_dedup_matches_brute_force(odd, rows):
     where, first = defaultdict(set), {}
     order = sorted({(r[0], r[1]) for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
