@@ -223,6 +223,37 @@ def test_segments_and_alignment_helpers():
     assert sorted(stretches(same, 0.8, 40)) == [(10, 59), (90, 134)]
 
 
+def test_every_stretch_that_qualifies_is_found():
+    r = random.Random(6)
+    for _ in range(400):
+        n, p = r.randint(1, 90), r.choice([0.6, 0.75, 0.8, 0.85, 0.95])
+        same = np.array([r.random() < p for _ in range(n)])
+        sums = np.concatenate([[0], np.cumsum(same)])
+        good = [(a, b) for a in range(n) for b in range(a + 39, n) if same[a] and same[b] and 5 * (sums[b + 1] - sums[a]) >= 4 * (b + 1 - a)]
+        found = stretches(same, 0.8, 40)
+        assert set(found) <= set(good)
+        assert all(any(a <= d and c <= b for c, d in found) for a, b in good)
+
+
+@pytest.mark.parametrize("n, edits", [
+    (50, range(10, 46, 5)),  # 0.84, evenly spread
+    (100, range(12, 93, 5)),  # 0.83
+    (60, range(39, 44)),  # under 40 equal words on either side of the edits
+    (40, range(8, 39, 4)),  # 0.8
+    (45, range(8, 41, 4)),  # 0.8
+    (42, range(9, 40, 6)),  # 0.857
+])
+def test_passages_at_the_threshold_are_found(spark, n, edits):
+    r = random.Random(n)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(4, 8)))
+    text = lambda passage: " ".join([*(word() for _ in range(70)), *passage, *(word() for _ in range(70))])
+    passage = [word() for _ in range(n)]
+    edited = [word() if k in edits else w for k, w in enumerate(passage)]
+    got = repeated_passages(spark.createDataFrame([(1, text(passage)), (2, text(edited))], "doc_id long, text string")).collect()
+    assert {x for g in got for x in range(g.start, g.start + g.length)} == set(range(70, 70 + n))
+    assert all(x.doc_id == 2 and x.source_doc_id == 1 and x.start == x.source_start and x.length >= 40 and x.similarity >= 0.8 for x in got)
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 @pytest.mark.parametrize("pieces, held", [
     ([30, 30], [(0,), (1,)]),
