@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import ORACLE_DECONTAMINATION, contaminated
+from .fim import ORACLE_FIM, fill_in_middle, restored
 from .fingerprints import near_edited
 from .licenses import license_scan, oracle_license
 from .lines import ORACLE_LINES, without_boilerplate
+from .manifest import ORACLE_MANIFEST, tampering_found
 from .mixing import ORACLE_MIXING, mixing_plan
 from .packing import packed
 from .passages import repeated_passages
@@ -89,3 +92,24 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of all documents that an earlier document has too, edits included."""
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query(ORACLE_DECONTAMINATION)
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that stand in a window of a benchmark item, and the items."""
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query(ORACLE_MANIFEST)
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as leaves of a Merkle manifest, proven against its root after some were tampered with."""
+    return tampering_found(table(spark, sf_dir, "documents"))
+
+
+@query(ORACLE_FIM)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut at two ranks of their lines, rearranged, and restored."""
+    found = fill_in_middle(table(spark, sf_dir, "documents"))
+    text = restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
