@@ -40,12 +40,16 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: MB of text in a group of documents that are packed together.
 GROUP_MB = 16
 #: Words whose ids a task keeps; beyond that it starts afresh.
-KNOWN_WORDS = 700_000
+KNOWN_WORDS = 200_000
+#: MB of text that reach a Python worker at once.
+BATCH_MB = 8
 #: White space that separates words for any pre-tokenizer that drops white space, and what only Python's split()
 #: counts as white space.
 SPACE, NOT_SPACE = re.compile("[ \t\n\r]+"), re.compile("[\x1c-\x1f]")
 #: Marks that end words and are no letters, digits or apostrophes.
 MARKS = ".,;:!?"
+#: Composed letters of Latin scripts, and those that reach the tokenizer's model as they are.
+LETTERS, SMALL = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"), re.compile("[a-z]+")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -110,40 +114,45 @@ class Words:
         return out, np.concatenate([[0], closing + 1])
 
     def learn(self) -> None:
-        """The ids of the words that are new. ASCII letters go to the tokenizer's model itself, other words of letters are
-        tokenized by the thousand, as one text; a word that ends in plain marks is its letters and its marks, which are
-        tokens apart. The case of ASCII letters goes first if the tokenizer drops it."""
+        """The ids of the words that are new. A word of plain letters and closing marks is looked up as two parts, which are
+        tokens apart, any other word as a whole. ASCII letters go to the tokenizer's model itself, other letters are tokenized
+        by the thousand, as one text."""
         known, new = self.known, self.known.new
         known.new = []
         old = len(known) - len(new)
-        cores = [w.rstrip(MARKS) for w in new]
-        if self.lower:
-            cores = [c.lower() if c.isascii() else c for c in cores]
+        parts = [self.parts(w) for w in new]
+        wanted = {p for ps in parts for p in ps}
         found: dict[str, list[int]] = {}
-        plain = []
-        for c in {c for c in cores if c.isalpha()}:
-            k = known.get(c, old)
+        for p in wanted:
+            k = known.get(p, old)
             if k < old:
-                found[c] = self.ids[self.at[k]:self.at[k + 1]].tolist()
-            else:
-                plain.append(c)
-        direct = [c for c in plain if c.isascii()] if self.direct else []
+                found[p] = self.ids[self.at[k]:self.at[k + 1]].tolist()
+        fresh = [p for p in wanted if p not in found]
         spell = self.tokenizer.model.tokenize
-        found.update((c, [t.id for t in spell(c)]) for c in direct)
-        rest = [c for c in plain if not c.isascii()] if self.direct else plain
-        for k in range(0, len(rest), 1000):
-            found.update(zip(rest[k:k + 1000], self.joined(rest[k:k + 1000])))
-        others = list({w for w, c in zip(new, cores) if c not in found} | {w[len(c):] for w, c in zip(new, cores) if c in found and len(w) > len(c)})
-        for k in range(0, len(others), 1000):
-            found.update(zip(others[k:k + 1000], self.each(others[k:k + 1000])))
-        ids = [found[w] if c not in found else found[c] + found[w[len(c):]] if len(w) > len(c) else found[c] for w, c in zip(new, cores)]
-        for c in plain:  # for the words that share their letters
-            if c not in known:
-                known[c] = len(known)
-                ids.append(found[c])
+        found.update((p, [t.id for t in spell(p)]) for p in fresh if self.direct and SMALL.fullmatch(p))
+        for kind, ids_of in ((True, self.joined), (False, self.each)):
+            rest = [p for p in fresh if p not in found and bool(LETTERS.fullmatch(p)) == kind]
+            for k in range(0, len(rest), 1000):
+                found.update(zip(rest[k:k + 1000], ids_of(rest[k:k + 1000])))
+        ids = [found[ps[0]] if len(ps) == 1 else found[ps[0]] + found[ps[1]] for ps in parts]
+        for p in fresh:  # for the words that share it
+            if p not in known:
+                known[p] = len(known)
+                ids.append(found[p])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(list(map(len, ids)))])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
 
+    def parts(self, word: str) -> tuple[str, ...]:
+        """What is tokenized apart in a word. Letters and marks are only where the letters stay letters in the tokenizer's
+        spelling: the lower case of some is a letter and a mark that joins what follows."""
+        core = word.rstrip(MARKS)
+        if not LETTERS.fullmatch(core) or not core.lower().isalpha():
+            return (word,)
+        tail = word[len(core):]
+        if self.lower and core.isascii():
+            core = core.lower()
+        return (core, tail) if tail else (core,)
+
     def each(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -195,11 +204,11 @@ def assigned(lengths: list[int], capacity: int = SEQUENCE_TOKENS) -> Iterator[tu
                 heapq.heappush(open_ones, (cost + LINEAR * m + QUADRATIC * m * m, s))
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUENCE_TOKENS, group_mb: int = GROUP_MB) -> DataFrame:
-    """``doc_id, start, length, ids, doc_tokens, sequence_id, offset``: the pieces of all documents with their token
-    ids. ``sequence_id`` numbers sequences within groups (group * 2^32 + number)."""
+def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUENCE_TOKENS, group_mb: int = GROUP_MB, with_ids: bool = True) -> DataFrame:
+    """``doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset``: the pieces of all documents with their
+    token ids (not built unless ``with_ids``). ``sequence_id`` numbers sequences within groups (group * 2^32 + number)."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_MB)
     path = tokenizer or tokenizer_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
     groups = text_parts(docs, mb=group_mb)
@@ -215,6 +224,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUEN
                 cells = [small[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
                 rows = batch.slice(part.start, len(part))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(at)), pa.array(cells, pa.binary())], names=["doc_id", "_group", "n", "ids"])
+        del words  # a worker serves other tasks: what this one held goes back
+        pa.default_memory_pool().release_unused()
 
     def pack(t: pa.Table) -> pa.Table:
         n, ids, doc = t["n"].to_pylist(), t["ids"].to_pylist(), t["doc_id"].to_pylist()
@@ -222,18 +233,23 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUEN
         group = t["_group"][0].as_py()
         found = [(order[k], a, m, s, o) for k, a, m, s, o in assigned([n[i] for i in order], capacity)]
         which, start, length, sequence, offset = (list(c) for c in zip(*found))
-        pieces = []
+        pieces, checks = [], []
         for i, a, m in zip(which, start, length):
             w = len(ids[i]) // n[i]
-            pieces.append(np.frombuffer(ids[i], f"<u{w}")[a:a + m].astype("<u4").tobytes())
+            piece = np.frombuffer(ids[i], f"<u{w}")[a:a + m].astype("<u4").tobytes()
+            checks.append(zlib.crc32(piece))
+            if with_ids:
+                pieces.append(piece)
         return pa.table({
-            "doc_id": t["doc_id"].take(pa.array(which)), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids": pa.array(pieces, pa.binary()),
-            "ids_crc32": pa.array([zlib.crc32(p) for p in pieces], pa.int64()), "doc_tokens": pa.array([n[i] for i in which], pa.int64()),
+            "doc_id": t["doc_id"].take(pa.array(which)), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()),
+            **({"ids": pa.array(pieces, pa.binary())} if with_ids else {}),
+            "ids_crc32": pa.array(checks, pa.int64()), "doc_tokens": pa.array([n[i] for i in which], pa.int64()),
             "sequence_id": pa.array([(group << 32) + s for s in sequence], pa.int64()), "offset": pa.array(offset, pa.int64())})
 
     dealt = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(groups)).cast("long").alias("_group"), "text")
     tokens = dealt.mapInArrow(tokenized, f"doc_id {kind}, _group long, n long, ids binary")
-    return tokens.groupBy("_group").applyInArrow(pack, f"doc_id {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    ids_field = "ids binary, " if with_ids else ""
+    return tokens.groupBy("_group").applyInArrow(pack, f"doc_id {kind}, start long, length long, {ids_field}ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def _blocks(texts: list[str], chars: int = 1 << 20) -> Iterator[range]:

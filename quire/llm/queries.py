@@ -67,7 +67,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents tokenized and packed into sequences of 2048 tokens."""
-    return packed(table(spark, sf_dir, "documents")).drop("ids")
+    return packed(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 @query()

@@ -1,6 +1,7 @@
 """Packing, the WARC archive, quality trees and the pipeline."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 from quire.llm import quality as q
 from quire.llm.common import scratch_table
-from quire.llm.packing import assigned, packed, tokenizer_path
+from quire.llm.packing import Words, assigned, packed, tokenizer_path
 from quire.llm.warc import archived, header_field, read_archive, write_archive
 
 from .conftest import COLUMNS
@@ -70,6 +71,29 @@ def test_words_are_tokenized_as_whole_texts(spark):
         assert np.frombuffer(of[i], "<u4").tolist() == tokens(t)
 
 
+def test_words_are_tokenized_as_whole_texts_in_any_order():
+    """Fuzzed texts of digits, marks, letters whose lower case is two characters, combining characters and odd spaces; blocks
+    one after the other share what the first has learned."""
+    r = random.Random(11)
+    pool = ["1", "1995", "a_b", "x-1", "]", "]].", "hello", "World", "été", "É", "İ", "ß", "ǅ", "e\u0301", "\u0301", "日本", "don't", "'s", "...", "?!", ".", "1.", "İ!", "<|endoftext|>", "\u1c8a", "ŉ", "ĳ", "9a", "a9.", "\u200d", "🙂"]
+    gaps = [" ", " ", "\n", "\t", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u2028", "", "\u200b"]
+    marks = ["", "", ".", ",", ";;", "!?", ":"]
+    words = Words(tokenizer_path())
+    for block in range(40):
+        texts = ["".join(r.choice(pool) + r.choice(marks) + r.choice(gaps) for _ in range(r.randint(0, 12))) for _ in range(50)]
+        ids, at = words.texts(texts)
+        for k, t in enumerate(texts):
+            assert ids[at[k]:at[k + 1]].tolist() == tokens(t), repr(t)
+
+
+@pytest.mark.parametrize("texts", [["1 1."], ["1 1;;"], ["1995 1995,"], ["a_b a_b!"], ["x-1 x-1?"], ["] ]. ."], ["İ!", "İ?", "İ;"], ["hello. world,", "In 1995 it was 1995. ok"]])
+def test_words_with_marks(texts):
+    words = Words(tokenizer_path())
+    for t in texts:  # a block each
+        ids, at = words.texts([t])
+        assert ids.tolist() == tokens(t)
+
+
 def test_assignment_balances_cost():
     r = np.random.default_rng(1)
     lengths = sorted(r.integers(1, 900, 400).tolist() + [5000, 2048, 4096], reverse=True)
