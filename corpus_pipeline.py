@@ -51,7 +51,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(docs).drop("ids")
+    return packed(docs, with_ids=False)
 
 
 STAGES = [
