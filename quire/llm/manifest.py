@@ -115,7 +115,9 @@ def siblings(witness: bytes, size: int = 32) -> bytes:
 
 def ranked(nodes: DataFrame, order: list[str]) -> DataFrame:
     """``nodes(_tree, ...)`` with ``_rank`` within the tree by ``order`` and ``_total``, the nodes of the tree. The rows
-    are laid out by a range sort; a task's rows of a tree begin after those of all earlier tasks."""
+    are laid out by a range sort, which reads its input twice and so begins at a saved table; a task's rows of a tree begin after
+    those of all earlier tasks."""
+    nodes = saved(nodes, "nodes")
     laid = nodes.repartitionByRange("_tree", *order).sortWithinPartitions("_tree", *order).withColumn("_at", F.monotonically_increasing_id())
     laid = saved(laid, "ranked")
     task = F.shiftright("_at", 33).alias("_task")
