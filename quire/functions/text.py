@@ -41,7 +41,7 @@ ENTITIES = {name: chr(code) for name, code in sorted(html.entities.name2codepoin
 DECIMAL, HEXADECIMAL, NAMED = "^#([0-9]{1,7});", "^#[xX]([0-9a-fA-F]{1,6});", "^([A-Za-z0-9]+);"
 LAST_CODE_POINT = 0x10FFFF
 
-# Private-use code points the renderers use as in-band markers; stripped from input text first.
+# Private-use code points that the Markdown renderer uses as in-band marks (it escapes those of the input).
 MARKER_CLASS = "[\ue000-\ue00f]"
 
 # JavaScript ``\s`` (used by ``trim``): ASCII whitespace plus NBSP, BOM and the Unicode spaces.
@@ -79,10 +79,6 @@ def decode_entities(c: Column) -> Column:
     return F.when(F.instr(c, "&") > 0, F.array_join(decoded, "")).otherwise(c)
 
 
-def strip_markers(c: Column) -> Column:
-    return F.regexp_replace(c, MARKER_CLASS, "")
-
-
 def collapse_ws(c: Column) -> Column:
     """Runs of HTML whitespace become one space (NBSP is content and survives)."""
     return F.regexp_replace(c, "[ \\t\\r\\n\\f]+", " ")

@@ -1,10 +1,11 @@
 """The two equivalents of an HTML payload, as staged DataFrame transforms.
 
-Stage order (the reference's): repairs once - E1 cell divs, D10 fake bold, D8/D9 beacons, E2 image sizes -
-then the Simple HTML branch: D1/D3 sanitize, E7 naming, D11/D12/D13 collapse, E6 table tidy, C6 serialize.
-Spans are re-derived only where a stage rewrote tags (after E1) and the tree where a later stage asks for
-siblings or parents of survivors (D12, E6). Every re-derivation is a window over the same ``doc_id``
-partitioning: no extra exchange.
+Stage order (the reference's): grids first (F2, F3), then the repairs - E1 cell divs, D10 fake bold, D8/D9 beacons,
+E2 image sizes, E3 ARIA rows - then, on one relation for both outputs, D1/D3 sanitize, E7 naming and the collapse D11/D12/D13.
+There the outputs part: the renderer reads the tokens for Markdown, and the pieces of the Simple HTML (E6, C6) travel
+with them to the same aggregates, so both come from one pass. Spans are re-derived only where a stage rewrote tags
+and the tree where a later stage asks for siblings or parents of survivors. Every re-derivation is a window over the same
+``doc_id`` partitioning: no extra exchange.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repair as RP
+from .entries import DERIVED_HTML, SOURCE_ARIA, SOURCE_HTML, SOURCE_TSV, blank_to_empty, hotkey_route
 from .nodes import to_nodes, with_spans, with_tree
 from .policy import sanitize
-from .render_html import to_html
+from .render_html import to_html, token_html
+from .splice import rebuild_aria_rows, spliced_nodes
 
 BASE = ["doc_id", "pos", "kind", "tag", "text", "attrs", "before"]
 
@@ -33,9 +36,10 @@ def source_nodes(payloads: DataFrame, html_col: str = "html") -> DataFrame:
     return n.withColumn("before", F.lit(None).cast("string"))
 
 
-def repaired(payloads: DataFrame, html_col: str = "html", upto: str = "e2") -> DataFrame:
-    """The source repairs, in order; ``upto`` stops early (for the per-stage queries). Output has spans."""
-    t = with_tree(with_spans(source_nodes(payloads, html_col)))
+def repaired(payloads: DataFrame, html_col: str = "html", upto: str = "e3", nodes: DataFrame | None = None) -> DataFrame:
+    """The source repairs, in order; ``upto`` stops early (for the per-stage queries). Output has spans; where E3 fired the
+    document's marker has the lineage label as its attribute ``source_type``."""
+    t = with_tree(with_spans(source_nodes(payloads, html_col) if nodes is None else nodes))
     s = respan(RP.inline_cell_divs(t))
     if upto == "e1":
         return s
@@ -45,7 +49,10 @@ def repaired(payloads: DataFrame, html_col: str = "html", upto: str = "e2") -> D
     s = RP.drop_invisible_images(s)
     if upto == "d9":
         return s
-    return RP.transcribe_image_size(s)
+    s = RP.transcribe_image_size(s)
+    if upto == "e2":
+        return s
+    return rebuild_aria_rows(s, SOURCE_ARIA)
 
 
 def simple_html_nodes(payloads: DataFrame, html_col: str = "html", upto: str = "e6",
@@ -83,24 +90,63 @@ def to_markdown(payloads: DataFrame, html_col: str = "html") -> DataFrame:
     return render_markdown(markdown_nodes(payloads, html_col))
 
 
-def to_entries(payloads: DataFrame, html_col: str = "html") -> DataFrame:
-    """Both equivalents from one repaired document. The repairs run once: the repaired token relation is
-    persisted (memory, spilling to disk; recomputed from lineage if an executor is lost) and both branches fork
-    from it, as the reference forks late from one repaired document."""
-    from pyspark import StorageLevel
+def entries_of(nodes: DataFrame) -> DataFrame:
+    """Both equivalents from tokens (``BASE``), in one pass: ``(doc_id, markdown, simple_html, facts)``; ``facts`` are the
+    attributes of the document's marker, with the lineage of a rebuilt table."""
     from .render_md import render_markdown
-    rep = repaired(payloads, html_col).persist(StorageLevel.MEMORY_AND_DISK)
-    md = render_markdown(markdown_nodes(payloads, html_col, rep))
-    sh = to_html(simple_html_nodes(payloads, html_col, rep=rep), out_col="simple_html") \
-        .withColumn("simple_html", blank_to_empty(F.col("simple_html")))
-    out = md.join(sh, "doc_id")
-    out._quire_persisted = [rep]      # callers that materialise the result may release it (streaming batches do)
-    return out
-
-
-def blank_to_empty(c):
-    """A Simple HTML that is only whitespace is '' (the caller writes text/plain alone)."""
-    return F.when(F.trim(F.regexp_replace(c, "\\s", " ")) == "", F.lit("")).otherwise(c)
+    s = RP.name_empty_links_and_images(sanitize(repaired(None, nodes=nodes)))
+    s = RP.unwrap_single_child_divs(with_tree(RP.drop_empty_containers(s)))
+    t = with_tree(respan(RP.drop_dead_whitespace(s)))
+    h = RP.with_simplified_tables(t)
+    piece = F.concat(F.coalesce(escape_before(), F.lit("")), token_html(F.col("kind"), F.col("tag"), F.col("attrs"), F.col("text"), F.col("matched")))
+    h = h.withColumn("_html", F.when(F.col("_tidied"), F.lit("")).otherwise(piece)).drop("_tidied")
+    out = render_markdown(h, html_col="_html")
+    return out.withColumn("simple_html", blank_to_empty(F.col("simple_html")))
+
+
+def escape_before():
+    from .render_html import escape_text
+    return escape_text(F.col("before"))
+
+
+def to_entries(payloads: DataFrame, html_col: str = "html", grids: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, markdown, simple_html, derived_from, source_type)`` of every payload row. ``grids``
+    (``splice.grid_tables``) are the tables of the page: they replace the payload's or stand in for them (F2, F3)."""
+    if grids is None:
+        nodes = source_nodes(payloads, html_col)
+    else:
+        nodes = spliced_nodes(payloads.select("doc_id", F.col(html_col).alias("html")).join(grids, "doc_id", "left"))
+    out = entries_of(nodes)
+    return out.select("doc_id", "markdown", "simple_html", F.lit(DERIVED_HTML).alias("derived_from"),
+                      F.coalesce(F.col("facts")["source_type"], F.lit(SOURCE_HTML)).alias("source_type"))
+
+
+def route_entries(payloads: DataFrame, grids: DataFrame | None = None) -> DataFrame:
+    """The entries of mixed payloads ``(doc_id, html, plain)`` in one job: ``route``, ``markdown``, ``simple_html`` and
+    ``source_type``. HTML goes through the conversion; without it a grid of the page that is no native table does; TSV and other
+    plain text are done by column functions and travel as facts of the document's marker. The payloads are read once."""
+    from ..functions.tsv import tsv_to_html, tsv_to_markdown
+    none = F.lit(None)
+    p = payloads.select("doc_id", "html", "plain")
+    if grids is not None:
+        p = p.join(grids, "doc_id", "left")
+    else:
+        p = p.withColumns({"grid_type": none.cast("string"), "tables": none.cast("array<struct<table_no:int,width:int,html:string>>")})
+    has_grid = F.coalesce(F.col("grid_type") != "native", F.lit(False)) & F.col("plain").isNotNull()
+    p = p.withColumn("route", hotkey_route(F.col("html"), F.col("plain"), has_grid))
+    r = F.col("route")
+    facts = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, ("route", "markdown", "simple_html", "source_type"))), F.array(
+        r, F.when(r == "tsv", tsv_to_markdown(F.col("plain"))).when(r == "plain", F.col("plain")),
+        F.when(r == "tsv", tsv_to_html(F.col("plain"))).when(r == "plain", F.lit("")),
+        F.when(r == "html", F.lit(SOURCE_HTML)).when(r == "grid", F.lit(SOURCE_ARIA)).when(r == "tsv", F.lit(SOURCE_TSV)).when(r == "plain", F.lit("Plain Text")))),
+        lambda k, v: v.isNotNull())
+    p = p.withColumns({"facts": facts, "html": F.when(r == "html", F.col("html"))})
+    used = r.isin("html", "grid")
+    p = p.withColumns({"grid_type": F.when(used, F.col("grid_type")), "tables": F.when(r == "grid", F.slice("tables", 1, 1)).when(used, F.col("tables"))})
+    out = entries_of(spliced_nodes(p))
+    fact = lambda k: F.col("facts")[k]
+    return out.select("doc_id", fact("route").alias("route"), F.coalesce(fact("markdown"), F.col("markdown")).alias("markdown"),
+                      F.coalesce(fact("simple_html"), F.col("simple_html")).alias("simple_html"), fact("source_type").alias("source_type"))
 
 
 def to_simple_html(payloads: DataFrame, html_col: str = "html", upto: str = "e6") -> DataFrame:

@@ -1,8 +1,8 @@
 """Tables as a relation of cells.
 
-``cells(doc_id, table_no, r, c, section, is_header, text, selected, strategy)``. Every aggregate is keyed by
-``(doc_id, table_no)`` or finer, so one hash exchange on ``doc_id`` serves them all and a hot document is one
-table's worth of cells (bounded by the payload size guard), never a cross product of documents.
+``cells(doc_id, table_no, r, c, section, is_header, text, html, selected, strategy)``. Every aggregate is keyed by
+``(doc_id, table_no)`` or finer, so one hash exchange on ``doc_id`` serves them all, and a group is the cells of one
+document's tables, never a cross product of documents.
 """
 
 from __future__ import annotations
@@ -27,17 +27,31 @@ def bounding_box(cells: DataFrame) -> DataFrame:
 
 
 def repair_grid(cells: DataFrame) -> DataFrame:
-    """Every position of the bounding box, selected text where there is one, '' in the holes.
-
-    The box is exploded with ``sequence`` (bounded by one table) and left-joined to the selected cells on
-    ``(doc_id, table_no, r, c)``; coordinates are rebased to the box corner."""
-    box = bounding_box(cells)
-    grid = (box.select(*TABLE, "r0", "c0", F.explode(F.sequence("r0", "r1")).alias("r"), "c1")
-               .select(*TABLE, "r0", "c0", "r", F.explode(F.sequence("c0", "c1")).alias("c")))
-    sel = cells.filter("selected").select(*TABLE, "r", "c", "text")
-    j = grid.join(sel, TABLE + ["r", "c"], "left")
-    return j.select(*TABLE, (F.col("r") - F.col("r0")).alias("r"), (F.col("c") - F.col("c0")).alias("c"),
-                    F.coalesce("text", F.lit("")).alias("text"))
+    """Every position of the selection's bounding box, rebased to its corner: what a selected cell holds (``text``,
+    ``html``), nothing for others; ``is_header`` is kept for every cell that exists.
+
+    Rows are built from the cells there are: holes come from ``array_repeat`` between a cell and the one before it, empty
+    rows between a row and the one before it. No grid of positions is made and nothing is joined."""
+    content = [c for c in ("text", "html") if c in cells.columns]
+    flags = [c for c in ("is_header",) if c in cells.columns]
+    keys = [*TABLE, *[c for c in ("strategy",) if c in cells.columns]]
+    of_table = Window.partitionBy(*TABLE)
+    at = lambda c: F.when(F.col("selected"), F.col(c))
+    n = cells.withColumns({"_r0": F.min(at("r")).over(of_table), "_r1": F.max(at("r")).over(of_table), "_c0": F.min(at("c")).over(of_table), "_c1": F.max(at("c")).over(of_table)})
+    n = n.filter(F.col("r").between(F.col("_r0"), F.col("_r1")) & F.col("c").between(F.col("_c0"), F.col("_c1")))
+    held = F.struct(*[F.coalesce(at(c), F.lit("")).alias(c) for c in content], *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in flags])
+    hole = F.struct(*[F.lit("").alias(c) for c in content], *[F.lit(False).alias(c) for c in flags])
+    rows = n.groupBy(*keys, "r").agg(F.array_sort(F.collect_list(F.struct(F.col("c").cast("int").alias("c"), held.alias("v")))).alias("cs"),
+                                     *[F.max(F.col(c).cast("int")).alias(c) for c in ("_r0", "_r1", "_c0", "_c1")])
+    before = lambda i: F.when(i == 0, F.col("_c0") - 1).otherwise(F.get(F.col("cs"), i - 1)["c"])
+    filled = F.flatten(F.transform("cs", lambda x, i: F.concat(F.array_repeat(hole, x["c"] - before(i) - 1), F.array(x["v"]))))
+    row = F.concat(filled, F.array_repeat(hole, F.col("_c1") - F.element_at("cs", -1)["c"]))
+    above = F.coalesce(F.lag("r").over(Window.partitionBy(*TABLE).orderBy("r")), F.col("_r0") - 1)
+    rows = rows.select(*keys, F.col("r").cast("int").alias("r"), "_r0", "_c0", "_c1", row.alias("row"), above.cast("int").alias("_above"))
+    empty = F.array_repeat(hole, F.col("_c1") - F.col("_c0") + 1)
+    rows = rows.select(*keys, "_r0", "r", "row", empty.alias("empty"), F.explode(F.sequence(F.col("_above") + 1, F.col("r"))).alias("at"))
+    out = rows.select(*keys, (F.col("at") - F.col("_r0")).alias("r"), F.posexplode(F.when(F.col("at") == F.col("r"), F.col("row")).otherwise(F.col("empty"))).alias("c", "v"))
+    return out.select(*TABLE, "r", "c", *[F.col("v")[c].alias(c) for c in (*content, *flags)], *keys[len(TABLE):])
 
 
 def rows_of(cells: DataFrame) -> DataFrame:
@@ -94,83 +108,90 @@ def promote_first_row(cells: DataFrame) -> DataFrame:
                  .withColumn("section", F.when(F.col("is_header"), F.lit("thead")).otherwise(F.col("section"))))
 
 
-def pick_strategy(candidates: DataFrame) -> DataFrame:
-    """First strategy that produced cells wins per document (native, then aria, then heuristic)."""
-    prio = F.coalesce(*[F.when(F.col("strategy") == k, F.lit(v)) for k, v in STRATEGY_PRIORITY.items()],
-                      F.lit(99))
-    best = candidates.groupBy("doc_id").agg(F.min(prio).alias("_p"))
-    return candidates.join(best, "doc_id").filter(prio == F.col("_p")).drop("_p")
+def pick_strategy(candidates: DataFrame, strategies: list[str] | None = None) -> DataFrame:
+    """Per document the first of the strategies that produced cells wins (native, then aria, then heuristic, or the
+    order of ``strategies``); unknown ones come last."""
+    order = {k: i for i, k in enumerate(strategies)} if strategies else STRATEGY_PRIORITY
+    prio = F.coalesce(*[F.when(F.col("strategy") == k, F.lit(v)) for k, v in order.items()], F.lit(99))
+    best = F.min(prio).over(Window.partitionBy("doc_id"))
+    return candidates.withColumn("_best", best).filter(prio == F.col("_best")).drop("_best")
 
 
 def first_root(cells: DataFrame) -> DataFrame:
     """Aria grids keep only the first root holding a selected cell; native tables are all kept."""
-    roots = (cells.filter((F.col("strategy") == "aria") & F.col("selected"))
-                  .groupBy("doc_id").agg(F.min("table_no").alias("_first")))
-    j = cells.join(roots, "doc_id", "left")
-    return j.filter((F.col("strategy") != "aria") | (F.col("table_no") == F.col("_first"))).drop("_first")
+    first = F.min(F.when((F.col("strategy") == "aria") & F.col("selected"), F.col("table_no"))).over(Window.partitionBy("doc_id"))
+    return cells.withColumn("_first", first).filter((F.col("strategy") != "aria") | (F.col("table_no") == F.col("_first"))).drop("_first")
+
+
+def _both_sides(payload_cells: DataFrame, grid_cells: DataFrame) -> DataFrame:
+    """Payload and grid cells as one relation by document, with how many cells their rows have, the widest payload row
+    (``_clip``) and the width of the grid's first row (``_dom``) of each table."""
+    cols = ["doc_id", "table_no", "r", "c", *[c for c in ("text", "html") if c in payload_cells.columns and c in grid_cells.columns]]
+    strategy = F.col("strategy") if "strategy" in grid_cells.columns else F.lit("native")
+    u = payload_cells.select(*cols, F.lit(None).cast("string").alias("strategy")).unionByName(grid_cells.select(*cols, strategy.alias("strategy")))
+    u = u.repartition("doc_id").withColumn("_grid", F.col("strategy").isNotNull())
+    u = u.withColumn("_w", F.count(F.lit(1)).over(Window.partitionBy(*TABLE, "_grid", "r")))
+    t = Window.partitionBy(*TABLE)
+    return u.withColumns({"_clip": F.max(F.when(~F.col("_grid"), F.col("_w"))).over(t),
+                          "_dom": F.coalesce(F.min_by(F.when(F.col("_grid"), F.col("_w")), F.when(F.col("_grid"), F.col("r"))).over(t), F.lit(0))})
+
+
+def _fits() -> Column:
+    """No payload table is more than twice as wide as the first row of its grid (that would be a layout table)."""
+    return ~F.coalesce((F.col("_dom") > 0) & (F.col("_clip") > F.col("_dom") * 2), F.lit(False))
 
 
 def width_guard(payload_cells: DataFrame, grid_cells: DataFrame) -> DataFrame:
-    """Per document, the swap is allowed unless some payload table is more than twice as wide as the
-    first row of its grid counterpart (a layout table); tables pair up by ordinal."""
-    pw = (payload_cells.groupBy(*TABLE, "r").agg(F.count(F.lit(1)).alias("w"))
-                       .groupBy(*TABLE).agg(F.max("w").alias("clip_cols")))
-    first_r = grid_cells.groupBy(*TABLE).agg(F.min("r").alias("r"))
-    gw = (grid_cells.join(first_r, TABLE + ["r"], "left_semi").groupBy(*TABLE)
-                    .agg(F.count(F.lit(1)).alias("dom_cols")))
-    j = pw.join(gw, TABLE, "left").withColumn("dom_cols", F.coalesce("dom_cols", F.lit(0)))
-    bad = (F.col("dom_cols") > 0) & (F.col("clip_cols") > F.col("dom_cols") * 2)
-    return j.groupBy("doc_id").agg(F.bool_and(~bad).alias("ok"), F.count(F.lit(1)).alias("n_tables"))
+    """Per document with payload tables, the swap is allowed unless one of them is a layout table; tables pair up by
+    ordinal. One exchange."""
+    u = _both_sides(payload_cells, grid_cells).filter(~F.col("_grid"))
+    return u.groupBy("doc_id").agg(F.bool_and(_fits()).alias("ok"), F.size(F.collect_set("table_no")).cast("long").alias("n_tables"))
 
 
 def swap_tables(payload_cells: DataFrame, grid_cells: DataFrame) -> DataFrame:
-    """all-or-nothing per document: when the grid is native, table counts match and the width guard holds,
-    every payload table is replaced by the grid table with the same ordinal."""
-    pc = payload_cells.groupBy("doc_id").agg(F.countDistinct("table_no").alias("n_payload"))
-    gc = (grid_cells.groupBy("doc_id").agg(F.countDistinct("table_no").alias("n_grid"),
-                                          F.bool_and(F.col("strategy") == "native").alias("native")))
-    guard = width_guard(payload_cells, grid_cells).select("doc_id", "ok")
-    docs = pc.join(gc, "doc_id").join(guard, "doc_id").filter(
-        F.col("native") & (F.col("n_payload") == F.col("n_grid")) & F.col("ok")).select("doc_id")
-    keep = payload_cells.join(docs, "doc_id", "left_anti").withColumn("swapped", F.lit(False))
-    swap = grid_cells.join(docs, "doc_id", "left_semi").withColumn("swapped", F.lit(True))
-    cols = ["doc_id", "table_no", "r", "c", "text", "swapped"]
-    return keep.select(*cols).unionByName(swap.select(*cols))
+    """F2 on cells: all-or-nothing per document: when the grid is native, table counts match and the width guard holds,
+    every payload table is replaced by the grid table with the same ordinal. Windows over one relation, one exchange."""
+    u, doc = _both_sides(payload_cells, grid_cells), Window.partitionBy("doc_id")
+    tables = lambda side: F.size(F.collect_set(F.when(side, F.col("table_no"))).over(doc))
+    u = u.withColumns({"_np": tables(~F.col("_grid")), "_ng": tables(F.col("_grid")), "_native": F.min(F.col("strategy") == "native").over(doc), "_ok": F.min(_fits()).over(doc)})
+    swap = (F.col("_np") > 0) & (F.col("_np") == F.col("_ng")) & F.coalesce("_native", F.lit(False)) & F.col("_ok")
+    u = u.withColumn("swapped", swap).filter(F.col("_grid") == F.col("swapped"))
+    return u.select("doc_id", "table_no", "r", "c", *[c for c in ("text", "html") if c in u.columns], "swapped")
 
 
 def native_cells(tree: DataFrame) -> DataFrame:
-    """Native ``<table>`` -> ``cells``. Windows over the token relation, no interval join: every text token
-    is credited to the innermost cell that holds it, cells and sections to the nearest table; cells take
+    """Native ``<table>`` -> ``cells`` with ``text`` (their own, without that of tables inside them) and ``html`` (the
+    markup of the whole cell, inner tables included). Cells and sections belong to the nearest table; cells take
     their row from their parent ``tr``, rows are ranked within the table, tables within the document.
     ``colspan``/``rowspan`` are ignored (as by the reference). Needs ``with_tree``."""
     from ..functions.text import js_trim
-    from .nodes import enclosing, ordered_concat
+    from .nodes import members, ordered_concat, with_closest
+    from .render_html import token_html
     kind, tag = F.col("kind"), F.col("tag")
     mo = (kind == "open") & F.col("matched")
     is_cell = tag.isin("td", "th")
     is_sec = tag.isin("thead", "tbody", "tfoot")
-    n = enclosing(enclosing(enclosing(tree, tag == "table", "table_pos"), is_cell, "cell_pos"), is_sec, "_sec_pos")
+    n = with_closest(tree, table_pos=tag == "table", cell_pos=is_cell, _sec_pos=is_sec)
     n = n.withColumn("_sec", F.when(F.col("_sec_pos") > F.col("table_pos"), F.max(F.when(is_sec & mo, tag)).over(
         Window.partitionBy("doc_id", "_sec_pos"))))
-    # one aggregate per cell gathers its text tokens and the opener's own facts: no self-join, so the token
-    # pipeline above runs once
-    opener = is_cell & mo
-    member = opener | ((kind == "text") & F.col("cell_pos").isNotNull())
-    cells = (n.filter(member).groupBy("doc_id", "cell_pos").agg(
-        ordered_concat(F.col("pos"), F.when(kind == "text", F.col("text"))).alias("text"),
-        F.max(F.when(opener, F.struct(
+    # a token is a row for each cell around it, so one aggregate per cell gathers its text, its markup and the opener's facts
+    n = members(n, is_cell, "_in")
+    own = F.col("pos") == F.col("_in")
+    cells = (n.groupBy("doc_id", "_in").agg(
+        ordered_concat(F.col("pos"), F.when((kind == "text") & (F.col("cell_pos") == F.col("_in")), F.col("text"))).alias("text"),
+        ordered_concat(F.col("pos"), F.when(~own, token_html(kind, tag, F.col("attrs"), F.col("text"), F.col("matched")))).alias("html"),
+        F.max(F.when(own, F.struct(
             F.col("table_pos").alias("table_pos"), F.col("parent_pos").alias("row_pos"),
             F.coalesce("_sec", F.lit("table")).alias("section"),
             (tag == "th").alias("is_header")))).alias("o"))
-        .filter(F.col("o").isNotNull())
-        .select("doc_id", "cell_pos", "text", "o.table_pos", "o.row_pos", "o.section", "o.is_header"))
+        .select("doc_id", F.col("_in").alias("cell_pos"), "text", "html", "o.table_pos", "o.row_pos", "o.section", "o.is_header"))
     w_doc_t = Window.partitionBy("doc_id").orderBy("table_pos")
     w_tab = Window.partitionBy("doc_id", "table_pos").orderBy("row_pos")
     w_row = Window.partitionBy("doc_id", "table_pos", "row_pos").orderBy("cell_pos")
     return cells.select(
         "doc_id", (F.dense_rank().over(w_doc_t) - 1).alias("table_no"), "table_pos",
         (F.dense_rank().over(w_tab) - 1).alias("r"), (F.row_number().over(w_row) - 1).alias("c"),
-        "section", "is_header", js_trim(F.coalesce("text", F.lit(""))).alias("text"), "cell_pos")
+        "section", "is_header", js_trim(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("html", F.lit("")).alias("html"), "cell_pos")
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -186,48 +207,36 @@ PREVIEW_STRATEGIES = ["aria-selected", "css-class"]
 # ---------------------------------------------------------------------------------------------------------------
 
 
-def element_texts(tree: DataFrame, is_el: Column, carry: dict) -> DataFrame:
+def element_texts(tree: DataFrame, is_el: Column, carry: dict, html: bool = False) -> DataFrame:
     """One row per matched element satisfying ``is_el``: its trimmed ``textContent`` plus ``carry`` columns
-    evaluated at the opener. Text is credited to the innermost open element (running depth), so one aggregate
-    per element replaces an interval join."""
+    evaluated at the opener (and its ``innerHTML``, if asked)."""
     from ..functions.text import js_trim
-    from .nodes import ordered_concat, running
-    kind = F.col("kind")
-    mo = (kind == "open") & F.col("matched")
-    mc = (kind == "close") & F.col("matched")
-    n = (tree.withColumn("_d", F.sum(F.when(is_el & mo, 1).when(is_el & mc, -1).otherwise(0)).over(running()))
-             .withColumn("el_pos", F.last(F.when(is_el & mo, F.col("pos")), ignorenulls=True).over(running())))
-    opener = is_el & mo
-    member = opener | ((kind == "text") & (F.col("_d") > 0))
-    agg = (n.filter(member).groupBy("doc_id", "el_pos").agg(
-        ordered_concat(F.col("pos"), F.when(kind == "text", F.col("text"))).alias("text"),
-        F.max(F.when(opener, F.struct(*[c.alias(k) for k, c in carry.items()]))).alias("o")))
-    return (agg.filter(F.col("o").isNotNull())
-               .select("doc_id", "el_pos", js_trim(F.col("text")).alias("text"),
-                       *[F.col("o")[k].alias(k) for k in carry]))
+    from .nodes import contents
+    return contents(tree, is_el, carry, html).withColumn("text", js_trim(F.coalesce("text", F.lit(""))))
 
 
 def _role() -> Column:
-    return F.coalesce(F.col("attrs")["role"], F.lit(""))
+    from .nodes import role
+    return role()
 
 
 def aria_cells(tree: DataFrame) -> DataFrame:
-    """Cells of ARIA roots (``table``/``grid``/``treegrid``): rows are ``role=row`` or ``tr`` inside a root,
-    cells carry a cell role (``rowheader`` included, unlike E3); header = ``columnheader`` or ``th``;
-    ``selected`` = ``aria-selected="true"``. Needs ``with_tree``."""
-    from .nodes import running
-    kind, tag = F.col("kind"), F.col("tag")
-    mo = (kind == "open") & F.col("matched")
-    mc = (kind == "close") & F.col("matched")
+    """E9 + F6: cells of ARIA roots (``table``/``grid``/``treegrid``). A row is the nearest ``role=row`` inside a root, or the
+    nearest ``tr`` unless that is a row of a table inside the root (hybrid grids: the root is the table, or has rows of
+    its own). Cells of an ARIA row carry a cell role (``rowheader`` included, unlike E3), those of a ``tr`` are its ``td``
+    and ``th`` children; header = ``columnheader`` or ``th``; ``selected`` = ``aria-selected="true"``. Needs ``with_tree``."""
+    from .nodes import with_closest
+    tag = F.col("tag")
     is_root = _role().isin(ARIA_ROOT_ROLES)
-    is_row = (_role() == "row") | (tag == "tr")
-    n = (tree
-         .withColumn("_rd", F.sum(F.when(is_root & mo, 1).when(is_root & mc, -1).otherwise(0)).over(running()))
-         .withColumn("root_pos", F.last(F.when(is_root & mo, F.col("pos")), ignorenulls=True).over(running()))
-         .withColumn("_wd", F.sum(F.when(is_row & mo, 1).when(is_row & mc, -1).otherwise(0)).over(running()))
-         .withColumn("row_pos", F.last(F.when(is_row & mo, F.col("pos")), ignorenulls=True).over(running())))
-    is_cell = _role().isin(ARIA_GRID_CELL_ROLES) & (F.col("_rd") > 0) & (F.col("_wd") > 0)
-    cells = element_texts(n, is_cell, {
+    n = with_closest(tree, root_pos=is_root, _table=tag == "table")
+    native = (tag == "tr") & F.coalesce(F.col("_table") <= F.col("root_pos"), F.lit(True))
+    # a closer is asked like its opener: it stands outside its own element, but in the same root, table and row
+    is_row = F.col("root_pos").isNotNull() & ((_role() == "row") | native)
+    n = with_closest(n, row_pos=is_row, _tr_pos=is_row & (_role() != "row"))
+    in_tr = F.coalesce(F.col("_tr_pos") == F.col("row_pos"), F.lit(False))
+    is_cell = F.col("root_pos").isNotNull() & F.col("row_pos").isNotNull() & F.when(
+        in_tr, tag.isin("td", "th") & (F.col("parent_pos") == F.col("row_pos"))).otherwise(_role().isin(ARIA_GRID_CELL_ROLES))
+    cells = element_texts(n, F.coalesce(is_cell, F.lit(False)), {
         "root_pos": F.col("root_pos"), "row_pos": F.col("row_pos"),
         "is_header": (_role() == "columnheader") | (tag == "th"),
         "selected": F.coalesce(F.col("attrs")["aria-selected"] == "true", F.lit(False)),
@@ -311,14 +320,18 @@ def coords_to_table(tree: DataFrame) -> DataFrame:
 # F1 selection overlap, E3 ARIA rows -> table, B7/B8 grid renderings
 
 def mark_selected(elements: DataFrame, selections: DataFrame) -> DataFrame:
-    """an element (``pos``..``end_pos``) is selected when it overlaps any selection range of its document.
-    Equi-join on ``doc_id`` with the overlap as residual predicate (hash / sort-merge join keyed by document,
-    never a nested loop), as a left-semi join; the rest get ``selected = false`` by a left-anti join."""
-    cond = ((elements.doc_id == selections.doc_id) & (elements.pos <= selections.end_pos)
-            & (elements.end_pos >= selections.start_pos))
-    hit = elements.join(selections, cond, "left_semi").withColumn("selected", F.lit(True))
-    miss = elements.join(selections, cond, "left_anti").withColumn("selected", F.lit(False))
-    return hit.unionByName(miss)
+    """an element (``pos``..``end_pos``) is selected when it overlaps any selection range of its document: one that begins
+    before it and reaches it, or one that begins inside it. Elements and ranges are one relation in document order, so a
+    running maximum of range ends and the next range's start answer both; no join."""
+    cols = elements.columns
+    e = elements.select("doc_id", F.col("pos").alias("_p"), F.struct(*cols).alias("_e"), F.lit(None).cast("long").alias("_end"))
+    r = selections.select("doc_id", F.col("start_pos").alias("_p"), F.lit(None).cast(e.schema["_e"].dataType).alias("_e"), F.col("end_pos").cast("long").alias("_end"))
+    w = Window.partitionBy("doc_id").orderBy("_p", F.col("_e").isNotNull())
+    u = e.unionByName(r).withColumns({
+        "_reach": F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "_next": F.min(F.when(F.col("_e").isNull(), F.col("_p"))).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    hit = F.coalesce(F.col("_reach") >= F.col("_e.pos"), F.lit(False)) | F.coalesce(F.col("_next") <= F.col("_e.end_pos"), F.lit(False))
+    return u.filter(F.col("_e").isNotNull()).select(*[F.col("_e")[c].alias(c) for c in cols], hit.alias("selected"))
 
 
 def aria_row_cells(tree: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Token dialect (our stated deviation from HTML5 tree building):
 
-* comments, doctype / processing instructions and the drop-with-content elements are removed by regex first;
+* comments, doctype / processing instructions and the drop-with-content elements are removed first, and end tags that the
+  source left out are written where a parser infers them;
 * a tag is ``</?name ...>`` where quoted attribute values may hold ``>``; a lone ``<`` is text;
 * tag and attribute names are lower-cased, the first duplicate attribute wins;
 * void tags never open a level; closers are matched to openers per tag (stack order), unmatched closers are
@@ -18,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import decode_entities, strip_markers
+from ..functions.markup import with_implied_ends, without_subtrees
+from ..functions.text import decode_entities
 
 # ---------------------------------------------------------------------------------------------------------------
 # Fixed values that must equal the reference for equal results.
@@ -36,8 +38,9 @@ RENDER_BLOCK_TAGS = ["address", "article", "aside", "audio", "blockquote", "body
 
 # Elements removed together with everything inside them (dialect decision; the sanitizer drops svg, script and
 # style whole, and a corpus job has no use for the rest either).
-DROP_WITH_CONTENT = ["script", "style", "title", "head", "noscript", "template", "iframe", "svg", "math",
-                     "object", "audio", "video", "textarea"]
+DROP_WITH_CONTENT = ["script", "style", "title", "head", "noscript", "iframe", "textarea"]
+# ... and those that may hold elements of their own kind.
+DROP_SUBTREES = ["template", "svg", "math", "object", "audio", "video"]
 
 # Markup removed before tokenising: comments, doctype / CDATA / processing instructions, drop-with-content
 # elements (unrolled alternation: no back-references, so the same pattern runs on RE2).
@@ -64,7 +67,8 @@ def running():
 
 
 def clean_markup(html: Column) -> Column:
-    return F.regexp_replace(html, STRIP_RE, "")
+    """Without what is dropped whole (D2), with the end tags that a parser infers."""
+    return with_implied_ends(without_subtrees(F.regexp_replace(html, STRIP_RE, ""), DROP_SUBTREES))
 
 
 def tokenize(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", partitions: int | None = None,
@@ -120,7 +124,7 @@ def classify(tokens: DataFrame) -> DataFrame:
         "*", kind.alias("kind"), F.when(is_tag, tag).alias("tag"),
         F.when(kind.isin("open", "void"), F.when(tok.rlike(HAS_ATTRS_RE), _attrs(tok))
                .otherwise(F.create_map().cast("map<string,string>"))).alias("attrs"),
-        F.when(~is_tag & (tok != ""), decode_entities(strip_markers(tok))).alias("text"))
+        F.when(~is_tag & (tok != ""), decode_entities(tok)).alias("text"))
 
 
 def to_nodes(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", **kw) -> DataFrame:
@@ -195,19 +199,61 @@ def enclosing(nodes: DataFrame, is_el: Column, name: str) -> DataFrame:
     return n.withColumn(name, F.last(F.when(is_el & mo, F.col("pos")), ignorenulls=True).over(w)).drop("_nest")
 
 
-def subtree_text(nodes: DataFrame, elements: DataFrame) -> DataFrame:
-    """C7 ``textContent``: for element rows ``(doc_id, pos, end_pos)`` the ordered concatenation of the text
-    tokens inside. Equi-join on ``doc_id`` with the interval as residual predicate, so the planner picks a
-    hash / sort-merge join keyed by document instead of a nested loop."""
-    t = nodes.filter(F.col("kind") == "text").select("doc_id", F.col("pos").alias("tpos"), "text")
-    e = elements.select("doc_id", "pos", "end_pos")
-    j = e.join(t, (e.doc_id == t.doc_id) & (t.tpos > e.pos) & (t.tpos < e.end_pos), "left").drop(t.doc_id)
-    return (j.groupBy("doc_id", "pos", "end_pos")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tpos", "text"))),
-                                           lambda s: s["text"]), "").alias("text")))
+def role() -> Column:
+    """The ARIA role of an element, read at its opener or at its closer."""
+    return F.coalesce(F.col("attrs")["role"], F.col("opener_attrs")["role"], F.lit(""))
+
+
+def with_closest(nodes: DataFrame, **predicates: Column) -> DataFrame:
+    """for each name the position of the nearest matched element that satisfies its predicate and holds the token (an
+    opener counts as inside itself, a closer as outside). Predicates are asked at openers and closers. How deep a token is
+    nested comes for all of them from one pass over document order; a holder is the last one opened at the token's depth."""
+    mo, mc = (F.col("kind") == "open") & F.col("matched"), (F.col("kind") == "close") & F.col("matched")
+    n = nodes.withColumns({f"_nest_{k}": F.sum(F.when(p & mo, 1).when(p & mc, -1).otherwise(0)).over(running()) for k, p in predicates.items()})
+    for k, p in predicates.items():
+        w = Window.partitionBy("doc_id", f"_nest_{k}").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        n = n.withColumn(k, F.when(F.col(f"_nest_{k}") > 0, F.last(F.when(p & mo, F.col("pos")), ignorenulls=True).over(w)))
+    return n.drop(*[f"_nest_{k}" for k in predicates])
+
+
+def members(nodes: DataFrame, is_el: Column, name: str = "el_pos") -> DataFrame:
+    """A row for each token and each matched element of ``is_el`` that holds it, whose position is ``name``. An opener is
+    also a member of itself, a closer only of the elements around its own. A token that stands in n elements becomes n rows,
+    one for each level; at a level the holder is the last one opened there. No pairs and no interval join."""
+    mo, mc = (F.col("kind") == "open") & F.col("matched"), (F.col("kind") == "close") & F.col("matched")
+    n = nodes.withColumn("_nest", F.sum(F.when(is_el & mo, 1).when(is_el & mc, -1).otherwise(0)).over(running()))
+    n = n.withColumn("_own", F.when(is_el & mo, F.col("_nest"))).filter(F.col("_nest") > 0)
+    n = n.withColumn("_level", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_nest").cast("long"))))
+    w = Window.partitionBy("doc_id", "_level").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    holder = F.last(F.when(F.col("_own") == F.col("_level"), F.col("pos")), ignorenulls=True).over(w)
+    return n.withColumn(name, holder).drop("_nest", "_own", "_level")
+
+
+def contents(nodes: DataFrame, is_el: Column, carry: dict[str, Column], html: bool = False) -> DataFrame:
+    """One row for each matched element of ``is_el``: ``el_pos``, ``text`` (its ``textContent``), ``carry`` evaluated at
+    its opener and, if asked, ``html`` (its ``innerHTML``). One aggregate over ``members``."""
+    from .render_html import token_html
+    kind = F.col("kind")
+    n = members(nodes.withColumns({f"_c_{k}": c for k, c in carry.items()}).withColumn("_el", is_el), F.col("_el"))
+    own = (F.col("pos") == F.col("el_pos"))
+    if not html:
+        n = n.filter(own | (kind == "text"))
+    piece = token_html(kind, F.col("tag"), F.col("attrs"), F.col("text"), F.col("matched"))
+    if "before" in nodes.columns:
+        piece = F.concat(F.coalesce(F.col("before"), F.lit("")), piece)
+    out = n.groupBy("doc_id", "el_pos").agg(
+        ordered_concat(F.col("pos"), F.when(kind == "text", F.col("text"))).alias("text"),
+        *([ordered_concat(F.col("pos"), F.when(~own, piece)).alias("html")] if html else []),
+        F.max(F.when(own, F.struct(F.lit(1), *[F.col(f"_c_{k}").alias(k) for k in carry]))).alias("o"))
+    return out.select("doc_id", "el_pos", "text", *(["html"] if html else []), *[F.col("o")[k].alias(k) for k in carry])
+
+
+def subtree_text(nodes: DataFrame, is_el: Column) -> DataFrame:
+    """C7 ``textContent`` of every matched element of ``is_el``: ``(doc_id, pos, tag, text)``."""
+    return contents(nodes, is_el, {"tag": F.col("tag")}).withColumnRenamed("el_pos", "pos")
 
 
 def ordered_concat(pos: Column, piece: Column, sep: str = "") -> Column:
-    """Aggregate: pieces concatenated in ``pos`` order (per group; bounded by the payload size guard)."""
+    """Aggregate: pieces concatenated in ``pos`` order; a group holds the pieces of one document at most."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos.alias("p"), piece.alias("v")))),
                                     lambda s: s["v"]), sep)

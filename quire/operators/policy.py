@@ -67,12 +67,12 @@ def with_policy(nodes: DataFrame, policy: DataFrame, profile: str = "default") -
 
 
 def apply_attr_policy(nodes: DataFrame, profile: str = "default") -> DataFrame:
-    """D3: keep allowlisted attributes and ``aria-*``; ``data-*`` and the rest go."""
+    """D3: keep allowlisted attributes and ``aria-*``; ``data-*`` and the rest go. The document's marker keeps its facts."""
     _, attrs = PROFILES[profile]
     keep = F.map_filter("attrs", lambda k, v: k.isin(attrs) | k.startswith("aria-"))
     if profile == "grid":
         keep = F.map_filter("attrs", lambda k, v: F.lit(False))
-    return nodes.withColumn("attrs", F.when(F.col("attrs").isNotNull(), keep))
+    return nodes.withColumn("attrs", F.when(F.col("kind") == "doc", F.col("attrs")).when(F.col("attrs").isNotNull(), keep))
 
 
 def apply_render_profile(nodes: DataFrame, keep_styles: bool) -> DataFrame:

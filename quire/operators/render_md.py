@@ -21,16 +21,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_ws, md_escape
+from ..functions.text import MARKER_CLASS, collapse_ws, md_escape
 from .nodes import RENDER_BLOCK_TAGS, ordered_concat, running, w_doc
 
-# In-band markers (private-use code points, stripped from input text by the tokenizer).
+# In-band markers: private-use code points. Those of the input are escaped on the way in and restored at the end.
 BR = "\ue000"
 S_OPEN, S_CLOSE = "\ue001", "\ue002"
 E_OPEN, E_CLOSE = "\ue003", "\ue004"
 C_OPEN, C_CLOSE = "\ue005", "\ue006"
 FIELD = "\ue007"
 L_OPEN, L_CLOSE, L_END = "\ue008", "\ue009", "\ue00a"
+# white space of a ``pre`` that no rule may collapse, and a line break once its surroundings are trimmed
+KEPT_SPACES = "\ue00b\ue00c\ue00d"
+BREAK = "\ue00e"
 
 # ---------------------------------------------------------------------------------------------------------------
 # Fixed values that must equal the reference for equal results (renderer options in force).
@@ -57,12 +60,8 @@ MARK_CLASS = {"b": "s", "strong": "s", "i": "e", "em": "e", "code": "c"}
 OPENERS = {"s": S_OPEN, "e": E_OPEN, "c": C_OPEN}
 CLOSERS = {"s": S_CLOSE, "e": E_CLOSE, "c": C_CLOSE}
 
-# A code span whose content holds backticks: its delimiter is the shortest run of backticks that it does not hold, and
-# a space keeps a backtick at its edge apart. (pattern, replacement) for delimiters of one to four.
-_NOT = f"[^`{C_OPEN}{C_CLOSE}]"
-CODE_SPANS = [(f"{C_OPEN}(`[^{C_CLOSE}]*|[^{C_CLOSE}]*`){C_CLOSE}", f"{C_OPEN} $1 {C_CLOSE}")] + [
-    (f"{C_OPEN}((?:{_NOT}|{runs}{_NOT})*(?:{runs})?){C_CLOSE}", f"{ticks}$1{ticks}")
-    for runs, ticks in (("`{2,}", "`"), ("(?:`|`{3,})", "``"), ("(?:`{1,2}|`{4,})", "```"), ("`+", "````"))]
+# Stands in FINISH for :func:`code_spans`.
+CODE_RULE = "code spans"
 
 # (pattern, replacement) applied in order to a segment's concatenated pieces.
 FINISH = [
@@ -76,26 +75,57 @@ FINISH = [
     (f"{S_OPEN}(\\s*){S_CLOSE}", "$1"),
     (f"{E_OPEN}(\\s*){E_CLOSE}", "$1"),
     (f"{C_OPEN}{C_CLOSE}", ""),
-    (f" *{BR} *", "\u0001"),
+    (f" *{BR} *", BREAK),
     (f"[{S_OPEN}{S_CLOSE}]", "**"),
     (f"[{E_OPEN}{E_CLOSE}]", "_"),
-    *CODE_SPANS,
-    (f"[{C_OPEN}{C_CLOSE}]", "`"),
+    (CODE_RULE, ""),
     (L_OPEN, "["),
     (f"[{L_CLOSE}{L_END}]", ""),
-    ("^[ \\t\\r\\n\u0001]+|[ \\t\\r\\n\u0001]+$", ""),
-    ("\u0001", "  \n"),
+    (f"^[ \\t\\r\\n{BREAK}]+|[ \\t\\r\\n{BREAK}]+$", ""),
+    (BREAK, "  \n"),
 ]
 
 
 MARKERS = "[\ue000-\ue00a]"
 # rules whose pattern is a plain literal run as ``replace`` (no regex)
 LITERAL_RULES = {(L_OPEN, "[")}
-LITERAL_PATTERNS = {"\u0001"}
+LITERAL_PATTERNS = {BREAK}
+
+
+def code_spans(c: Column) -> Column:
+    """K7: the delimiter of a code span is the shortest run of backticks that its content does not hold, and a space keeps
+    a backtick at its edge apart. Spans don't nest, so every second part between their marks is a content."""
+    def span(p: Column) -> Column:
+        lengths = F.transform(F.regexp_extract_all(p, F.lit("(`+)"), 1), lambda r: F.length(r))
+        ticks = F.repeat(F.lit("`"), F.array_min(F.array_except(F.sequence(F.lit(1), F.size(lengths) + 1), lengths)))
+        edge = F.when(p.rlike("^`|`$"), F.lit(" ")).otherwise(F.lit(""))
+        return F.concat(ticks, edge, p, edge, ticks)
+
+    parts = F.split(c, f"[{C_OPEN}{C_CLOSE}]", -1)
+    spelled = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, span(p)).otherwise(p)), "")
+    return F.when(F.instr(c, C_OPEN) > 0, F.when(F.instr(c, "`") > 0, spelled).otherwise(F.regexp_replace(c, f"[{C_OPEN}{C_CLOSE}]", "`"))).otherwise(c)
+
+
+def guard(c: Column) -> Column:
+    """The input's own marks, escaped: U+E00F and a code point from U+E010 on."""
+    out = F.replace(c, F.lit("\ue00f"), F.lit("\ue00f\ue01f"))
+    for k in range(15):
+        out = F.replace(out, F.lit(chr(0xE000 + k)), F.lit("\ue00f" + chr(0xE010 + k)))
+    return F.when(c.rlike(MARKER_CLASS), out).otherwise(c)
+
+
+def unguard(c: Column) -> Column:
+    out = c
+    for k in range(16):
+        out = F.replace(out, F.lit("\ue00f" + chr(0xE010 + k)), F.lit(chr(0xE000 + k)))
+    return F.when(F.instr(c, "\ue00f") > 0, out).otherwise(c)
 
 
 def _apply(c: Column, rules) -> Column:
     for pat, rep in rules:
+        if pat == CODE_RULE:
+            c = code_spans(c)
+            continue
         literal = (pat, rep) in LITERAL_RULES or pat in LITERAL_PATTERNS
         c = F.replace(c, F.lit(pat), F.lit(rep)) if literal else F.regexp_replace(c, pat, rep)
     return c
@@ -110,7 +140,7 @@ def finish_rules(opts: dict | None = None) -> list:
             rep = o["strong"].replace("$", "\\$")
         elif pat == f"[{E_OPEN}{E_CLOSE}]":
             rep = o["em"].replace("$", "\\$")
-        elif pat == "\u0001":
+        elif pat == BREAK:
             rep = o["br"] + "\n"
         out.append((pat, rep))
     return out
@@ -127,7 +157,7 @@ def finish(c: Column, opts: dict | None = None) -> Column:
 
 
 def _attr(name: str, src: str = "attrs") -> Column:
-    return F.coalesce(F.col(src)[name], F.lit(""))
+    return guard(F.coalesce(F.col(src)[name], F.lit("")))
 
 
 def clean_attribute(c: Column) -> Column:
@@ -159,16 +189,18 @@ def _image() -> Column:
 
 # What joins a block to the one before it: the outermost list and quote, how deep it is quoted, whether it is a block of
 # an item rather than the item's own text, and how many items it is in.
+FRAME = -2     # the row number of what a table has outside its cells
 STYLE = ["top_list", "top_bq", "bq", "loose", "li_in"]
 
 
-def _blocks(segs: DataFrame, refs: bool = False) -> DataFrame:
+def _blocks(segs: DataFrame, refs: bool = False, also: bool = False) -> DataFrame:
     """Segments -> blocks ``(doc_id, seg, block, is_li)`` in one linear flow (no branch re-reads the input).
 
     Ordinary segments pass through two aggregates as one-row groups; table cells group into rows (level 1) and
-    rows into the table block placed at the table's own segment (level 2) - K12/K13 with E5: a table without a
+    rows into the table block placed at the table's own segment (level 2) - K12 with E5: a table without a
     header row (no ``thead``, first row not all ``th``) gets its first row promoted as plain text (inline markup
-    lost, as in the reference)."""
+    lost, as in the reference). K13: a table whose ``thead`` has no row is neither promoted nor has it a heading row, so it
+    stays markup; that is gathered next to the rows."""
     h = F.col("head")
     is_cell = F.coalesce(h["cell"] & h["in_table"], F.lit(False))
     is_table = F.coalesce(h["table"], F.lit(False))
@@ -179,17 +211,22 @@ def _blocks(segs: DataFrame, refs: bool = False) -> DataFrame:
     segs = segs.withColumns({"_is_cell": is_cell, "_table_seg": F.last(F.when(is_table, F.col("seg")), True).over(by_table)})
     segs = segs.withColumn("_cell", F.last(F.when(is_cell, F.struct(
         F.col("seg"), F.col("_table_seg").alias("table_seg"), h["row_pos"].alias("row_pos"))), True).over(by_cell))
-    # blocks inside a cell are part of it; what a table holds outside its cells stays a block of its own
+    # blocks inside a cell are part of it; what a table holds outside its cells stays a block of its own, if it is any
     part = ~F.col("_is_cell") & ~is_table & F.coalesce(h["in_table"] & (h["cell_run"] > 0), F.lit(False)) \
         & F.col("_cell").isNotNull()
     of_cell = F.col("_is_cell") | part
     kept = (F.col("body") != "") | F.coalesce(h["hr"], F.lit(False))
-    own = lambda c, other: F.when(of_cell, F.col("_cell")[c]).otherwise(other)
+    frame = ~of_cell & (is_table | (F.coalesce(h["in_table"], F.lit(False)) & ~kept & F.col("_table_seg").isNotNull()))
+    own = lambda c, other: F.when(of_cell, F.col("_cell")[c]).when(frame, F.col("_table_seg") if c == "table_seg" else F.lit(FRAME)).otherwise(other)
+    joined = F.array_join(F.transform("markup", lambda m: m["v"]), "")
+    bit = F.struct("seg", (F.col("also") if also else F.lit("")).alias("also"), joined.alias("markup"))
+    bits = F.array(bit) if also else F.when(of_cell | frame, F.array(bit)).otherwise(F.array().cast("array<struct<seg:bigint,also:string,markup:string>>"))
     # empty segments stay as placeholders (kept = false) so every document reaches the final aggregate
-    x = segs.filter(of_cell | ~is_table).select(
-        "doc_id", of_cell.alias("is_cell"), (of_cell | kept).alias("kept"), own("table_seg", F.col("seg")).alias("k1"),
+    x = segs.select(
+        "doc_id", (of_cell | frame).alias("is_cell"), (of_cell | kept).alias("kept"), own("table_seg", F.col("seg")).alias("k1"),
         own("row_pos", F.lit(-1)).alias("k2"), own("seg", F.col("seg")).alias("k3"), "seg", "block", "is_li", *STYLE,
-        F.when(F.col("_is_cell"), F.col("body")).otherwise(F.col("block")).alias("md"), "plain",
+        F.when(F.col("_is_cell"), F.col("body")).otherwise(F.col("block")).alias("md"), "plain", bits.alias("bits"),
+        F.when(frame, h["thead"]).alias("thead"), *(["facts"] if also else []),
         # Border cell from the cell's align attribute (only present when the sanitizer did not run)
         F.when(F.col("_is_cell"), F.coalesce(
             F.when(h["align"] == "left", F.lit(":--")).when(h["align"] == "right", F.lit("--:"))
@@ -197,7 +234,10 @@ def _blocks(segs: DataFrame, refs: bool = False) -> DataFrame:
         F.when(F.col("_is_cell"), h["is_th"]).alias("is_th"),
         F.when(F.col("_is_cell"), h["in_sec"] & (h["sec"] == "thead")).alias("in_thead"),
         *(["refs"] if refs else []))
-    carry = [F.flatten(F.collect_list("refs")).alias("refs")] if refs else []
+    carry = [F.flatten(F.collect_list("bits")).alias("bits"), F.max("thead").alias("thead"),
+             *([F.first("facts", ignorenulls=True).alias("facts")] if also else []),
+             *([F.flatten(F.collect_list("refs")).alias("refs")] if refs else [])]
+    kept_cols = ["bits", "thead", *(["facts"] if also else []), *(["refs"] if refs else [])]
     x = x.groupBy("doc_id", "is_cell", "k1", "k2", "k3").agg(*carry,
         F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("seg", "md"))), lambda p: p["md"]),
                               lambda m: m != ""), "\n").alias("md"),
@@ -205,18 +245,17 @@ def _blocks(segs: DataFrame, refs: bool = False) -> DataFrame:
         F.max("in_thead").alias("in_thead"), F.max("block").alias("block"), F.max("is_li").alias("is_li"),
         F.max("kept").alias("kept"), *[F.max(c).alias(c) for c in STYLE])
     x = x.select(
-        "doc_id", "is_cell", "kept", "k1", "k2", F.col("k3").alias("seg"), "block", "is_li", *STYLE,
+        "doc_id", "is_cell", "kept", "k1", "k2", F.col("k3").alias("seg"), "block", "is_li", *STYLE, *kept_cols,
         F.when(F.col("is_cell"), F.regexp_replace("md", "\\s*\\n\\s*", "<br>")).alias("md"),
         F.when(F.col("is_cell"), F.trim(F.regexp_replace("plain", "[ \\t\\r\\n\\f]+", " "))).alias("pl"),
         F.coalesce("bd", F.lit("---")).alias("bd"), F.coalesce("is_th", F.lit(False)).alias("is_th"),
-        F.coalesce("in_thead", F.lit(False)).alias("in_thead"), *(["refs"] if refs else []))
+        F.coalesce("in_thead", F.lit(False)).alias("in_thead"))
     rows = x.groupBy("doc_id", "is_cell", "k1", "k2").agg(*carry,
         F.array_sort(F.collect_list(F.struct("seg", "md", "pl", "bd"))).alias("cs"),
         F.bool_and("is_th").alias("all_th"), F.bool_or("in_thead").alias("in_thead"),
         F.max("block").alias("block"), F.max("is_li").alias("is_li"), F.max("kept").alias("kept"),
         *[F.max(c).alias(c) for c in STYLE])
-    rows = rows.select("doc_id", "is_cell", "k1", "k2", "all_th", "in_thead", "block", "is_li", "kept", *STYLE,
-                       *(["refs"] if refs else []),
+    rows = rows.select("doc_id", "is_cell", "k1", "k2", "all_th", "in_thead", "block", "is_li", "kept", *STYLE, *kept_cols,
                        F.size("cs").alias("n"),
                        F.concat(F.lit("| "), F.array_join(F.transform("cs", lambda c: c["md"]), " | "), F.lit(" |"))
                         .alias("line"),
@@ -225,12 +264,11 @@ def _blocks(segs: DataFrame, refs: bool = False) -> DataFrame:
                        F.concat(F.lit("| "), F.array_join(F.transform("cs", lambda c: c["bd"]), " | "), F.lit(" |"))
                         .alias("border"))
     t = rows.groupBy("doc_id", "is_cell", "k1").agg(*carry,
-        F.array_sort(F.collect_list(F.struct(F.col("k2").alias("row_pos"), "line", "line_plain", "n", "all_th",
-                                             "border")))
-         .alias("rs"),
+        F.array_sort(F.collect_list(F.when(~F.col("k2").eqNullSafe(F.lit(FRAME)), F.struct(
+            F.col("k2").alias("row_pos"), "line", "line_plain", "n", "all_th", "border")))).alias("rs"),
         F.bool_or("in_thead").alias("has_thead"), F.max("block").alias("block"), F.max("is_li").alias("is_li"),
         F.max("kept").alias("kept"), *[F.max(c).alias(c) for c in STYLE])
-    first = F.col("rs")[0]
+    first = F.get(F.col("rs"), F.lit(0))
     has_header = F.col("has_thead") | first["all_th"]
     plain_border = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), first["n"]), " | "), F.lit(" |"))
     # a promoted header row is made of new cells without alignment
@@ -239,10 +277,13 @@ def _blocks(segs: DataFrame, refs: bool = False) -> DataFrame:
                         "\n")
     md = F.concat(F.when(has_header, first["line"]).otherwise(first["line_plain"]), F.lit("\n"), border,
                   F.when(F.size("rs") > 1, F.concat(F.lit("\n"), rest)).otherwise(F.lit("")))
+    # the closing tag of a table stands behind its segments
+    markup = F.concat(F.array_join(F.transform(F.array_sort("bits"), lambda b: b["markup"]), ""), F.lit("</table>"))
+    md = F.when(F.coalesce(F.col("thead"), F.lit(False)) & ~has_header, markup).otherwise(md)
     return t.select("doc_id", F.col("k1").alias("seg"),
                     F.when(F.col("is_cell"), md).otherwise(F.col("block")).alias("block"),
-                    F.when(F.col("is_cell"), F.lit(False)).otherwise(F.col("is_li")).alias("is_li"), "kept", *STYLE,
-                    *(["refs"] if refs else []))
+                    F.when(F.col("is_cell"), F.lit(False)).otherwise(F.col("is_li")).alias("is_li"),
+                    F.when(F.col("is_cell"), F.size("rs") > 0).otherwise(F.col("kept")).alias("kept"), *STYLE, *kept_cols)
 
 
 def effective_rules(rules: DataFrame) -> DataFrame:
@@ -255,7 +296,7 @@ def effective_rules(rules: DataFrame) -> DataFrame:
 
 
 def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: DataFrame | None = None,
-                    options: dict | None = None) -> DataFrame:
+                    options: dict | None = None, html_col: str | None = None) -> DataFrame:
     """K1-K18 over sanitized nodes with spans and tree (``with_spans`` + ``with_tree``).
 
     ``docs`` (``doc_id`` column) lists documents that must appear even when nothing renders (markdown ``''``).
@@ -269,8 +310,8 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     is_el = kind.isin("open", "close", "void")
     mo = (kind == "open") & F.col("matched")
     mc = (kind == "close") & F.col("matched")
-    href_open = (tag == "a") & mo & (_attr("href") != "")
-    href_close = (tag == "a") & mc & (_attr("href", "opener_attrs") != "")
+    href_open = (tag == "a") & mo & (F.coalesce(F.col("attrs")["href"], F.lit("")) != "")
+    href_close = (tag == "a") & mc & (F.coalesce(F.col("opener_attrs")["href"], F.lit("")) != "")
 
     # Window expressions are computed in batches (one projection per dependency level), so each batch is a
     # single Window operator over the document order instead of one operator per column.
@@ -325,14 +366,16 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
         F.col("_seg_start").isNull() | (F.col("open_pos") > F.col("_seg_start")))
     open_closes_in_seg = F.col("matched") & (F.col("_next_bnd").isNull() | (F.col("end_pos") < F.col("_next_bnd")))
 
-    text = collapse_ws(F.col("text"))
-    text = F.when(prev_break, F.ltrim(text)).otherwise(text)
+    source = guard(F.col("text"))
+    text = collapse_ws(source)
+    # C4: white space inside ``pre`` stays as it is
+    text = F.when(F.col("_pre_run") > 0, F.translate(source, " \n\t", KEPT_SPACES)).when(prev_break, F.ltrim(text)).otherwise(text)
     text_piece = F.when(F.col("_code_run") > 0, text).otherwise(md_escape(text))
 
     def mark_piece(table):
         return F.coalesce(*[F.when(F.col("_mark") == k, F.lit(v)) for k, v in table.items()])
 
-    piece = (F.when(F.col("_in_cb"), F.when((kind == "text") & (F.col("_code_run") > 0), F.col("text"))
+    piece = (F.when(F.col("_in_cb"), F.when((kind == "text") & (F.col("_code_run") > 0), source)
                                      .otherwise(F.lit("")))
              .when(kind == "text", text_piece)
              .when(F.col("_field"), F.lit(FIELD))
@@ -342,6 +385,8 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
              .when(href_open, F.lit(L_OPEN))
              .when(href_close, _link_close("opener_attrs") if opts["link_style"] != "referenced" else
                    F.concat(F.lit(L_CLOSE + "]["), F.col("_link_no").cast("string"), F.lit("]" + L_END)))
+             # code inside code is one span
+             .when((F.col("_mark") == "c") & (F.col("_code_run") > F.when(mo, 1).otherwise(0)), F.lit(""))
              .when(F.col("_mark").isNotNull() & (kind == "open"), mark_piece(OPENERS))
              .when(F.col("_mark").isNotNull() & (kind == "close") & close_in_seg, mark_piece(CLOSERS))
              .otherwise(F.lit("")))
@@ -361,9 +406,11 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
                   .when((act == "replace") & mc, F.coalesce(F.col("r_close"), F.lit("")))
                   .otherwise(piece))
     if "before" in nodes.columns:     # text inserted by a repair (E7 names) precedes the token's own piece
-        piece = F.concat(F.coalesce(md_escape(collapse_ws(F.col("before"))), F.lit("")), piece)
-    n = n.withColumn("_piece", piece)
-    dangling = (kind == "open") & ~open_closes_in_seg
+        piece = F.concat(F.coalesce(md_escape(collapse_ws(guard(F.col("before")))), F.lit("")), piece)
+    from .render_html import token_html
+    markup = token_html(kind, tag, F.col("attrs"), text, F.col("matched"))
+    n = n.withColumns({"_piece": piece, "_markup": F.when(F.col("_tab_run") > 0, markup)})
+    dangling = (kind == "open") & ~open_closes_in_seg & ~((F.col("_mark") == "c") & (F.col("_code_run") > 1))
 
     # list marker of an item: bullet, or its 1-based index among the items of its ordered list (H5)
     li_open = (tag == "li") & (kind == "open")
@@ -384,7 +431,7 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
         ((kind == "void") & (tag == "hr")).alias("hr"),
         F.col("_pre_code").alias("cb"),
         # table context: the table's own segment, cells (with their row), anything else inside a table
-        ((tag == "table") & mo).alias("table"),
+        ((tag == "table") & mo).alias("table"), ((tag == "thead") & mo).alias("thead"),
         ((F.col("_tab_run") > 0) & ~((tag == "table") & mo)).alias("in_table"),
         (tag.isin("td", "th") & (kind == "open")).alias("cell"),
         (tag == "th").alias("is_th"),
@@ -407,6 +454,9 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
         ordered_concat(F.col("pos"), F.when((kind == "text") & (F.col("_tab_run") > 0),
                                             md_escape(collapse_ws(F.col("text")))).otherwise(F.lit(""))).alias("plain"),
         F.max("_head").alias("head"),
+        # The markup of tables, for those that Markdown cannot spell; and, if asked, the pieces of the other output
+        F.array_sort(F.collect_list(F.when((F.col("_tab_run") > 0) & F.col("_markup").isNotNull(), F.struct("pos", F.col("_markup").alias("v"))))).alias("markup"),
+        *([ordered_concat(F.col("pos"), F.col(html_col)).alias("also"), F.first(F.when(kind == "doc", F.col("attrs")), ignorenulls=True).alias("facts")] if html_col else []),
         F.sum(F.when(dangling & (F.col("_mark") == "e"), 1).otherwise(0)).alias("n_e"),
         F.sum(F.when(dangling & (F.col("_mark") == "s"), 1).otherwise(0)).alias("n_s"),
         F.sum(F.when(dangling & (F.col("_mark") == "c"), 1).otherwise(0)).alias("n_c")))
@@ -421,8 +471,10 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     fenced = F.concat(fence, F.lit("\n"), code, F.lit("\n"), fence)
     if opts["code_block_style"] == "indented":
         fenced = F.concat(F.lit("    "), F.replace(code, F.lit("\n"), F.lit("\n    ")))
-    segs = segs.withColumn("body", F.when(F.coalesce(F.col("head")["cb"], F.lit(False)), fenced)
-                           .otherwise(finish(raw, opts)))
+    flowing = finish(raw, opts)
+    as_is = F.regexp_replace(F.translate(flowing, KEPT_SPACES, " \n\t"), "^\n+|\n+$", "")
+    flowing = F.when(flowing.rlike(f"[{KEPT_SPACES}]"), as_is).otherwise(flowing)
+    segs = segs.withColumn("body", F.when(F.coalesce(F.col("head")["cb"], F.lit(False)), fenced).otherwise(flowing))
 
     # the marker of an item goes to the first of its segments that holds anything
     h = F.col("head")
@@ -461,7 +513,7 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     segs = segs.withColumns({"loose": h["li"].isNull() & (li_depth > 0), "li_in": F.when(is_li, depth + 1).otherwise(li_depth)})
     segs = segs.withColumns({"block": body, "is_li": is_li, "top_list": h["top_list"],
                              "top_bq": h["top_bq"], "bq": h["bq"]})
-    segs = _blocks(segs, referenced)
+    segs = _blocks(segs, referenced, html_col is not None)
 
     # between blocks stands an empty line. Items of one list follow each other; inside an item the empty line is
     # indented, inside a quote it is quoted
@@ -482,13 +534,15 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
             .when(one_quote, quoted).otherwise(F.lit("\n\n")))
     segs = segs.withColumn("_joined", F.when(F.col("kept"), F.concat(sep, F.col("block"))).otherwise(F.lit("")))
     out = (segs.groupBy("doc_id")
-               .agg(F.regexp_replace(ordered_concat(F.col("seg"), F.col("_joined")),
-                                     "^[\\t\\r\\n]+|[\\t\\r\\n ]+$", "").alias("markdown"),
+               .agg(unguard(F.regexp_replace(ordered_concat(F.col("seg"), F.col("_joined")),
+                                             "^[\\t\\r\\n]+|[\\t\\r\\n ]+$", "")).alias("markdown"),
+                    *([F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("bits"))), lambda b: b["also"]), "").alias("simple_html"),
+                       F.first("facts", ignorenulls=True).alias("facts")] if html_col else []),
                     *([F.array_sort(F.flatten(F.collect_list("refs"))).alias("refs")] if referenced else [])))
     if referenced:     # the reference list closes the document
         lines = F.array_join(F.transform("refs", lambda r: r["line"]), "\n")
         out = out.select("doc_id", F.regexp_replace(F.when(F.size("refs") > 0, F.concat(
-            F.col("markdown"), F.lit("\n\n"), lines)).otherwise(F.col("markdown")),
+            F.col("markdown"), F.lit("\n\n"), unguard(lines))).otherwise(F.col("markdown")),
             "^[\\t\\r\\n]+|[\\t\\r\\n ]+$", "").alias("markdown"))
     if docs is not None:
         out = docs.select("doc_id").join(out, "doc_id", "left") \

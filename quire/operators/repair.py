@@ -323,12 +323,17 @@ def table_headers(tree: DataFrame) -> DataFrame:
     return n.filter((F.col("tag") == "table") & _mo()).select("doc_id", "table_pos", "has_header")
 
 
-def simplify_tables(tree: DataFrame) -> DataFrame:
-    """E6 (Simple HTML only): a headerless table's ``tbody`` tags go; whitespace-only text directly inside
-    ``table/thead/tbody/tfoot/tr`` goes. Needs ``with_tree``."""
+def with_simplified_tables(tree: DataFrame) -> DataFrame:
+    """E6 as a column: ``_tidied`` for the tokens that the Simple HTML goes without - the ``tbody`` tags of a headerless table
+    and whitespace-only text directly inside ``table/thead/tbody/tfoot/tr``. Needs ``with_tree``."""
     n = with_table_headers(tree)
     body_of_headerless = (F.col("tag") == "tbody") & (F.col("parent_tag") == "table") & ~F.col("has_header") \
         & (_mo() | _mc())
     struct_ws = blank_text() & F.col("parent_tag").isin("table", "thead", "tbody", "tfoot", "tr")
-    return n.filter(~(F.coalesce(body_of_headerless, F.lit(False)) | F.coalesce(struct_ws, F.lit(False)))) \
-            .drop("table_pos", "has_header")
+    tidied = F.coalesce(body_of_headerless, F.lit(False)) | F.coalesce(struct_ws, F.lit(False))
+    return n.withColumn("_tidied", tidied).drop("table_pos", "has_header")
+
+
+def simplify_tables(tree: DataFrame) -> DataFrame:
+    """E6 (Simple HTML only): the tokens of ``with_simplified_tables`` that stay."""
+    return with_simplified_tables(tree).filter(~F.col("_tidied")).drop("_tidied")

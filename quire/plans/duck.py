@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from ..functions.text import BASE64_IMAGE, BASE64_REPLACEMENT, DECIMAL, ENTITIES, HEXADECIMAL, LAST_CODE_POINT, \
-    MARKER_CLASS, MAX_PAYLOAD_CHARS, MD_ESCAPES, NAMED
+    MAX_PAYLOAD_CHARS, MD_ESCAPES, NAMED
 from ..operators import nodes as N
 from ..operators import render_md as R
 
@@ -36,11 +36,22 @@ def rx(expr: str, pattern: str, replacement: str) -> str:
 
 def chain(expr: str, rules) -> str:
     for p, r in rules:
-        # the line-break placeholder is substituted literally (its replacement may hold a backslash)
-        expr = f"replace({expr}, chr(1), {q(r)})" if p == "\u0001" else rx(expr, p, r)
+        if p == R.CODE_RULE:
+            expr = code_spans(expr)
+        else:  # the line-break placeholder is substituted literally (its replacement may hold a backslash)
+            expr = f"replace({expr}, {q(R.BREAK)}, {q(r)})" if p == R.BREAK else rx(expr, p, r)
     return expr
 
 
+def code_spans(expr: str) -> str:
+    """Contents between code marks, delimited by the shortest run of backticks that they don't hold."""
+    runs = "list_transform(regexp_extract_all(p, '`+'), lambda r: length(r))"
+    ticks = f"repeat('`', list_min(list_filter(range(1, len({runs}) + 2), lambda k: NOT list_contains({runs}, k))))"
+    edge = "CASE WHEN starts_with(p, '`') OR ends_with(p, '`') THEN ' ' ELSE '' END"
+    parts = f"regexp_split_to_array({expr}, {q('[' + R.C_OPEN + R.C_CLOSE + ']')})"
+    return f"array_to_string(list_transform({parts}, lambda p, i: CASE WHEN i % 2 = 0 THEN {ticks} || {edge} || p || {edge} || {ticks} ELSE p END), '')"
+
+
 def decode(expr: str) -> str:
     names = "map([" + ", ".join(q(n) for n in ENTITIES) + "], [" + ", ".join(q(c) for c in ENTITIES.values()) + "])"
     rest = "regexp_replace(p, '^[^;]*;', '')"
@@ -75,6 +86,10 @@ def attr(col: str, name: str) -> str:
 RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
+# elements dropped with their content; the oracle's documents have none inside one of its kind
+SUBTREES = "(?is)" + "|".join(f"<{t}\\b[^>]*>.*?</{t}\\s*>" for t in N.DROP_SUBTREES)
+
+
 def nodes_ctes(src: str, prefix: str = "n", allowed=None, attr_allow=None, pre_spans: str = "") -> tuple[str, str]:
     """CTEs turning ``src(doc_id, html)`` into nodes with spans and tree; returns (ctes, final_name).
 
@@ -106,7 +121,7 @@ def nodes_ctes(src: str, prefix: str = "n", allowed=None, attr_allow=None, pre_s
     ctes = f"""
 {p}_tok AS (
   SELECT doc_id, unnest(t) AS tok, unnest(range(len(t))) AS pos
-  FROM (SELECT doc_id, regexp_extract_all({rx('html', N.STRIP_RE, '')}, {tok_re}, 0) AS t FROM {src})
+  FROM (SELECT doc_id, regexp_extract_all({rx(rx('html', N.STRIP_RE, ''), SUBTREES, '')}, {tok_re}, 0) AS t FROM {src})
 ),
 {p}_c0 AS (
   SELECT doc_id, pos, tok,
@@ -122,7 +137,7 @@ def nodes_ctes(src: str, prefix: str = "n", allowed=None, attr_allow=None, pre_s
   SELECT doc_id, pos, tok, tag,
          CASE WHEN NOT is_tag THEN 'text' WHEN substring(tok, 1, 2) = '</' THEN 'close'
               WHEN tag IN {in_list(N.VOID_TAGS)} THEN 'void' ELSE 'open' END AS kind,
-         CASE WHEN NOT is_tag THEN {decode(rx('tok', MARKER_CLASS, ''))} END AS text
+         CASE WHEN NOT is_tag THEN {decode('tok')} END AS text
   FROM {p}_c1
 ),
 {p}_c3 AS (

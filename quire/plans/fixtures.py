@@ -298,25 +298,25 @@ DUCK = {"fx1": _fx1(), "fx2": _fx2(), "fx3": _fx3(), "fx4": _fx4(), "fx5": _fx5(
 
 
 def fx13_code(spark: SparkSession, sf: str) -> DataFrame:
-    """Code payload per document: a fenced block holding a line of the text, a backtick run opening a line
-    (none / 3 / 5 by ``doc_id % 3``) and a second line; then inline code."""
+    """Code payload per document: a fenced block holding the first line of the text, a backtick run opening a line
+    (none / 3 / 5 by ``doc_id % 3``) and the whole rest of the text; then inline code."""
     d = load_table(spark, sf, "documents", ["doc_id", "text", "lang", "source"])
-    lines = F.split(F.col("text"), "\n")
-    l1 = F.substring(F.element_at(lines, 1), 1, 60)
-    l2 = F.substring(F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")), 1, 60)
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    first = F.substring_index(text, "\n", 1)
+    rest = F.substr(text, F.length(first) + 2)
     k = F.col("doc_id") % 3
     tick = F.when(k == 0, F.lit("```\n")).when(k == 1, F.lit("`````x\n")).otherwise(F.lit(""))
-    html = F.concat(F.lit("<p>"), F.col("source"), F.lit(" snippet</p><pre><code>"), l1, F.lit("\n"), tick, l2,
+    html = F.concat(F.lit("<p>"), F.col("source"), F.lit(" snippet</p><pre><code>"), first, F.lit("\n"), tick, rest,
                     F.lit("\n</code></pre><p>call <code>"), F.col("lang"), F.lit("</code> now</p>"))
     return d.select("doc_id", html.alias("html"))
 
 
 def _fx13():
-    return """(SELECT doc_id, '<p>' || source || ' snippet</p><pre><code>' ||
-  substring(string_split(text, chr(10))[1], 1, 60) || chr(10) ||
+    return """(SELECT doc_id, '<p>' || source || ' snippet</p><pre><code>' || string_split(t, chr(10))[1] || chr(10) ||
   CASE doc_id % 3 WHEN 0 THEN '```' || chr(10) WHEN 1 THEN '`````x' || chr(10) ELSE '' END ||
-  substring(coalesce(string_split(text, chr(10))[2], ''), 1, 60) || chr(10) ||
-  '</code></pre><p>call <code>' || lang || '</code> now</p>' AS html FROM documents)"""
+  array_to_string(string_split(t, chr(10))[2:], chr(10)) || chr(10) ||
+  '</code></pre><p>call <code>' || lang || '</code> now</p>' AS html
+  FROM (SELECT *, replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;') AS t FROM documents))"""
 
 
 DUCK["fx13"] = _fx13()

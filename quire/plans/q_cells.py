@@ -21,7 +21,7 @@ D_REPAIRED = f"""(SELECT g.doc_id, g.table_no, g.r - g.r0 AS r, g.c - g.c0 AS c,
 
 
 def fx8_repaired(spark, sf):
-    return G.repair_grid(X.fx8_cells(spark, sf))
+    return G.repair_grid(X.fx8_cells(spark, sf)).select("doc_id", "table_no", "r", "c", "text")
 
 
 @query("g1_bounding_box", oracle=lambda: f"SELECT * FROM {D_BOX}")

@@ -27,8 +27,9 @@ def fx1_tree(spark, sf):
 def _selections(cells):
     """Two selection ranges per document derived from its cell positions."""
     b = cells.groupBy("doc_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    return (b.select("doc_id", (F.col("lo") + 5).alias("start_pos"), (F.col("lo") + 20).alias("end_pos"))
-             .unionByName(b.select("doc_id", (F.col("hi") - 3).alias("start_pos"), (F.col("hi") - 1).alias("end_pos"))))
+    lo, hi = F.col("lo"), F.col("hi")
+    ranges = F.array(*[F.struct(a.alias("start_pos"), z.alias("end_pos")) for a, z in ((lo + 5, lo + 20), (hi - 3, hi - 1))])
+    return b.select("doc_id", F.inline(ranges))
 
 
 @query("f1_mark_selected", oracle=lambda: (lambda h: f"""{h[0]},
@@ -39,7 +40,7 @@ sel AS (SELECT doc_id, lo + 5 AS start_pos, lo + 20 AS end_pos FROM b
 SELECT c.doc_id, c.pos, EXISTS (SELECT 1 FROM sel s WHERE s.doc_id = c.doc_id AND c.pos <= s.end_pos
                                  AND c.end_pos >= s.start_pos) AS selected FROM cells c""")(d_tree(X.DUCK["fx1"])))
 def f1_mark_selected(spark, sf):
-    """which cells intersect any selection range (interval overlap, semi/anti join keyed by document)."""
+    """which cells intersect any selection range (ranges and cells as one relation in document order)."""
     t = fx1_tree(spark, sf)
     cells = t.filter(F.col("tag").isin("td", "th") & (F.col("kind") == "open") & F.col("matched")) \
              .select("doc_id", "pos", "end_pos")

@@ -86,12 +86,9 @@ LEFT JOIN (SELECT doc_id, pos, text FROM n_spans WHERE kind = 'text') t
   ON t.doc_id = e.doc_id AND t.pos > e.pos AND t.pos < e.end_pos
 GROUP BY e.doc_id, e.pos, e.tag"""))
 def c7_subtree_text(spark, sf):
-    """textContent of every heading, link and list item (interval join keyed by document)."""
-    s = with_spans(page_nodes(spark, sf))
-    el = s.filter((F.col("kind") == "open") & F.col("matched") & F.col("tag").isin("h1", "a", "li"))
-    txt = subtree_text(s, el)
-    return txt.join(el.select("doc_id", "pos", "tag"), ["doc_id", "pos"]) \
-              .select(F.col("doc_id").alias("page_id"), "pos", "tag", "text")
+    """textContent of every heading, link and list item (each text token credited to the elements around it)."""
+    txt = subtree_text(with_spans(page_nodes(spark, sf)), F.col("tag").isin("h1", "a", "li"))
+    return txt.select(F.col("doc_id").alias("page_id"), "pos", "tag", "text")
 
 
 # ---------------------------------------------------------------------------------------------------------------
