@@ -76,3 +76,17 @@ def same_entry(pairs, left: str = "left_html", right: str = "right_html"):
     c = canonical_html(both)
     return (c.groupBy(F.floor(F.col("doc_id") / 2).alias("doc_id"))
              .agg((F.countDistinct(F.sha2("canonical", 256)) == 1).alias("same")))
+
+
+def same_plain(left, right):
+    """F8: are two plain entries the same once line ends and trailing white space are absorbed (K25)?"""
+    from ..functions.text import normalize_text
+    return normalize_text(F.coalesce(left, F.lit(""))) == normalize_text(F.coalesce(right, F.lit("")))
+
+
+def dedup_entries(entries, html_col: str = "html"):
+    """F8: of the entries that are the same in canonical form, the one with the smallest doc_id, with its columns and the
+    number of ``copies``. Digests are counted by a partial aggregate, so a form that most entries share is one row a task."""
+    c = canonical_html(entries, html_col).select("doc_id", F.sha2("canonical", 256).alias("_form"))
+    first = c.groupBy("_form").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("_form")
+    return entries.join(first, "doc_id")

@@ -31,8 +31,9 @@ def respan(n: DataFrame) -> DataFrame:
     return with_spans(base(n))
 
 
-def source_nodes(payloads: DataFrame, html_col: str = "html") -> DataFrame:
-    n = to_nodes(payloads, "doc_id", html_col, doc_marker=True)
+def source_nodes(payloads: DataFrame, html_col: str = "html", facts_col: str | None = None) -> DataFrame:
+    """Tokens of the payloads, with ``before``. A map column of facts becomes the attributes of the document's marker."""
+    n = to_nodes(payloads, "doc_id", html_col, doc_marker=True, facts_col=facts_col)
     return n.withColumn("before", F.lit(None).cast("string"))
 
 

@@ -117,6 +117,16 @@ def pick_strategy(candidates: DataFrame, strategies: list[str] | None = None) ->
     return candidates.withColumn("_best", best).filter(prio == F.col("_best")).drop("_best")
 
 
+def extract_grids(tree: DataFrame, strategies: list) -> DataFrame:
+    """Cells by a list of ``(name, fn(tree) -> cells)`` in order of priority; per document the first that finds any cell
+    wins. Columns that only some strategies give are null for the others."""
+    found = None
+    for name, fn in strategies:
+        cells = fn(tree).withColumn("strategy", F.lit(name))
+        found = cells if found is None else found.unionByName(cells, allowMissingColumns=True)
+    return pick_strategy(found, [name for name, _ in strategies])
+
+
 def first_root(cells: DataFrame) -> DataFrame:
     """Aria grids keep only the first root holding a selected cell; native tables are all kept."""
     first = F.min(F.when((F.col("strategy") == "aria") & F.col("selected"), F.col("table_no"))).over(Window.partitionBy("doc_id"))

@@ -72,14 +72,15 @@ def clean_markup(html: Column) -> Column:
 
 
 def tokenize(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", partitions: int | None = None,
-             prepartitioned: bool = False, doc_marker: bool = False) -> DataFrame:
+             prepartitioned: bool = False, doc_marker: bool = False, facts_col: str | None = None) -> DataFrame:
     """C1 part 1: ``(doc_id, pos, tok)``.
 
     The payload rows are hash-partitioned by ``doc_id`` *before* exploding, so the exchange moves one row per
     document instead of one per token, and every later window / per-doc aggregate reuses that partitioning.
     Pass ``prepartitioned=True`` for a source already bucketed by ``doc_id`` (then there is no exchange at all).
     """
-    d = df.select(F.col(id_col).alias("doc_id"), F.col(html_col).alias("html"))
+    facts = [F.col(facts_col).alias("facts")] if facts_col else []
+    d = df.select(F.col(id_col).alias("doc_id"), F.col(html_col).alias("html"), *facts)
     if not prepartitioned:
         d = d.repartition(partitions, "doc_id") if partitions else d.repartition("doc_id")
     toks = F.regexp_extract_all(clean_markup(F.col("html")), F.lit(TOKEN_RE), 0)
@@ -88,7 +89,8 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", part
     # an empty token at position -1 marks the document itself, so a per-document result exists even when the
     # document has nothing to render - no join back to the payloads is needed
     toks = F.concat(F.array(F.lit("")), F.coalesce(toks, F.array().cast("array<string>")))
-    return d.select("doc_id", F.posexplode(toks).alias("pos", "tok")).withColumn("pos", F.col("pos") - 1)
+    n = d.select("doc_id", *(["facts"] if facts else []), F.posexplode(toks).alias("pos", "tok")).withColumn("pos", F.col("pos") - 1)
+    return n.withColumn("facts", F.when(F.col("pos") == -1, F.col("facts"))) if facts else n
 
 
 def _attrs(tok: Column) -> Column:
@@ -128,8 +130,10 @@ def classify(tokens: DataFrame) -> DataFrame:
 
 
 def to_nodes(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", **kw) -> DataFrame:
-    """Payloads -> ``nodes(doc_id, pos, kind, tag, attrs, text)``."""
-    return classify(tokenize(df, id_col, html_col, **kw)).drop("tok")
+    """Payloads -> ``nodes(doc_id, pos, kind, tag, attrs, text)``. ``facts_col`` names a map that becomes the attributes
+    of the document's marker."""
+    n = classify(tokenize(df, id_col, html_col, **kw)).drop("tok")
+    return n.withColumn("attrs", F.coalesce("facts", "attrs")).drop("facts") if kw.get("facts_col") else n
 
 
 def with_spans(nodes: DataFrame) -> DataFrame:
@@ -216,6 +220,11 @@ def with_closest(nodes: DataFrame, **predicates: Column) -> DataFrame:
     return n.drop(*[f"_nest_{k}" for k in predicates])
 
 
+def docs_with(nodes: DataFrame, predicate: Column) -> DataFrame:
+    """the documents in which some token satisfies the predicate, once each; for ``left_semi`` and ``left_anti`` joins."""
+    return nodes.filter(predicate).select("doc_id").distinct()
+
+
 def members(nodes: DataFrame, is_el: Column, name: str = "el_pos") -> DataFrame:
     """A row for each token and each matched element of ``is_el`` that holds it, whose position is ``name``. An opener is
     also a member of itself, a closer only of the elements around its own. A token that stands in n elements becomes n rows,

@@ -56,6 +56,9 @@ def resolve_options(options: dict | None) -> dict:
     return o
 
 
+# Classes that name the language of a code block.
+HIGHLIGHTED, LANGUAGE = "highlight-(?:text|source)-([a-z0-9]+)", "language-(\\S+)"
+
 MARK_CLASS = {"b": "s", "strong": "s", "i": "e", "em": "e", "code": "c"}
 OPENERS = {"s": S_OPEN, "e": E_OPEN, "c": C_OPEN}
 CLOSERS = {"s": S_CLOSE, "e": E_CLOSE, "c": C_CLOSE}
@@ -320,12 +323,20 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
 
     sec = tag.isin("thead", "tbody", "tfoot")
     # K7: a ``pre`` whose first child is ``code`` is a fenced code block (its content raw, one segment)
-    nxt = F.lead(F.struct(kind.alias("k"), tag.alias("t"))).over(w_doc())
-    nodes = nodes.withColumn("_pre_code", (tag == "pre") & mo & F.coalesce((nxt["k"] == "open") & (nxt["t"] == "code"),
-                                                                           F.lit(False)))
+    # with the language of its class; K15: so is a ``pre`` that opens a ``div`` of a highlighted class, whatever it holds
+    # (classes are there only if the sanitizer did not run)
+    near = F.struct(kind.alias("k"), tag.alias("t"), F.coalesce(F.col("attrs")["class"], F.lit("")).alias("c"))
+    nodes = nodes.withColumns({"_nxt": F.lead(near).over(w_doc()), "_prv": F.lag(near).over(w_doc())})
+    pre_code = (F.col("_nxt.k") == "open") & (F.col("_nxt.t") == "code")
+    marked = (F.col("_prv.k") == "open") & (F.col("_prv.t") == "div") & F.col("_prv.c").rlike(HIGHLIGHTED)
+    nodes = nodes.withColumns({
+        "_pre_code": (tag == "pre") & mo & F.coalesce(pre_code | marked, F.lit(False)),
+        "_pre_lang": F.when((tag == "pre") & mo, F.when(marked, F.concat(F.lit("="), F.regexp_extract(F.col("_prv.c"), HIGHLIGHTED, 1)))
+                            .when(pre_code, F.concat(F.lit("-"), F.regexp_extract(F.col("_nxt.c"), LANGUAGE, 1))))}).drop("_nxt", "_prv")
     n = nodes.withColumns({
         "_pre_run": running_inside(tag == "pre"),
         "_pre_has_code": F.last(F.when((tag == "pre") & mo, F.col("_pre_code")), ignorenulls=True).over(running()),
+        "_pre_all": F.last(F.when((tag == "pre") & mo, F.coalesce(F.substring("_pre_lang", 1, 1) == "=", F.lit(False))), ignorenulls=True).over(running()),
         "_link_run": F.sum(F.when(href_open, 1).when(href_close, -1).otherwise(0)).over(running()),
         "_code_run": running_inside(tag == "code"),
         "_li_run": running_inside(tag == "li"),
@@ -375,13 +386,16 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     def mark_piece(table):
         return F.coalesce(*[F.when(F.col("_mark") == k, F.lit(v)) for k, v in table.items()])
 
-    piece = (F.when(F.col("_in_cb"), F.when((kind == "text") & (F.col("_code_run") > 0), source)
+    piece = (F.when(F.col("_in_cb"), F.when((kind == "text") & ((F.col("_code_run") > 0) | F.col("_pre_all")), source)
                                      .otherwise(F.lit("")))
              .when(kind == "text", text_piece)
              .when(F.col("_field"), F.lit(FIELD))
              .when(F.col("_bnd"), F.lit(""))
              .when((kind == "void") & (tag == "br"), F.lit(BR))
              .when((kind == "void") & (tag == "img"), _image())
+             # A box at the start of an item
+             .when((tag == "input") & (F.col("parent_tag") == "li") & (F.lower(F.col("attrs")["type"]) == "checkbox"),
+                   F.when(F.map_contains_key("attrs", F.lit("checked")), F.lit("[x] ")).otherwise(F.lit("[ ] ")))
              .when(href_open, F.lit(L_OPEN))
              .when(href_close, _link_close("opener_attrs") if opts["link_style"] != "referenced" else
                    F.concat(F.lit(L_CLOSE + "]["), F.col("_link_no").cast("string"), F.lit("]" + L_END)))
@@ -429,7 +443,7 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
          .alias("li_depth"),
         F.greatest(F.col("_bq_run"), F.lit(0)).alias("bq"),
         ((kind == "void") & (tag == "hr")).alias("hr"),
-        F.col("_pre_code").alias("cb"),
+        F.col("_pre_code").alias("cb"), F.col("_pre_lang").alias("lang"),
         # table context: the table's own segment, cells (with their row), anything else inside a table
         ((tag == "table") & mo).alias("table"), ((tag == "thead") & mo).alias("thead"),
         ((F.col("_tab_run") > 0) & ~((tag == "table") & mo)).alias("in_table"),
@@ -463,14 +477,17 @@ def render_markdown(nodes: DataFrame, docs: DataFrame | None = None, rules: Data
     raw = F.concat(F.col("raw"), F.repeat(F.lit(C_CLOSE), F.col("n_c")), F.repeat(F.lit(E_CLOSE), F.col("n_e")),
                    F.repeat(F.lit(S_CLOSE), F.col("n_s")))
     # K7: fence = three backticks, or one more than the longest run of 3+ backticks opening a line of the code
-    code = F.regexp_replace(F.col("raw"), "\n\\z", "")
+    lang = F.coalesce(F.col("head")["lang"], F.lit(""))
+    highlighted = F.substring(lang, 1, 1) == "="
+    code = F.when(highlighted, F.col("raw")).otherwise(F.regexp_replace(F.col("raw"), "\n\\z", ""))
     fc = opts["fence"][0]
     runs = F.regexp_extract_all(code, F.lit(f"(?m)^(\\{fc}{{3,}})"), 1)
     fence = F.repeat(F.lit(fc), F.greatest(F.lit(3), F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r) + 1)),
                                                               F.lit(3))))
-    fenced = F.concat(fence, F.lit("\n"), code, F.lit("\n"), fence)
+    fence = F.when(highlighted, F.lit(opts["fence"])).otherwise(fence)
+    fenced = F.concat(fence, F.substring(lang, 2, 100), F.lit("\n"), code, F.lit("\n"), fence)
     if opts["code_block_style"] == "indented":
-        fenced = F.concat(F.lit("    "), F.replace(code, F.lit("\n"), F.lit("\n    ")))
+        fenced = F.when(highlighted, fenced).otherwise(F.concat(F.lit("    "), F.replace(code, F.lit("\n"), F.lit("\n    "))))
     flowing = finish(raw, opts)
     as_is = F.regexp_replace(F.translate(flowing, KEPT_SPACES, " \n\t"), "^\n+|\n+$", "")
     flowing = F.when(flowing.rlike(f"[{KEPT_SPACES}]"), as_is).otherwise(flowing)

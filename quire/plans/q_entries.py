@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from ..operators import derive as DV
 from ..operators import grid as G
+from ..operators import rules as RU
+from ..operators.compare import dedup_entries
 from ..operators.nodes import role, to_nodes, with_closest, with_spans, with_tree
+from ..operators.render_md import render_markdown
 from ..operators.splice import grid_tables
+from ..sources.tables import load_table
 from .q_blocks import documents, expected
 from .q_markdown import markdown_of
 from .registry import query
@@ -172,6 +176,33 @@ def c2_implied(spark: SparkSession, sf: str) -> DataFrame:
     return DV.to_markdown(documents(spark, sf, "<p>{name}<p>next<ul><li>one<li>two<ul><li>in {key}</ul><li>three</ul>", "<table><tr><td>1<td>2<tr><td>{name}<td>{key}</table><div>end</div>"))
 
 
+@query("k15_direct", oracle=lambda: expected("*   [x] {name}", "*   [ ] ~{key}~", "", "```sql", 'SELECT  "{name}"', "  FROM t", "```", "", "```python", "x = {key}", "```"))
+def k15_direct(spark: SparkSession, sf: str) -> DataFrame:
+    """Task boxes, strikethrough, highlighted code and the language of code, where no sanitizer has run."""
+    p = documents(spark, sf, '<ul><li><input type="checkbox" checked>{name}</li><li><input type="checkbox"><del>{key}</del></li></ul>',
+                  '<div class="highlight highlight-source-sql"><pre><span>SELECT</span>  "{name}"\n  FROM t</pre></div><pre><code class="language-python">x = {key}\n</code></pre>')
+    t = with_tree(with_spans(to_nodes(p, doc_marker=True)))
+    return render_markdown(t, rules=RU.gfm_strikethrough(spark))
+
+
+@query("f8_dedup", oracle=lambda: "SELECT min(CAST(s_suppkey AS BIGINT)) AS doc_id, count(*) AS copies FROM supplier GROUP BY s_nationkey")
+def f8_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """F8: entries that are the same in canonical form are one, with the number of copies; spelling differs by supplier."""
+    s = load_table(spark, sf, "supplier", ["s_suppkey", "s_nationkey"])
+    row = F.concat(F.lit("<tr><td>"), F.col("s_nationkey").cast("string"), F.lit("</td></tr>"))
+    html = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("<meta charset=utf-8><table><tbody>\n"), row, F.lit("</tbody></table><!-- x -->"))).otherwise(
+        F.concat(F.lit(" <table>"), row, F.lit("</table>")))
+    return dedup_entries(s.select(F.col("s_suppkey").cast("bigint").alias("doc_id"), html.alias("html"))).select("doc_id", "copies")
+
+
+@query("x4_strategies", oracle=lambda: stated(strategy="CASE WHEN s_suppkey % 2 = 0 THEN 'native' ELSE 'aria' END", text=["{name}"]))
+def x4_strategies(spark: SparkSession, sf: str) -> DataFrame:
+    """A list of strategies over one page; native tables win where there are any."""
+    p = documents(spark, sf, '<div role="grid"><div role="row"><span role="cell">{name}</span></div></div><table><tr><td>{name}</td></tr></table>')
+    p = p.withColumn("html", F.when(F.col("doc_id") % 2 == 1, F.regexp_replace("html", "<table.*", "")).otherwise(F.col("html")))
+    return G.extract_grids(tree(p), [("native", G.native_cells), ("aria", G.aria_cells)]).select("doc_id", "strategy", "text")
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # E8, E9, F5, F6
 

@@ -60,22 +60,10 @@ def a3_write_read(spark, sf):
     return spark.read.parquet(path).select("doc_id", "markdown", "simple_html", "source_type")
 
 
-def _fx11_equivalents(spark, sf):
-    e = X.fx11_entries(spark, sf)
-    docs = e.filter(F.col("html").isNotNull() & (F.col("html") != ""))
-    md = DV.to_markdown(docs)
-    sh = DV.to_simple_html(docs)
-    return e.join(md, "doc_id", "left").join(sh, "doc_id", "left")
-
-
 def replaced(spark, sf):
     """A4: choices by ``doc_id % 3`` (markdown / simple html / both)."""
-    e = _fx11_equivalents(spark, sf)
     k = F.col("doc_id") % 3
-    choose_md, choose_html = k.isin(0, 2), k.isin(1, 2)
-    plain = F.when(choose_md, F.coalesce("markdown", F.lit(""))).when(F.col("plain").isNotNull(), F.col("plain"))
-    html = F.when(choose_html, F.coalesce("simple_html", F.lit(""))).when(F.col("html").isNotNull(), F.col("html"))
-    return e.select("doc_id", plain.alias("plain"), html.alias("html"))
+    return P.replace_entries(X.fx11_entries(spark, sf), k.isin(0, 2), k.isin(1, 2))
 
 
 def _d_replaced():
@@ -103,12 +91,8 @@ SELECT r.doc_id, CASE WHEN r.doc_id % 2 = 0 THEN e.plain ELSE r.plain END AS pla
 FROM {_d_replaced()} r JOIN {X.DUCK['fx11']} e ON r.doc_id = e.doc_id""")
 def a5_restore(spark, sf):
     """A5: undo for the documents asked (even ids): back to the first-read entries, absent ones stay absent."""
-    cur = replaced(spark, sf)
     raw = X.fx11_entries(spark, sf)
-    keys = raw.filter(F.col("doc_id") % 2 == 0).select("doc_id")
-    kept = cur.join(keys, "doc_id", "left_anti")
-    back = raw.join(keys, "doc_id", "left_semi").select("doc_id", "plain", "html")
-    return kept.unionByName(back)
+    return P.restore_entries(replaced(spark, sf), raw, raw.filter(F.col("doc_id") % 2 == 0))
 
 
 @query("g8_presence", oracle=lambda: f"""

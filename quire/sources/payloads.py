@@ -15,19 +15,21 @@ from ..functions.text import MAX_PAYLOAD_CHARS
 # Fixed values that must equal the reference for equal results.
 ADMITTED_URL = "^(https?|file):"
 PLAIN_TYPE, HTML_TYPE = "text/plain", "text/html"
+EXTRAS = "array<struct<type:string,bytes:binary>>"
 # ---------------------------------------------------------------------------------------------------------------
 
 
 def read_payloads(spark: SparkSession, path: str, fmt: str = "parquet", mapping: dict | None = None) -> DataFrame:
     """A1: read a payload store (parquet / json / orc) and project it onto the payload schema. ``mapping``
-    renames source columns (``{"doc_id": "page_id", ...}``); a missing entry column becomes NULL."""
+    renames source columns (``{"doc_id": "page_id", ...}``); a missing entry column becomes NULL, ``extras`` no blobs."""
     df = spark.read.format(fmt).load(path)
     mapping = mapping or {}
     cols = []
     for name, typ in (("doc_id", "bigint"), ("url", "string"), ("html", "string"), ("plain", "string")):
         src = mapping.get(name, name)
         cols.append((F.col(src) if src in df.columns else F.lit(None)).cast(typ).alias(name))
-    return df.select(*cols)
+    extras = F.col(mapping.get("extras", "extras")) if mapping.get("extras", "extras") in df.columns else F.array()
+    return df.select(*cols, extras.cast(EXTRAS).alias("extras"))
 
 
 def split_entries(long_form: DataFrame) -> DataFrame:
@@ -52,13 +54,34 @@ def write_entries(entries: DataFrame, path: str, partition_by: str | None = "sou
     w.parquet(path)
 
 
+def replace_entries(entries: DataFrame, choose_md: Column, choose_html: Column) -> DataFrame:
+    """A4: ``(doc_id, plain, html)`` where the chosen entries are replaced by their equivalents; a chosen one is
+    created if absent, others are never conjured. Both equivalents and the old entries come from one pass: the old ones
+    travel as facts of the document's marker."""
+    from ..operators.derive import entries_of, source_nodes
+    named = lambda c, k: F.when(c, F.lit(k))
+    facts = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, ("plain", "html", "md", "sh"))), F.array(
+        F.col("plain"), F.col("html"), named(choose_md, "1"), named(choose_html, "1"))), lambda k, v: v.isNotNull())
+    out = entries_of(source_nodes(entries.withColumn("facts", facts), facts_col="facts"))
+    was = lambda k: F.col("facts")[k]
+    return out.select("doc_id", F.when(was("md").isNotNull(), F.col("markdown")).otherwise(was("plain")).alias("plain"),
+                      F.when(was("sh").isNotNull(), F.col("simple_html")).otherwise(was("html")).alias("html"))
+
+
+def restore_entries(current: DataFrame, first_read: DataFrame, keys: DataFrame) -> DataFrame:
+    """A5: the entries of the documents in ``keys`` as they were first read (absent ones absent again), the others as
+    they are."""
+    back = first_read.join(keys.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.struct("plain", "html").alias("_back"))
+    old = F.col("_back").isNotNull()
+    return current.join(back, "doc_id", "left").select("doc_id", *[F.when(old, F.col("_back")[c]).otherwise(F.col(c)).alias(c) for c in ("plain", "html")])
+
+
 def oversize(col: Column, limit: int = MAX_PAYLOAD_CHARS) -> Column:
     return F.length(col) > limit
 
 
 def quarantine_oversize(df: DataFrame, col: str, limit: int = MAX_PAYLOAD_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(admitted, dead_letter). Both are filters over the same scan; the guard also bounds every
-    per-document window and collect downstream."""
+    """(admitted, dead_letter). Both are filters over the same scan; every row is in one of them."""
     big = F.coalesce(oversize(F.col(col), limit), F.lit(False))
     return df.filter(~big), df.filter(big).withColumn("reason", F.lit("oversize"))
 
