@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -54,11 +56,21 @@ def text_parts(docs: DataFrame, text: str = "text", mb: int = 16) -> int:
     return max(1, -(-total // (mb << 20)))
 
 
-def bounded_batches(spark: SparkSession, mb: int = 32) -> None:
+def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
     """Let Arrow batches end by bytes as well as by rows, so that long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def give_back() -> None:
+    """At the end of a task: what its Python worker has freed goes back to the machine. Workers serve many tasks and stages
+    and otherwise keep the most that any of them took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column, whole, and where each row starts (one more entry at the end).
     Null counts as empty."""

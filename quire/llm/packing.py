@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_parts
+from .common import bounded_batches, give_back, text_parts
 
 SEQUENCE_TOKENS = 2048
 CLOSING_ID = 1
@@ -39,17 +39,24 @@ CLOSING_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: MB of text in a group of documents that are packed together.
 GROUP_MB = 16
-#: Words whose ids a task keeps; beyond that it starts afresh.
-KNOWN_WORDS = 200_000
+#: Words whose ids a Python worker keeps (about 120 MB); beyond that it starts afresh.
+KNOWN_WORDS = 600_000
 #: MB of text that reach a Python worker at once.
 BATCH_MB = 8
 #: White space that separates words for any pre-tokenizer that drops white space, and what only Python's split()
 #: counts as white space.
 SPACE, NOT_SPACE = re.compile("[ \t\n\r]+"), re.compile("[\x1c-\x1f]")
-#: Marks that end words and are no letters, digits or apostrophes.
-MARKS = ".,;:!?"
-#: Composed letters of Latin scripts, and those that reach the tokenizer's model as they are.
-LETTERS, SMALL = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"), re.compile("[a-z]+")
+#: Composed letters of Latin scripts followed by ASCII marks: two tokens apart for any pre-tokenizer that splits letters from
+#: other characters.
+LETTERS_MARKS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)")
+
+
+def byte_alphabet() -> str:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others in order
+    from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in printable else next(rest)) for b in range(256))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -81,10 +88,11 @@ class Words:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        self.lower = self.each(["AZ"]) == self.each(["az"])
-        # small ASCII letters reach the model as they are, if the tokenizer has neither prefix nor other spelling
-        sample = ["a", "the", "unbelievable", "qzxjkvw"]
-        self.direct = self.lower and bool(self.ends.any()) and self.each(sample) == [[t.id for t in self.tokenizer.model.tokenize(w)] for w in sample]
+        self.lower = self.each(["AZ", "É"]) == self.each(["az", "é"])
+        # lower-case letters reach the model as their bytes, if the tokenizer has neither prefix nor other spelling
+        self.alphabet = {k: c for k, c in enumerate(byte_alphabet())}
+        sample = ["a", "the", "unbelievable", "qzxjkvw", "é", "straße", "señorœ", "ǿđħ"]
+        self.direct = self.lower and bool(self.ends.any()) and self.each(sample) == [self.spelled(w) for w in sample]
         self.clear()
 
     def clear(self) -> None:
@@ -115,8 +123,8 @@ class Words:
 
     def learn(self) -> None:
         """The ids of the words that are new. A word of plain letters and closing marks is looked up as two parts, which are
-        tokens apart, any other word as a whole. ASCII letters go to the tokenizer's model itself, other letters are tokenized
-        by the thousand, as one text."""
+        tokens apart, any other word as a whole. Letters go to the tokenizer's model itself where it takes them as they are,
+        otherwise they are tokenized by the thousand, as one text."""
         known, new = self.known, self.known.new
         known.new = []
         old = len(known) - len(new)
@@ -128,12 +136,15 @@ class Words:
             if k < old:
                 found[p] = self.ids[self.at[k]:self.at[k + 1]].tolist()
         fresh = [p for p in wanted if p not in found]
-        spell = self.tokenizer.model.tokenize
-        found.update((p, [t.id for t in spell(p)]) for p in fresh if self.direct and SMALL.fullmatch(p))
-        for kind, ids_of in ((True, self.joined), (False, self.each)):
-            rest = [p for p in fresh if p not in found and bool(LETTERS.fullmatch(p)) == kind]
-            for k in range(0, len(rest), 1000):
-                found.update(zip(rest[k:k + 1000], ids_of(rest[k:k + 1000])))
+        letters = [p for p in fresh if p.isalpha() and p.lower() == p and LETTERS_MARKS.fullmatch(p)]
+        if self.direct:
+            found.update((p, self.spelled(p)) for p in letters)
+        else:
+            for k in range(0, len(letters), 1000):
+                found.update(zip(letters[k:k + 1000], self.joined(letters[k:k + 1000])))
+        rest = [p for p in fresh if p not in found]
+        for k in range(0, len(rest), 1000):
+            found.update(zip(rest[k:k + 1000], self.each(rest[k:k + 1000])))
         ids = [found[ps[0]] if len(ps) == 1 else found[ps[0]] + found[ps[1]] for ps in parts]
         for p in fresh:  # for the words that share it
             if p not in known:
@@ -145,14 +156,20 @@ class Words:
     def parts(self, word: str) -> tuple[str, ...]:
         """What is tokenized apart in a word. Letters and marks are only where the letters stay letters in the tokenizer's
         spelling: the lower case of some is a letter and a mark that joins what follows."""
-        core = word.rstrip(MARKS)
-        if not LETTERS.fullmatch(core) or not core.lower().isalpha():
+        found = LETTERS_MARKS.fullmatch(word)
+        if not found:
             return (word,)
-        tail = word[len(core):]
-        if self.lower and core.isascii():
+        core, tail = found.groups()
+        if self.lower:
             core = core.lower()
+            if not (core.isascii() or core.isalpha()):
+                return (word,)
         return (core, tail) if tail else (core,)
 
+    def spelled(self, word: str) -> list[int]:
+        """The ids of lower-case letters, from the tokenizer's model itself."""
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet))]
+
     def each(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -166,6 +183,17 @@ class Words:
         return [ids[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
 
 
+def words_of_worker(path: str) -> Words:
+    """The table of this Python worker, which serves many tasks: each goes on with what earlier ones have learned. Functions
+    travel by value, so the table hangs on a module that stays imported."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_tables_by_path", {})
+    if path not in kept:
+        kept[path] = Words(path)
+    return kept[path]
+
+
 def assigned(lengths: list[int], capacity: int = SEQUENCE_TOKENS) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces ``(document, start, length, sequence, offset)`` of one group's documents, given in descending length."""
     sequence, rest = 0, []
@@ -215,7 +243,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUEN
 
     def tokenized(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        words = Words(path)
+        words = words_of_worker(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for part in _blocks(texts):
@@ -224,8 +252,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUEN
                 cells = [small[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
                 rows = batch.slice(part.start, len(part))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(at)), pa.array(cells, pa.binary())], names=["doc_id", "_group", "n", "ids"])
-        del words  # a worker serves other tasks: what this one held goes back
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def pack(t: pa.Table) -> pa.Table:
         n, ids, doc = t["n"].to_pylist(), t["ids"].to_pylist(), t["doc_id"].to_pylist()

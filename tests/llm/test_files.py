@@ -23,8 +23,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def tokens(text):
-    t = tokens.__dict__.setdefault("it", Tokenizer.from_file(tokenizer_path()))
-    return [*t.encode(text or "", add_special_tokens=False).ids, 1]
+    if "it" not in tokens.__dict__:
+        tokens.it = Tokenizer.from_file(tokenizer_path())
+    return [*tokens.it.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def check_sequences(pieces):
