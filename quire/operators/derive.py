@@ -33,7 +33,7 @@ def respan(n: DataFrame) -> DataFrame:
 
 def source_nodes(payloads: DataFrame, html_col: str = "html", facts_col: str | None = None) -> DataFrame:
     """Tokens of the payloads, with ``before``. A map column of facts becomes the attributes of the document's marker."""
-    n = to_nodes(payloads, "doc_id", html_col, doc_marker=True, facts_col=facts_col)
+    n = to_nodes(payloads, "doc_id", html_col, doc_marker=True, facts_col=facts_col, implied=True)
     return n.withColumn("before", F.lit(None).cast("string"))
 
 

@@ -361,7 +361,7 @@ def aria_row_cells(tree: DataFrame) -> DataFrame:
              .withColumn("row_pos", F.last(F.when(is_row & mo, F.col("pos")), ignorenulls=True).over(running())))
     role_cell = _role().isin(ARIA_ROW_CELL_ROLES) & (F.col("_wd") > 0)
     n = n.withColumn("_row_has_cells", F.max(role_cell.cast("int")).over(Window.partitionBy("doc_id", "row_pos")) == 1)
-    child_cell = (F.col("_wd") > 0) & ~F.col("_row_has_cells") & (kind == "open") & F.col("matched") \
+    child_cell = (F.col("_wd") > 0) & ~F.col("_row_has_cells") & kind.isin("open", "close") & F.col("matched") \
         & (F.col("parent_pos") == F.col("row_pos"))
     cells = element_texts(n, role_cell | child_cell, {
         "row_pos": F.col("row_pos"), "is_header": _role() == "columnheader"})

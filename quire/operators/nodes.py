@@ -2,8 +2,8 @@
 
 Token dialect (our stated deviation from HTML5 tree building):
 
-* comments, doctype / processing instructions and the drop-with-content elements are removed first, and end tags that the
-  source left out are written where a parser infers them;
+* comments, doctype / processing instructions and the drop-with-content elements are removed first; with ``implied``, as in
+  the entries job, end tags that the source left out are written where a parser infers them;
 * a tag is ``</?name ...>`` where quoted attribute values may hold ``>``; a lone ``<`` is text;
 * tag and attribute names are lower-cased, the first duplicate attribute wins;
 * void tags never open a level; closers are matched to openers per tag (stack order), unmatched closers are
@@ -66,13 +66,15 @@ def running():
     return w_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def clean_markup(html: Column) -> Column:
-    """Without what is dropped whole (D2), with the end tags that a parser infers."""
-    return with_implied_ends(without_subtrees(F.regexp_replace(html, STRIP_RE, ""), DROP_SUBTREES))
+def clean_markup(html: Column, implied: bool = False) -> Column:
+    """Without what is dropped whole (D2); if asked, with the end tags that a parser infers."""
+    kept = without_subtrees(F.regexp_replace(html, STRIP_RE, ""), DROP_SUBTREES)
+    return with_implied_ends(kept) if implied else kept
 
 
 def tokenize(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", partitions: int | None = None,
-             prepartitioned: bool = False, doc_marker: bool = False, facts_col: str | None = None) -> DataFrame:
+             prepartitioned: bool = False, doc_marker: bool = False, facts_col: str | None = None,
+             implied: bool = False) -> DataFrame:
     """C1 part 1: ``(doc_id, pos, tok)``.
 
     The payload rows are hash-partitioned by ``doc_id`` *before* exploding, so the exchange moves one row per
@@ -83,7 +85,7 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", html_col: str = "html", part
     d = df.select(F.col(id_col).alias("doc_id"), F.col(html_col).alias("html"), *facts)
     if not prepartitioned:
         d = d.repartition(partitions, "doc_id") if partitions else d.repartition("doc_id")
-    toks = F.regexp_extract_all(clean_markup(F.col("html")), F.lit(TOKEN_RE), 0)
+    toks = F.regexp_extract_all(clean_markup(F.col("html"), implied), F.lit(TOKEN_RE), 0)
     if not doc_marker:
         return d.select("doc_id", F.posexplode(toks).alias("pos", "tok"))
     # an empty token at position -1 marks the document itself, so a per-document result exists even when the
@@ -243,7 +245,10 @@ def contents(nodes: DataFrame, is_el: Column, carry: dict[str, Column], html: bo
     its opener and, if asked, ``html`` (its ``innerHTML``). One aggregate over ``members``."""
     from .render_html import token_html
     kind = F.col("kind")
-    n = members(nodes.withColumns({f"_c_{k}": c for k, c in carry.items()}).withColumn("_el", is_el), F.col("_el"))
+    # a closer is asked for its opener's attributes
+    n = nodes.withColumns({f"_c_{k}": c for k, c in carry.items()} | {"_own_attrs": F.col("attrs")})
+    n = n.withColumn("attrs", F.coalesce("attrs", "opener_attrs")).withColumn("_el", F.coalesce(is_el, F.lit(False)))
+    n = members(n.withColumn("attrs", F.col("_own_attrs")).drop("_own_attrs"), F.col("_el"))
     own = (F.col("pos") == F.col("el_pos"))
     if not html:
         n = n.filter(own | (kind == "text"))

@@ -134,7 +134,7 @@ def spliced_nodes(payloads: DataFrame) -> DataFrame:
     none = F.lit(None)
     grids = F.flatten(F.transform("tables", lambda t, i: F.transform(tok(t["html"]), lambda x: item(x, i, t["width"]))))
     kind_of = "array<struct<tok:string,grid:int,width:int>>"
-    own = F.transform(F.coalesce(tok(clean_markup(F.col("html"))), F.array().cast("array<string>")), lambda x: item(x, none, none))
+    own = F.transform(F.coalesce(tok(clean_markup(F.col("html"), implied=True)), F.array().cast("array<string>")), lambda x: item(x, none, none))
     toks = F.concat(F.array(item(F.lit(""), none, none)), own.cast(kind_of), F.coalesce(grids, F.array().cast(kind_of)).cast(kind_of))
     facts = F.col("facts") if "facts" in payloads.columns else F.lit(None).cast("map<string,string>")
     n = p.select("doc_id", F.col("grid_type"), F.coalesce(F.size("tables"), F.lit(0)).alias("n_grids"), facts.alias("facts"), F.posexplode(toks).alias("pos", "t"))
