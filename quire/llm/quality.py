@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 
 MIN_WORDS = 50
 MAX_TRAIN = 20_000
@@ -165,6 +165,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
         for batch in batches:
             values = [list(statistics(t)[1]) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], names=["quality", "x"])
+        give_back()
 
     rows = sorted((r.x, r.quality) for r in texts.mapInArrow(run, "quality long, x array<double>").limit(2 * max_train).collect())
     x = np.array([r[0] for r in rows]).reshape(len(rows), len(MONOTONE))
@@ -189,6 +190,7 @@ def quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, thre
         for batch in batches:
             base, failed, score, kept = _judged(batch.column(1).to_pylist(), trees, threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in base.T), pa.array(failed), pa.array(kept), pa.array(score)], names=names)
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, kept boolean, score double")
@@ -203,5 +205,6 @@ def quality_filter(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
         for batch in batches:
             kept = _judged(batch.column(at).to_pylist(), trees, threshold)[3]
             yield batch.filter(pa.array(kept))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, saved
+from .common import bounded_batches, components, give_back, saved
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED)
         for batch in batches:
             fps = np.fromiter((fingerprint(t, words, seed) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "row", "fp"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row long, fp long")
