@@ -11,7 +11,8 @@ import xxhash
 
 from quire.llm import common
 from quire.llm.lines import without_boilerplate
-from quire.llm.passages import aligned_gap, chains, repeated_passages, segments, stretches, word_hashes
+from quire.llm.parts import LAST
+from quire.llm.passages import aligned, aligned_gap, chains, grouped_segments, holders, most_agreeing, repeated_passages, segments, stretches, unholders, word_hashes
 from quire.llm.simhash import _linked, fingerprint, simhash_dedup, simhash_groups
 from quire.llm.suffixes import removed_substrings
 
@@ -223,6 +224,41 @@ def test_segments_and_alignment_helpers():
     assert sorted(stretches(same, 0.8, 40)) == [(10, 59), (90, 134)]
 
 
+def test_groups_have_the_segments_of_each():
+    rng = np.random.default_rng(5)
+    group, x, y = np.sort(rng.integers(0, 9, 400)), rng.integers(0, 60, 400), rng.integers(0, 60, 400)
+    g, *found = grouped_segments(group, x, y)
+    for k in range(9):
+        assert list(zip(*(c[g == k].tolist() for c in found))) == segments(x[group == k], y[group == k])
+    assert segments(x[:0], y[:0]) == []
+
+
+def test_chains_left_out_hold_no_passage():
+    """The bound of all chains at once is no less than what their alignments agree on, and theirs where there is no gap."""
+    rng = np.random.default_rng(9)
+    own, source = rng.integers(0, 3, 700).astype(np.uint32), rng.integers(0, 3, 900).astype(np.uint32)
+    rows, made = [], []
+    for at, size, other, length in ((0, 300, 0, 200), (300, 400, 200, 700)):
+        for chain in [c for _ in range(60) for c in chains(segments(rng.integers(0, length - 4, 6), rng.integers(0, size - 4, 6)))]:
+            rows += [(len(made), *s, at, size, other, length) for s in chain]
+            made.append((len(chain), aligned(chain, own[at:at + size], source[other:other + length])[2].sum()))
+    chain, x, y, n, *texts = np.array(rows).T
+    most = most_agreeing(chain, x, y, n, own, *texts[:2], source, *texts[2:])
+    assert max(k for k, _ in made) > 1
+    assert all(m == agree if k == 1 else m >= agree for m, (k, agree) in zip(most.tolist(), made))
+
+
+def test_holders_travel_in_the_order_of_documents():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 40, 3000).astype(np.uint64))
+    ids, where = rng.integers(-5, 10**9, len(keys)), rng.integers(0, 1 << 42, len(keys))
+    ids[::7] = LAST
+    back = unholders(holders(keys, ids, where), len(keys))
+    assert sorted(zip(*(c.tolist() for c in back))) == list(zip(keys.tolist(), ids.tolist(), where.tolist()))
+    few = np.sort(rng.integers(0, 900, len(keys))) * 1000
+    assert len(holders(keys, rng.permutation(few), where % 500)) < 8.5 * len(keys)
+
+
 def test_every_stretch_that_qualifies_is_found():
     r = random.Random(6)
     for _ in range(400):
