@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quire.operators.derive import route_entries, to_entries
 from quire.operators.nodes import TASK_TOKENS, tasks_for, to_nodes
 from quire.operators.splice import spliced_nodes, with_grids
 
@@ -34,3 +35,18 @@ def test_no_payload_at_all(spark):
     assert tasks_for(0) == 2
     assert to_nodes(spark.createDataFrame([], "doc_id long, html string")).count() == 0
     assert to_nodes(spark.createDataFrame([(1, None)], "doc_id long, html string"), doc_marker=True).count() == 1
+
+
+def _most_sorts_of_a_stage(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return max(sum("Sort [" in line for line in stage.splitlines()) for stage in plan.split("Exchange hashpartitioning"))
+
+
+def test_sorts_of_spliced_entries_are_divided(spark):
+    """Each sort takes a page of 64 MB: 32 of them are 2 GB of a task."""
+    docs = spark.createDataFrame([(1, "<p>x</p>", None)], "doc_id long, html string, plain string")
+    tables = F.array(F.struct(F.lit(0).alias("table_no"), F.lit(2).alias("width"), F.lit(f"<table>{CELLS}</table>").alias("html")))
+    grids = docs.select("doc_id", F.lit("aria").alias("grid_type"), tables.alias("tables"))
+    for df in (to_entries(docs, grids=grids), route_entries(docs, grids), route_entries(docs)):
+        assert _most_sorts_of_a_stage(df) <= 32
+        assert df.count() == 1
