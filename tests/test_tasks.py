@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators.derive import route_entries, to_entries
+from quire.operators.derive import route_entries, to_entries, to_markdown, to_simple_html
 from quire.operators.nodes import TASK_TOKENS, tasks_for, to_nodes
 from quire.operators.splice import spliced_nodes, with_grids
 
@@ -50,3 +50,17 @@ def test_sorts_of_spliced_entries_are_divided(spark):
     for df in (to_entries(docs, grids=grids), route_entries(docs, grids)):
         assert _most_sorts_of_a_stage(df) <= 32
         assert df.count() == 1
+
+
+def test_sorts_of_one_exchange_fit_a_task(spark):
+    """Without grids the job is one stage; its sorts were 41, 28 and 34."""
+    docs = spark.createDataFrame([(1, "<p>x <a href='u'></a></p>")], "doc_id long, html string")
+    for job, most in ((to_entries, 34), (to_markdown, 24), (to_simple_html, 28)):
+        assert _most_sorts_of_a_stage(job(docs)) <= most
+
+
+def test_a_blank_run_of_text_ends_at_other_text(spark):
+    """Text tokens side by side (a lone ``<`` is one) are one run, which is blank only as a whole."""
+    docs = spark.createDataFrame([(1, "<p>a</p> < <p>b</p> \n<p>c</p>"), (2, "<b>x</b> <i>y</i> <p>z</p> ")], "doc_id long, html string")
+    assert {r.doc_id: r.simple_html for r in to_simple_html(docs).collect()} == {
+        1: "<p>a</p> &lt; <p>b</p><p>c</p>", 2: "<b>x</b> <i>y</i><p>z</p>"}
