@@ -76,7 +76,7 @@ def test_documents_that_share_a_key(spark):
     html = '<p>x<a href="u"> <img src="i" width="1" height="1"> </a></p><a href="v" title="name"></a>'
     d = spark.createDataFrame([(1, html), (1, html)], "doc_id long, html string")
     assert [r.simple_html for r in to_simple_html(d).collect()] == [
-        '<p><p>xx</p></p><a href="v" title="name"><a href="v" title="name">name…</a></a>']
+        '<p><p>xx</p></p><a href="v" title="name"><a href="v" title="name"></a>name…</a>']
 
 
 def test_sorts_and_aggregates_of_a_job(docs):
